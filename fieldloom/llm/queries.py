@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldloom.llm import mixing, tokencount, transport
+from fieldloom.llm import decontam, mixing, simhash, tokencount, transport
 from fieldloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,10 +19,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
@@ -57,7 +67,7 @@ FROM sent JOIN aimed ON sent.source IS NOT DISTINCT FROM aimed.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op7_token_counts, op9_transport_stream)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op5_benchmark_decontamination, op7_token_counts, op9_transport_stream)}
 
 
 def oracle_sql() -> dict[str, str]:
