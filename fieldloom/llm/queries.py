@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontam, mixing, simhash, tokencount, transport
+from fieldloom.llm import decontam, mixing, pii, quality, simhash, tokencount, transport, warczip
 from fieldloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,10 +28,19 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
@@ -40,6 +49,11 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.read_media(transport.with_media(table(spark, sf_dir, "documents"))).drop("time_stamps", "access_points")
 
 
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warczip.read_archives(warczip.write_archives(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -66,9 +80,19 @@ FROM sent JOIN aimed ON sent.source IS NOT DISTINCT FROM aimed.source
 """
 
 
+OP10_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+held AS (SELECT payload_digest, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM p LEFT JOIN held ON payload_bytes >= 1000 AND p.payload_digest = held.payload_digest
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op5_benchmark_decontamination, op7_token_counts, op9_transport_stream)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op4_quality_classifier, op5_benchmark_decontamination, op6_personal_data, op7_token_counts, op9_transport_stream, op10_warc_archives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op10_warc_archives": OP10_SQL}
