@@ -124,9 +124,14 @@ def length_class(n: int) -> int:
     return min(LENGTHS - 1, max(0, n.bit_length() - 2))
 
 
+def possible(kind: str, s: str) -> bool:
+    """What no vote can make up for: a wider candidate has to pass its kind's check too."""
+    return luhn(digits_of(s)) if kind == "card" else valid(kind, s)
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Base spans and wider ones, without repeats."""
-    return list(dict.fromkeys([*base_spans(text), *((kind, m.start(), m.end()) for kind in KINDS for m in WIDER[kind].finditer(text))]))
+    return list(dict.fromkeys([*base_spans(text), *((kind, m.start(), m.end()) for kind in KINDS for m in WIDER[kind].finditer(text) if possible(kind, m[0]))]))
 
 
 def patterns(docs: DataFrame) -> list[tuple[str, tuple[int, ...], int, int]]:
@@ -148,8 +153,7 @@ def patterns(docs: DataFrame) -> list[tuple[str, tuple[int, ...], int, int]]:
 
 def reliabilities(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[list[dict], float, dict]:
     """Expectation-maximisation of one kind: P(vote | class) of each labeler, the prior, and posteriors."""
-    post = {v: (1 + sum(v)) / 2 for v, _ in counts}
-    post = {v: min(0.95, max(0.05, 0.5 + sum(v) / (2 * len(v)))) for v in post}
+    post = {v: min(0.95, max(0.05, 0.5 + sum(v) / (2 * len(v)))) for v, _ in counts}
     tables: list[dict] = []
     prior = 0.5
     for _ in range(rounds):
