@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontam, mixing, pii, quality, simhash, tokencount, transport, warczip
+from fieldloom.llm import decontam, mixing, pii, quality, recompress, simhash, tokencount, transport, warczip
 from fieldloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.read_media(transport.with_media(table(spark, sf_dir, "documents"))).drop("time_stamps", "access_points")
 
@@ -91,7 +95,7 @@ FROM p LEFT JOIN held ON payload_bytes >= 1000 AND p.payload_digest = held.paylo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op4_quality_classifier, op5_benchmark_decontamination, op6_personal_data, op7_token_counts, op9_transport_stream, op10_warc_archives)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op4_quality_classifier, op5_benchmark_decontamination, op6_personal_data, op7_token_counts, op8_substring_dedup, op9_transport_stream, op10_warc_archives)}
 
 
 def oracle_sql() -> dict[str, str]:
