@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontam, mixing, pii, quality, recompress, simhash, tokencount, transport, warczip
+from fieldloom.llm import decontam, licenses, mixing, pii, quality, recompress, simhash, tokencount, transport, warczip
 from fieldloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -94,9 +98,27 @@ FROM p LEFT JOIN held ON payload_bytes >= 1000 AND p.payload_digest = held.paylo
 """
 
 
+def op3_sql() -> str:
+    """The matches without retrieval: every text against every template."""
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+    return rf"""
+WITH t AS (SELECT * FROM (VALUES {values}) AS v(template, text)),
+tw AS (SELECT template, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+ts AS (SELECT DISTINCT template, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT template, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM tw)),
+tn AS (SELECT template, count(*) AS n FROM ts GROUP BY template),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ds AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM dw WHERE len(w) > 0)),
+hit AS (SELECT doc_id, template, count(DISTINCT ds.s) AS k, min(i) - 1 AS first_word FROM ds JOIN ts ON ds.s = ts.s GROUP BY doc_id, template)
+SELECT doc_id, hit.template, CAST(k AS DOUBLE) / n AS containment, CAST(first_word AS INTEGER) AS first_word
+FROM hit JOIN tn ON hit.template = tn.template WHERE k >= 0.8 * n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op4_quality_classifier, op5_benchmark_decontamination, op6_personal_data, op7_token_counts, op8_substring_dedup, op9_transport_stream, op10_warc_archives)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_license_scan, op4_quality_classifier, op5_benchmark_decontamination, op6_personal_data, op7_token_counts, op8_substring_dedup, op9_transport_stream, op10_warc_archives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op10_warc_archives": OP10_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op3_license_scan": op3_sql(), "op10_warc_archives": OP10_SQL}
