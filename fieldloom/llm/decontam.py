@@ -12,12 +12,11 @@ shuffles anything.
 Defined results: null or empty texts have no words, no hits and are not contaminated; a benchmark item without
 words has no phrase; an item shorter than a window is one phrase, whole; items are told apart by
 item_id (repeated rows count once, a null item_id is written "null"); an empty benchmark hits
-nothing; repeated documents stay rows of their own; other columns are ignored by `find` and kept by `clean`.
+nothing; repeated documents stay rows of their own; other columns are ignored by `find` unless named in `keep`, and kept by `clean`.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import columns, small_batches, utf8
+from fieldloom.llm.common import small_batches, utf8
 from fieldloom.llm.fmindex import FMIndex
 
 WINDOW, SHARD_WORDS, BLOCK_WORDS = 13, 1_000_000, 2_000_000
@@ -137,13 +136,15 @@ def merged(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
     return out_s, out_e
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, merged removal spans in words (span_starts, span_ends) and item_ids, sorted."""
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """doc_id (or the columns `keep`), n_words, merged removal spans in words (span_starts, span_ends) and
+    item_ids, sorted, of each row."""
     spark = docs.sparkSession
     small_batches(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    keep = keep or ["doc_id"]
     ints, strings = pa.list_(pa.int64()), pa.list_(pa.string())
-    found = docs.select("doc_id", "text")
+    # under names of their own, so that no column of the input can clash
+    found = docs.select(F.struct(*(docs[c] for c in keep)).alias("own"), F.col("text").alias("text"))
     blocks = blocks_of(benchmark, window, block_words)
     block, first = next(blocks, Phrases()), True
     while block is not None:
@@ -152,53 +153,58 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent, last=following is None, first=first) -> Iterator[pa.RecordBatch]:
             symbols, phrases, items = sent.value
-            held: list[list] = []
+            held: list[pa.RecordBatch] = []
+            words: list[list[bytes]] = []
             total = 0
-
-            def flush() -> pa.RecordBatch:
-                out = []
-                for (_, _, s, e, its, words), (at, end, numbers) in zip(held, search_shard([h[5] for h in held], symbols, phrases), strict=True):
-                    s, e = merged([*s, *at.tolist()], [*e, *end.tolist()])
-                    out.append((len(words), s, e, sorted({*its, *(i for k in set(numbers.tolist()) for i in items[k])})))
-                arrays = [pa.array([h[0] for h in held], id_type)] + ([] if last else [pa.array([h[1] for h in held], pa.binary()).cast(pa.string())])
-                arrays += [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), ints, ints, strings))]
-                return pa.RecordBatch.from_arrays(arrays, names)
-
-            names = ["doc_id", *([] if last else ["text"]), "n_words", "span_starts", "span_ends", "item_ids"]
-            more = () if first else ("span_starts", "span_ends", "item_ids")
-            for ids, texts, *rest in columns(batches, "doc_id", "text", *more):
-                id_type = ids.type
-                for k, text in enumerate(utf8(texts)):
-                    before = [x[k].as_py() or [] for x in rest] or [[], [], []]
-                    words = words_of(text)
-                    held.append([ids[k].as_py(), None if last else text, *before, words])
-                    total += len(words) + 1
+            names = ["own", *([] if last else ["text"]), "n_words", "span_starts", "span_ends", "item_ids"]
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                hits, at = search_shard(words, symbols, phrases), 0
+                for batch in held:
+                    before = [batch.column(batch.schema.get_field_index(c)).to_pylist() if not first else [[]] * batch.num_rows for c in ("span_starts", "span_ends", "item_ids")]
+                    out = []
+                    for k in range(batch.num_rows):
+                        starts, ends, numbers = hits[at + k]
+                        s, e = merged([*before[0][k], *starts.tolist()], [*before[1][k], *ends.tolist()])
+                        out.append((len(words[at + k]), s, e, sorted({*before[2][k], *(i for n in set(numbers.tolist()) for i in items[n])})))
+                    at += batch.num_rows
+                    arrays = [batch.column(batch.schema.get_field_index(c)) for c in names[: 1 if last else 2]]
+                    arrays += [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), ints, ints, strings))]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+
+            for batch in batches:
+                if batch.num_rows:
+                    held.append(batch)
+                    new = [words_of(t) for t in utf8(batch.column(batch.schema.get_field_index("text")))]
+                    words += new
+                    total += sum(map(len, new)) + len(new)
                     if total >= shard_words:
-                        yield flush()
-                        held, total = [], 0
+                        yield from flush()
+                        held, words, total = [], [], 0
             if held:
-                yield flush()
+                yield from flush()
 
-        found = found.mapInArrow(search, f"doc_id {kind}, {'' if following is None else 'text string, '}n_words long, span_starts array<long>, span_ends array<long>, item_ids array<string>")
+        own = found.schema["own"].dataType.simpleString()
+        found = found.mapInArrow(search, f"own {own}, {'' if following is None else 'text string, '}n_words long, span_starts array<long>, span_ends array<long>, item_ids array<string>")
         block, first = following, False
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, **options) -> DataFrame:
-    """The digest of `find`: counts, a hash of the items, and whether at least 1 in `share` words is hit."""
+def is_contaminated(share: int):
     hits = F.aggregate(F.zip_with("span_ends", "span_starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, b: a + b)
-    x = find(docs, benchmark, **options).withColumn("n_hit", hits)
-    return x.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
-    )
+    return hits, (hits > 0) & (hits * share >= F.col("n_words"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, as they are. Rows that share a doc_id go together."""
-    bad = contamination(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, **options) -> DataFrame:
+    """The digest of `find`: counts, a hash of the items, and whether at least 1 in `share` words is hit."""
+    hits, verdict = is_contaminated(share)
+    return find(docs, benchmark, **options).select(
+        F.col("own.doc_id").alias("doc_id"), "n_words", hits.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), verdict.alias("contaminated"),
+    )
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, **options) -> DataFrame:
+    """The rows that are not contaminated, as they are."""
+    _, verdict = is_contaminated(share)
+    return find(docs, benchmark, keep=docs.columns, **options).filter(~verdict).select("own.*")

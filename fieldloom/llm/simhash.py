@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import columns, materialised, small_batches, utf8
@@ -158,5 +159,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents without near-duplicates: of each component the row of the smallest doc_id stays (of
     repeated rows with that doc_id, one). Columns and their values are the input's."""
-    kept = near_duplicates(docs, shingle).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs, shingle).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    both = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    own = W.partitionBy("doc_id").orderBy("doc_id")
+    return both.withColumn("__n", F.row_number().over(own)).filter("__n = 1").select(*docs.columns)
