@@ -9,7 +9,7 @@ determined it. Symbols whose range fits in a window are reported:
  1. Shards report their distinct symbols with the smallest and largest doc_id that has them; a Spark round merges these
     by name and answers with those that several documents share.
  2. A window that holds a symbol of its document alone repeats nowhere else; a window whose symbols no smaller (larger)
-    doc_id has needs no source (is no source). What remains is named in full, by 128 bits of its words;
+    doc_id has needs no source (is no source). What remains is named in full, by 112 bits of its words;
     a second round merges these names and answers with the smallest doc_id of each shared window.
  3. Windows that start in a smaller doc_id are covered; their words go.
 
@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import small_batches, utf8
 
 WINDOW, ROUNDS, SHARD_BYTES = 13, 3, 8 << 20
+#: Bytes of a window's second name: with the eight of its first, 112 bits.
+MORE = 6
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
 # Odd multipliers of the mixing functions.
@@ -129,25 +131,27 @@ def symbols(s: Shard, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.nd
     return name[fits], low[fits], high[fits], doc[fits]
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Integers as bytes: four each where that is enough, else eight; the first byte says which."""
-    small = not len(x) or (x.min() >= 0 and x.max() < 1 << 32)
-    return (b"4" if small else b"8") + x.astype(np.uint32 if small else np.int64).tobytes()
+def planes(x: np.ndarray, size: int) -> bytes:
+    """The low `size` bytes of each number, all first bytes first: of sorted or small numbers, the high
+    planes then hardly take room in a compressed shuffle."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
 
 
-def unpacked(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.uint32 if b[:1] == b"4" else np.int64, offset=1).astype(np.int64)
+def unplanes(b: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(b) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(b, np.uint8).reshape(size, -1).T
+    return out.view(U).ravel()
 
 
-def cut(x: np.ndarray, size: int) -> bytes:
-    """The low `size` bytes of each number."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+def packed(x: np.ndarray) -> bytes:
+    """Integers in as many planes as the largest needs (eight where one is negative); the first byte says how many."""
+    x = np.asarray(x, np.int64)
+    size = 1 if not len(x) else 8 if x.min() < 0 else max(1, -(-int(x.max()).bit_length() // 8))
+    return bytes([size]) + planes(x, size)
 
 
-def uncut(b: bytes, size: int) -> np.ndarray:
-    out = np.zeros((len(b) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(b, np.uint8).reshape(-1, size)
-    return out.view(U).ravel()
+def unpacked(b: bytes) -> np.ndarray:
+    return unplanes(b[1:], b[0]).view(np.int64)
 
 
 def extremes(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,8 +192,8 @@ def report(shard: int, name: np.ndarray, more: np.ndarray | None, ids: np.ndarra
     for b in np.flatnonzero(np.diff(cuts)):
         part = slice(cuts[b], cuts[b + 1])
         differ = np.flatnonzero(low[part] != high[part])
-        names = cut(name[part] >> U(16), 6) if more is None else cut(name[part], 8)
-        rows.append((b, shard, names, b"" if more is None else cut(more[part], 8), packed(low[part]), packed(differ), packed(high[part][differ])))
+        names = planes(name[part] >> U(16), 6) if more is None else planes(name[part], 8)
+        rows.append((b, shard, names, b"" if more is None else planes(more[part], MORE), packed(low[part]), packed(differ), packed(high[part][differ])))
     return _table(rows, REPORT, _REPORT_TYPES)
 
 
@@ -197,17 +201,18 @@ def merge(reports: pa.Table) -> pa.Table:
     """The names of one bucket that several documents have, for each shard that reported them."""
     columns = {c: reports.column(c).to_pylist() for c in reports.column_names}
     double = any(columns["more"])
-    names = [uncut(b, 8 if double else 6) for b in columns["names"]]
+    names = [unplanes(b, 8 if double else 6) for b in columns["names"]]
     sizes = [len(n) for n in names]
     lows = [unpacked(b) for b in columns["lows"]]
     highs = [x.copy() for x in lows]
     for h, at, value in zip(highs, columns["high_at"], columns["highs"], strict=True):
         h[unpacked(at)] = unpacked(value)
     name, low, high = map(np.concatenate, (names, lows, highs))
-    more = np.concatenate([uncut(b, 8) for b in columns["more"]]) if double else None
+    more = np.concatenate([unplanes(b, MORE) for b in columns["more"]]) if double else None
     source = np.repeat(np.arange(len(sizes)), sizes)
     order, group, least, most = extremes([name] if more is None else [name, more], low, high)
-    shared = least[group] < most[group]
+    # of windows, only those that some document of the shard has after another: others lose nothing there
+    shared = least[group] < (high[order] if double else most[group])
     order, group = order[shared], group[shared]
     by_source = np.argsort(source[order], kind="stable")
     order, group = order[by_source], group[by_source]
@@ -216,20 +221,24 @@ def merge(reports: pa.Table) -> pa.Table:
     for k, shard in enumerate(columns["shard"]):
         if cuts[k] < cuts[k + 1]:
             own, g = order[cuts[k] : cuts[k + 1]], group[cuts[k] : cuts[k + 1]]
-            rows.append((shard, cut(name[own], 8 if double else 6), cut(more[own], 4) if double else b"", packed(least[g]), b"" if double else packed(most[g])))
+            if double:
+                # back in the shard 80 bits tell its own windows apart
+                rows.append((shard, planes(name[own] >> U(16), 6), planes(more[own], 4), packed(least[g]), b""))
+            else:
+                rows.append((shard, planes(name[own], 6), b"", packed(least[g]), packed(most[g])))
     return _table(rows, ANSWER, _ANSWER_TYPES)
 
 
-def _answers(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _answers(table: pa.Table, double: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """names, then for symbols smallest and largest doc_id, for windows second name and smallest doc_id; by name."""
     rows = {c: table.column(c).to_pylist() for c in ("names", "more", "lows", "highs")}
     if not rows["names"]:
-        return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    name = np.concatenate([uncut(b, size) for b in rows["names"]])
-    more = np.concatenate([uncut(b, 4) for b in rows["more"]]) if size == 8 else name
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    name = np.concatenate([unplanes(b, 6) for b in rows["names"]])
     low = np.concatenate([unpacked(b) for b in rows["lows"]])
-    high = low if size == 8 else np.concatenate([unpacked(b) for b in rows["highs"]])
+    other = np.concatenate([unplanes(b, 4).view(np.int64) if double else unpacked(b) for b in rows["more" if double else "highs"]])
     order = np.argsort(name, kind="stable")
-    return name[order], more[order], low[order], high[order]
+    return (name[order], other[order], low[order]) if double else (name[order], low[order], other[order])
 
 
 def _marked(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -240,7 +249,7 @@ def _marked(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 def open_windows(s: Shard, answers: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows that may repeat: their document numbers and two names."""
     name, low, high, doc = symbols(s, window)
-    shared, _, least, most = _answers(answers, 6)
+    shared, least, most = _answers(answers, False)
     name = name >> U(16)
     at = np.minimum(np.searchsorted(shared, name), max(0, len(shared) - 1))
     known = shared[at] == name if len(shared) else np.zeros(len(name), bool)
@@ -257,12 +266,17 @@ def open_windows(s: Shard, answers: pa.Table, window: int) -> tuple[np.ndarray,
 
 def covered(s: Shard, answers: pa.Table, window: int) -> np.ndarray:
     """Words covered by windows that start in a smaller doc_id."""
-    shared, more, least, _ = _answers(answers, 8)
+    shared, more, least = _answers(answers, True)
     place, a, b = s.windows(window)
     if not len(shared):
         return np.zeros(len(s.doc), bool)
-    at = np.minimum(np.searchsorted(shared, a), len(shared) - 1)
-    hit = (shared[at] == a) & (more[at] == (b & U(0xFFFFFFFF))) & (least[at] < s.ids[s.doc[place]])
+    a, b = a >> U(16), (b & U(0xFFFFFFFF)).view(np.int64)
+    hit = np.zeros(len(a), bool)
+    at = np.searchsorted(shared, a)
+    # names that agree in their first 48 bits stand side by side
+    while len(todo := np.flatnonzero(~hit & (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == a))):
+        hit[todo] = (more[at[todo]] == b[todo]) & (least[at[todo]] < s.ids[s.doc[place[todo]]])
+        at[todo] += 1
     return _marked(place[hit], place[hit] + window, len(s.doc))
 
 
