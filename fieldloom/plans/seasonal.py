@@ -104,7 +104,8 @@ def season_category_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _with(CUBE_SQL, BMU_SQL, f"c AS ({_CATEGORISED})", "k AS (SELECT * FROM (VALUES ('Dry', 1), ('Transitional', 2), ('Wet', 3)) AS v(category, rank))",
-          "s AS (SELECT m.month, k.category, k.rank, count(c.category) * 100.0 / (SELECT count(*) FROM c c2 WHERE c2.month = m.month) AS share FROM (SELECT DISTINCT month FROM c) m CROSS JOIN k LEFT JOIN c ON c.month = m.month AND c.category = k.category GROUP BY ALL)")
+          "n AS (SELECT month, category, count(*) AS n FROM c GROUP BY month, category)", "a AS (SELECT month, count(*) AS total FROM c GROUP BY month)",
+          "s AS (SELECT a.month, k.category, k.rank, coalesce(n.n, 0) * 100.0 / a.total AS share FROM a CROSS JOIN k LEFT JOIN n ON n.month = a.month AND n.category = k.category)")
     + ' SELECT month, category, CAST(rank AS INTEGER) AS rank, round(share, 6) AS share, round(coalesce(sum(share) OVER (PARTITION BY month ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS "offset" FROM s'
 )
 def stack_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
