@@ -26,6 +26,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -105,7 +106,7 @@ class ArchiveWriter:
         packed = record(page_id, url, payload, digest, refers_to)
         name = f"archive/{self.n:05d}.warc.gz"
         entry = {"url": url, "digest": f"sha1:{digest}", "filename": name, "offset": self.size, "length": len(packed), "recordId": record_id(page_id)}
-        self.lines.append((url or "", f"{'' if url is None else url.replace(' ', '%20')} {DATE} {json.dumps(entry)}"))
+        self.lines.append((url or "", f"{quote(url or '', safe='/:?&=#%+,;@~')} {DATE} {json.dumps(entry)}"))
         self.member.append(packed)
         self.size += len(packed)
         if self.size >= MEMBER_BYTES:
