@@ -1,14 +1,18 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-A document's fingerprint has a bit set where over half of its shingle hashes have it. Two fingerprints within
-`RADIUS` = 3 bits are found without comparing all: the 64 bits are cut into `BLOCKS` blocks, and for each block
-every distinct fingerprint, with this block masked, emits all variants within half the radius (itself and every
-one-bit flip). Fingerprints at 3 bits differ inside some block, and with it masked they are at most 2 bits apart, so
-their one-bit balls meet. Variants are shuffled; those that collide are compared exactly.
+A document's fingerprint has a bit set where over half of its shingle hashes have it. Fingerprints within a radius
+are found without comparing all: the 64 bits are cut into `BLOCKS` blocks, and for each choice of blocks that are
+kept every distinct fingerprint, with the others masked, emits all variants within half the radius that is left (itself
+and every one-bit flip). With a radius of 3, three blocks are kept: a pair has at most 2 differing bits in some three of
+four blocks, so there its one-bit balls meet; with 5, two blocks are kept. Variants are shuffled; those that collide are
+compared exactly.
 
-A collision group holds distinct fingerprints only, at most 49 * 2^16 of them by construction. From each group a
-spanning forest of true links leaves the task, never all pairs, and components are found on distinct
-fingerprints: copies of a text, however many, are one node.
+A collision group holds distinct fingerprints only, a bounded number by construction (for radius 3 at most 49 * 2^16).
+From each group a spanning forest of true links leaves the task, never all pairs, and components are found on
+distinct fingerprints: copies of a text, however many, are one node.
+
+`deduplicated` links at up to WIDE = 5 bits if a second, independent fingerprint agrees within CHECK bits: SimHash keeps to
+the angle between shingle sets, and 14 of 64 bits is what a Jaccard similarity of 0.8 exceeds in 1 of 20 pairs.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; texts with fewer words
 than a shingle hash their whole word sequence; ties (exactly half) leave a bit unset; repeated rows stay rows of
@@ -18,7 +22,8 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ from fieldloom.llm.common import columns, materialised, small_batches, utf8
 from fieldloom.llm.components import connected_components
 
 RADIUS, BLOCKS, SEED = 3, 4, 42
+WIDE, CHECK, CHECK_SEED = 5, 14, 43
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -58,108 +64,139 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and the fingerprint as a signed long, materialised: texts are read once."""
+def node_of(fp: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """One number for a pair of fingerprints."""
+    x = (fp ^ (check << np.uint64(23)) ^ (check >> np.uint64(41))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, checked: bool = False) -> DataFrame:
+    """doc_id, the fingerprint as a signed long, a second one (zero unless `checked`) and the number of their pair,
+    materialised: texts are read once."""
     small_batches(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in columns(batches, "doc_id", "text"):
-            found = np.array([fingerprint(shingle_hashes(words_of(t), shingle)) for t in utf8(texts)], np.uint64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            words = [words_of(t) for t in utf8(texts)]
+            fp = np.array([fingerprint(shingle_hashes(w, shingle)) for w in words], np.uint64)
+            check = np.array([fingerprint(shingle_hashes(w, shingle, CHECK_SEED)) for w in words], np.uint64) if checked else np.zeros(len(fp), np.uint64)
+            node = node_of(fp, check) if checked else fp
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.view(np.int64)) for x in (fp, check, node))], ["doc_id", "fp", "check", "node"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialised(docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, fp long"))
+    return materialised(docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, fp long, check long, node long"))
 
 
-def _ball(blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-    """Masks and flips: variant j of a fingerprint is (fp & masks[j]) ^ flips[j]."""
-    masks, flips = [], []
+def _ball(radius: int = RADIUS, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """Masks and flips: variant j of a fingerprint is (fp & masks[j]) ^ flips[j]. Of all choices of `keep` blocks the
+    one with the fewest differing bits has at most radius * keep / blocks, which one-bit balls bridge up to 2."""
+    keep = max(k for k in range(1, blocks) if radius * k // blocks <= 2)
     edges = [64 * b // blocks for b in range(blocks + 1)]
-    for low, high in zip(edges, edges[1:], strict=False):
-        mask = ((1 << 64) - 1) ^ (((1 << high) - 1) ^ ((1 << low) - 1))
-        for flip in [0, *(1 << i for i in range(64) if not low <= i < high)]:
-            masks.append(mask)
+    masks, flips = [], []
+    for kept in combinations(range(blocks), keep):
+        bits = [i for b in kept for i in range(edges[b], edges[b + 1])]
+        for flip in [0, *(1 << i for i in bits)]:
+            masks.append(sum(1 << i for i in bits))
             flips.append(flip)
     return np.array(masks, np.uint64), np.array(flips, np.uint64)
 
 
-def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    masks, flips = _ball()
-    for (fps,) in columns(batches, "fp"):
-        fps = fps.to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(fps), 500):
-            part = fps[at : at + 500]
-            keys = (part[:, None] & masks) ^ flips
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part, len(masks)).view(np.int64))], ["key", "fp"])
+Batches = Iterator[pa.RecordBatch]
+
+
+def variants(radius: int = RADIUS, checked: bool = False) -> Callable[[Batches], Batches]:
+    def emit(batches: Batches) -> Batches:
+        masks, flips = _ball(radius)
+        names = ["fp", "check"][: 1 + checked]
+        for found in columns(batches, *names):
+            found = [x.to_numpy(zero_copy_only=False).view(np.uint64) for x in found]
+            for at in range(0, len(found[0]), 500):
+                keys = (found[0][at : at + 500, None] & masks) ^ flips
+                own = [np.repeat(x[at : at + 500], len(masks)) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(x.ravel().view(np.int64)) for x in (keys, *own)], ["key", *names])
 
+    return emit
 
-def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Spanning forest of the links among distinct fingerprints: every one is compared with those not yet
-    reached only."""
+
+def near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Rows of one or two fingerprints that are linked."""
+    hit = np.bitwise_count(x[..., 0] ^ y[..., 0]) <= radius
+    return hit & (np.bitwise_count(x[..., 1] ^ y[..., 1]) <= CHECK) if x.shape[-1] > 1 else hit
+
+
+def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Spanning forest of the links among distinct rows: every one is compared with those not yet reached only."""
     out, rest = [], fps
     while len(rest) > 1:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             node = frontier.pop()
-            near = np.bitwise_count(rest ^ node) <= radius
-            if near.any():
-                reached, rest = rest[near], rest[~near]
+            hit = near(rest, node, radius)
+            if hit.any():
+                reached, rest = rest[hit], rest[~hit]
                 out += [(node, x) for x in reached]
                 frontier += list(reached)
     return out
 
 
-def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key-sorted variants -> true links. What runs on at a batch's end is carried over."""
-    key0, fp0 = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def links(radius: int = RADIUS, checked: bool = False) -> Callable[[Batches], Batches]:
+    """Key-sorted variants -> true links between nodes. What runs on at a batch's end is carried over."""
 
-    def of(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
-        same = np.flatnonzero(keys[1:] == keys[:-1])
-        if not len(same):
-            return None
+    def of(keys: np.ndarray, fps: np.ndarray) -> Batches:
+        if not (keys[1:] == keys[:-1]).any():
+            return
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
-        pairs = []
         two = starts[sizes == 2]
         a, b = fps[two], fps[two + 1]
-        near = (np.bitwise_count(a ^ b) <= RADIUS) & (a != b)
-        pairs.append(np.stack([a[near], b[near]], axis=1))
+        hit = near(a, b, radius) & (a != b).any(axis=1)
+        pairs = [np.stack([a[hit], b[hit]], axis=1)]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            if found := forest(np.unique(fps[s : s + n])):
+            if found := forest(np.unique(fps[s : s + n], axis=0), radius):
                 pairs.append(np.array(found, np.uint64))
-        found = np.unique(np.sort(np.concatenate(pairs).view(np.int64), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"]) if len(found) else None
-
-    for keys, fps in columns(batches, "key", "fp"):
-        keys = np.concatenate([key0, keys.to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([fp0, fps.to_numpy(zero_copy_only=False).view(np.uint64)])
-        cut = int(np.searchsorted(keys, keys[-1]))
-        key0, fp0 = keys[cut:], fps[cut:]
-        if cut and (out := of(keys[:cut], fps[:cut])) is not None:
-            yield out
-    if len(key0) and (out := of(key0, fp0)) is not None:
-        yield out
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+        both = np.concatenate(pairs)
+        ends = (node_of(both[..., 0], both[..., 1]) if checked else both[..., 0]).view(np.int64)
+        ends = np.unique(np.sort(ends, axis=1), axis=0)
+        if len(ends):
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
+
+    def read(batches: Batches) -> Batches:
+        names = ["fp", "check"][: 1 + checked]
+        key0, fp0 = np.zeros(0, np.int64), np.zeros((0, len(names)), np.uint64)
+        for keys, *fps in columns(batches, "key", *names):
+            keys = np.concatenate([key0, keys.to_numpy(zero_copy_only=False)])
+            fps = np.concatenate([fp0, np.stack([x.to_numpy(zero_copy_only=False).view(np.uint64) for x in fps], axis=1)])
+            cut = int(np.searchsorted(keys, keys[-1]))
+            key0, fp0 = keys[cut:], fps[cut:]
+            if cut:
+                yield from of(keys[:cut], fps[:cut])
+        if len(key0):
+            yield from of(key0, fp0)
+
+    return read
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, checked: bool = False) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach."""
-    prints = fingerprints(docs, shingle)
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    balls = nodes.select("fp").mapInArrow(variants, "key long, fp long")
+    prints = fingerprints(docs, shingle, checked)
+    nodes = prints.groupBy("node", "fp", "check").agg(F.min("doc_id").alias("least"))
+    own = "fp long, check long" if checked else "fp long"
+    balls = nodes.select("fp", "check").mapInArrow(variants(radius, checked), f"key long, {own}")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = balls.repartition(n, "key").sortWithinPartitions("key").mapInArrow(links, "u long, v long")
+    edges = balls.repartition(n, "key").sortWithinPartitions("key").mapInArrow(links(radius, checked), "u long, v long")
     labels = connected_components(edges)
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = nodes.select("node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialised(named)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(ids, "component").select("node", "component_id")
+    return prints.join(named, "node").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = 5, radius: int = WIDE) -> DataFrame:
     """The documents without near-duplicates: of each component the row of the smallest doc_id stays (of
     repeated rows with that doc_id, one). Columns and their values are the input's."""
-    kept = near_duplicates(docs, shingle).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    found = near_duplicates(docs, shingle, radius, checked=True)
+    kept = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
     both = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
     own = W.partitionBy("doc_id").orderBy("doc_id")
     return both.withColumn("__n", F.row_number().over(own)).filter("__n = 1").select(*docs.columns)

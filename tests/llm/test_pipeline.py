@@ -14,7 +14,7 @@ def test_each_stage_does_its_work(spark, sf_dir, docs):
             assert ids(after) == ids(quality.scores(before, labels).filter("predicted = 1"))
         elif name == "near-duplicates":
             groups = {}
-            for r in simhash.near_duplicates(before, 5).collect():
+            for r in simhash.near_duplicates(before, 5, simhash.WIDE, checked=True).collect():
                 groups.setdefault(r["component_id"], []).append(r["doc_id"])
             assert set(ids(after)) <= {min(g) for g in groups.values()}
         elif name == "benchmark decontamination":

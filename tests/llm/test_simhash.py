@@ -63,14 +63,47 @@ def test_links_at_every_distance(spark):
     prints = sorted(set(prints))
     signed = [int(x) for x in np.array(prints, np.uint64).view(np.int64)]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    balls = df.mapInArrow(simhash.variants, "key long, fp long").repartition(4, "key").sortWithinPartitions("key")
-    edges = [(r["u"] % (1 << 64), r["v"] % (1 << 64)) for r in balls.mapInArrow(simhash.links, "u long, v long").collect()]
+    balls = df.mapInArrow(simhash.variants(), "key long, fp long").repartition(4, "key").sortWithinPartitions("key")
+    edges = [(r["u"] % (1 << 64), r["v"] % (1 << 64)) for r in balls.mapInArrow(simhash.links(), "u long, v long").collect()]
     assert all((a ^ b).bit_count() <= 3 for a, b in edges)
     true = [(a, b) for k, a in enumerate(prints) for b in prints[k + 1 :] if (a ^ b).bit_count() <= 3]
     assert slow_components(edges, prints) == slow_components(true, prints)
     assert len(set(edges)) < len(true)
 
 
+def test_wide_links_need_the_second_fingerprint(spark):
+    rng = random.Random(5)
+    prints = []
+    for _ in range(80):
+        fp, check = rng.getrandbits(64), rng.getrandbits(64)
+        prints.append((fp, check))
+        for d, e in ((1, 0), (4, 14), (5, 3), (5, 15), (6, 0), (0, 20)):
+            prints.append((fp ^ sum(1 << b for b in rng.sample(range(64), d)), check ^ sum(1 << b for b in rng.sample(range(64), e))))
+    prints = sorted(set(prints))
+    array = np.array(prints, np.uint64)
+    nodes = [int(x) for x in simhash.node_of(array[:, 0], array[:, 1]).view(np.int64)]
+    df = spark.createDataFrame([tuple(int(v) for v in r) for r in array.view(np.int64)], "fp long, check long")
+    balls = df.mapInArrow(simhash.variants(5, True), "key long, fp long, check long").repartition(4, "key").sortWithinPartitions("key")
+    edges = [tuple(r) for r in balls.mapInArrow(simhash.links(5, True), "u long, v long").collect()]
+    linked = lambda a, b: (a[0] ^ b[0]).bit_count() <= 5 and (a[1] ^ b[1]).bit_count() <= 14
+    true = [(nodes[j], nodes[k]) for k, b in enumerate(prints) for j, a in enumerate(prints[:k]) if linked(a, b)]
+    assert slow_components(edges, nodes) == slow_components(true, nodes)
+
+
+def test_light_edits_are_near_duplicates(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    rows, clean = [], 0
+    for k in range(0, 120, 3):
+        words = rng.choices(vocabulary, k=400)
+        one = [*words[:200], "changed", *words[201:]]
+        rows += [(k, " ".join(words)), (k + 1, " ".join(words).upper()), (k + 2, " ".join(one))]
+        clean += 1
+    kept = [r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {k for k in kept if k % 3 == 0} == set(range(0, 120, 3)) and not [k for k in kept if k % 3 == 1]
+    assert len(kept) - clean <= 4
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (5, 4), (4, 5)]
     found = components.connected_components(spark.createDataFrame(edges, "u long, v long"))
