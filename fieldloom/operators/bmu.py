@@ -35,12 +35,12 @@ def distances_to(fields: DataFrame, prototypes: DataFrame, name: str) -> DataFra
 
 
 def assign(fields: DataFrame, prototypes: DataFrame, name: str) -> DataFrame:
-    """t, node, d of the best-matching unit; fields with a null element get node -1. Each field meets the prototypes as
+    """The fields' own columns with node and d of the best-matching unit in place of vec; fields with a null element get node -1. Each field meets the prototypes as
     one packed array, so no row is multiplied and nothing is shuffled."""
     if prototypes.count() > MAX_NODES:
         raise ValueError(f"a map has at most {MAX_NODES} nodes; assign groups of nodes and compare their winners")
     packed = _prepared(prototypes).agg(F.array_sort(F.collect_list(F.struct("node", "w", "w_s1", "w_s2"))).alias("nodes"))
-    x = fields.select("t", "vec", F.lit(1).alias("one")).join(F.broadcast(packed.withColumn("one", F.lit(1))), "one")
+    x = fields.withColumn("one", F.lit(1)).join(F.broadcast(packed.withColumn("one", F.lit(1))), "one")
     vec = F.col("vec")
 
     def nearest(own):
@@ -52,8 +52,8 @@ def assign(fields: DataFrame, prototypes: DataFrame, name: str) -> DataFrame:
 
     best = let(F.struct(vector_sum(vec).alias("s1"), dot(vec, vec).alias("s2")), nearest)
     whole = ~F.exists("vec", lambda v: v.isNull() | F.isnan(v))
-    x = x.select("t", F.when(whole, best).alias("best"))
-    return x.select("t", F.coalesce("best.node", F.lit(-1)).alias("node"), F.col("best.d").alias("d"))
+    x = x.select(*(c for c in fields.columns if c not in ("vec", "node", "d")), F.when(whole, best).alias("best"))
+    return x.select("*", F.coalesce("best.node", F.lit(-1)).alias("node"), F.col("best.d").alias("d")).drop("best")
 
 
 def own_prototype(fields: DataFrame, prototypes: DataFrame, guarded: bool = False) -> DataFrame:
