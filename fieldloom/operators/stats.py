@@ -151,6 +151,7 @@ def shapiro(values: list[float]) -> tuple[float, float]:
 def phase_tests(seasons: DataFrame, order: tuple[str, ...] = ("El Niño", "Neutral", "La Niña")) -> DataFrame:
     """seasons: season_year, mean_index, oni, phase -> one row of all tests; a test without enough values is null."""
     spark = seasons.sparkSession
+    seasons = seasons.persist()
     d = seasons.filter(F.col("phase").isin(*order))
     names = ("el_nino", "neutral", "la_nina")
     out: dict[str, float | int | None] = {}
