@@ -98,6 +98,34 @@ FROM p LEFT JOIN held ON payload_bytes >= 1000 AND p.payload_digest = held.paylo
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+OP5_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_LETTERS}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_LETTERS}) AS w FROM benchmark),
+phrase AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
+           FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)),
+place AS (SELECT r, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM phrase) WHERE len(w) >= n),
+found AS (SELECT p.r, p.i, p.n, item_id FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM place) p JOIN phrase ON phrase.s = p.s AND phrase.n = p.n),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS j FROM found) GROUP BY r),
+item AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit ON hit.r = d.r LEFT JOIN item ON item.r = d.r
+"""
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 12)) AS j FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY s) AS first_id FROM win) WHERE first_id < doc_id),
+word AS (SELECT r, unnest(w) AS v, generate_subscripts(w, 1) AS j FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(v, ' ' ORDER BY j) AS t FROM word WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.r = word.r AND gone.j = word.j) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.r = d.r
+"""
+
+
 def op3_sql() -> str:
     """The matches without retrieval: every text against every template."""
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
@@ -121,4 +149,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op3_license_scan": op3_sql(), "op10_warc_archives": OP10_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op3_license_scan": op3_sql(), "op5_benchmark_decontamination": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc_archives": OP10_SQL}

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from fieldloom.llm import decontam
+from fieldloom.llm import decontam, queries
 from fieldloom.llm.fmindex import FMIndex
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -78,3 +78,7 @@ def test_clean_keeps_rows_as_they_are(spark, odd_docs, no_docs):
 
 def test_spans_are_merged():
     assert decontam.merged([5, 0, 3, 10], [8, 3, 6, 11]) == ([0, 10], [8, 11])
+
+
+def test_against_sql(same_rows):
+    same_rows(queries.op5_benchmark_decontamination, queries.OP5_SQL)

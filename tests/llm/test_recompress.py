@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fieldloom.llm import recompress
+from fieldloom.llm import recompress, queries
 
 
 def slow(rows, window=13):
@@ -75,3 +75,7 @@ def test_kept_text_and_spans(spark, no_docs):
 def test_packing():
     for x in ([], [0], [255, 256, 1 << 40], [-1, 5]):
         assert recompress.unpacked(recompress.packed(np.array(x, np.int64))).tolist() == x
+
+
+def test_against_sql(same_rows):
+    same_rows(queries.op8_substring_dedup, queries.OP8_SQL)
