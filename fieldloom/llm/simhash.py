@@ -181,13 +181,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, che
     prints = fingerprints(docs, shingle, checked)
     nodes = prints.groupBy("node", "fp", "check").agg(F.min("doc_id").alias("least"))
     own = "fp long, check long" if checked else "fp long"
-    balls = nodes.select("fp", "check").mapInArrow(variants(radius, checked), f"key long, {own}")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # distinct fingerprints are few bytes, so they would meet in few tasks, and each becomes many variants
+    spread = nodes.select("fp", "check").repartition(n, "fp", "check")
+    balls = spread.mapInArrow(variants(radius, checked), f"key long, {own}")
     edges = balls.repartition(n, "key").sortWithinPartitions("key").mapInArrow(links(radius, checked), "u long, v long")
     labels = connected_components(edges)
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialised(named)
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written, so that the join below reads both sides as they are and can split a large component's rows
+    ids = materialised(named.groupBy("component").agg(F.min("least").alias("component_id")))
     named = named.join(ids, "component").select("node", "component_id")
     return prints.join(named, "node").select("doc_id", "fp", "component_id")
 
