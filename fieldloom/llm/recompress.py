@@ -9,7 +9,7 @@ determined it. Symbols whose range fits in a window are reported:
  1. Shards report their distinct symbols with the smallest and largest doc_id that has them; a Spark round merges these
     by name and answers with those that several documents share.
  2. A window that holds a symbol of its document alone repeats nowhere else; a window whose symbols no smaller (larger)
-    doc_id has needs no source (is no source). What remains is named in full, by 112 bits of its words;
+    doc_id has needs no source (is no source). What remains is named in full, by 112 bits of its words' fingerprints;
     a second round merges these names and answers with the smallest doc_id of each shared window.
  3. Windows that start in a smaller doc_id are covered; their words go.
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +53,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self)
-        return code
-
-
 class Shard:
-    """The documents of one shard: words as two hashes each, and where documents start."""
+    """The documents of one shard: words as two hashes each (the second follows from the first), and where documents start."""
 
     def __init__(self, docs: pa.Table):
         order = docs.column("doc_id").combine_chunks()
@@ -68,12 +63,8 @@ class Shard:
         self.words = [t.split() if t else [] for t in utf8(docs.column("text"))]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        codes = _Codes()
-        look = codes.__getitem__
-        found = [np.fromiter(map(look, w), np.int64, len(w)) for w in self.words]
-        code = np.concatenate(found) if found else np.zeros(0, np.int64)
-        self.h1 = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in codes), U, len(codes))[code]
-        self.h2 = np.fromiter((xxhash.xxh64_intdigest(w, 2) for w in codes), U, len(codes))[code]
+        self.h1 = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(self.words)), U, int(self.starts[-1]))
+        self.h2 = mix(self.h1 ^ M3)
         self.ids = ids
         self.doc = np.repeat(np.arange(len(ids)), self.sizes)
 
