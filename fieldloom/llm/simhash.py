@@ -11,8 +11,8 @@ A collision group holds distinct fingerprints only, a bounded number by construc
 From each group a spanning forest of true links leaves the task, never all pairs, and components are found on
 distinct fingerprints: copies of a text, however many, are one node.
 
-`deduplicated` links at up to WIDE = 5 bits if a second, independent fingerprint agrees within CHECK bits: SimHash keeps to
-the angle between shingle sets, and 14 of 64 bits is what a Jaccard similarity of 0.8 exceeds in 1 of 20 pairs.
+`deduplicated` links by exact Jaccard similarity instead (fieldloom.llm.jaccard): no ball of feasible size covers 0.8. Balls of
+WIDE bits with a second fingerprint that agrees within CHECK bits (`variants` and `links` of checked rows) are no longer used there.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; texts with fewer words
 than a shingle hash their whole word sequence; ties (exactly half) leave a bit unset; repeated rows stay rows of
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.llm import jaccard
 from fieldloom.llm.common import columns, materialised, small_batches, utf8
 from fieldloom.llm.components import connected_components
 
@@ -177,22 +178,34 @@ def links(radius: int = RADIUS, checked: bool = False) -> Callable[[Batches], Ba
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, checked: bool = False) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links reach."""
-    prints = fingerprints(docs, shingle, checked)
-    nodes = prints.groupBy("node", "fp", "check").agg(F.min("doc_id").alias("least"))
-    own = "fp long, check long" if checked else "fp long"
+    """doc_id, fp and component_id, the smallest doc_id that links reach. `checked`: links are those of
+    fieldloom.llm.jaccard, whatever the radius, and instead of fp there are the shingle set's node and the row id."""
+    if checked:
+        prints = jaccard.prints(docs, shingle)
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
+        nodes = materialised(prints.groupBy("node").agg(least, F.any_value("bands").alias("bands")))
+        edges = jaccard.links(docs, nodes.select("node", "least.rid", "bands"), shingle)
+        found = _named(prints, nodes, edges)
+        return found.select("doc_id", "node", "rid", F.col("component_id.doc_id").alias("component_id"), F.col("component_id.rid").alias("kept"))
+    prints = fingerprints(docs, shingle)
+    nodes = prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # distinct fingerprints are few bytes, so they would meet in few tasks, and each becomes many variants
-    spread = nodes.select("fp", "check").repartition(n, "fp", "check")
-    balls = spread.mapInArrow(variants(radius, checked), f"key long, {own}")
-    edges = balls.repartition(n, "key").sortWithinPartitions("key").mapInArrow(links(radius, checked), "u long, v long")
+    spread = nodes.select("fp").repartition(n, "fp")
+    balls = spread.mapInArrow(variants(radius), "key long, fp long")
+    edges = balls.repartition(n, "key").sortWithinPartitions("key").mapInArrow(links(radius), "u long, v long")
+    return _named(prints, nodes, edges).select("doc_id", "fp", "component_id")
+
+
+def _named(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """prints with component_id, the least of their component's."""
     labels = connected_components(edges)
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialised(named)
     # written, so that the join below reads both sides as they are and can split a large component's rows
     ids = materialised(named.groupBy("component").agg(F.min("least").alias("component_id")))
     named = named.join(ids, "component").select("node", "component_id")
-    return prints.join(named, "node").select("doc_id", "fp", "component_id")
+    return prints.join(named, "node")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, radius: int = WIDE) -> DataFrame:
