@@ -65,3 +65,15 @@ def test_batches_do_not_matter():
     met = [(u, v) for _, u, v in stars if near(u, v)]
     true = [(a, b) for b in range(60) for a in range(b) if near(a, b) and (bands[a] == bands[b]).any()]
     assert slow_components([*met, *links], range(60)) == slow_components(true, range(60))
+
+
+def test_texts_below_the_threshold_are_no_duplicates(spark):
+    rng = random.Random(3)
+    refrain = " ".join(["the same six words come again"] * 150)
+    texts = [f"{refrain} {' '.join(words(rng, 60))}" for _ in range(20)]  # few shingles shared, but most words
+    passage = " ".join(words(rng, 200))
+    texts += [f"{passage} {' '.join(words(rng, 36))}" for _ in range(60)]  # J = 0.73
+    assert max(alike(a, b) for k, a in enumerate(texts) for b in texts[:k]) < 0.8
+    assert components_of(spark, texts) == {k: k for k in range(len(texts))}
+    kept = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert kept.count() == len(texts)
