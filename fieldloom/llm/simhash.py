@@ -209,10 +209,10 @@ def _named(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, radius: int = WIDE) -> DataFrame:
-    """The documents without near-duplicates: of each component the row of the smallest doc_id stays (of
-    repeated rows with that doc_id, one). Columns and their values are the input's."""
-    found = near_duplicates(docs, shingle, radius, checked=True)
-    kept = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    both = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    own = W.partitionBy("doc_id").orderBy("doc_id")
+    """The documents without near-duplicates: of each component one row stays, that of the smallest doc_id (null last). Rows
+    are told apart by doc_id and text, not by doc_id alone; of rows that agree in both, one stays. Columns and
+    their values are the input's."""
+    kept = near_duplicates(docs, shingle, radius, checked=True).select(F.col("kept").alias("__rid")).distinct()
+    both = docs.withColumn("__rid", jaccard.row_id(docs)).join(kept, "__rid", "left_semi")
+    own = W.partitionBy("__rid").orderBy(F.xxhash64(*(docs[c] for c in docs.columns)))
     return both.withColumn("__n", F.row_number().over(own)).filter("__n = 1").select(*docs.columns)

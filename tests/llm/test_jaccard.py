@@ -77,3 +77,11 @@ def test_texts_below_the_threshold_are_no_duplicates(spark):
     assert components_of(spark, texts) == {k: k for k in range(len(texts))}
     kept = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert kept.count() == len(texts)
+
+
+def test_rows_without_or_with_repeated_ids_are_rows_of_their_own(spark):
+    rng = random.Random(4)
+    texts = [" ".join(words(rng, 50)) for _ in range(12)]
+    rows = [(None, t, "a") for t in texts[:6]] + [(7, t, "a") for t in texts[6:]] + [(None, texts[0], "b"), (7, texts[6], "b"), (3, texts[7], "c"), (7, None, "d"), (7, "", "e")]
+    kept = [tuple(r) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()]
+    assert sorted((t or "", i or 0) for i, t, _ in kept) == sorted([("", 7), *((t, 0) for t in texts[:6]), (texts[6], 7), (texts[7], 3), *((t, 7) for t in texts[8:])])
