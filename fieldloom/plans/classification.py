@@ -195,7 +195,7 @@ def multiseed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def som_epoch_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
 
-    found, _ = som.train_final(_scaled(catalog.fields(spark, sf_dir)), [som.FinalConfig(window=5, epochs=2)], np.ones((8, 8), bool))
+    found, _ = som.train_final(_scaled(catalog.fields(spark, sf_dir)), [som.FinalConfig()], np.ones((8, 8), bool))
     return found
 
 
