@@ -65,7 +65,7 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(concat('42:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS key
+         md5(concat('42:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))) AS key, row_number() OVER () AS r
   FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 placed AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS place FROM totals),
@@ -78,13 +78,20 @@ levels AS (
 chosen AS (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, place LIMIT 1),
 aimed AS (SELECT source, source_size, CASE WHEN c.level < ratio THEN c.level * w ELSE CAST(bound AS DOUBLE) END AS target FROM levels, chosen c),
 sent AS (
-  SELECT doc_id, source, size,
-         CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
-  FROM sized)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - before))
-          + greatest(0, least(size, CAST(floor(target) AS BIGINT) - before - source_size)) AS BIGINT) AS taken
-FROM sent JOIN aimed ON sent.source IS NOT DISTINCT FROM aimed.source
+  SELECT r, doc_id, source, size, key,
+         CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM sized),
+packet AS (
+  SELECT r, sent.source, key, pass, p, before + pass * source_size + 128 * p AS start, CAST(least(128, size - 128 * p) AS BIGINT) AS words, target
+  FROM (SELECT *, unnest(generate_series(0, (size - 1) // 128)) AS p FROM sent WHERE size > 0) sent
+  JOIN aimed ON sent.source IS NOT DISTINCT FROM aimed.source, (VALUES (0), (1)) AS v(pass)),
+queue AS (
+  SELECT r, words, sum(words) OVER (ORDER BY CAST(start + words AS DOUBLE) / target, source ASC NULLS LAST, key, r, pass, p ROWS UNBOUNDED PRECEDING) AS running
+  FROM packet),
+mixed AS (
+  SELECT r, sum(greatest(0, least(words, (SELECT 3 * sum(size) // 2 FROM sized) - (running - words)))) AS taken FROM queue GROUP BY r)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM sent JOIN aimed ON sent.source IS NOT DISTINCT FROM aimed.source LEFT JOIN mixed ON mixed.r = sent.r
 """
 
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,17 +34,53 @@ def test_mix_meets_its_targets(docs):
         assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] == sum(e["words"] for e in r["entries"])
         by.setdefault(r["source"], []).append(r)
     for own in by.values():
-        assert sum(r["taken"] for r in own) == int(own[0]["target"])
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= mixing.PACKET
+    assert sum(r["taken"] for r in rows) == 3 * sum(r["size"] for r in rows) // 2
     again = sorted((r["doc_id"], r["taken"]) for r in mixing.schedule(docs.repartition(7)).collect())
     assert again == sorted((r["doc_id"], r["taken"]) for r in rows)
 
 
+def slow(rows, target, budget, packet=mixing.PACKET):
+    """All packets in one sorted list."""
+    queue, place = [], {}
+    for k, (source, size, key) in sorted(enumerate(rows), key=lambda r: (r[1][2], r[0])):
+        before = place.get(source, 0)
+        place[source] = before + size
+        queue += [(source, key, k, p, at, min(packet, size - at), before) for p in (0, 1) for at in range(0, size, packet)]
+    timed = sorted(((before + p * place[s] + at + n) / target[s], s is None, s or "", key, k, p, at, n) for s, key, k, p, at, n, before in queue)
+    taken = [0] * len(rows)
+    for *_, k, _, _, n in timed:
+        taken[k] += (now := min(n, budget))
+        budget -= now
+    return taken
+
+
+def test_truncation_against_one_sorted_list(spark, odd_docs, monkeypatch):
+    rows = odd_docs.collect() * 3
+    df = spark.createDataFrame(rows, odd_docs.schema)
+    for ranges in (4096, 2):
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        found = sorted((repr(r["doc_id"]), repr(r["source"]), r["size"], r["taken"]) for r in mixing.schedule(df).collect())
+        sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows]
+        keys = [hashlib.md5(f"42:{'' if r['doc_id'] is None else r['doc_id']}:{hashlib.md5((r['text'] or '').encode()).hexdigest()}".encode()).hexdigest() for r in rows]
+        target = {r["source"]: r["target"] for r in mixing.schedule(df).collect()}
+        taken = slow([(r["source"], n, k) for r, n, k in zip(rows, sizes, keys, strict=True)], target, 3 * sum(sizes) // 2)
+        assert found == sorted((repr(r["doc_id"]), repr(r["source"]), n, t) for r, n, t in zip(rows, sizes, taken, strict=True))
+
+
+def test_very_frequent_rows_are_written_in_lots(spark, monkeypatch):
+    df = spark.createDataFrame([(None, "a b c", "s")] * 50 + [(1, "d e", "t")], "doc_id long, text string, source string")
+    whole = sorted(map(repr, mixing.schedule(df).collect()))
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    assert sorted(map(repr, mixing.schedule(df).collect())) == whole and len(whole) == 51
+
+
 def test_entries_come_in_virtual_time_and_end_at_the_budget(docs):
     mixed = mixing.mix(docs).collect()
     times = [r["virtual_finish"] for r in mixed]
     assert times == sorted(times)
-    total = sum(int(r["target"]) for r in mixing.schedule(docs).select("source", "target").distinct().collect())
-    assert sum(r["words"] for r in mixed) == total
+    total = mixing.schedule(docs).agg({"size": "sum"}).first()[0]
+    assert sum(r["words"] for r in mixed) == 3 * total // 2
 
 
 def test_odd_rows_and_empty_table(odd_docs, no_docs):
