@@ -1,25 +1,25 @@
 """Benchmark decontamination: an FM-index for each training shard, searched for all test phrases.
 
-A shard is a bounded run of documents inside a task. Words that no phrase has are one foreign symbol; runs of
-phrase words that are shorter than the shortest phrase cannot hold one and shrink to that symbol too, so the
-index covers just what could match. Phrases are searched backwards through wavelet ranks, occurrences are
-located through sampled suffix positions, and their word spans are merged.
+A shard is a bounded run of documents inside a task; every word of it is in the index, under a number of its own. A
+document of more than a shard's words is cut into pieces that overlap by a phrase. Phrases are searched backwards through
+wavelet ranks, occurrences are located through sampled suffix positions, and their word spans are merged.
 
-Phrases come in blocks of at most BLOCK_WORDS words. A block is broadcast; more benchmarks mean more
-blocks, each searched in a pass of its own over the documents, whose findings are merged row by row. No pass
-shuffles anything.
+Phrases come in blocks of at most BLOCK_WORDS words and BLOCK_BYTES bytes (but for the item that runs across). A block is
+broadcast; more benchmarks mean more blocks, each searched in a pass of its own over the documents, whose findings are
+merged row by row. No pass shuffles anything.
 
 Defined results: null or empty texts have no words, no hits and are not contaminated; a benchmark item without
 words has no phrase; an item shorter than a window is one phrase, whole; items are told apart by
-item_id (repeated rows count once, a null item_id is written "null"); an empty benchmark hits
+item_id (repeated rows count once, a null item_id is the item "null"); an empty benchmark hits
 nothing; repeated documents stay rows of their own; other columns are ignored by `find` unless named in `keep`, and kept by `clean`.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import small_batches, utf8
 from fieldloom.llm.fmindex import FMIndex
 
-WINDOW, SHARD_WORDS, BLOCK_WORDS = 13, 1_000_000, 2_000_000
+WINDOW, SHARD_WORDS, BLOCK_WORDS, BLOCK_BYTES = 13, 1_000_000, 2_000_000, 64 << 20
 #: Bytes that no word has (00-2F, 3A-60, 7B-7F after lower-casing A-Z) become blanks.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 BLANK = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
@@ -41,86 +41,85 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Phrases:
-    """Distinct phrases by length, as symbols from 2 on (0 ends a text, 1 is foreign), and their items."""
+    """Distinct phrases, as numbers of the block's distinct words, and their items."""
 
-    symbols: dict[bytes, int] = field(default_factory=dict)
+    words: dict[bytes, int] = field(default_factory=dict)
     seen: dict[tuple, int] = field(default_factory=dict)
-    items: list[list[str]] = field(default_factory=list)
+    items: list[dict[str, None]] = field(default_factory=list)
     n_words: int = 0
+    n_bytes: int = 0
 
     def add(self, item: str, text: bytes | None, window: int) -> None:
-        ids = [self.symbols.setdefault(w, len(self.symbols) + 2) for w in words_of(text)]
+        ids = [self.words.setdefault(w, len(self.words)) for w in words_of(text)]
         self.n_words += len(ids)
+        self.n_bytes += len(text or b"")
         for phrase in {tuple(ids[i : i + window]) for i in range(max(1, len(ids) - window + 1))} if ids else ():
             k = self.seen.setdefault(phrase, len(self.seen))
             if k == len(self.items):
-                self.items.append([])
-            if item not in self.items[k]:
-                self.items[k].append(item)
+                self.items.append({})
+            self.items[k][item] = None
 
     def by_length(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(length, phrase numbers, phrases as a matrix)."""
         found: dict[int, list] = {}
         for phrase, k in self.seen.items():
             found.setdefault(len(phrase), []).append((k, phrase))
-        return [(n, np.array([k for k, _ in x]), np.array([p for _, p in x], np.int64)) for n, x in sorted(found.items())]
+        return [(n, np.array([k for k, _ in x]), np.array([p for _, p in x], np.int32)) for n, x in sorted(found.items())]
 
 
 def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Phrases]:
     block = Phrases()
     for row in benchmark.select("item_id", F.encode("text", "utf-8").alias("text")).toLocalIterator():
         block.add("null" if row["item_id"] is None else str(row["item_id"]), bytes(row["text"]) if row["text"] is not None else None, window)
-        if block.n_words >= block_words:
+        if block.n_words >= block_words or block.n_bytes >= BLOCK_BYTES:
             yield block
             block = Phrases()
     if block.seen:
         yield block
 
 
-def search_shard(word_lists: list[list[bytes]], symbols: dict[bytes, int], phrases: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def index_of(pieces: list[list[bytes]]) -> tuple[FMIndex, dict[bytes, int]]:
+    """The index of all words of a shard, a symbol 1 after each piece and 0 at the end; and the words' symbols."""
+    symbols: dict[bytes, int] = defaultdict(count(2).__next__)
+    size = sum(map(len, pieces)) + len(pieces) + 1
+    numbers = chain.from_iterable(chain(map(symbols.__getitem__, words), (1,)) for words in pieces)
+    text = np.fromiter(chain(numbers, (0,)), np.int64, size)
+    return FMIndex(text), symbols
+
+
+def search_shard(word_lists: list[list[bytes]], words: dict[bytes, int], phrases: list[tuple[int, np.ndarray, np.ndarray]], shard_words: int = SHARD_WORDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each document of a shard: phrase starts, phrase ends (word numbers) and phrase numbers."""
     none = (np.zeros(0, np.int64),) * 3
-    sizes = np.array([len(w) for w in word_lists])
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    if not phrases or not starts[-1]:
-        return [none] * len(word_lists)
-    get = symbols.get
-    ids = np.concatenate([np.fromiter(map(get, w, repeat(1)), np.int64, len(w)) for w in word_lists])
-    known = ids > 1
-    edge = np.concatenate([[True], known[1:] != known[:-1]])
-    edge[starts[:-1][sizes > 0]] = True
-    run_at = np.flatnonzero(edge)
-    run_n = np.diff(np.append(run_at, len(ids)))
-    kept = known[run_at] & (run_n >= phrases[0][0])
-    run_at, run_n = run_at[kept], run_n[kept]
-    if not len(run_at):
+    if not phrases or not any(word_lists):
         return [none] * len(word_lists)
-    # each kept run, then a foreign symbol; last the end symbol
-    first = np.concatenate([[0], np.cumsum(run_n + 1)])
-    source = np.arange(first[-1]) - np.repeat(first[:-1] - run_at, run_n + 1)
-    text = np.append(ids[np.minimum(source, len(ids) - 1)], 0)
-    text[first[1:] - 1] = 1
-    used, dense = np.unique(text, return_inverse=True)
-    index = FMIndex(dense)
-    place = np.full(max(symbols.values()) + 1, index.symbols, np.int64)
-    place[used] = np.arange(len(used))
+    longest = phrases[-1][0]
+    step = max(1, shard_words - longest + 1)
+    cut = [(k, at) for k, w in enumerate(word_lists) for at in range(0, max(1, len(w) - longest + 1), step)]
+    owner, offset = np.array(cut, np.int64).T
+    pieces = [word_lists[k][at : at + step + longest - 1] for k, at in cut]
+    index, symbols = index_of(pieces)
+    starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces])])
+    unknown = index.symbols
+    place = np.fromiter((symbols[w] if w in symbols else unknown for w in words), np.int64, len(words))
     at, ends, numbers = [], [], []
     for n, ks, matrix in phrases:
         alive, low, high = index.search(place[matrix])
         if len(alive):
-            count = high - low
-            rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-            found = source[index.locate(rows)]
-            at.append(found)
-            ends.append(found + n)
-            numbers.append(np.repeat(ks[alive], count))
+            found = high - low
+            rows = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found) + np.repeat(low, found)
+            at.append(index.locate(rows))
+            ends.append(at[-1] + n)
+            numbers.append(np.repeat(ks[alive], found))
     if not at:
         return [none] * len(word_lists)
     at, ends, numbers = map(np.concatenate, (at, ends, numbers))
-    order = np.argsort(at, kind="stable")
-    at, ends, numbers = at[order], ends[order], numbers[order]
-    cuts = np.searchsorted(at, starts)
-    return [(at[a:b] - s, ends[a:b] - s, numbers[a:b]) for a, b, s in zip(cuts, cuts[1:], starts, strict=False)]
+    piece = np.searchsorted(starts, at, side="right") - 1
+    shift = offset[piece] - starts[piece]
+    doc, at, ends = owner[piece], at + shift, ends + shift
+    order = np.lexsort((at, doc))
+    doc, at, ends, numbers = doc[order], at[order], ends[order], numbers[order]
+    cuts = np.searchsorted(doc, np.arange(len(word_lists) + 1))
+    return [(at[a:b], ends[a:b], numbers[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def merged(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
@@ -149,17 +148,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     block, first = next(blocks, Phrases()), True
     while block is not None:
         following = next(blocks, None)
-        sent = spark.sparkContext.broadcast((block.symbols, block.by_length(), block.items))
+        sent = spark.sparkContext.broadcast((block.words, block.by_length(), [list(i) for i in block.items]))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent, last=following is None, first=first) -> Iterator[pa.RecordBatch]:
-            symbols, phrases, items = sent.value
+            known, phrases, items = sent.value
             held: list[pa.RecordBatch] = []
             words: list[list[bytes]] = []
             total = 0
             names = ["own", *([] if last else ["text"]), "n_words", "span_starts", "span_ends", "item_ids"]
 
             def flush() -> Iterator[pa.RecordBatch]:
-                hits, at = search_shard(words, symbols, phrases), 0
+                hits, at = search_shard(words, known, phrases, shard_words), 0
                 for batch in held:
                     before = [batch.column(batch.schema.get_field_index(c)).to_pylist() if not first else [[]] * batch.num_rows for c in ("span_starts", "span_ends", "item_ids")]
                     out = []

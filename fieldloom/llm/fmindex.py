@@ -9,22 +9,30 @@ SAMPLE = 8
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Prefix doubling; the text ends with a unique smallest symbol."""
+    """Prefix doubling; the text ends with a unique smallest symbol. The first sort packs as many symbols as fit in a key; later
+    ones only sort suffixes that still share their group with others."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank = np.empty(n, np.int64)
-    step = 1
-    keys = text.astype(np.int64)
+    bits = max(1, int(text.max()).bit_length())
+    step = min(62 // bits, n)
+    wide = np.concatenate([text.astype(np.int64), np.zeros(step, np.int64)])
+    keys = np.zeros(n, np.int64)
+    for k in range(step):
+        keys = keys << bits | wide[k : n + k]
+    order = np.argsort(keys)
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    at, suffixes, keys = np.arange(n), order, keys[order]
     while True:
-        sorted_keys = keys[order]
-        new = np.concatenate([[0], np.cumsum(sorted_keys[1:] != sorted_keys[:-1])])
-        rank[order] = new
-        if new[-1] == n - 1 or step > n:
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        rank[suffixes] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        tied = ~(new & np.append(new[1:], True))
+        at, suffixes = at[tied], suffixes[tied]
+        if not len(at):
             return order
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:] + 1
-        keys = rank * (n + 1) + ahead
-        order = np.argsort(keys, kind="stable")
+        keys = rank[suffixes] * (n + 1) + rank[np.minimum(suffixes + step, n)] + 1
+        again = np.argsort(keys)
+        keys, suffixes = keys[again], suffixes[again]
+        order[at] = suffixes
         step *= 2
 
 

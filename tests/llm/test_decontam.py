@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from fieldloom.llm import decontam, queries
-from fieldloom.llm.fmindex import FMIndex
+from fieldloom.llm.fmindex import FMIndex, suffix_array
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -50,6 +50,31 @@ def test_index_finds_all_occurrences():
                 assert found.get(k, []) == where
 
 
+def test_every_word_is_indexed(docs):
+    lists = [decontam.words_of((r["text"] or "").encode()) for r in docs.collect()]
+    index, symbols = decontam.index_of(lists)
+    assert index.n == sum(map(len, lists)) + len(lists) + 1
+    assert len(symbols) == len({w for words in lists for w in words})
+    # backwards through the index, from its end, all words come out again
+    names = {n: w for w, n in symbols.items()} | {1: None}
+    row, out = np.zeros(1, np.int64), []
+    for _ in range(2000):
+        symbol = index._symbol_at(row)
+        out.append(names[int(symbol[0])])
+        row = index.first[symbol] + index.rank(symbol, row)
+    flat = [w for words in lists for w in (*words, None)]
+    assert out[::-1] == flat[-2000:]
+
+
+def test_suffix_array_of_repeated_texts():
+    rng = np.random.default_rng(1)
+    for piece in (np.array([2]), np.array([2, 3]), rng.integers(2, 9, 50), rng.integers(2, 1 << 20, 40)):
+        text = np.append(np.tile(np.append(piece, 1), 30), 0)
+        text = np.unique(text, return_inverse=True)[1]
+        want = sorted(range(len(text)), key=lambda k: text[k:].tolist())
+        assert suffix_array(text).tolist() == want
+
+
 def test_against_brute_force(spark, docs, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     want = slow([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in benchmark.collect()])
@@ -57,7 +82,7 @@ def test_against_brute_force(spark, docs, sf_dir):
     assert any(r[5] for r in want)
 
 
-@pytest.mark.parametrize("shard_words, block_words", [(10, 5), (1_000_000, 2_000_000), (40, 30)])
+@pytest.mark.parametrize("shard_words, block_words", [(10, 5), (1_000_000, 2_000_000), (40, 30), (14, 30)])
 def test_short_items_overlaps_and_blocks(spark, odd_docs, shard_words, block_words):
     text = " ".join(f"w{k}" for k in range(40))
     texts = [(20, text), (21, text + " " + text), (22, "x " + text[:30]), (23, "W1, w2; W3!"), (24, "w1 w2 w2 w1 w2 w2 w1")]
