@@ -1,14 +1,16 @@
 """Personal data by weak supervision.
 
 Base patterns find what they find in every text, per kind, leftmost and without overlaps; a match that fails its
-check (octets, digits, Luhn) is dropped, and base spans always stay. Wider candidates, among them those that a failed
-match has swallowed, are judged by labelers that may abstain: shape (regex), checksum, gazetteers, context words and
-boundaries.
-Expectation-maximisation over the corpus' vote patterns estimates each labeler's reliability per kind
-and the patterns' posteriors; these train the final span classifier, a logistic regression over votes and span
-length. A candidate that it accepts becomes a span unless it overlaps one of its kind.
+check (octets, digits, Luhn) is dropped, and base spans always stay. Wider candidates (written-out addresses, numbers with or
+without a country code, long runs of digits, dotted quadruples, what a failed match has swallowed) are judged, whether or not
+they pass a check, by labelers that may abstain: shape (regex), checksum, gazetteers, context words, boundaries and separators.
+Expectation-maximisation over the corpus' vote patterns estimates each labeler's reliability per kind, starting from stated
+prior counts, and the patterns' posteriors; these train the final span classifier, a logistic regression over votes
+and features of the span's own (length, marks inside, neighbours). A candidate that it accepts becomes a span unless it
+overlaps a base span of its kind.
 
-Only counts of vote patterns leave the tasks: at most KINDS * 3^LABELERS * LENGTHS rows reach the driver.
+All patterns take time linear in the text. Only counts of vote patterns leave the tasks: at most
+KINDS * 3^LABELERS * the number of feature values, whatever the corpus.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; repeated rows stay
 rows of their own; without any candidate in the corpus only base spans are given; an empty table gives no
@@ -19,9 +21,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,23 +33,25 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import columns, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-# The base patterns.
+# The base patterns, written so that no run of characters is tried twice. An address is found from its @.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 #: Wider than the base, or cut tighter inside what a greedy base match swallows.
+AT = re.compile(r"@|\(at\)|\[at\]")
+WIDE_DOMAIN = re.compile(r" ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++")
 WIDER = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
-    "card": re.compile(r"(?<![0-9])(?:[0-9]{16}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{15}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9])(?:\+|00)[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"),
+    "card": re.compile(r"(?<![0-9])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9.])(?:(?:\+|00)[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"),
 }
 STRICT = {
     "email": re.compile(r"[A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
-    "ip": re.compile(r"[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}"),
+    "ip": re.compile(r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}"),
     "card": re.compile(r"(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{13})"),
     "phone": re.compile(r"\+[1-9][0-9]{0,2} ?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}"),
 }
@@ -60,9 +66,13 @@ NEAR = {
     "phone": frozenset("phone tel telephone call mobile cell fax telefon teléfono téléphone".split()),
 }
 AGAINST = frozenset("token version release isbn order invoice sku hash build serial".split())
-LABELERS, LENGTHS = 5, 6
+LABELERS, LENGTHS = 6, 6
 ROUNDS, ACCEPT = 50, 0.5
 CONTEXT = 48
+#: Prior counts of a labeler's votes (-1, 0, 1) among non-spans and spans: better than chance, and checksums much better.
+PRIOR = ((4.0, 2.0, 2.0), (2.0, 2.0, 4.0))
+CHECK_PRIOR = ((90.0, 5.0, 15.0), (1.0, 4.0, 95.0))
+CLASS_PRIOR, CHECK = 5.0, 1
 
 
 def luhn(digits: str) -> bool:
@@ -92,8 +102,34 @@ def valid(kind: str, s: str) -> bool:
 ANY = re.compile(r"[0-9@]|[(\[]at[)\]]")
 
 
+def addresses(text: str, marks: re.Pattern, domain: re.Pattern, spaced: bool) -> list[tuple[int, int]]:
+    """Leftmost addresses without overlaps. From each mark to the left as far as a local part goes, then the domain to the
+    right; neither passes another mark, so each character is seen twice at most."""
+    out, done = [], 0
+    for m in marks.finditer(text):
+        if m.start() < done:
+            continue
+        end = m.start() - (spaced and text[m.start() - 1 : m.start()] == " ")
+        start = end
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        if start < end and (found := domain.match(text, m.end())):
+            out.append((start, found.end()))
+            done = found.end()
+    return out
+
+
+_SIGN = re.compile("@")
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    return [(kind, m.start(), m.end()) for kind in KINDS if kind != "email" or "@" in text for m in BASE[kind].finditer(text) if valid(kind, m[0])]
+    found = [("email", a, b) for a, b in addresses(text, _SIGN, DOMAIN, False)]
+    return found + [(kind, m.start(), m.end()) for kind in KINDS[1:] for m in BASE[kind].finditer(text) if valid(kind, m[0])]
+
+
+def wider_spans(text: str) -> list[tuple[str, int, int]]:
+    found = [("email", a, b) for a, b in addresses(text, AT, WIDE_DOMAIN, True)]
+    return found + [(kind, m.start(), m.end()) for kind in KINDS[1:] for m in WIDER[kind].finditer(text)]
 
 
 def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
@@ -106,36 +142,48 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
         gazetteer = 1 if re.split(r"[.\])\s]+", s)[-1].lower() in DOMAINS else -1
     elif kind == "ip":
         check = 1 if valid("ip", s) else -1
-        gazetteer = -1 if s.split(".")[0] in ("0", "127", "255") else 1
+        first = s.partition(".")[0].lstrip("0")
+        gazetteer = 1 if first and len(first) < 4 and int(first) < 224 and first != "127" else -1
     elif kind == "card":
         check = 1 if luhn(d) else -1
         gazetteer = 1 if d.startswith(CARD_STARTS) else 0
     else:
         check = 1 if 8 <= len(d) <= 15 else -1
         code = re.match(r"(?:\+|00)([0-9]{1,3})", s)
-        gazetteer = 1 if code and any(code[1][:n] in COUNTRY_CODES for n in (1, 2)) else 0
+        gazetteer = -1 if not code else 1 if any(code[1][:n] in COUNTRY_CODES for n in (1, 2)) else 0
     around = set(re.findall(r"[\w-]+", text[max(0, start - CONTEXT) : start].lower())) | set(re.findall(r"[\w-]+", text[end : end + CONTEXT // 2].lower()))
     context = -1 if around & AGAINST and not around & NEAR[kind] else 1 if around & NEAR[kind] else 0
     edge = -1 if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum() else 1
-    return shape, check, gazetteer, context, edge
+    if kind == "email":
+        parted = -1 if " " in s else 1
+    elif kind == "ip":
+        parted = -1 if any(len(p) > 1 and p[0] == "0" for p in s.split(".")) else 1
+    else:
+        parted = 1 if len(d) < len(s) else -1 if kind == "phone" else 0
+    return shape, check, gazetteer, context, edge, parted
 
 
 def length_class(n: int) -> int:
     return min(LENGTHS - 1, max(0, n.bit_length() - 2))
 
 
-def possible(kind: str, s: str) -> bool:
-    """What no vote can make up for: a wider candidate has to pass its kind's check too."""
-    return luhn(digits_of(s)) if kind == "card" else valid(kind, s)
+def features_of(text: str, start: int, end: int) -> tuple[int, ...]:
+    """What the classifier sees of a span besides votes: length class, which marks are inside, what stands before and after."""
+    s = text[start:end]
+    before, after = text[start - 1 : start], text[end : end + 1]
+    return length_class(end - start), int(s[0] == "+"), int(" " in s), int("." in s), int("-" in s), int("(" in s), int(not before or before.isspace()), int(not after or not after.isalnum())
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Base spans and wider ones, without repeats."""
-    return list(dict.fromkeys([*base_spans(text), *((kind, m.start(), m.end()) for kind in KINDS for m in WIDER[kind].finditer(text) if possible(kind, m[0]))]))
+    return list(dict.fromkeys([*base_spans(text), *wider_spans(text)]))
+
+
+Pattern = tuple[str, tuple[int, ...], tuple[int, ...], int]
 
 
-def patterns(docs: DataFrame) -> list[tuple[str, tuple[int, ...], int, int]]:
-    """(kind, votes, length class, count) over the corpus: one bounded aggregate."""
+def patterns(docs: DataFrame) -> list[Pattern]:
+    """(kind, votes, features, count) over the corpus: one bounded aggregate."""
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,23 +191,27 @@ def patterns(docs: DataFrame) -> list[tuple[str, tuple[int, ...], int, int]]:
         for (texts,) in columns(batches, "text"):
             for text in texts.to_pylist():
                 if text and ANY.search(text):
-                    seen.update((kind, votes(kind, text, a, b), length_class(b - a)) for kind, a, b in candidates(text))
+                    seen.update((kind, votes(kind, text, a, b), features_of(text, a, b)) for kind, a, b in candidates(text))
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in seen]), pa.array([list(v) for _, v, _ in seen], pa.list_(pa.int32())), pa.array([n for _, _, n in seen], pa.int32()), pa.array(seen.values(), pa.int64())], ["kind", "votes", "length", "n"])
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in seen]), pa.array([list(v) for _, v, _ in seen], ints), pa.array([list(f) for _, _, f in seen], ints), pa.array(seen.values(), pa.int64())], ["kind", "votes", "features", "n"])
 
-    found = docs.select("text").mapInArrow(count, "kind string, votes array<int>, length int, n long").groupBy("kind", "votes", "length").agg(F.sum("n").alias("n"))
-    return sorted((r["kind"], tuple(r["votes"]), r["length"], r["n"]) for r in found.collect())
+    found = docs.select("text").mapInArrow(count, "kind string, votes array<int>, features array<int>, n long").groupBy("kind", "votes", "features").agg(F.sum("n").alias("n"))
+    return sorted((r["kind"], tuple(r["votes"]), tuple(r["features"]), r["n"]) for r in found.collect())
 
 
 def reliabilities(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[list[dict], float, dict]:
     """Expectation-maximisation of one kind: P(vote | class) of each labeler, the prior, and posteriors."""
-    post = {v: min(0.95, max(0.05, 0.5 + sum(v) / (2 * len(v)))) for v, _ in counts}
+    post = {v: 0.05 if v[CHECK] < 0 else min(0.95, max(0.05, 0.5 + sum(v) / (2 * len(v)))) for v, _ in counts}
     tables: list[dict] = []
     prior = 0.5
     for _ in range(rounds):
         total = {y: sum(n * (post[v] if y else 1 - post[v]) for v, n in counts) for y in (0, 1)}
-        prior = (total[1] + 1) / (total[0] + total[1] + 2)
-        tables = [{(y, vote): (sum(n * (post[v] if y else 1 - post[v]) for v, n in counts if v[k] == vote) + 1) / (total[y] + 3) for y in (0, 1) for vote in (-1, 0, 1)} for k in range(LABELERS)]
+        prior = (total[1] + CLASS_PRIOR) / (total[0] + total[1] + 2 * CLASS_PRIOR)
+        tables = []
+        for k in range(LABELERS):
+            prior_k = CHECK_PRIOR if k == CHECK else PRIOR
+            tables.append({(y, vote): (sum(n * (post[v] if y else 1 - post[v]) for v, n in counts if v[k] == vote) + prior_k[y][vote + 1]) / (total[y] + sum(prior_k[y])) for y in (0, 1) for vote in (-1, 0, 1)})
         new = {}
         for v in post:
             logs = [math.log(prior if y else 1 - prior) + sum(math.log(t[y, v[k]]) for k, t in enumerate(tables)) for y in (0, 1)]
@@ -171,15 +223,16 @@ def reliabilities(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUND
     return tables, prior, post
 
 
-def row_of(v: tuple[int, ...], length: int) -> list[float]:
-    return [1.0, *(float(x == s) for x in v for s in (-1, 1)), *(float(length == k) for k in range(LENGTHS))]
+def row_of(v: tuple[int, ...], features: tuple[int, ...]) -> list[float]:
+    length, *flags = features
+    return [1.0, *(float(x == s) for x in v for s in (-1, 1)), *(float(length == k) for k in range(LENGTHS)), *map(float, flags)]
 
 
-def train(counted: list[tuple[str, tuple[int, ...], int, int]], steps: int = 300, ridge: float = 0.1) -> dict[str, list[float]]:
+def train(counted: list[Pattern], steps: int = 300, ridge: float = 0.1) -> dict[str, list[float]]:
     """The span classifier: for each kind logistic weights, by gradient steps on posteriors of all patterns."""
     models: dict[str, list[float]] = {}
     for kind in KINDS:
-        own = [(v, n, c) for k, v, n, c in counted if k == kind]
+        own = [(v, f, c) for k, v, f, c in counted if k == kind]
         if not own:
             continue
         merged: Counter = Counter()
@@ -187,31 +240,46 @@ def train(counted: list[tuple[str, tuple[int, ...], int, int]], steps: int = 300
             merged[v] += c
         _, _, post = reliabilities(list(merged.items()))
         total = sum(c for _, _, c in own)
-        rows = [(row_of(v, n), post[v], c / total) for v, n, c in own]
-        weights = [0.0] * len(rows[0][0])
+        x = np.array([row_of(v, f) for v, f, _ in own])
+        y, share = np.array([post[v] for v, _, _ in own]), np.array([c / total for _, _, c in own])
+        weights = np.zeros(x.shape[1])
         for _ in range(steps):
-            slope = [ridge * w / total for w in weights]
-            for x, y, c in rows:
-                p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, weights, strict=True))))
-                for k, value in enumerate(x):
-                    if value:
-                        slope[k] += c * (p - y)
-            weights = [w - 2.0 * g for w, g in zip(weights, slope, strict=True)]
-        models[kind] = weights
+            p = 1 / (1 + np.exp(-(x @ weights)))
+            weights -= (share * (p - y)) @ x + ridge * weights / total
+        models[kind] = weights.tolist()
     return models
 
 
+def accepts(models: dict[str, list[float]], kind: str, text: str, start: int, end: int) -> bool:
+    x = row_of(votes(kind, text, start, end), features_of(text, start, end))
+    return sum(p * q for p, q in zip(x, models[kind], strict=True)) > math.log(ACCEPT / (1 - ACCEPT))
+
+
+def judged(counted: list[Pattern], models: dict[str, list[float]]) -> dict[str, tuple[int, int]]:
+    """How many candidates of each kind the classifier accepts and rejects."""
+    out: dict[str, tuple[int, int]] = {}
+    for kind, v, f, n in counted:
+        yes = sum(p * q for p, q in zip(row_of(v, f), models[kind], strict=True)) > math.log(ACCEPT / (1 - ACCEPT))
+        a, r = out.get(kind, (0, 0))
+        out[kind] = (a + n * yes, r + n * (not yes))
+    return out
+
+
 def all_spans(text: str | None, models: dict[str, list[float]]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and those with the accepted candidates, both by kind and start."""
     if not text or not ANY.search(text):
         return [], []
     base = base_spans(text)
+    places: dict[str, list[tuple[int, int]]] = {}
+    for kind, a, b in base:
+        places.setdefault(kind, []).append((a, b))
     out = list(base)
-    for kind, a, b in candidates(text):
-        if kind in models and not any(k == kind and s < b and a < e for k, s, e in out):
-            x = row_of(votes(kind, text, a, b), length_class(b - a))
-            if sum(p * q for p, q in zip(x, models[kind], strict=True)) > math.log(ACCEPT / (1 - ACCEPT)):
-                out.append((kind, a, b))
+    for kind, a, b in wider_spans(text):
+        own = places.get(kind, [])
+        # of its kind's base spans, the last that starts before the candidate's end
+        k = bisect_left(own, (b, 0)) - 1
+        if (k < 0 or own[k][1] <= a) and kind in models and accepts(models, kind, text, a, b):
+            out.append((kind, a, b))
     place = KINDS.index
     return base, sorted(out, key=lambda s: (place(s[0]), s[1]))
 
@@ -258,7 +326,15 @@ def redacted(docs: DataFrame) -> DataFrame:
 
         return pd.Series([masked(t, models) for t in texts], dtype=object)
 
-    new = docs.withColumn("__text", mask("text"))
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("__text").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.char_length("__text").cast(docs.schema["n_chars"].dataType)))
-    return new.withColumn("text", F.col("__text")).select(*docs.columns)
+    # under names of their own, so that no column of the input can clash
+    both = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own"), mask(docs["text"]).alias("new"))
+
+    def column(name: str):
+        if name == "text":
+            return F.col("new").alias(name)
+        if name == "n_chars":
+            length = F.char_length("new").cast(docs.schema[name].dataType)
+            return F.when(F.col("new").eqNullSafe(F.col("own.text")), F.col("own.n_chars")).otherwise(length).alias(name)
+        return F.col(f"own.`{name}`").alias(name)
+
+    return both.select(*map(column, docs.columns))
