@@ -24,12 +24,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where
-    that is unset (a local session)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder. Only a
+    session without a cluster may do without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="fieldloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
