@@ -1,7 +1,7 @@
 """Quality classifier: regularised quadratic discriminant analysis of transformed document statistics.
 
  1. Every text becomes a vector of FEATURES statistics (sizes, character classes, repetition), transformed to be
-    closer to normal. Vectors are written once to the shared folder.
+    closer to normal. Vectors are written once to the shared folder (`accepted` writes them next to their rows).
  2. Labelled rows give, for each class, a count, sums and products of vectors: one aggregate of a fixed number
     of rows, whatever the input.
  3. On the driver each class covariance is shrunk towards the pooled one and that towards its diagonal; its
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import columns, materialised, small_batches, utf8
+from fieldloom.llm.common import columns, fresh_path, materialised, small_batches, utf8
 
 FEATURES = (
     "bytes", "words", "word_length", "upper", "digits", "blanks", "lines", "stops", "commas", "other_marks", "wide",
@@ -105,10 +105,14 @@ class Model:
     temperature: float = 1.0
     constant: float | None = None
 
+    def __post_init__(self) -> None:
+        #: What whitens a vector: the inverse of each factor, taken once.
+        self.whiteners = [np.linalg.inv(f) for f in self.factors]
+
     def margin(self, x: np.ndarray) -> np.ndarray:
         logs = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
+            z = self.whiteners[k] @ (x - self.means[k]).T
             logs.append(self.log_prior[k] - 0.5 * (self.log_det[k] + (z * z).sum(axis=0)))
         return logs[1] - logs[0]
 
@@ -205,15 +209,17 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that are not rejected, as they are. Rows are judged as they pass: no text is shuffled."""
-    model = train(vectors(docs), labels)
+    spark = docs.sparkSession
+    small_batches(spark)
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                own = batch.column(batch.schema.get_field_index("own"))
-                x = np.stack([statistics(t) for t in utf8(batch.column(batch.schema.get_field_index("text")))])
-                yield pa.RecordBatch.from_arrays([own.filter(pa.array(model.score(x) >= threshold))], ["own"])
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, texts in columns(batches, "own", "text"):
+            yield pa.RecordBatch.from_arrays([own, pa.array([statistics(t) for t in utf8(texts)], pa.list_(pa.float64()))], ["own", "x"])
 
-    # under a name of its own, so that no column of the input can clash
+    # under a name of their own, so that no column of the input can clash
     packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own"), F.col("text").alias("text"))
-    return packed.mapInArrow(choose, f"own {packed.schema['own'].dataType.simpleString()}").select("own.*")
+    path = fresh_path(spark, "measured")
+    packed.mapInArrow(measure, f"own {packed.schema['own'].dataType.simpleString()}, x array<double>").write.option("compression", "zstd").parquet(path)
+    measured = spark.read.parquet(path)
+    model = train(measured.select("own.doc_id", "x"), labels)
+    return _scored(measured, model, "own").filter(F.col("score") >= threshold).select("own.*")

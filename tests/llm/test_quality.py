@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+import re
+import string
 import zlib
 
 import numpy as np
@@ -43,6 +46,56 @@ def test_scores_are_the_density_difference():
     assert model.margin(p) == pytest.approx(dens[1] - dens[0])
 
 
+def slow_statistics(text):
+    """The features once more, character by character."""
+    raw, out = text.encode(), dict.fromkeys(quality.FEATURES, 0.0)
+    if not raw:
+        return out
+    words = [w for w in re.split(rb"[ \t\n\r\x0b\x0c]+", raw) if w]
+    lines = [w for w in raw.split(b"\n") if w.strip()]
+    root = lambda k, n: math.sqrt(k / n) if n else 0.0
+    marks = set(string.punctuation.encode())
+    hard = marks - set(b".,;:'\"-()")
+    n, m = len(raw), len(words)
+    for name, wanted in (("upper", string.ascii_uppercase), ("digits", string.digits), ("blanks", " "), ("lines", "\n"), ("stops", "."), ("commas", ",")):
+        out[name] = root(sum(b in wanted.encode() for b in raw), n)
+    out["other_marks"], out["wide"] = root(sum(b in hard for b in raw), n), root(sum(b > 127 for b in raw), n)
+    out["bytes"], out["words"], out["word_length"] = math.log1p(n), math.log1p(m), math.log1p(n / m if m else n)
+    if m:
+        pairs = list(zip(words, words[1:]))
+        out["distinct_words"] = math.log(len(set(words))) / math.log1p(m)
+        out["top_word"] = root(max(words.count(w) for w in set(words)), m)
+        out["distinct_pairs"] = math.log1p(len(set(pairs))) / math.log1p(m)
+        out["repeated_pairs"] = root(len(pairs) - len(set(pairs)), m)
+        out["lone_marks"] = root(sum(len(w) == 1 and w[0] in marks for w in words), m)
+        out["marked_words"] = root(sum(w[-1] in hard for w in words), m)
+        out["capital_words"] = root(sum(w[:1].isupper() for w in words), m)
+    out["packed"] = len(zlib.compress(raw, 1)) / n
+    out["line_repeats"] = root(len(lines) - len(set(lines)), len(lines))
+    return out
+
+
+def test_statistics_against_a_plain_count(docs):
+    texts = [r["text"] for r in docs.filter("length(text) between 1 and 20000").limit(60).collect()] + ["", " \t\n", "one", "A. b! !\nA. b! !\nÉé 123", "x " * 50]
+    for t in texts:
+        assert dict(zip(quality.FEATURES, quality.statistics(t.encode()), strict=True)) == pytest.approx(slow_statistics(t))
+
+
+def test_shrunk_covariances_and_scores():
+    rng = np.random.default_rng(5)
+    d = quality.DIM
+    x = {0: rng.normal(1, 2, (40, d)), 1: rng.normal(0, 1, (30, d))}
+    model = quality.fit({k: (z := np.hstack([np.ones((len(v), 1)), v])).T @ z for k, v in x.items()})
+    pooled = sum(len(v) * np.cov(v.T, bias=True) for v in x.values()) / 70
+    p, logs = rng.normal(0, 1, (5, d)), []
+    for k in (0, 1):
+        cov = 0.9 * np.cov(x[k].T, bias=True) + 0.05 * pooled + 0.05 * np.diag(np.diag(pooled)) + 1e-3 * np.diag(np.diag(pooled))
+        dev = p - x[k].mean(0)
+        logs.append(np.log(len(x[k]) / 70) - 0.5 * (np.linalg.slogdet(cov)[1] + np.einsum("ij,jk,ik->i", dev, np.linalg.inv(cov), dev)))
+    model.temperature = 4.0
+    assert model.score(p) == pytest.approx(1 / (1 + np.exp((logs[0] - logs[1]) / 4)))
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, None, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality.scores(odd_docs, labels).collect()
