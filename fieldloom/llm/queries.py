@@ -54,7 +54,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport.read_media(transport.with_media(table(spark, sf_dir, "documents"))).drop("time_stamps", "access_points")
+    return transport.read_media(transport.stored(table(spark, sf_dir, "documents"))).drop("time_stamps", "access_points")
 
 
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ Defined results: a null text is an empty one; a payload is the UTF-8 text and ze
 multiple of 64 bytes; texts of any length are written packet by packet; equal texts give equal
 bytes; repeated rows stay rows of their own; other columns are ignored; an empty table gives no rows. A
 stream with a lost, repeated or damaged packet decodes with `continuity_errors` or `crc_errors` above
-zero instead of failing.
+zero instead of failing; a packet that repeats the one before byte by byte is dropped.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fieldloom.llm.common import columns, small_batches, utf8
+from fieldloom.llm.common import columns, fresh_path, small_batches, utf8
 
 # Fixed values of the transport stream format (ISO/IEC 13818-1).
 PACKET, SYNC, PAT_PID, PRIVATE_PES, STREAM_PRIVATE, NULL_PID = 188, 0x47, 0x0000, 0x06, 0xBD, 0x1FFF
@@ -181,7 +181,7 @@ def decode(media: bytes) -> Stream:
     has_data = own[:, 3] & 0x10 > 0
     counters = (own[:, 3] & 15).astype(np.int16)[has_data]
     steps = np.diff(counters) & 15
-    repeats = np.flatnonzero(steps == 0) + 1
+    repeats = np.flatnonzero((steps == 0) & (own[has_data][1:] == own[has_data][:-1]).all(axis=1)) + 1
     out.continuity_errors = int((steps != 1).sum())
     own = np.delete(own[has_data], repeats, axis=0)
     skip = np.where(own[:, 3] & 0x20 > 0, 1 + own[:, 4].astype(np.int64), 0)
@@ -230,6 +230,13 @@ def with_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(write, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The media table of `with_media`, written to the shared folder and read back from there."""
+    path = fresh_path(docs.sparkSession, "media")
+    with_media(docs).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def feature(s: Stream) -> str:
     """Stream identity, packets, PES packets, last time stamp, random-access points and faults."""
     return f"pid={s.pid};packets={s.packets};pes={len(s.stamps)};last_pts={s.stamps[-1] if s.stamps else -1};access={','.join(map(str, s.access_points))};continuity={s.continuity_errors};crc={s.crc_errors};damaged={s.damaged}"

@@ -55,4 +55,6 @@ def test_rows(spark, odd_docs, no_docs):
     assert sorted((repr(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in found) == sorted(want)
     same = [(r["media_sha256"], r["feature"]) for r in found if r["doc_id"] in (1, 2)]
     assert same[0] == same[1]
-    assert transport.read_media(transport.with_media(no_docs)).count() == 0
+    again = transport.read_media(transport.stored(odd_docs)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, found))
+    assert transport.read_media(transport.stored(no_docs)).count() == 0
