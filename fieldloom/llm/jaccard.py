@@ -1,11 +1,15 @@
 """Near-duplicates by exact Jaccard similarity of word-shingle sets: MinHash bands propose pairs, the sets decide.
 
 Every distinct set has 128 minima in 32 bands of 4: a pair at J = 0.8 shares a band but for 1 of 10^7 (0.7: 0.0002, 0.9: none).
-Pairs are compared in two steps, so that a group of many near copies gives few: in each bucket all members are compared
-with its smallest one; what these links connect is one label, and then members of different labels are compared inside the
-bucket. A pair becomes a link only if its sets, hashed anew from the texts, have J >= THRESHOLD.
-
-A bucket of several labels meets in one task with its sets, and is compared pairwise, in memory, as far as links do not join it.
+With its bands' keys a set keeps a byte of each minimum, its sketch. Pairs are compared in two steps, so that a group of
+many near copies gives few: in each bucket all members are compared with its smallest one; what these links connect is one
+label, and then members of different labels are compared inside the bucket. A pair whose sketches agree in fewer than ALIKE
+bytes (at J = 0.8 that is four deviations off: 2 of 10^5 pairs) goes no further; a pair becomes a link only if its
+sets, hashed anew from the texts, have J >= THRESHOLD.
+
+In the second step sketches meet first, and sets are sent only to the buckets in which their sketches have found somebody.
+Buckets of more than BLOCK members are cut into blocks, and each pair of blocks meets in a group of its own, so no task holds more
+than two blocks of sets, whatever the bucket.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from fieldloom.llm.common import columns, materialised, small_batches, utf8
 from fieldloom.llm.components import connected_components
 
 THRESHOLD, BANDS, ROWS = 0.8, 32, 4
+ALIKE, BLOCK = 84, 2048
 _RANDOM = np.random.default_rng(44)
 _FLIPS, _FACTORS = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
 _FACTORS |= np.uint64(1)
@@ -63,20 +68,20 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
 
 
 def prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row id, the number of the shingle set (`node`) and its bands' keys, materialised."""
+    """doc_id, row id, the number of the shingle set (`node`), its bands' keys and its sketch, materialised."""
     small_batches(docs.sparkSession)
 
     def make(batches: Batches) -> Batches:
         for ids, rids, texts in columns(batches, "doc_id", "rid", "text"):
             sets = [shingle_set(t, shingle) for t in utf8(texts)]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 45) for s in sets], np.uint64).view(np.int64)
-            bands = band_keys(np.stack([minima(s) for s in sets]))
-            packed = pa.array([r.tobytes() for r in bands], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, rids, pa.array(node), packed], ["doc_id", "rid", "node", "bands"])
+            least = np.stack([minima(s) for s in sets])
+            packed = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (band_keys(least), (least & np.uint64(255)).astype(np.uint8))]
+            yield pa.RecordBatch.from_arrays([ids, rids, pa.array(node), *packed], ["doc_id", "rid", "node", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", row_id(docs).alias("rid"), "text")
-    return materialised(rows.mapInArrow(make, f"doc_id {kind}, rid binary, node long, bands binary"))
+    return materialised(rows.mapInArrow(make, f"doc_id {kind}, rid binary, node long, bands binary, sketch binary"))
 
 
 def emit(batches: Batches) -> Batches:
@@ -100,57 +105,69 @@ def stars(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (keys, u, nodes)], ["key", "u", "v"])
 
 
-def across(key: int, nodes: np.ndarray, labels: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Links of one bucket between different labels: a spanning forest, never all pairs. The smallest node has met all others
-    before, and a pair that shares several buckets is compared in that of its first common band."""
-    order = np.argsort(nodes, kind="stable")[1:]
-    nodes, labels, bands = nodes[order], labels[order].copy(), bands[order]
-    sizes = np.array([len(sets[k]) for k in order])
-    # an empty set is in no bucket of two, so no segment of the sums below is empty
-    codes = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    band = int(np.flatnonzero(bands[0] == key)[0])
-    mark = np.zeros(int(codes.max()) + 1, bool)
+def met(key: int, labels: np.ndarray, blocks: np.ndarray, bands: np.ndarray, sketches: np.ndarray, k: int) -> np.ndarray:
+    """Of one group of a bucket (a block, or two that only meet each other), the later rows that row k should be compared with:
+    other label, sketch alike, and no earlier band in common."""
+    other = labels[k + 1 :] != labels[k]
+    if blocks[0] != blocks[-1] or (blocks != blocks[0]).any():
+        other &= blocks[k + 1 :] != blocks[k]
+    other = np.flatnonzero(other) + k + 1
+    other = other[(sketches[other] == sketches[k]).sum(axis=1) >= ALIKE]
+    band = int(np.flatnonzero(bands[k] == key)[0])
+    return other[~(bands[other, :band] == bands[k, :band]).any(axis=1)] if band and len(other) else other
+
+
+def across(key: int, nodes: np.ndarray, labels: np.ndarray, blocks: np.ndarray, bands: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links of one group between different labels: a spanning forest, never all pairs. A pair that shares several buckets is
+    compared in that of its first common band."""
+    labels = labels.copy()
     for k in range(len(nodes) - 1):
-        other = np.flatnonzero(labels[k + 1 :] != labels[k]) + k + 1
-        if band:
-            other = other[~(bands[other, :band] == bands[k, :band]).any(axis=1)]
-        if not len(other):
-            continue
-        own = codes[starts[k] : starts[k] + sizes[k]]
-        mark[own] = True
-        if 4 * len(other) < len(nodes) - k:
-            both = np.array([np.count_nonzero(mark[codes[starts[j] : starts[j] + sizes[j]]]) for j in other])
-        else:
-            both = np.add.reduceat(mark[codes[starts[k + 1] :]], starts[k + 1 :] - starts[k + 1], dtype=np.int64)[other - k - 1]
-        mark[own] = False
-        hit = other[both / (sizes[other] + sizes[k] - both) >= THRESHOLD]
-        if len(hit):
-            found, at = np.unique(labels[hit], return_index=True)
-            labels[np.isin(labels, found)] = labels[k]
-            yield from ((int(nodes[k]), int(nodes[j])) for j in hit[at])
+        for j in met(key, labels, blocks, bands, sketches, k):
+            if labels[j] != labels[k] and similarity(sets[k], sets[j]) >= THRESHOLD:
+                labels[labels == labels[j]] = labels[k]
+                yield int(nodes[k]), int(nodes[j])
+
+
+def groups(batches: Batches, names: list[str]) -> Iterator[tuple[tuple, list[list]]]:
+    """Rows sorted by (key, one, two) -> those three and the columns `names` of each group. What runs on at a batch's end is
+    carried over."""
+    at, held = None, []
+    for *own, found in ((*(x.to_pylist() for x in c[:3]), list(zip(*(x.to_pylist() for x in c[3:]), strict=True))) for c in columns(batches, "key", "one", "two", *names)):
+        for now, row in zip(zip(*own, strict=True), found, strict=True):
+            if now != at:
+                if held:
+                    yield at, list(zip(*held, strict=True))
+                at, held = now, []
+            held.append(row)
+    if held:
+        yield at, list(zip(*held, strict=True))
 
 
-def links_across(batches: Batches) -> Batches:
-    """Rows sorted by key -> (u, v) of `across` in each bucket. What runs on at a batch's end is carried over."""
-    held: list[tuple] = []
+def _matrix(values: tuple, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+
+
+def wanted(batches: Batches) -> Batches:
+    """Groups' rows without sets -> (key, one, two, node) of the rows that have somebody to be compared with."""
+    for (key, one, two), (nodes, labels, blocks, bands, sketches) in groups(batches, ["node", "label", "block", "bands", "sketch"]):
+        labels, blocks, bands, sketches = np.array(labels), np.array(blocks), _matrix(bands, np.int64), _matrix(sketches, np.uint8)
+        hit = np.zeros(len(nodes), bool)
+        for k in range(len(nodes) - 1):
+            if len(found := met(key, labels, blocks, bands, sketches, k)):
+                hit[k] = hit[found] = True
+        own = np.array(nodes)[hit]
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(own)), pa.array([one] * len(own), pa.int32()), pa.array([two] * len(own), pa.int32()), pa.array(own)], ["key", "one", "two", "node"])
 
-    def of(rows: list[tuple]) -> Batches:
-        keys, nodes, labels, bands, sets = zip(*rows, strict=True)
-        bands = np.frombuffer(b"".join(bands), np.int64).reshape(len(rows), BANDS)
-        found = list(across(keys[0], np.array(nodes), np.array(labels), bands, [np.frombuffer(x, np.uint64) for x in sets]))
+
+def links_across(batches: Batches) -> Batches:
+    """Groups' rows with sets -> (u, v) of `across`."""
+    for (key, _, _), (nodes, labels, blocks, bands, sketches, sets) in groups(batches, ["node", "label", "block", "bands", "sketch", "set"]):
+        whole = [np.frombuffer(x, np.uint64) for x in sets]
+        found = list(across(key, np.array(nodes), np.array(labels), np.array(blocks), _matrix(bands, np.int64), _matrix(sketches, np.uint8), whole))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 
-    for found in columns(batches, "key", "node", "label", "bands", "set"):
-        for row in zip(*(x.to_pylist() for x in found), strict=True):
-            if held and held[0][0] != row[0]:
-                yield from of(held)
-                held = []
-            held.append(row)
-    if held:
-        yield from of(held)
-
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Exact Jaccard similarity of two sorted sets; two empty ones are equal."""
@@ -165,9 +182,21 @@ def confirm(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([u.filter(hit), v.filter(hit)], ["u", "v"])
 
 
+def alike(batches: Batches) -> Batches:
+    for u, v, a, b in columns(batches, "u", "v", "a", "b"):
+        hit = pa.array((_matrix(tuple(a.to_pylist()), np.uint8) == _matrix(tuple(b.to_pylist()), np.uint8)).sum(axis=1) >= ALIKE)
+        yield pa.RecordBatch.from_arrays([u.filter(hit), v.filter(hit)], ["u", "v"])
+
+
+def both_ends(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """u, v with the value of each end as `a` and `b`."""
+    one = pairs.join(values.select(F.col("node").alias("v"), F.col(name).alias("b")), "v")
+    return one.join(values.select(F.col("node").alias("u"), F.col(name).alias("a")), "u").select("u", "v", "a", "b")
+
+
 def links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(u, v) of distinct sets with J >= THRESHOLD, enough of them to connect all that such links connect.
-    `nodes` has node, rid (a row that has the set) and bands."""
+    `nodes` has node, rid (a row that has the set), bands and sketch."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     balls = nodes.select("node", "bands").mapInArrow(emit, "key long, node long")
     shared = materialised(balls.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(stars, "key long, u long, v long"))
@@ -176,22 +205,27 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
         for node, texts in columns(batches, "node", "text"):
             yield pa.RecordBatch.from_arrays([node, pa.array([shingle_set(t, shingle).tobytes() for t in utf8(texts)], pa.binary())], ["node", "set"])
 
-    known = shared.select(F.col("u").alias("node")).unionByName(shared.select(F.col("v").alias("node"))).distinct()
-    asked = materialised(nodes.select("node", "rid").join(known, "node"))
-    texts = docs.select(row_id(docs).alias("rid"), "text").join(asked, "rid").groupBy("rid", "node").agg(F.any_value("text").alias("text"))
-    sets = materialised(texts.select("node", "text").mapInArrow(hashed, "node long, set binary"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = materialised(pairs.distinct()).join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-        two = one.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
-        return materialised(two.select("u", "v", "a", "b").mapInArrow(confirm, "u long, v long"))
+    def sets_of(asked: DataFrame) -> DataFrame:
+        asked = materialised(nodes.select("node", "rid").join(asked, "node"))
+        texts = docs.select(row_id(docs).alias("rid"), "text").join(asked, "rid").dropDuplicates(["node"])
+        return materialised(texts.select("node", "text").mapInArrow(hashed, "node long, set binary"))
 
-    first = confirmed(shared.select("u", "v"))
+    ends = lambda df: df.select(F.col("u").alias("node")).unionByName(df.select(F.col("v").alias("node"))).distinct()
+    pairs = materialised(both_ends(shared.select("u", "v").distinct(), nodes, "sketch").mapInArrow(alike, "u long, v long"))
+    first = materialised(both_ends(pairs, sets_of(ends(pairs)), "set").mapInArrow(confirm, "u long, v long"))
     labels = connected_components(first).select("node", F.col("component").alias("label"))
-    members = shared.select("key", F.col("v").alias("node")).unionByName(shared.select("key", F.col("u").alias("node")).distinct())
-    members = materialised(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    mixed = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"))
-    mixed = materialised(mixed.filter("a < b and n > 2").select("key"))
-    rest = materialised(members.join(mixed, "key")).join(nodes.select("node", "bands").join(sets, "node"), "node")
-    rest = rest.select("key", "node", "label", "bands", "set").repartition(n, "key").sortWithinPartitions("key")
+    # a bucket's smallest member has been compared with all others
+    members = shared.select("key", F.col("v").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = materialised(members)
+    mixed = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a < b")
+    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("two"), "node", "label", "block")
+    rows = materialised(rows)
+    order = ["key", "one", "two"]
+    known = rows.join(nodes.select("node", "bands", "sketch"), "node").repartition(n, *order).sortWithinPartitions(*order)
+    asked = materialised(known.mapInArrow(wanted, "key long, one int, two int, node long"))
+    rest = rows.join(asked, [*order, "node"]).join(nodes.select("node", "bands", "sketch"), "node").join(sets_of(asked.select("node").distinct()), "node")
+    rest = rest.select(*order, "node", "label", "block", "bands", "sketch", "set").repartition(n, *order).sortWithinPartitions(*order)
     return first.unionByName(rest.mapInArrow(links_across, "u long, v long"))

@@ -183,8 +183,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, che
     if checked:
         prints = jaccard.prints(docs, shingle)
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
-        nodes = materialised(prints.groupBy("node").agg(least, F.any_value("bands").alias("bands")))
-        edges = jaccard.links(docs, nodes.select("node", "least.rid", "bands"), shingle)
+        nodes = materialised(prints.groupBy("node").agg(least, F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
+        edges = jaccard.links(docs, nodes.select("node", "least.rid", "bands", "sketch"), shingle)
         found = _named(prints, nodes, edges)
         return found.select("doc_id", "node", "rid", F.col("component_id.doc_id").alias("component_id"), F.col("component_id.rid").alias("kept"))
     prints = fingerprints(docs, shingle)
@@ -212,7 +212,10 @@ def deduplicated(docs: DataFrame, shingle: int = 5, radius: int = WIDE) -> DataF
     """The documents without near-duplicates: of each component one row stays, that of the smallest doc_id (null last). Rows
     are told apart by doc_id and text, not by doc_id alone; of rows that agree in both, one stays. Columns and
     their values are the input's."""
-    kept = near_duplicates(docs, shingle, radius, checked=True).select(F.col("kept").alias("__rid")).distinct()
-    both = docs.withColumn("__rid", jaccard.row_id(docs)).join(kept, "__rid", "left_semi")
-    own = W.partitionBy("__rid").orderBy(F.xxhash64(*(docs[c] for c in docs.columns)))
-    return both.withColumn("__n", F.row_number().over(own)).filter("__n = 1").select(*docs.columns)
+    kept = near_duplicates(docs, shingle, radius, checked=True).select(F.col("kept").alias("rid")).distinct()
+    # under names of their own, so that no column of the input can clash
+    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own"), jaccard.row_id(docs).alias("rid"))
+    both = named.join(kept, "rid", "left_semi")
+    again = both.groupBy("rid").agg(F.count("*").alias("n")).filter("n > 1")
+    once = both.join(again, "rid", "left_anti").select("own")
+    return once.unionByName(both.join(again, "rid", "left_semi").groupBy("rid").agg(F.min("own").alias("own")).select("own")).select("own.*")

@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import jaccard, simhash
 from tests.llm.test_simhash import slow_components
@@ -28,7 +30,9 @@ def components_of(spark, texts):
     return {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 5, simhash.WIDE, checked=True).collect()}
 
 
-def test_against_brute_force_in_both_directions(spark):
+@pytest.mark.parametrize("block", [2048, 3])
+def test_against_brute_force_in_both_directions(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(1)
     texts = []
     for k in range(90):
@@ -48,17 +52,21 @@ def test_batches_do_not_matter():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 24, 30).astype(np.uint64)) for _ in range(60)]
     bands = rng.integers(0, 4, (60, jaccard.BANDS)) + 10 * np.arange(jaccard.BANDS)
-    rows = sorted((int(key), node, node, bands[node].tobytes(), sets[node].tobytes()) for node in range(60) for key in bands[node])
-    kinds = {"key": pa.int64(), "node": pa.int64(), "label": pa.int64(), "bands": pa.binary(), "set": pa.binary()}
+    sketches = np.zeros((60, 128), np.uint8)
+    rows = sorted((int(key), 0, 0, node, node, 0, bands[node].tobytes(), sketches[node].tobytes(), sets[node].tobytes()) for node in range(60) for key in bands[node])
+    kinds = {"key": pa.int64(), "one": pa.int32(), "two": pa.int32(), "node": pa.int64(), "label": pa.int64(), "block": pa.int32(), "bands": pa.binary(), "sketch": pa.binary(), "set": pa.binary()}
     table = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.values())], list(kinds))
 
     def found(make, size):
         return sorted(tuple(r.values()) for b in make(table.slice(at, size) for at in range(0, len(rows), size)) for r in b.to_pylist())
 
     stars = found(jaccard.stars, 9999)
-    least = {k: min(r[1] for r in rows if r[0] == k) for k in {r[0] for r in rows}}
-    assert stars == found(jaccard.stars, 7) == sorted((r[0], least[r[0]], r[1]) for r in rows if r[1] != least[r[0]])
+    least = {k: min(r[3] for r in rows if r[0] == k) for k in {r[0] for r in rows}}
+    assert stars == found(jaccard.stars, 7) == sorted((r[0], least[r[0]], r[3]) for r in rows if r[3] != least[r[0]])
+    asked = found(jaccard.wanted, 9999)
+    assert asked == found(jaccard.wanted, 7) and set(asked) <= {r[:4] for r in rows}
     links = found(jaccard.links_across, 9999)
+    assert {x for pair in links for x in pair} <= {r[3] for r in asked}
     assert links == found(jaccard.links_across, 7)
     near = lambda a, b: jaccard.similarity(sets[a], sets[b]) >= jaccard.THRESHOLD
     assert links and all(near(a, b) for a, b in links)
@@ -83,5 +91,7 @@ def test_rows_without_or_with_repeated_ids_are_rows_of_their_own(spark):
     rng = random.Random(4)
     texts = [" ".join(words(rng, 50)) for _ in range(12)]
     rows = [(None, t, "a") for t in texts[:6]] + [(7, t, "a") for t in texts[6:]] + [(None, texts[0], "b"), (7, texts[6], "b"), (3, texts[7], "c"), (7, None, "d"), (7, "", "e")]
-    kept = [tuple(r) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()]
+    kept = [tuple(r) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, __n string").withColumn("__rid", F.col("__n"))).collect()]
+    assert all(r[2] == r[3] for r in kept)
+    kept = [r[:3] for r in kept]
     assert sorted((t or "", i or 0) for i, t, _ in kept) == sorted([("", 7), *((t, 0) for t in texts[:6]), (texts[6], 7), (texts[7], 3), *((t, 7) for t in texts[8:])])
