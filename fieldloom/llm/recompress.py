@@ -2,22 +2,24 @@
 
 Word sequences are recompressed in rounds: maximal runs of a symbol become one symbol, then every pair of a
 "left" and a "right" symbol becomes one (a bit of each symbol's name decides its side anew in each round). Names are
-fingerprints of what they stand for, so they are global without an exchange of dictionaries: equal
-substrings get the same symbols but for a few at their ends. With every symbol goes the range of words that
-determined it. Symbols whose range fits in a window are reported:
-
- 1. Shards report their distinct symbols with the smallest and largest doc_id that has them; a Spark round merges these
-    by name and answers with those that several documents share.
- 2. A window that holds a symbol of its document alone repeats nowhere else; a window whose symbols no smaller (larger)
-    doc_id has needs no source (is no source). What remains is named in full, by 112 bits of its words' fingerprints;
-    a second round merges these names and answers with the smallest doc_id of each shared window.
- 3. Windows that start in a smaller doc_id are covered; their words go.
-
-Step 2 only ever spares windows that cannot repeat, so every repeat of a window is found, in texts of any
-length, and step 3 is exact. A name is reported once a shard, however often it occurs there, and no pair of
-documents is ever formed: a passage in a third of all documents costs one row for each shard. Shards are groups of
-documents, by a hash of doc_id, of about SHARD_BYTES of text; texts are shuffled once and that exchange is
-reused by all three steps. Rows travel packed, as sorted arrays in binary columns.
+fingerprints of what they stand for, so equal substrings get the same symbols but for a few at their ends, everywhere. Spark
+rounds merge the names of all shards and answer with those that documents share:
+
+ 1. Low symbols, of the third round. With every one goes the range of words that determined it; those whose range fits in a
+    window are reported (a window that holds none reports its first word), with the smallest and largest doc_id that has
+    them. A window all of whose symbols other documents have is open; no other can repeat.
+ 2. High symbols, of all later rounds up to whole documents, that stand for a window or more and lie in open windows. One that
+    a smaller doc_id has too is a long repeat: its windows are covered.
+ 3. Open windows that no high symbol covers, by name: those at the ends of repeats, and all of the smallest doc_id
+    that has them, which is never covered. The answer is the smallest doc_id of each.
+ 4. Words of windows that start in a smaller doc_id go.
+
+Steps 1 and 2 only spare windows that cannot repeat or are known to, so every repeat of a window is found, in texts of any
+length. Names have 64 bits, of high symbols and windows 96. A name is reported once a shard, however often it occurs there, and no
+pair of documents is ever formed: a passage in a third of all documents costs a row for each shard. Shards are
+groups of rows, by a hash of doc_id and text, of about SHARD_BYTES of text; texts are shuffled once and that exchange is
+reused by all steps. Reports travel as arrays, one row for each shard and shuffle partition; inside its partition a
+name meets its like through a window function, which spills, so no group is ever held by Python.
 
 Defined results: null and empty texts have no words; texts shorter than a window keep all; rows that share a
 doc_id are one document (they do not remove from each other); a null doc_id counts as the largest; an empty table
@@ -27,20 +29,23 @@ gives no rows; other columns are ignored. doc_id is an integer.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import small_batches, utf8
 
 WINDOW, ROUNDS, SHARD_BYTES = 13, 3, 8 << 20
-#: Bytes of a window's second name: with the eight of its first, 112 bits.
-MORE = 6
+#: Rounds end when documents are one symbol each, or after so many without a change (a side is a coin).
+STALL = 12
+LOW, HIGH, PLACES = 1, 2, 3
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
 # Odd multipliers of the mixing functions.
@@ -68,168 +73,108 @@ class Shard:
         self.ids = ids
         self.doc = np.repeat(np.arange(len(ids)), self.sizes)
 
-    def windows(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of all windows inside documents, and their two names."""
+    def places(self, window: int) -> np.ndarray:
+        """Starts of all windows inside documents."""
         n = max(0, len(self.doc) - window + 1)
-        a, b = np.zeros(n, U), np.zeros(n, U)
+        return np.flatnonzero(self.doc[:n] == self.doc[window - 1 : n + window - 1])
+
+    def names(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two names of the windows that start there."""
+        a, b = np.zeros(len(at), U), np.zeros(len(at), U)
         for k in range(window):
-            a, b = a * M2 + self.h1[k : n + k], b * M3 + self.h2[k : n + k]
-        at = np.flatnonzero(self.doc[:n] == self.doc[window - 1 : n + window - 1])
-        return at, mix(a[at]), mix(b[at])
-
-
-def symbols(s: Shard, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Recompresses a shard: names of the last round's symbols, the word ranges [low, high) that determined them, and
-    document numbers; only of those whose range fits in a window of their document.
-
-    A run's extent depends on its neighbours being different, which the one word next to it shows unless
-    that word is the same; an unpaired symbol depends on its neighbour's side, so on all that determined the neighbour.
-    """
-    words = s.h1
-    name, start, end, low, high, doc = mix(words), np.arange(len(words)), np.arange(len(words)) + 1, np.arange(len(words)), np.arange(len(words)) + 1, s.doc
-    if not len(words):
-        return name, low, high, doc
-    for r in range(1, rounds + 1):
-        salt = mix(np.full(1, r, U))
+            a, b = a * M2 + self.h1[at + k], b * M3 + self.h2[at + k]
+        return mix(a), half(mix(b))
+
+
+def half(x: np.ndarray) -> np.ndarray:
+    """32 of 64 bits, signed."""
+    return (x >> U(32)).astype(np.uint32).view(np.int32)
+
+
+class Symbols:
+    """A shard's documents as symbols: name, the words [start, end) it stands for, its document, and the words [low, high) that
+    determined it (as long as `ranges` are kept)."""
+
+    def __init__(self, s: Shard, docs: np.ndarray | None = None, ranges: bool = True):
+        at = np.arange(len(s.doc)) if docs is None else np.flatnonzero(docs[s.doc])
+        self.words, self.round, self.ranges = s.h1, 0, ranges
+        self.name, self.start, self.end, self.doc = mix(s.h1[at]), at, at + 1, s.doc[at]
+        self.low, self.high = self.start, self.end
+
+    def next(self) -> np.ndarray:
+        """One more round; which symbols it has made.
+
+        A run's extent depends on its neighbours being different, which the one word next to it shows unless
+        that word is the same; an unpaired symbol depends on its neighbour's side, so on all that determined the neighbour.
+        """
+        self.round += 1
+        name, start, end, low, high, doc, words = self.name, self.start, self.end, self.low, self.high, self.doc, self.words
+        if not len(name):
+            return np.zeros(0, bool)
+        salt = mix(np.full(1, self.round, U))
         same = doc[1:] == doc[:-1]
         first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | ~same]))
         last = np.append(first[1:], len(name)) - 1
         length = (last - first + 1).astype(U)
-        name = np.where(length > 1, mix(name[first] + mix(length * M2 + salt)), name[first])
-        low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+        made = length > 1
+        name = np.where(made, mix(name[first] + mix(length * M2 + salt)), name[first])
+        if self.ranges:
+            low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
         start, end, doc = start[first], end[last], doc[first]
         inside = doc[1:] == doc[:-1]
-        wide_low, wide_high = np.minimum(low, start - 1), np.maximum(high, end + 1)
-        k = np.flatnonzero(inside & (words[end[:-1] - 1] == words[end[1:] - 1])) + 1
-        wide_low[k] = np.minimum(wide_low[k], low[k - 1])
-        k = np.flatnonzero(inside & (words[start[:-1]] == words[start[1:]]))
-        wide_high[k] = np.maximum(wide_high[k], high[k + 1])
-        low, high = wide_low, wide_high
+        if self.ranges:
+            wide_low, wide_high = np.minimum(low, start - 1), np.maximum(high, end + 1)
+            k = np.flatnonzero(inside & (words[end[:-1] - 1] == words[end[1:] - 1])) + 1
+            wide_low[k] = np.minimum(wide_low[k], low[k - 1])
+            k = np.flatnonzero(inside & (words[start[:-1]] == words[start[1:]]))
+            wide_high[k] = np.maximum(wide_high[k], high[k + 1])
+            low, high = wide_low, wide_high
         right = mix(name + salt) >> U(63) == 1
         after, before = np.append(inside, False), np.concatenate([[False], inside])
         head = ~right & np.append(right[1:], False) & after
         tail = np.concatenate([[False], head[:-1]])
-        new_name, new_low, new_high, new_end = name.copy(), low.copy(), high.copy(), end.copy()
-        k = np.flatnonzero(~right & ~head)
-        new_high[k] = np.where(after[k], np.maximum(high[k], high[np.minimum(k + 1, len(high) - 1)]), end[k] + 1)
-        k = np.flatnonzero(right & ~tail)
-        new_low[k] = np.where(before[k], np.minimum(low[k], low[np.maximum(k - 1, 0)]), start[k] - 1)
         k = np.flatnonzero(head)
+        if self.ranges:
+            new_low, new_high = low.copy(), high.copy()
+            j = np.flatnonzero(~right & ~head)
+            new_high[j] = np.where(after[j], np.maximum(high[j], high[np.minimum(j + 1, len(high) - 1)]), end[j] + 1)
+            j = np.flatnonzero(right & ~tail)
+            new_low[j] = np.where(before[j], np.minimum(low[j], low[np.maximum(j - 1, 0)]), start[j] - 1)
+            new_high[k] = high[k + 1]
+            self.low, self.high = new_low[~tail], new_high[~tail]
+        new_name, new_end = name.copy(), end.copy()
         new_name[k] = mix(name[k] * M3 + mix(name[k + 1] + salt))
-        new_end[k], new_high[k] = end[k + 1], high[k + 1]
-        name, start, end, low, high, doc = (x[~tail] for x in (new_name, start, new_end, new_low, new_high, doc))
-    fits = (high - low <= window) & (low >= s.starts[doc]) & (high <= s.starts[doc + 1])
-    return name[fits], low[fits], high[fits], doc[fits]
-
-
-def planes(x: np.ndarray, size: int) -> bytes:
-    """The low `size` bytes of each number, all first bytes first: of sorted or small numbers, the high
-    planes then hardly take room in a compressed shuffle."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
-
-
-def unplanes(b: bytes, size: int) -> np.ndarray:
-    out = np.zeros((len(b) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(b, np.uint8).reshape(size, -1).T
-    return out.view(U).ravel()
-
-
-def packed(x: np.ndarray) -> bytes:
-    """Integers in as many planes as the largest needs (eight where one is negative); the first byte says how many."""
-    x = np.asarray(x, np.int64)
-    size = 1 if not len(x) else 8 if x.min() < 0 else max(1, -(-int(x.max()).bit_length() // 8))
-    return bytes([size]) + planes(x, size)
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    return unplanes(b[1:], b[0]).view(np.int64)
-
-
-def extremes(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Groups equal keys: sorted order, group number of each sorted row, smallest low and largest high of each group."""
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-        for k in keys:
-            s = k[order]
-            new[1:] |= s[1:] != s[:-1]
-    first = np.flatnonzero(new)
-    if not len(first):
-        return order, first, low[:0], high[:0]
-    return order, np.cumsum(new) - 1, np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
-
-
-REPORT = "bucket int, shard int, names binary, more binary, lows binary, high_at binary, highs binary"
-ANSWER = "shard int, names binary, more binary, lows binary, highs binary"
-_REPORT_TYPES = [pa.int32(), pa.int32()] + [pa.binary()] * 5
-_ANSWER_TYPES = [pa.int32()] + [pa.binary()] * 4
-
-
-def _table(rows: list[tuple], spec: str, types: list) -> pa.Table:
-    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[c.split()[0] for c in spec.split(", ")])
-
-
-def report(shard: int, name: np.ndarray, more: np.ndarray | None, ids: np.ndarray, buckets: int) -> pa.Table:
-    """Distinct names of a shard with their smallest and largest doc_id, dealt to buckets by name."""
-    keys = [name] if more is None else [name, more]
-    order, group, low, high = extremes(keys, ids, ids)
-    first = np.flatnonzero(np.diff(group, prepend=-1))
-    name = name[order][first]
-    more = None if more is None else more[order][first]
-    bucket = (name >> U(32)) * U(buckets) >> U(32)
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(U))
-    rows = []
-    for b in np.flatnonzero(np.diff(cuts)):
-        part = slice(cuts[b], cuts[b + 1])
-        differ = np.flatnonzero(low[part] != high[part])
-        names = planes(name[part] >> U(16), 6) if more is None else planes(name[part], 8)
-        rows.append((b, shard, names, b"" if more is None else planes(more[part], MORE), packed(low[part]), packed(differ), packed(high[part][differ])))
-    return _table(rows, REPORT, _REPORT_TYPES)
-
-
-def merge(reports: pa.Table) -> pa.Table:
-    """The names of one bucket that several documents have, for each shard that reported them."""
-    columns = {c: reports.column(c).to_pylist() for c in reports.column_names}
-    double = any(columns["more"])
-    names = [unplanes(b, 8 if double else 6) for b in columns["names"]]
-    sizes = [len(n) for n in names]
-    lows = [unpacked(b) for b in columns["lows"]]
-    highs = [x.copy() for x in lows]
-    for h, at, value in zip(highs, columns["high_at"], columns["highs"], strict=True):
-        h[unpacked(at)] = unpacked(value)
-    name, low, high = map(np.concatenate, (names, lows, highs))
-    more = np.concatenate([unplanes(b, MORE) for b in columns["more"]]) if double else None
-    source = np.repeat(np.arange(len(sizes)), sizes)
-    order, group, least, most = extremes([name] if more is None else [name, more], low, high)
-    # of windows, only those that some document of the shard has after another: others lose nothing there
-    shared = least[group] < (high[order] if double else most[group])
-    order, group = order[shared], group[shared]
-    by_source = np.argsort(source[order], kind="stable")
-    order, group = order[by_source], group[by_source]
-    cuts = np.searchsorted(source[order], np.arange(len(sizes) + 1))
-    rows = []
-    for k, shard in enumerate(columns["shard"]):
-        if cuts[k] < cuts[k + 1]:
-            own, g = order[cuts[k] : cuts[k + 1]], group[cuts[k] : cuts[k + 1]]
-            if double:
-                # back in the shard 80 bits tell its own windows apart
-                rows.append((shard, planes(name[own] >> U(16), 6), planes(more[own], 4), packed(least[g]), b""))
-            else:
-                rows.append((shard, planes(name[own], 6), b"", packed(least[g]), packed(most[g])))
-    return _table(rows, ANSWER, _ANSWER_TYPES)
-
-
-def _answers(table: pa.Table, double: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """names, then for symbols smallest and largest doc_id, for windows second name and smallest doc_id; by name."""
-    rows = {c: table.column(c).to_pylist() for c in ("names", "more", "lows", "highs")}
-    if not rows["names"]:
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    name = np.concatenate([unplanes(b, 6) for b in rows["names"]])
-    low = np.concatenate([unpacked(b) for b in rows["lows"]])
-    other = np.concatenate([unplanes(b, 4).view(np.int64) if double else unpacked(b) for b in rows["more" if double else "highs"]])
-    order = np.argsort(name, kind="stable")
-    return (name[order], other[order], low[order]) if double else (name[order], low[order], other[order])
+        new_end[k] = end[k + 1]
+        self.name, self.start, self.end, self.doc = new_name[~tail], start[~tail], new_end[~tail], doc[~tail]
+        return (made | head)[~tail]
+
+
+def low_symbols(s: Shard, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names, ranges [low, high) and documents of the symbols whose range fits in a window of their document; a window that
+    holds none has its first word, with all of the window as its range."""
+    x = Symbols(s)
+    for _ in range(rounds):
+        x.next()
+    fits = (x.high - x.low <= window) & (x.low >= s.starts[x.doc]) & (x.high <= s.starts[x.doc + 1])
+    name, low, high, doc = x.name[fits], x.low[fits], x.high[fits], x.doc[fits]
+    place = s.places(window)
+    bare = place[~_marked(np.maximum(high - window, 0), low + 1, len(s.doc))[place]]
+    return tuple(np.concatenate(p) for p in ((name, mix(s.h1[bare] + M1)), (low, bare), (high, bare + window), (doc, s.doc[bare])))
+
+
+def high_symbols(s: Shard, docs: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names, second names and words [start, end) of all symbols of a window or more, of the documents marked in `docs`."""
+    x = Symbols(s, docs, ranges=False)
+    n, stalled, found = len(np.unique(x.doc)), 0, []
+    while len(x.name) > n and stalled < STALL:
+        made = x.next()
+        stalled = 0 if made.any() else stalled + 1
+        k = np.flatnonzero(made & (x.end - x.start >= window))
+        found.append((x.name[k], x.start[k], x.end[k]))
+    if not found:
+        return np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    name, start, end = map(np.concatenate, zip(*found, strict=True))
+    return name, half(mix(s.h2[start] + M1 * s.h2[end - 1] + M2 * (end - start).astype(U))), start, end
 
 
 def _marked(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -237,61 +182,130 @@ def _marked(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(ends, n), minlength=n + 1)[: n + 1])[:n] > 0
 
 
-def open_windows(s: Shard, answers: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that may repeat: their document numbers and two names."""
-    name, low, high, doc = symbols(s, window)
-    shared, least, most = _answers(answers, False)
-    name = name >> U(16)
-    at = np.minimum(np.searchsorted(shared, name), max(0, len(shared) - 1))
-    known = shared[at] == name if len(shared) else np.zeros(len(name), bool)
+REPORT = "bucket int, shard int, names array<long>, more array<int>, lows array<long>, highs array<long>"
+
+
+def report(shard: int, name: np.ndarray, more: np.ndarray, ids: np.ndarray, buckets: int) -> pa.Table:
+    """Distinct names of a shard with their smallest and largest doc_id, dealt to buckets by name."""
+    order = np.lexsort((more, name))
+    name, more, ids = name[order], more[order], ids[order]
+    first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (more[1:] != more[:-1])])) if len(name) else np.zeros(0, np.int64)
+    low, high = (np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)) if len(first) else (ids, ids)
+    name, more = name[first], more[first]
+    cuts = np.searchsorted((name >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1).astype(U))
+    used = np.flatnonzero(np.diff(cuts))
+    offsets = pa.array(np.append(cuts[used], len(name)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, k)) for x, k in ((name.view(np.int64), pa.int64()), (more, pa.int32()), (low, pa.int64()), (high, pa.int64()))]
+    return pa.table([pa.array(used, pa.int32()), pa.array(np.full(len(used), shard), pa.int32()), *lists], names=[c.split()[0] for c in REPORT.split(", ")])
+
+
+def merged(reports: DataFrame, kind: int, buckets: int) -> DataFrame:
+    """shard, kind, names, least, other: for each shard the names that it has reported and that several documents have. `other` is
+    the largest doc_id for low symbols, the second name else."""
+    x = reports.repartition(buckets, "bucket").select("bucket", "shard", F.inline(F.arrays_zip("names", "more", "lows", "highs")))
+    every = W.partitionBy("bucket", "names", "more")
+    x = x.withColumn("least", F.min("lows").over(every)).withColumn("most", F.max("highs").over(every))
+    # of high symbols and windows, only those that some document of the shard has after another: others lose nothing there
+    x = x.filter(F.col("least") < F.col("most" if kind == LOW else "highs"))
+    other = F.col("most") if kind == LOW else F.col("more").cast("long")
+    x = x.groupBy("bucket", "shard").agg(F.collect_list(F.struct("names", "least", other.alias("other"))).alias("x"))
+    return x.select("shard", F.lit(kind).alias("kind"), F.col("x.names").alias("names"), F.col("x.least").alias("least"), F.col("x.other").alias("other"))
+
+
+class Answers:
+    """What other documents share, by name."""
+
+    def __init__(self, table: pa.Table, kind: int):
+        rows = table.filter(pc.equal(table.column("kind"), kind)).combine_chunks() if table.num_rows else table
+        flat = lambda c: pa.concat_arrays(x).flatten().to_numpy(zero_copy_only=False) if (x := rows.column(c).chunks) else np.zeros(0, np.int64)
+        names = flat("names").view(U)
+        order = np.argsort(names, kind="stable")
+        self.names, self.least, self.other = names[order], flat("least")[order], flat("other")[order]
+
+    def find(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.names, name)
+        return at, self._at(at, name)
+
+    def _at(self, at: np.ndarray, name: np.ndarray) -> np.ndarray:
+        return self.names[np.minimum(at, len(self.names) - 1)] == name if len(self.names) else np.zeros(len(name), bool)
+
+    def smaller(self, name: np.ndarray, more: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Names that a document with a smaller id has; names alike but for their second half stand side by side."""
+        hit = np.zeros(len(name), bool)
+        at, known = self.find(name)
+        while len(todo := np.flatnonzero(~hit & known)):
+            hit[todo] = (self.other[at[todo]] == more[todo]) & (self.least[at[todo]] < own[todo])
+            at[todo] += 1
+            known[todo] = (at[todo] < len(self.names)) & self._at(at[todo], name[todo])
+        return hit
+
+
+def open_windows(s: Shard, answers: pa.Table, window: int) -> np.ndarray:
+    """Marks the starts of windows that may repeat: symbols of theirs are known, and other documents have all of them."""
+    shared = Answers(answers, LOW)
+    name, low, high, doc = low_symbols(s, window)
+    at, known = shared.find(name)
     own = s.ids[doc]
     no_source, no_use = ~known, ~known
-    no_source[known] = least[at[known]] >= own[known]
-    no_use[known] = most[at[known]] <= own[known]
+    no_source[known] = shared.least[at[known]] >= own[known]
+    no_use[known] = shared.other[at[known]] <= own[known]
     n = len(s.doc)
-    spared = [_marked(np.maximum(high[x] - window, 0), low[x] + 1, n) for x in (no_source, no_use)]
-    place, a, b = s.windows(window)
-    keep = ~(spared[0] & spared[1])[place]
-    return s.doc[place[keep]], a[keep], b[keep]
+    first, end = np.maximum(high - window, 0), low + 1
+    closed = _marked(first[no_source], end[no_source], n) & _marked(first[no_use], end[no_use], n)
+    inside = np.zeros(n, bool)
+    inside[s.places(window)] = True
+    return inside & _marked(first[known], end[known], n) & ~closed
+
+
+def long_repeats(s: Shard, answers: pa.Table, docs: np.ndarray, window: int) -> np.ndarray:
+    """Marks the starts of windows inside high symbols that a smaller doc_id has too."""
+    name, more, start, end = high_symbols(s, docs, window)
+    hit = Answers(answers, HIGH).smaller(name, more, s.ids[s.doc[start]])
+    return _marked(start[hit], end[hit] - window + 1, len(s.doc))
 
 
 def covered(s: Shard, answers: pa.Table, window: int) -> np.ndarray:
     """Words covered by windows that start in a smaller doc_id."""
-    shared, more, least = _answers(answers, True)
-    place, a, b = s.windows(window)
-    if not len(shared):
-        return np.zeros(len(s.doc), bool)
-    a, b = a >> U(16), (b & U(0xFFFFFFFF)).view(np.int64)
-    hit = np.zeros(len(a), bool)
-    at = np.searchsorted(shared, a)
-    # names that agree in their first 48 bits stand side by side
-    while len(todo := np.flatnonzero(~hit & (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == a))):
-        hit[todo] = (more[at[todo]] == b[todo]) & (least[at[todo]] < s.ids[s.doc[place[todo]]])
-        at[todo] += 1
-    return _marked(place[hit], place[hit] + window, len(s.doc))
+    hit = long_repeats(s, answers, np.ones(len(s.ids), bool), window)
+    shared = Answers(answers, PLACES)
+    if len(shared.names):
+        at = s.places(window)
+        at = at[~hit[at]]
+        hit[at] = shared.smaller(*s.names(at, window), s.ids[s.doc[at]])
+    at = np.flatnonzero(hit)
+    return _marked(at, at + window, len(s.doc))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the removed spans in words (span_starts, span_ends) of each
     row; with_text adds `kept`, the words that stay, joined by single spaces."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
 
     def first(key: tuple, rows: pa.Table) -> pa.Table:
         s = Shard(rows)
-        name, _, _, doc = symbols(s, window)
-        return report(key[0].as_py(), name, None, s.ids[doc], shards)
+        name, _, _, doc = low_symbols(s, window)
+        return report(key[0].as_py(), name, np.zeros(len(name), np.int32), s.ids[doc], buckets)
 
     def second(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _table([], REPORT, _REPORT_TYPES)
         s = Shard(rows)
-        doc, a, b = open_windows(s, answers, window)
-        return report(key[0].as_py(), a, b, s.ids[doc], shards)
+        wide = open_windows(s, answers, window)
+        name, more, start, end = high_symbols(s, np.bincount(s.doc[wide], minlength=len(s.ids)) > 0, window)
+        sums = np.concatenate([[0], np.cumsum(wide)])
+        keep = sums[end - window + 1] - sums[start] == end - window + 1 - start
+        return report(key[0].as_py(), name[keep], more[keep], s.ids[s.doc[start[keep]]], buckets)
 
     def third(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        s = Shard(rows)
+        wide = open_windows(s, answers, window)
+        at = np.flatnonzero(wide & ~long_repeats(s, answers, np.bincount(s.doc[wide], minlength=len(s.ids)) > 0, window))
+        return report(key[0].as_py(), *s.names(at, window), s.ids[s.doc[at]], buckets)
+
+    def last(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         s = Shard(rows)
         gone = covered(s, answers, window)
         out: list[list] = [[] for _ in range(6)]
@@ -309,15 +323,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
             arrays, names = [*arrays, pa.array(out[5], pa.binary()).cast(pa.string())], [*names, "kept"]
         return pa.table(arrays, names=names)
 
-    by_shard = lambda df: df.groupBy("shard")
-    by_bucket = lambda df: df.groupBy("bucket").applyInArrow(merge, ANSWER)
-    shared_symbols = by_bucket(by_shard(base).applyInArrow(first, REPORT))
-    shared_windows = by_bucket(by_shard(base).cogroup(by_shard(shared_symbols)).applyInArrow(second, REPORT))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, span_starts array<long>, span_ends array<long>" + (", kept string" if with_text else "")
-    return by_shard(base).cogroup(by_shard(shared_windows)).applyInArrow(third, schema)
-
+    def answered(make: Callable[..., pa.Table], answers: DataFrame, schema: str) -> DataFrame:
+        return base.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(make, schema)
 
-def iter_windows(words: list[bytes], window: int = WINDOW) -> Iterator[tuple[bytes, ...]]:
-    """The windows of one document, for tests against brute force."""
-    for i in range(len(words) - window + 1):
-        yield tuple(words[i : i + window])
+    low = merged(base.groupBy("shard").applyInArrow(first, REPORT), LOW, buckets)
+    high = merged(answered(second, low, REPORT), HIGH, buckets)
+    places = merged(answered(third, low.unionByName(high), REPORT), PLACES, buckets)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, span_starts array<long>, span_ends array<long>" + (", kept string" if with_text else "")
+    return answered(last, high.unionByName(places), schema)

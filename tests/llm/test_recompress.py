@@ -59,7 +59,7 @@ def test_equal_substrings_get_equal_symbols():
     common = [f"c{k}" for k in rng.integers(0, 9, 200)]
     texts = [" ".join(["x1", "x2", *common, "y"]), " ".join(["z", *common, "q1", "q2", "q3"])]
     s = recompress.Shard(pa.table({"doc_id": pa.array([1, 2]), "text": pa.array(texts)}))
-    name, low, high, doc = recompress.symbols(s)
+    name, low, high, doc = recompress.low_symbols(s)
     inside = [{(n, a - s.starts[d] - off, b - s.starts[d] - off) for n, a, b, x in zip(name, low, high, doc, strict=True) if x == d and a - s.starts[d] >= off and b - s.starts[d] <= off + 200} for d, off in ((0, 2), (1, 1))]
     assert inside[0] == inside[1] and len(inside[0]) > 40
 
@@ -72,9 +72,47 @@ def test_kept_text_and_spans(spark, no_docs):
     assert recompress.repeats(no_docs).count() == 0
 
 
-def test_packing():
-    for x in ([], [0], [255, 256, 1 << 40], [-1, 5]):
-        assert recompress.unpacked(recompress.packed(np.array(x, np.int64))).tolist() == x
+def test_high_symbols_reveal_whole_copies():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"v{k}" for k in rng.integers(0, 50, n)) for n in (13, 40, 700)]
+    s = recompress.Shard(pa.table({"doc_id": pa.array(range(6)), "text": pa.array(texts * 2)}))
+    name, more, start, end = recompress.high_symbols(s, np.ones(6, bool))
+    of = lambda d: sorted(zip(name[s.doc[start] == d], more[s.doc[start] == d], start[s.doc[start] == d] - s.starts[d], end[s.doc[start] == d] - s.starts[d]))
+    for d in range(3):
+        assert of(d) == of(d + 3) and max(b - a for _, _, a, b in of(d)) == s.sizes[d]
+
+
+def test_results_come_through_the_symbols(spark, docs, monkeypatch):
+    none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
+    rows = docs.select("doc_id", "text").collect()
+    small = recompress.Shard(pa.table({"doc_id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows])}))
+    empty = pa.table({"kind": pa.array([], pa.int32()), "names": pa.array([], pa.list_(pa.int64())), "least": pa.array([], pa.list_(pa.int64())), "other": pa.array([], pa.list_(pa.int64()))})
+    assert not recompress.open_windows(small, empty, 13).any()
+    name, _, _, doc = recompress.low_symbols(small)
+    low, high = {}, {}
+    for n, i in zip(name.view(np.int64).tolist(), small.ids[doc].tolist()):
+        low[n], high[n] = min(low.get(n, i), i), max(high.get(n, i), i)
+    shared = [n for n in low if low[n] < high[n]]
+    lists = {"names": shared, "least": [low[n] for n in shared], "other": [high[n] for n in shared]}
+    table = pa.table({"kind": pa.array([recompress.LOW], pa.int32()), **{k: pa.array([v], pa.list_(pa.int64())) for k, v in lists.items()}})
+    assert recompress.open_windows(small, table, 13).any()
+    monkeypatch.setattr(recompress, "low_symbols", lambda *_: none)
+    assert not recompress.open_windows(small, table, 13).any()
+
+
+def test_reports_grow_with_the_shards():
+    """One row for each shard and bucket at most, whatever the number of shards."""
+    rng = np.random.default_rng(5)
+    for n in (10, 1000):
+        x = recompress.report(3, rng.integers(0, 1 << 63, n).astype(np.uint64), np.zeros(n, np.int32), np.arange(n), 16)
+        assert x.num_rows <= 16 and sum(map(len, x.column("names").to_pylist())) == n
+        assert recompress.report(3, np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), 16).num_rows == 0
+
+
+def test_repeated_and_missing_ids_are_dealt_to_all_shards(spark):
+    rows = [(None if k % 3 else 7, f"text number {k} " + "same words " * 5) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df, shard_bytes=200) == slow(rows)
 
 
 def test_against_sql(same_rows):
