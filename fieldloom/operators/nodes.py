@@ -5,18 +5,19 @@ bmu(t, year, month, node_i, node_j); (-1, -1) is unassigned and left out of ever
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.functions.calendar import WARM_MONTHS, month_position, season_year
+from fieldloom.sources import files
 
 # The node categories of the published 4 x 4 map, and the orders of categories.
 DRY = ((0, 0), (0, 1), (1, 0))
 WET = ((2, 2), (2, 3), (3, 1), (3, 2), (3, 3))
 CATEGORIES = ("Dry", "Transitional", "Wet")
 DEFAULT_PHASE = "Neutral"
-#: Counts of the published map, for where no table of assignments is at hand.
+# Counts of the published map, for where no table of assignments is at hand.
 FALLBACK_COUNTS = ((44, 18, 15, 10), (30, 21, 14, 12), (15, 18, 12, 7), (19, 12, 10, 7))
 
 
@@ -54,6 +55,14 @@ def dense_counts(bmu: DataFrame, rows: int, columns: int) -> DataFrame:
     return every.withColumn("share", F.try_divide(F.col("n") * 100.0, F.sum("n").over(total)))
 
 
+def counts_or_published(spark: SparkSession, path: str) -> DataFrame:
+    """Counts of the assignments by date at `path`; if there is no such table, those of the published map."""
+    if files.present_folders(spark, [path]):
+        return dense_counts(files.read_bmu_dates(spark, path), len(FALLBACK_COUNTS), len(FALLBACK_COUNTS[0])).select("node_i", "node_j", "n")
+    rows = F.array(*(F.struct(F.lit(i).alias("node_i"), F.lit(j).alias("node_j"), F.lit(n).cast("long").alias("n")) for i, row in enumerate(FALLBACK_COUNTS) for j, n in enumerate(row)))
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+
+
 def month_node_counts(bmu: DataFrame, columns: int) -> DataFrame:
     x = assigned(bmu).groupBy("month", "node_i", "node_j").agg(F.count("*").alias("n"))
     return x.withColumn("node", F.col("node_i") * columns + F.col("node_j")).withColumn("position", month_position(F.col("month")))

@@ -146,20 +146,6 @@ def calinski_harabasz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity.calinski_harabasz(catalog.fields(spark, sf_dir)).select(F.round("calinski_harabasz", 6).alias("calinski_harabasz"))
 
 
-@query()
-def validity_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validity.indices(catalog.fields(spark, sf_dir), 16)
-
-
-@query("WITH r AS (SELECT CASE WHEN label % 2 = 0 THEN 'ssim' ELSE 'euclidean' END AS training_metric, concat(3 + label % 2, 'x', 3 + label % 2) AS grid, vec_id % 97 AS a FROM embeddings) SELECT training_metric, grid, count(*) AS n_runs, round_even(avg(a / 100.0), 4) AS sil_euclidean FROM r GROUP BY ALL")
-def validity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = catalog.table(spark, sf_dir, "embeddings")
-    size = F.concat((3 + F.col("label") % 2).cast("string"), F.lit("x"), (3 + F.col("label") % 2).cast("string"))
-    zero = F.lit(0.0)
-    records = x.select(F.when(F.col("label") % 2 == 0, "ssim").otherwise("euclidean").alias("training_metric"), size.alias("grid"), (F.col("vec_id") % 97 / 100.0).alias("silhouette_euclidean"), *(zero.alias(c) for c in ("silhouette_correlation", "n_clusters_occupied", "n_nodes_empty", "max_node_share", "occupancy_entropy")))
-    return validity.summary(records).select("training_metric", "grid", "n_runs", "sil_euclidean")
-
-
 _KERNEL = "k AS (SELECT CAST(n AS INTEGER) - 2 AS o, exp(-((n - 2) * (n - 2)) / 4.5) AS g FROM range(5) AS r(n)), kn AS (SELECT o, g / (SELECT sum(g) FROM k) AS g FROM k)"
 _MIRROR = "CASE WHEN {0} < 0 THEN -1 - ({0}) WHEN {0} > 7 THEN 15 - ({0}) ELSE {0} END"
 

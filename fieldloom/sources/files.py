@@ -1,10 +1,11 @@
 """Files that the pipeline exchanges: NPY arrays, NetCDF classic cubes, JSON configurations, CSV tables, and what
-directory and file names say. Bytes are read by Spark (binaryFile), so any store that Spark knows will do; arrays are never
-unpickled."""
+directory and file names say. Bytes are read by Spark (binaryFile), so any store that Spark knows will do. Of pickled arrays
+only plain ones are read: nothing but arrays, numbers and containers can be in them, whatever the file says."""
 
 from __future__ import annotations
 
 import io
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,44 @@ def resolve(names: list[str], wanted: str) -> str | None:
     return next((a for a in DIMENSIONS[wanted] if a in names), None)
 
 
+class _PlainArrays(pickle.Unpickler):
+    """Unpickles arrays of numbers and of arrays; any other class or function in the file is an error."""
+
+    # The names under which pickled arrays refer to their own parts.
+    ALLOWED = frozenset((f"numpy{core}.multiarray", name) for core in (".core", "._core") for name in ("_reconstruct", "scalar")) | {("numpy", "ndarray"), ("numpy", "dtype"), ("_codecs", "encode")}
+
+    def find_class(self, module: str, name: str):
+        if (module, name) not in self.ALLOWED:
+            raise pickle.UnpicklingError(f"{module}.{name} is no part of a plain array")
+        return super().find_class(module, name)
+
+
+def plain_array(content: bytes) -> np.ndarray:
+    """An NPY file's array, pickled or not."""
+    f = io.BytesIO(content)
+    version = np.lib.format.read_magic(f)
+    read = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}.get(version)
+    if read is None:
+        raise ValueError(f"NPY version {version}")
+    shape, _, dtype = read(f)
+    return _PlainArrays(f).load().reshape(shape) if dtype.hasobject else np.load(io.BytesIO(content), allow_pickle=False)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """path, pos, iy, ix of saved index pairs (rows and columns of the valid cells, in their order)."""
+
+    def parse(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            for p, content in zip(b["path"], b["content"], strict=True):
+                iy, ix = (np.asarray(a, np.int64) for a in plain_array(bytes(content)))
+                yield pd.DataFrame({"path": p, "pos": np.arange(len(iy)), "iy": iy, "ix": ix})
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "content").mapInPandas(parse, "path string, pos int, iy int, ix int")
+
+
 def read_npy(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
     """path, i, row: each array's first axis as rows of doubles (a flat array gives rows of one)."""
 
@@ -40,7 +79,7 @@ def read_npy(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
 
         for b in batches:
             for p, content in zip(b["path"], b["content"], strict=True):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
+                a = plain_array(bytes(content))
                 a = a.reshape(len(a), -1).astype(float)
                 yield pd.DataFrame({"path": p, "i": np.arange(len(a)), "row": list(a)})
 
@@ -68,7 +107,7 @@ def read_cube(spark: SparkSession, path: str, variable: str | None = None, polic
         for b in batches:
             for content in b["content"]:
                 f = netcdf.read(bytes(content))
-                name = variable or detect_variable(list(f.variables), policy)
+                name = variable or detect_variable([n for n in f.variables if n not in f.dimensions], policy)
                 axes = [resolve(list(f.variables), d) for d in DIMENSIONS]
                 if name not in f.variables or None in axes:
                     raise ValueError(f"needs {name} over time, latitude and longitude; has {list(f.variables)}")
@@ -121,5 +160,11 @@ def complete_directories(files: DataFrame, required: tuple[str, ...], column: st
     return x.groupBy("directory").agg(F.count_distinct("name").alias("n")).filter(F.col("n") == len(required)).select("directory")
 
 
+def present_folders(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the folders that exist; the others are skipped."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return [p for p in paths if path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p))]
+
+
 def missing(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     return expected.join(present.select(*keys).distinct(), keys, "left_anti")

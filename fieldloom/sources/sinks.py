@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
+import tempfile
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +18,40 @@ def write_runs(bmu: DataFrame, path: str, keys: tuple[str, ...] = ("run_id",)) -
     bmu.write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
+def write_npy(bmu: DataFrame, path: str) -> None:
+    """A file of pairs (node_i, node_j) in the order of t for each run, named after it: bmu has run_id, t, node_i, node_j. `path` is a
+    folder that all executors share."""
+
+    def save(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            for run, pairs in zip(b["run_id"], b["pairs"], strict=True):
+                a, out = np.array([(p["node_i"], p["node_j"]) for p in pairs], np.int64).reshape(-1, 2), io.BytesIO()
+                np.save(out, a)
+                system, place = fs.FileSystem.from_uri(path)
+                with system.open_output_stream(f"{place.rstrip('/')}/{run}.npy") as f:
+                    f.write(out.getvalue())
+                yield pd.DataFrame({"run_id": [run], "n": [len(a)]})
+
+    system, place = fs.FileSystem.from_uri(path)
+    system.create_dir(place, recursive=True)
+    runs = bmu.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("t", "node_i", "node_j"))).alias("pairs"))
+    runs.mapInPandas(save, "run_id string, n long").write.format("noop").mode("overwrite").save()
+
+
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     """Small result tables: one file with a header."""
     df.coalesce(1).write.mode("append" if append else "overwrite").csv(path, header=True)
 
 
+def write_bytes(path: str, content: bytes) -> None:
+    system, place = fs.FileSystem.from_uri(path)
+    system.create_dir(place.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(place) as f:
+        f.write(content)
+
+
 def append_history(row: DataFrame, path: str) -> None:
     """Scores of a run, added to those of earlier runs."""
     row.write.mode("append").parquet(path)
@@ -36,6 +71,18 @@ def write_config(spark: SparkSession, config: dict, path: str) -> None:
     spark.range(1).select(F.lit(json.dumps(config)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir or the context's checkpoint folder; a session
+    without a cluster may do with a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="fieldloom-")
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cached(df: DataFrame, path: str, fingerprint: str) -> DataFrame:
     """Rows written once under a path that names their input's fingerprint, so that a changed input is never served
     from an old file."""

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pytest
 
@@ -44,10 +46,27 @@ def test_npy_and_names(spark, tmp_path):
     assert [(r["grid"], r["seed"]) for r in named.collect()] == [(None, None)] * 2
 
 
-def test_pickled_arrays_are_refused(spark, tmp_path):
-    np.save(tmp_path / "bad.npy", np.array([{"a": 1}], dtype=object))
-    with pytest.raises(Exception, match="allow_pickle"):
-        files.read_npy(spark, str(tmp_path)).collect()
+class Evil:
+    def __reduce__(self):
+        return print, ("run",)
+
+
+def test_pickled_arrays_are_read_if_plain(spark, tmp_path):
+    index = np.empty(2, object)
+    index[0], index[1] = np.array([0, 0, 2]), np.array([1, 3, 0])
+    np.save(tmp_path / "valid_idx.npy", index, allow_pickle=True)
+    np.save(tmp_path / "square.npy", np.array([[0, 0, 2], [1, 3, 0]], dtype=object), allow_pickle=True)
+    for name in ("valid_idx", "square"):
+        found = files.read_index(spark, str(tmp_path / f"{name}.npy")).orderBy("pos").collect()
+        assert [(r["pos"], r["iy"], r["ix"]) for r in found] == [(0, 0, 1), (1, 0, 3), (2, 2, 0)]
+    for bad in (np.array([Evil()], dtype=object), np.array([open], dtype=object)):
+        np.save(tmp_path / "bad.npy", bad, allow_pickle=True)
+        with pytest.raises(pickle.UnpicklingError, match="no part of a plain array"):
+            files.plain_array((tmp_path / "bad.npy").read_bytes())
+
+
+def test_absent_folders_are_skipped(spark, tmp_path):
+    assert files.present_folders(spark, [str(tmp_path), str(tmp_path / "none")]) == [str(tmp_path)]
 
 
 def test_variable_detection():
