@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TINY, LEAST_WEIGHT = 1e-12, 1e-10
+#: Cells of the stacks that are convolved at once.
+CELLS = 1_000_000
 
 
 def gaussian(size: int = 11, sigma: float = 1.5) -> np.ndarray:
@@ -96,20 +98,24 @@ def sliding_ssim(pairs: DataFrame, shape: tuple[int, int], mask: np.ndarray | No
     element gets null."""
     mask = np.ones(shape, bool) if mask is None else mask
 
+    step = max(1, CELLS // mask.size)
+
+    def images(vectors) -> np.ndarray:
+        out = np.zeros((len(vectors), *shape))
+        out[:, mask] = np.stack(vectors)
+        return out
+
     def score(batches: Iterator) -> Iterator:
         import pandas as pd
 
         window = Window(mask, **options)
         for b in batches:
-            out = []
-            for x, w in zip(b["vec"], b["w"], strict=True):
-                if x is None or w is None or np.isnan(x := np.asarray(x, float)).any() or np.isnan(w := np.asarray(w, float)).any():
-                    out.append(None)
-                    continue
-                a, c = np.zeros(shape), np.zeros(shape)
-                a[mask], c[mask] = x, w
-                out.append(float(window.similarity(a, c)))
-            yield pd.DataFrame({"t": b["t"], "node": b["node"], "ssim": out})
+            out = np.full(len(b), np.nan)
+            whole = [k for k, (x, w) in enumerate(zip(b["vec"], b["w"], strict=True)) if x is not None and w is not None and not np.isnan(np.asarray(x, float)).any() and not np.isnan(np.asarray(w, float)).any()]
+            for at in range(0, len(whole), step):
+                k = whole[at : at + step]
+                out[k] = window.similarity(images(b["vec"].iloc[k].tolist()), images(b["w"].iloc[k].tolist()))
+            yield pd.DataFrame({"t": b["t"], "node": b["node"], "ssim": pd.array([None if np.isnan(v) else v for v in out], dtype="Float64")})
 
     return pairs.select("t", "node", "vec", "w").mapInPandas(score, "t long, node int, ssim double")
 

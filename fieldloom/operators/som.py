@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.sliding import Stack, Window
 
-MAX_VALUES = 200_000_000
+MAX_VALUES = 100_000_000
 # Fixed values of the exploratory and of the final training.
 GRIDS, SEEDS = (3, 4, 6), (1, 10, 22, 50, 77, 123, 145, 200, 321, 444, 555, 999)
 ITERATIONS, RADIUS, RATE = 5000, 1.0, 0.5
@@ -28,8 +28,11 @@ def matrix_of(fields: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n = fields.agg(F.sum(F.size("vec"))).first()[0] or 0
     if n > MAX_VALUES:
         raise ValueError(f"{n} values do not fit in one task; sample cells or months, or raise MAX_VALUES")
-    rows = fields.select("t", "vec").orderBy("t").collect()
-    return np.array([r["t"] for r in rows]), np.array([[np.nan if v is None else v for v in r["vec"]] for r in rows], float)
+    table = fields.select("t", F.col("vec").cast("array<double>").alias("vec")).toArrow().sort_by("t")
+    if not table.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    vec = table.column("vec").combine_chunks()
+    return table.column("t").to_numpy(), vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vec), -1)
 
 
 def principal(data: np.ndarray, n: int = 2) -> tuple[np.ndarray, np.ndarray]:

@@ -57,15 +57,28 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     return _between_within(x.join(F.broadcast(centre), "g").select("g", F.abs(F.col("v") - F.col("c")).alias("v")))
 
 
+#: Ranges of values that are ranked apart.
+RANGES = 256
+
+
+def bounds_of(counts: DataFrame, value: str) -> list[float]:
+    """Values that cut the distinct ones into about RANGES equal parts: fixed numbers, so that whatever runs again cuts alike."""
+    cuts = counts.select(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0]
+    return sorted(set(cuts or []))
+
+
 def average_ranks(values: DataFrame, value: str = "v") -> DataFrame:
-    """Adds `rank` with ties at their mean, and `ties`. Counts of distinct values are aggregated first, so the one running
-    sum goes over distinct values in range partitions' totals rather than over rows."""
+    """Adds `rank` with ties at their mean, and `ties`. Counts of distinct values are aggregated first; a running sum goes over the
+    totals of RANGES ranges, and over the distinct values inside each."""
     counts = values.groupBy(value).agg(F.count("*").alias("ties"))
-    parts = counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()).persist()
+    bounds = bounds_of(counts, value)
+    # a value's range is the number of bounds at or below it
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col(value)))
+    parts = counts.withColumn("part", part)
     totals = parts.groupBy("part").agg(F.sum("ties").alias("n"))
     ahead = totals.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     inside = W.partitionBy("part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranked = parts.withColumn("below", F.coalesce(F.sum("ties").over(inside), F.lit(0))).join(F.broadcast(ahead), "part")
+    ranked = parts.withColumn("below", F.coalesce(F.sum("ties").over(inside), F.lit(0))).join(ahead, "part")
     ranked = ranked.select(F.col(value), "ties", (F.col("ahead") + F.col("below") + (F.col("ties") + 1) / 2.0).alias("rank"))
     return values.join(ranked, value)
 
@@ -151,7 +164,6 @@ def shapiro(values: list[float]) -> tuple[float, float]:
 def phase_tests(seasons: DataFrame, order: tuple[str, ...] = ("El Niño", "Neutral", "La Niña")) -> DataFrame:
     """seasons: season_year, mean_index, oni, phase -> one row of all tests; a test without enough values is null."""
     spark = seasons.sparkSession
-    seasons = seasons.persist()
     d = seasons.filter(F.col("phase").isin(*order))
     names = ("el_nino", "neutral", "la_nina")
     out: dict[str, float | int | None] = {}

@@ -150,17 +150,42 @@ _KERNEL = "k AS (SELECT CAST(n AS INTEGER) - 2 AS o, exp(-((n - 2) * (n - 2)) /
 _MIRROR = "CASE WHEN {0} < 0 THEN -1 - ({0}) WHEN {0} > 7 THEN 15 - ({0}) ELSE {0} END"
 
 
-@query(
-    _with(_PROTO, _KERNEL, "cell AS (SELECT l.t, l.node, l.pos // 8 AS y, l.pos % 8 AS x, l.v AS a, p.w AS b FROM long l JOIN proto p ON p.node = l.node AND p.pos = l.pos)",
-          "place AS (SELECT CAST(n // 8 AS INTEGER) AS y, CAST(n % 8 AS INTEGER) AS x FROM range(64) AS r(n))",
-          f"tap AS (SELECT y, x, {_MIRROR.format('y + ky.o')} AS yy, {_MIRROR.format('x + kx.o')} AS xx, ky.g * kx.g AS g FROM place, kn ky, kn kx)",
-          "conv AS (SELECT t, any_value(node) AS node, tap.y, tap.x, sum(g * a) AS ma, sum(g * b) AS mb, sum(g * a * a) AS aa, sum(g * b * b) AS bb, sum(g * a * b) AS ab FROM tap JOIN cell ON cell.y = yy AND cell.x = xx GROUP BY t, tap.y, tap.x)")
-    + " SELECT t, CAST(any_value(node) AS INTEGER) AS node, round(avg((2 * ma * mb + 1e-4) * (2 * (ab - ma * mb) + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (aa - ma * ma + bb - mb * mb + 9e-4) + 1e-12)), 6) AS ssim FROM conv GROUP BY t"
-)
-def ssim_sliding_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sliding(valid: str) -> str:
+    """Window means run over the valid cells of each window."""
+    return _with(
+        _PROTO, _KERNEL, f"cell AS (SELECT l.t, l.node, l.pos // 8 AS y, l.pos % 8 AS x, l.v AS a, p.w AS b FROM long l JOIN proto p ON p.node = l.node AND p.pos = l.pos WHERE {valid.format('l.pos')})",
+        "place AS (SELECT CAST(n // 8 AS INTEGER) AS y, CAST(n % 8 AS INTEGER) AS x FROM range(64) AS r(n))",
+        f"tap AS (SELECT y, x, {_MIRROR.format('y + ky.o')} AS yy, {_MIRROR.format('x + kx.o')} AS xx, ky.g * kx.g AS g FROM place, kn ky, kn kx)",
+        "conv AS (SELECT t, any_value(node) AS node, tap.y, tap.x, sum(g * a) / sum(g) AS ma, sum(g * b) / sum(g) AS mb, sum(g * a * a) / sum(g) AS aa, sum(g * b * b) / sum(g) AS bb, sum(g * a * b) / sum(g) AS ab FROM tap JOIN cell ON cell.y = yy AND cell.x = xx GROUP BY t, tap.y, tap.x)",
+        "slid AS (SELECT t, CAST(any_value(node) AS INTEGER) AS node, avg((2 * ma * mb + 1e-4) * (2 * (ab - ma * mb) + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (aa - ma * ma + bb - mb * mb + 9e-4) + 1e-12)) AS ssim FROM conv GROUP BY t)",
+    )
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = catalog.fields(spark, sf_dir)
-    pairs = x.join(F.broadcast(bmu.prototypes_of(x).withColumnRenamed("vec", "w")), "node")
-    return sliding.sliding_ssim(pairs, (8, 8), size=5, sigma=1.5).select("t", "node", F.round("ssim", 6).alias("ssim"))
+    return x.join(bmu.prototypes_of(x).withColumnRenamed("vec", "w"), "node")
+
+
+@query(_sliding("true") + " SELECT t, node, round(ssim, 6) AS ssim FROM slid")
+def ssim_sliding_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliding.sliding_ssim(_pairs(spark, sf_dir), (8, 8), size=5, sigma=1.5).select("t", "node", F.round("ssim", 6).alias("ssim"))
+
+
+@query(_sliding("{0} % 7 <> 0") + " SELECT t, node, round(ssim, 6) AS ssim FROM slid")
+def ssim_sliding_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a tenth and more of the cells missing; windows have the means of their valid cells."""
+    import numpy as np
+
+    mask = (np.arange(64) % 7 != 0).reshape(8, 8)
+    kept = lambda c: F.filter(c, lambda v, k: k % 7 != 0)
+    pairs = _pairs(spark, sf_dir).select("t", "node", kept("vec").alias("vec"), kept("w").alias("w"))
+    return sliding.sliding_ssim(pairs, (8, 8), mask, size=5, sigma=1.5).select("t", "node", F.round("ssim", 6).alias("ssim"))
+
+
+@query(_sliding("true") + " SELECT (SELECT round(avg(s), 6) FROM (SELECT avg(ssim) AS s FROM slid GROUP BY node)) AS node_mean, (SELECT round(avg(ssim), 6) FROM slid) AS global_mean")
+def sliding_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = sliding.sliding_coherence(_pairs(spark, sf_dir), (8, 8), size=5, sigma=1.5)
+    return x.select(F.round("node_mean", 6).alias("node_mean"), F.round("global_mean", 6).alias("global_mean"))
 
 
 def _scaled(x: DataFrame) -> DataFrame:

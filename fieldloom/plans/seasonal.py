@@ -197,3 +197,21 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phase_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = catalog.bmu(spark, sf_dir).filter(in_season(F.col("month")))
     return stats.phase_tests(nodes.seasonal_index(b, catalog.phases(spark)))
+
+
+_SEASONS = f"s AS (SELECT x.season_year, x.v, oni, phase FROM (SELECT CAST({_SEASON} AS INTEGER) AS season_year, avg({_CODE}) AS v FROM bmu WHERE month IN (10, 11, 12, 1, 2, 3) GROUP BY ALL) x JOIN phases ON phases.season_year = x.season_year)"
+
+
+@query(
+    _with(CUBE_SQL, BMU_SQL, _PHASES, _SEASONS, "r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rv, rank() OVER (ORDER BY oni) + (count(*) OVER (PARTITION BY oni) - 1) / 2.0 AS ro, count(*) OVER (PARTITION BY v) AS ties FROM s)",
+          "b AS (SELECT phase, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS w, sum(rv) AS r, sum(CAST(ties * ties - 1 AS DOUBLE)) AS tie FROM r GROUP BY phase)",
+          "a AS (SELECT CAST(sum(n) AS DOUBLE) AS n, sum(n * m) / sum(n) AS grand, CAST(count(*) AS DOUBLE) AS k, sum(w) AS w, sum(r * r / n) AS rr, sum(tie) AS tie FROM b)")
+    + " SELECT (SELECT CAST(count(*) AS INTEGER) FROM s WHERE phase = 'El Niño') AS n_el_nino, (SELECT CAST(count(*) AS INTEGER) FROM s WHERE phase = 'Neutral') AS n_neutral, (SELECT CAST(count(*) AS INTEGER) FROM s WHERE phase = 'La Niña') AS n_la_nina,"
+    ' (SELECT round((sum(b.n * (m - grand) * (m - grand)) / (any_value(k) - 1)) / (any_value(a.w) / (any_value(a.n) - any_value(k))), 6) FROM a, b) AS "anova_F",'
+    ' (SELECT round((12.0 / (n * (n + 1)) * rr - 3 * (n + 1)) / (1 - tie / (n * (n * n - 1))), 6) FROM a) AS "kruskal_H",'
+    " (SELECT round(corr(oni, v), 6) FROM s) AS pearson_r, (SELECT round(corr(ro, rv), 6) FROM r) AS spearman_rho"
+)
+def phase_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group sizes and test statistics of the one-row summary; its p-values have no SQL."""
+    x = phase_tests(spark, sf_dir)
+    return x.select("n_el_nino", "n_neutral", "n_la_nina", *(F.round(c, 6).alias(c) for c in ("anova_F", "kruskal_H", "pearson_r", "spearman_rho")))

@@ -86,15 +86,12 @@ def test_results_come_through_the_symbols(spark, docs, monkeypatch):
     none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
     rows = docs.select("doc_id", "text").collect()
     small = recompress.Shard(pa.table({"doc_id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows])}))
-    empty = pa.table({"kind": pa.array([], pa.int32()), "names": pa.array([], pa.list_(pa.int64())), "least": pa.array([], pa.list_(pa.int64())), "other": pa.array([], pa.list_(pa.int64()))})
+    kinds = {"names": pa.list_(pa.int64()), "more": pa.list_(pa.int32()), "flags": pa.list_(pa.int8())}
+    empty = pa.table({"kind": pa.array([], pa.int32()), **{k: pa.array([], t) for k, t in kinds.items()}})
     assert not recompress.open_windows(small, empty, 13).any()
-    name, _, _, doc = recompress.low_symbols(small)
-    low, high = {}, {}
-    for n, i in zip(name.view(np.int64).tolist(), small.ids[doc].tolist()):
-        low[n], high[n] = min(low.get(n, i), i), max(high.get(n, i), i)
-    shared = [n for n in low if low[n] < high[n]]
-    lists = {"names": shared, "least": [low[n] for n in shared], "other": [high[n] for n in shared]}
-    table = pa.table({"kind": pa.array([recompress.LOW], pa.int32()), **{k: pa.array([v], pa.list_(pa.int64())) for k, v in lists.items()}})
+    name = np.unique(recompress.cut(recompress.low_symbols(small)[0]))
+    lists = {"names": (name >> np.uint64(16)).astype(np.uint32).view(np.int32).tolist(), "more": (name & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16).tolist(), "flags": [0] * len(name)}
+    table = pa.table({"kind": pa.array([recompress.LOW], pa.int32()), **{k: pa.array([lists[k]], t) for k, t in kinds.items()}})
     assert recompress.open_windows(small, table, 13).any()
     monkeypatch.setattr(recompress, "low_symbols", lambda *_: none)
     assert not recompress.open_windows(small, table, 13).any()
@@ -104,9 +101,20 @@ def test_reports_grow_with_the_shards():
     """One row for each shard and bucket at most, whatever the number of shards."""
     rng = np.random.default_rng(5)
     for n in (10, 1000):
-        x = recompress.report(3, rng.integers(0, 1 << 63, n).astype(np.uint64), np.zeros(n, np.int32), np.arange(n), 16)
-        assert x.num_rows <= 16 and sum(map(len, x.column("names").to_pylist())) == n
-        assert recompress.report(3, np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), 16).num_rows == 0
+        for kind in (recompress.LOW, recompress.HIGH):
+            x = recompress.report(3, kind, rng.integers(0, 1 << 47, n).astype(np.uint64) << np.uint64(0 if kind == recompress.LOW else 16), np.zeros(n, np.int32), np.arange(n), 16)
+            assert x.num_rows <= 16 and sum(map(len, x.column("names").to_pylist())) == n
+            assert recompress.report(3, kind, np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), 16).num_rows == 0
+
+
+def test_words_of_a_buffer():
+    text = "Écoutez  ça,\t\nnaïve\x0b\x0c\r x xx  xx " + "A" * 3000 + "\u00a0b"
+    starts, h1, h2 = recompress.word_hashes(text.encode())
+    words = text.encode().split()
+    assert len(starts) == len(words) and all(text.encode()[a:].startswith(w) for a, w in zip(starts, words))
+    for h in (h1, h2):
+        assert len(set(h.tolist())) == len(set(words)) and h[words.index(b"xx")] == h[words.index(b"xx") + 1]
+    assert [len(x) for x in recompress.word_hashes(b"")] == [len(x) for x in recompress.word_hashes(b" \n")] == [0, 0, 0]
 
 
 def test_repeated_and_missing_ids_are_dealt_to_all_shards(spark):
