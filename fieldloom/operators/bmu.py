@@ -22,6 +22,11 @@ def _prepared(prototypes: DataFrame) -> DataFrame:
     return with_sums(prototypes.select("node", F.col("vec").alias("w")), "w", "w_")
 
 
+def _check(prototypes: DataFrame) -> None:
+    if prototypes.limit(MAX_NODES + 1).count() > MAX_NODES:
+        raise ValueError(f"a map has at most {MAX_NODES} nodes; assign groups of nodes and compare their winners")
+
+
 def pair_of(vec: str = "vec", w: str = "w") -> Pair:
     c = F.col
     return Pair(F.size(vec), c("s1"), c("w_s1"), c("s2"), c("w_s2"), dot(c(vec), c(w)))
@@ -30,6 +35,7 @@ def pair_of(vec: str = "vec", w: str = "w") -> Pair:
 def distances_to(fields: DataFrame, prototypes: DataFrame, name: str) -> DataFrame:
     """One row a field and node: t, node, d. Fields with a null element have no distances."""
     whole = with_sums(fields.filter("not exists(vec, v -> v is null)"))
+    _check(prototypes)
     table = F.broadcast(_prepared(prototypes).withColumn("one", F.lit(1)))
     return whole.withColumn("one", F.lit(1)).join(table, "one").withColumn("d", metric(name)(pair_of())).drop("one")
 
@@ -37,8 +43,7 @@ def distances_to(fields: DataFrame, prototypes: DataFrame, name: str) -> DataFra
 def assign(fields: DataFrame, prototypes: DataFrame, name: str) -> DataFrame:
     """The fields' own columns with node and d of the best-matching unit in place of vec; fields with a null element get node -1. Each field meets the prototypes as
     one packed array, so no row is multiplied and nothing is shuffled."""
-    if prototypes.count() > MAX_NODES:
-        raise ValueError(f"a map has at most {MAX_NODES} nodes; assign groups of nodes and compare their winners")
+    _check(prototypes)
     packed = _prepared(prototypes).agg(F.array_sort(F.collect_list(F.struct("node", "w", "w_s1", "w_s2"))).alias("nodes"))
     x = fields.withColumn("one", F.lit(1)).join(F.broadcast(packed.withColumn("one", F.lit(1))), "one")
     vec = F.col("vec")
@@ -60,7 +65,7 @@ def own_prototype(fields: DataFrame, prototypes: DataFrame, guarded: bool = Fals
     """Structural similarity of each field to the prototype of its own node: t, node, ssim."""
     from fieldloom.functions.metrics import ssim
 
-    x = with_sums(fields).join(F.broadcast(_prepared(prototypes)), "node")
+    x = with_sums(fields).join(_prepared(prototypes), "node")
     return x.select("t", "node", ssim(pair_of(), guarded=guarded).alias("ssim"))
 
 

@@ -39,7 +39,7 @@ def mask(cube: DataFrame, rule: str = "all_times") -> DataFrame:
         return counts.join(F.broadcast(n_times(cube)), F.col("n") == F.col("n_times")).select("pixel_id")
     if rule == "first_step":
         first = cube.agg(F.min("t").alias("t"))
-        return cube.filter(F.col("value").isNotNull()).join(F.broadcast(first), "t", "left_semi").select("pixel_id").distinct()
+        return cube.filter(F.col("value").isNotNull()).join(first, "t", "left_semi").select("pixel_id").distinct()
     raise ValueError(f"unknown mask rule {rule}")
 
 
@@ -56,7 +56,7 @@ def ocean(cube: DataFrame, grid: DataFrame) -> DataFrame:
 
 def gather(cube: DataFrame, places: DataFrame) -> DataFrame:
     """t, vec: the values of each month in vector order."""
-    kept = cube.join(F.broadcast(places.select("pixel_id", "pos")), "pixel_id")
+    kept = cube.join(places.select("pixel_id", "pos"), "pixel_id")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))
     return kept.groupBy("t").agg(F.transform(ordered, lambda x: x["value"]).alias("vec"))
 
@@ -65,14 +65,14 @@ def scatter(vectors: DataFrame, places: DataFrame, grid: DataFrame, key: str = "
     """Back to pixels; those outside the mask get null."""
     long = vectors.select(key, F.posexplode("vec").alias("pos", "value"))
     every = vectors.select(key).distinct().select(key, F.lit(1).alias("one")).join(F.broadcast(grid.withColumn("one", F.lit(1))), "one").drop("one")
-    located = every.join(F.broadcast(places.select("pixel_id", "pos")), "pixel_id", "left")
+    located = every.join(places.select("pixel_id", "pos"), "pixel_id", "left")
     return located.join(long, [key, "pos"], "left").select(key, "pixel_id", "iy", "ix", "value")
 
 
 def detrend(cube: DataFrame) -> DataFrame:
     """Subtracts each pixel's least-squares line against the position in time; nulls stay out of the fit. A pixel with a
     single value has no line and gets null."""
-    placed = cube.join(F.broadcast(time_axis(cube).select("t", "pos")), "t")
+    placed = cube.join(time_axis(cube).select("t", "pos"), "t")
     own = W.partitionBy("pixel_id")
     x = F.when(F.col("value").isNotNull(), F.col("pos").cast("double"))
     slope = F.try_divide(F.covar_pop(x, F.col("value")).over(own), F.var_pop(x).over(own))
@@ -121,27 +121,27 @@ def _brackets(source: DataFrame, target: DataFrame, axis: str, place: str) -> Da
 
 def regrid(values: DataFrame, source: DataFrame, target: DataFrame, key: str = "month") -> DataFrame:
     """Bilinear interpolation of (key, pixel_id, value) from one grid to another. Outside the source's hull, or beside a
-    missing corner, the result is null. Both grids are dimension tables and broadcast."""
+    missing corner, the result is null."""
     ys, xs = _brackets(source, target, "lat", "iy"), _brackets(source, target, "lon", "ix")
     corner = lambda y, x, w: F.struct(F.col(y).alias("iy"), F.col(x).alias("ix"), w.alias("w"))
     wy, wx = F.col("wy"), F.col("wx")
-    t = target.join(F.broadcast(ys.toDF("to_y", "y1", "y2", "wy")), F.col("iy") == F.col("to_y")).join(F.broadcast(xs.toDF("to_x", "x1", "x2", "wx")), F.col("ix") == F.col("to_x"))
+    t = target.join(ys.toDF("to_y", "y1", "y2", "wy"), F.col("iy") == F.col("to_y")).join(xs.toDF("to_x", "x1", "x2", "wx"), F.col("ix") == F.col("to_x"))
     corners = F.array(corner("y1", "x1", (1 - wy) * (1 - wx)), corner("y1", "x2", (1 - wy) * wx), corner("y2", "x1", wy * (1 - wx)), corner("y2", "x2", wy * wx))
     used = t.select("pixel_id", F.explode(corners).alias("c")).select("pixel_id", "c.*").filter("w > 0")
     at = used.join(source.select(F.col("pixel_id").alias("from_id"), "iy", "ix"), ["iy", "ix"])
-    found = values.join(F.broadcast(at.withColumnRenamed("pixel_id", "to_id")), F.col("pixel_id") == F.col("from_id"))
+    found = values.join(at.withColumnRenamed("pixel_id", "to_id"), F.col("pixel_id") == F.col("from_id"))
     return found.groupBy(key, F.col("to_id").alias("pixel_id")).agg(F.when(F.abs(F.sum(F.when(F.col("value").isNotNull(), F.col("w"))) - 1) < 1e-9, F.sum(F.col("w") * F.col("value"))).alias("value"))
 
 
 def composite(cube: DataFrame, bmu: DataFrame, limit: float | None = None) -> DataFrame:
     """Mean field of each node's months, per pixel, clipped to +-limit."""
-    x = cube.join(F.broadcast(bmu.select("t", "node")), "t").groupBy("node", "pixel_id").agg(F.avg("value").alias("value"))
+    x = cube.join(bmu.select("t", "node"), "t").groupBy("node", "pixel_id").agg(F.avg("value").alias("value"))
     return x if limit is None else x.withColumn("value", clip(F.col("value"), -limit, limit))
 
 
 def denormalise(prototypes: DataFrame, ranges: DataFrame, limit: float | None = None) -> DataFrame:
     """(node, pixel_id, value in [0, 1]) with (pixel_id, low, high) back to units."""
-    x = prototypes.join(F.broadcast(ranges), "pixel_id").withColumn("value", F.col("value") * (F.col("high") - F.col("low")) + F.col("low")).drop("low", "high")
+    x = prototypes.join(ranges, "pixel_id").withColumn("value", F.col("value") * (F.col("high") - F.col("low")) + F.col("low")).drop("low", "high")
     return x if limit is None else x.withColumn("value", clip(F.col("value"), -limit, limit))
 
 
@@ -153,6 +153,3 @@ def preprocess(cube: DataFrame, clim: DataFrame, months: tuple[int, ...] = WARM_
     """Detrend, subtract the climatology, keep the season, rescale."""
     return minmax(season_filter(anomalies(detrend(cube), clim), months))
 
-
-def rounded(column: str, digits: int = 6) -> Column:
-    return F.round(column, digits).alias(column)

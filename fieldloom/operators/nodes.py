@@ -50,7 +50,7 @@ def node_grid(df: DataFrame, rows: int, columns: int) -> DataFrame:
 def dense_counts(bmu: DataFrame, rows: int, columns: int) -> DataFrame:
     """Every node's count and its share of all in percent."""
     counts = assigned(bmu).groupBy("node_i", "node_j").agg(F.count("*").alias("n"))
-    every = node_grid(bmu, rows, columns).join(F.broadcast(counts), ["node_i", "node_j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    every = node_grid(bmu, rows, columns).join(counts, ["node_i", "node_j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return every.withColumn("share", F.try_divide(F.col("n") * 100.0, F.sum("n").over(total)))
 
@@ -73,7 +73,7 @@ def node_month_dense(bmu: DataFrame, rows: int, columns: int, months: tuple[int,
     axis = F.explode(F.array(*map(F.lit, months))).alias("month")
     every = node_grid(bmu, rows, columns).select("node", "node_i", "node_j", axis)
     counts = assigned(bmu).groupBy("node_i", "node_j", "month").agg(F.count("*").alias("n"))
-    return every.join(F.broadcast(counts), ["node_i", "node_j", "month"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("position", month_position(F.col("month"), months))
+    return every.join(counts, ["node_i", "node_j", "month"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("position", month_position(F.col("month"), months))
 
 
 def composition(bmu: DataFrame, key: str) -> DataFrame:
@@ -103,12 +103,12 @@ def with_season(bmu: DataFrame) -> DataFrame:
 def seasonal_index(bmu: DataFrame, phases: DataFrame | None = None) -> DataFrame:
     """Mean code of each season's months; with a table of phases only seasons that it has."""
     x = with_season(assigned(bmu)).groupBy("season_year").agg(F.avg(code(F.col("node_i"), F.col("node_j"))).alias("mean_index"))
-    return x if phases is None else x.join(F.broadcast(phases), "season_year")
+    return x if phases is None else x.join(phases, "season_year")
 
 
 def season_phase(seasons: DataFrame, phases: DataFrame, default: str = DEFAULT_PHASE) -> DataFrame:
     """Every season with its phase, or the default where the table has none."""
-    return seasons.join(F.broadcast(phases.select("season_year", "phase")), "season_year", "left").withColumn("phase", F.coalesce("phase", F.lit(default)))
+    return seasons.join(phases.select("season_year", "phase"), "season_year", "left").withColumn("phase", F.coalesce("phase", F.lit(default)))
 
 
 def label_codes(bmu: DataFrame) -> DataFrame:

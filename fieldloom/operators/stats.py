@@ -54,7 +54,7 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     """With the median as centre (Brown-Forsythe)."""
     x = _named(df, group, value)
     centre = x.groupBy("g").agg(F.median("v").alias("c"))
-    return _between_within(x.join(F.broadcast(centre), "g").select("g", F.abs(F.col("v") - F.col("c")).alias("v")))
+    return _between_within(x.join(centre, "g").select("g", F.abs(F.col("v") - F.col("c")).alias("v")))
 
 
 #: Ranges of values that are ranked apart.

@@ -79,7 +79,7 @@ def node_mean_vs_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ssim_per_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = catalog.fields(spark, sf_dir)
     means = bmu.node_means(bmu.own_prototype(x, bmu.prototypes_of(x)))
-    every = nodes.node_grid(x, catalog.MAP_ROWS, catalog.MAP_COLUMNS).join(F.broadcast(means), "node", "left")
+    every = nodes.node_grid(x, catalog.MAP_ROWS, catalog.MAP_COLUMNS).join(means, "node", "left")
     return every.select("node", F.coalesce("n", F.lit(0)).alias("n"), F.round("ssim", 6).alias("ssim"))
 
 
@@ -192,7 +192,7 @@ def _scaled(x: DataFrame) -> DataFrame:
     """Every element of the vectors to [0, 1] over its own range."""
     long = x.select("t", F.posexplode("vec").alias("pos", "v"))
     r = long.groupBy("pos").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    y = long.join(F.broadcast(r), "pos").withColumn("v", F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0))), F.lit(0.5)))
+    y = long.join(r, "pos").withColumn("v", F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0))), F.lit(0.5)))
     return y.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("vec"))
 
 

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__
 from fieldloom.plans.registry import QUERIES, SQL
 
-ROWS_ONLY = sorted(set(QUERIES) - set(SQL) - {"multiseed_runs"})
+ROWS_ONLY = sorted(set(QUERIES) - set(SQL) - {"multiseed_runs"})  # tests/test_training_queries.py has that one
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
