@@ -163,16 +163,24 @@ def links(radius: int = RADIUS, checked: bool = False) -> Callable[[Batches], Ba
 
     def read(batches: Batches) -> Batches:
         names = ["fp", "check"][: 1 + checked]
-        key0, fp0 = np.zeros(0, np.int64), np.zeros((0, len(names)), np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of one key, until the next begins
         for keys, *fps in columns(batches, "key", *names):
-            keys = np.concatenate([key0, keys.to_numpy(zero_copy_only=False)])
-            fps = np.concatenate([fp0, np.stack([x.to_numpy(zero_copy_only=False).view(np.uint64) for x in fps], axis=1)])
+            keys = keys.to_numpy(zero_copy_only=False)
+            fps = np.stack([x.to_numpy(zero_copy_only=False).view(np.uint64) for x in fps], axis=1)
+            first = int(np.searchsorted(keys, keys[0], side="right"))
+            if held and held[0][0][0] == keys[0]:
+                held.append((keys[:first], fps[:first]))
+                keys, fps = keys[first:], fps[first:]
+                if not len(keys):
+                    continue
+            if held:
+                yield from of(*map(np.concatenate, zip(*held, strict=True)))
             cut = int(np.searchsorted(keys, keys[-1]))
-            key0, fp0 = keys[cut:], fps[cut:]
             if cut:
                 yield from of(keys[:cut], fps[:cut])
-        if len(key0):
-            yield from of(key0, fp0)
+            held = [(keys[cut:], fps[cut:])]
+        if held:
+            yield from of(*map(np.concatenate, zip(*held, strict=True)))
 
     return read
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from fieldloom.llm import components, simhash
@@ -71,6 +72,20 @@ def test_links_at_every_distance(spark):
     assert len(set(edges)) < len(true)
 
 
+def test_batches_do_not_matter_for_links():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 12).astype(np.uint64)
+    fp = np.unique(np.concatenate([base ^ np.uint64(1 << k) for k in range(0, 40, 3)]))
+    emitted = list(simhash.variants()([pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], ["fp"])]))
+    table = pa.Table.from_batches(emitted).sort_by("key").combine_chunks()
+
+    def found(size):
+        batches = (b for at in range(0, table.num_rows, size) for b in table.slice(at, size).to_batches())
+        return sorted({(r["u"], r["v"]) for b in simhash.links()(batches) for r in b.to_pylist()})
+
+    assert found(1 << 20) == found(5) == found(64) != []
+
+
 def test_wide_links_need_the_second_fingerprint(spark):
     rng = random.Random(5)
     prints = []
