@@ -16,11 +16,12 @@ classified differently by different regex engines, so a text with one of them is
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; the special token's string inside a text counts as
 one token, as the library does by default; repeated rows stay rows of their own; other columns are ignored; an
-empty table gives no rows.
+empty table gives no rows; a tokenizer file of another kind is an error.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -40,8 +41,15 @@ HEAD, HEAD_CHARS, FLUSH = 400_000, 48, 300_000
 
 @lru_cache(4)
 def _library(path: str):
+    """The library's model; a file whose texts are not cut by PATTERN, or whose pieces depend on more than the pre-token, is refused."""
     from tokenizers import Tokenizer
 
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    cut, model = parts["pre_tokenizer"] or {}, parts["model"]
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    if not plain or parts["normalizer"] or model["type"] != "BPE" or model.get("dropout"):
+        raise ValueError(f"{path} is no byte-level BPE with the usual split")
     return Tokenizer.from_file(path)
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 import sys
 import unicodedata
@@ -58,3 +59,12 @@ def test_random_unicode(path):
 def test_empty_table(no_docs, path):
     assert tokencount.token_counts(no_docs, path).count() == 0
     assert len(TEXTS) > 0
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    parts = json.loads(open(queries.tokenizer_path(queries.TOKENIZER), encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"model": parts["model"] | {"dropout": 0.1}}):
+        (tmp_path / "other.json").write_text(json.dumps(parts | change))
+        tokencount._library.cache_clear()
+        with pytest.raises(ValueError, match="no byte-level BPE"):
+            tokencount.PreTokens(str(tmp_path / "other.json"))
