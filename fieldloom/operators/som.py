@@ -7,6 +7,7 @@ Fields are one matrix per run, checked against MAX_VALUES and broadcast: a recor
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -164,9 +165,20 @@ class FinalConfig:
             out.append("search must be ssim or euclidean")
         return out
 
+    def doubts(self) -> list[str]:
+        """What is allowed, but rarely meant."""
+        out = []
+        if self.grid > 10:
+            out.append(f"a map of {self.grid} x {self.grid} nodes trains slowly and may stay sparsely occupied")
+        if self.window > 21:
+            out.append(f"a window of {self.window} cells averages over large parts of a field")
+        return out
+
     def checked(self) -> FinalConfig:
         if found := self.problems():
             raise ValueError("; ".join(found))
+        for doubt in self.doubts():
+            warnings.warn(doubt, stacklevel=2)
         return self
 
     @property

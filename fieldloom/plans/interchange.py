@@ -146,6 +146,14 @@ def netcdf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("t").cast("int").alias("t"), "year", "month", "iy", "ix", F.round("value", 6).alias("value"))
 
 
+@query("SELECT CAST(s * 6 + k AS BIGINT) AS t, CAST(1981 + s + (k > 2)::INT AS INTEGER) AS year, CAST([10, 11, 12, 1, 2, 3][k + 1] AS INTEGER) AS month FROM range(44) AS a(s), range(6) AS b(k)")
+def time_axis_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time axis alone: 44 seasons of six months from October 1981."""
+    path = sinks.scratch(spark, "axis")
+    sinks.write_bytes(f"{path}/cube.nc", synthetic.as_netcdf())
+    return files.read_times(spark, f"{path}/cube.nc").select("t", "year", "month")
+
+
 _GAPPY = "g AS (SELECT vec_id AS t, CASE WHEN vec_id % 7 = 0 THEN -1 ELSE label END AS node FROM embeddings)"
 
 

@@ -129,6 +129,25 @@ def read_cube(spark: SparkSession, path: str, variable: str | None = None, polic
     return x.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
+def read_times(spark: SparkSession, path: str) -> DataFrame:
+    """t, time, year, month: the time axis of NetCDF classic files, without their values."""
+
+    def parse(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            for content in b["content"]:
+                f = netcdf.read(bytes(content))
+                axis = resolve(list(f.variables), "time")
+                if axis is None:
+                    raise ValueError(f"no time axis among {list(f.variables)}")
+                times = netcdf.dates(f.variables[axis])
+                yield pd.DataFrame({"t": range(len(times)), "time": times, "year": [w.year for w in times], "month": [w.month for w in times]})
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(parse, "t long, time timestamp_ntz, year int, month int")
+
+
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
     """Run configurations; the map's size under either of its keys."""
     x = spark.read.option("multiLine", True).schema("grid_size array<int>, grid array<int>, initialization string, bmu_metric string, epochs int, seed int, learning_rate double").json(path)

@@ -90,3 +90,12 @@ def test_final_training():
     found, nodes = som.final_train(data, config, mask)
     assert found == pytest.approx(w)
     assert nodes.tolist() == [-1 if np.isnan(x).any() else best(x) for x in data]
+
+
+def test_doubtful_parameters_are_allowed_with_a_warning():
+    with pytest.warns(UserWarning, match="12 x 12"):
+        assert som.FinalConfig(grid=12).checked().grid == 12
+    with pytest.warns(UserWarning, match="window of 23"):
+        som.FinalConfig(window=23).checked()
+    with pytest.raises(ValueError, match="odd"):
+        som.FinalConfig(window=24).checked()
