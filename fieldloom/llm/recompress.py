@@ -30,19 +30,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import small_batches, utf8
 
-WINDOW, ROUNDS, SHARD_BYTES = 13, 3, 8 << 20
+WINDOW, ROUNDS, SHARD_BYTES = 13, 3, 6 << 20
 #: Rounds end when documents are one symbol each, or after so many without a change (a side is a coin).
 STALL = 12
 LOW, HIGH, PLACES = 1, 2, 3
@@ -58,20 +56,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of text that are hashed at once (a longer text is hashed whole).
+CHUNK = 1 << 20
+
+
+def powers(x: np.uint64, n: int) -> np.ndarray:
+    out = np.full(max(1, n), x, U)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a buffer start, and two hashes of each: polynomials of its bytes, mixed."""
+    x = np.frombuffer(raw, np.uint8)
+    blank = BLANK[x]
+    edge = np.diff(blank.astype(np.int8), prepend=1, append=1)
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        return starts, np.zeros(0, U), np.zeros(0, U)
+    size = ends - starts
+    letters = x[~blank].astype(U) + U(1)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    at = (np.arange(len(letters)) - np.repeat(first, size)).astype(np.uint32)
+    h1, h2 = (np.add.reduceat(letters * powers(m, int(size.max()))[at], first) for m in (M2, M3))
+    return starts, mix(h1), mix(h2 ^ M1)
+
+
 class Shard:
-    """The documents of one shard: words as two hashes each (the second follows from the first), and where documents start."""
+    """The documents of one shard: words as two hashes each, and where documents start."""
 
     def __init__(self, docs: pa.Table):
-        order = docs.column("doc_id").combine_chunks()
-        ids = order.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.id_column = order
-        self.words = [t.split() if t else [] for t in utf8(docs.column("text"))]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.ids = docs.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.texts = [t or b"" for t in utf8(docs.column("text"))]
+        self.sizes = np.zeros(len(self.texts), np.int64)
+        one, two, at = [np.zeros(0, U)], [np.zeros(0, U)], 0
+        while at < len(self.texts):
+            end, n = at, 0
+            while end < len(self.texts) and (end == at or n + len(self.texts[end]) <= CHUNK):
+                n += len(self.texts[end])
+                end += 1
+            starts, h1, h2 = word_hashes(b" ".join(self.texts[at:end]))
+            place = np.concatenate([[0], np.cumsum([len(t) + 1 for t in self.texts[at:end]])])
+            self.sizes[at:end] = np.diff(np.searchsorted(starts, place))
+            one.append(h1)
+            two.append(h2)
+            at = end
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.h1 = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(self.words)), U, int(self.starts[-1]))
-        self.h2 = mix(self.h1 ^ M3)
-        self.ids = ids
-        self.doc = np.repeat(np.arange(len(ids)), self.sizes)
+        self.h1, self.h2 = np.concatenate(one), np.concatenate(two)
+        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
 
     def places(self, window: int) -> np.ndarray:
         """Starts of all windows inside documents."""
@@ -182,76 +215,121 @@ def _marked(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(ends, n), minlength=n + 1)[: n + 1])[:n] > 0
 
 
-REPORT = "bucket int, shard int, names array<long>, more array<int>, lows array<long>, highs array<long>"
+#: Names travel as two integers: of low symbols 32 and 16 bits, of others 64 and 32.
+REPORT = {LOW: "bucket int, shard int, names array<int>, more array<short>, lows array<long>, highs array<long>", HIGH: "bucket int, shard int, names array<long>, more array<int>, lows array<long>, highs array<long>"}
+REPORT[PLACES] = REPORT[HIGH]
 
 
-def report(shard: int, name: np.ndarray, more: np.ndarray, ids: np.ndarray, buckets: int) -> pa.Table:
-    """Distinct names of a shard with their smallest and largest doc_id, dealt to buckets by name."""
-    order = np.lexsort((more, name))
+def cut(name: np.ndarray) -> np.ndarray:
+    """The part of a low symbol's name that travels; two names that agree in it only open a window in vain."""
+    return name >> U(16)
+
+
+def buckets_of(spark: SparkSession) -> np.ndarray:
+    """A number for each shuffle partition that Spark's hash deals there, so that every partition has one bucket."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    found = spark.range(n * (20 + n.bit_length())).groupBy(place.alias("place")).agg(F.min("id").alias("id")).collect()
+    return np.array([r["id"] for r in sorted(found, key=lambda r: r["place"])], np.int32)
+
+
+def report(shard: int, kind: int, name: np.ndarray, more: np.ndarray, ids: np.ndarray, buckets: np.ndarray) -> pa.Table:
+    """Distinct names of a shard with their smallest and largest doc_id, dealt to buckets by name. (Of two names alike in the first
+    integer only, rows may be written apart; they meet again in `merged`.)"""
+    order = np.argsort(name)
     name, more, ids = name[order], more[order], ids[order]
     first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (more[1:] != more[:-1])])) if len(name) else np.zeros(0, np.int64)
     low, high = (np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)) if len(first) else (ids, ids)
     name, more = name[first], more[first]
-    cuts = np.searchsorted((name >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1).astype(U))
+    bucket = ((name >> U(16 if kind == LOW else 32)) * U(len(buckets)) >> U(32)).astype(np.int32)
+    # by document inside a bucket: equal ids side by side hardly take room
+    order = np.argsort(low, kind="stable")
+    order = order[np.argsort(bucket[order], kind="stable")]
+    name, more, low, high, bucket = (x[order] for x in (name, more, low, high, bucket))
+    cuts = np.searchsorted(bucket, np.arange(len(buckets) + 1))
     used = np.flatnonzero(np.diff(cuts))
     offsets = pa.array(np.append(cuts[used], len(name)), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, k)) for x, k in ((name.view(np.int64), pa.int64()), (more, pa.int32()), (low, pa.int64()), (high, pa.int64()))]
-    return pa.table([pa.array(used, pa.int32()), pa.array(np.full(len(used), shard), pa.int32()), *lists], names=[c.split()[0] for c in REPORT.split(", ")])
-
-
-def merged(reports: DataFrame, kind: int, buckets: int) -> DataFrame:
-    """shard, kind, names, least, other: for each shard the names that it has reported and that several documents have. `other` is
-    the largest doc_id for low symbols, the second name else."""
-    x = reports.repartition(buckets, "bucket").select("bucket", "shard", F.inline(F.arrays_zip("names", "more", "lows", "highs")))
-    every = W.partitionBy("bucket", "names", "more")
+    if kind == LOW:
+        names = ((name >> U(16)).astype(np.uint32).view(np.int32), (name & U(0xFFFF)).astype(np.uint16).view(np.int16))
+    else:
+        names = (name.view(np.int64), more)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (*names, low, high)]
+    return pa.table([pa.array(buckets[used], pa.int32()), pa.array(np.full(len(used), shard), pa.int32()), *lists], names=[c.split()[0] for c in REPORT[kind].split(", ")])
+
+
+def merged(reports: DataFrame, kind: int, n: int) -> DataFrame:
+    """shard, kind, high, low, more, flags: for each shard the names that it has reported and that several documents have, as up to
+    three integers. A flag's first bit says that another shard has a smaller doc_id, its second bit that one has a larger."""
+    x = reports.repartition(n, "bucket").select("bucket", "shard", F.inline(F.arrays_zip("names", "more", "lows", "highs")))
+    # the names come first, because the sort looks at its first column before all others
+    every = W.partitionBy("names", "more", "bucket")
     x = x.withColumn("least", F.min("lows").over(every)).withColumn("most", F.max("highs").over(every))
     # of high symbols and windows, only those that some document of the shard has after another: others lose nothing there
     x = x.filter(F.col("least") < F.col("most" if kind == LOW else "highs"))
-    other = F.col("most") if kind == LOW else F.col("more").cast("long")
-    x = x.groupBy("bucket", "shard").agg(F.collect_list(F.struct("names", "least", other.alias("other"))).alias("x"))
-    return x.select("shard", F.lit(kind).alias("kind"), F.col("x.names").alias("names"), F.col("x.least").alias("least"), F.col("x.other").alias("other"))
+    flag = ((F.col("least") < F.col("lows")).cast("int") + (F.col("most") > F.col("highs")).cast("int") * 2).cast("tinyint")
+    if kind == LOW:
+        parts = (F.col("names"), F.lit(0), F.col("more"))
+    else:
+        parts = (F.shiftright("names", 32), F.shiftright(F.shiftleft("names", 32), 32), F.col("more"))
+    kinds = (("high", "int"), ("low", "int"), ("more", "int"))
+    row = F.struct(*(p.cast(t).alias(a) for p, (a, t) in zip(parts, kinds, strict=True)), flag.alias("flags"))
+    x = x.groupBy("shard", "bucket").agg(F.collect_list(row).alias("x"))
+    empty = F.array().cast("array<int>")
+    return x.select("shard", F.lit(kind).alias("kind"), F.col("x.high").alias("high"), (empty if kind == LOW else F.col("x.low")).alias("low"), F.col("x.more").cast("array<int>").alias("more"), F.col("x.flags").alias("flags"))
 
 
 class Answers:
-    """What other documents share, by name."""
+    """Names that other documents share, with what they say about them."""
 
     def __init__(self, table: pa.Table, kind: int):
-        rows = table.filter(pc.equal(table.column("kind"), kind)).combine_chunks() if table.num_rows else table
-        flat = lambda c: pa.concat_arrays(x).flatten().to_numpy(zero_copy_only=False) if (x := rows.column(c).chunks) else np.zeros(0, np.int64)
-        names = flat("names").view(U)
-        order = np.argsort(names, kind="stable")
-        self.names, self.least, self.other = names[order], flat("least")[order], flat("other")[order]
-
-    def find(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.names, name)
-        return at, self._at(at, name)
+        rows = table.filter(pc.equal(table.column("kind"), kind)) if table.num_rows else table
 
-    def _at(self, at: np.ndarray, name: np.ndarray) -> np.ndarray:
-        return self.names[np.minimum(at, len(self.names) - 1)] == name if len(self.names) else np.zeros(len(name), bool)
+        def flat(c: str, dtype: type) -> np.ndarray:
+            chunks = rows.column(c).chunks
+            return pa.concat_arrays(chunks).flatten().to_numpy(zero_copy_only=False) if chunks else np.zeros(0, dtype)
 
-    def smaller(self, name: np.ndarray, more: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Names that a document with a smaller id has; names alike but for their second half stand side by side."""
-        hit = np.zeros(len(name), bool)
-        at, known = self.find(name)
-        while len(todo := np.flatnonzero(~hit & known)):
-            hit[todo] = (self.other[at[todo]] == more[todo]) & (self.least[at[todo]] < own[todo])
+        high, more, flags = flat("high", np.int32), flat("more", np.int32), flat("flags", np.int8)
+        low = more.astype(np.uint16) if kind == LOW else flat("low", np.int32).view(np.uint32)
+        names = (high.view(np.uint32).astype(U) << U(16 if kind == LOW else 32)) | low.astype(U)
+        order = np.argsort(names, kind="stable")
+        self.names, self.more, self.flags = names[order], more[order], flags[order]
+
+    def find(self, name: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+        """The place of each name, -1 where it is not shared; names alike but for their second half stand side by side."""
+        out, at = np.full(len(name), -1), np.searchsorted(self.names, name)
+        todo = np.arange(len(name))
+        while len(todo):
+            todo = todo[at[todo] < len(self.names)]
+            todo = todo[self.names[at[todo]] == name[todo]]
+            hit = np.ones(len(todo), bool) if more is None else self.more[at[todo]] == more[todo]
+            out[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit]
             at[todo] += 1
-            known[todo] = (at[todo] < len(self.names)) & self._at(at[todo], name[todo])
-        return hit
+        return out
+
+    def neighbours(self, place: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a smaller, and whether a larger doc_id has the name at a place, for each document's own id: in other shards the
+        flags say so, in this one the ids themselves."""
+        smaller, larger = np.zeros(len(place), bool), np.zeros(len(place), bool)
+        known = np.flatnonzero(place >= 0)
+        at, ids = place[known], own[known]
+        low, high = np.full(len(self.names), NO_ID), np.full(len(self.names), np.iinfo(np.int64).min)
+        np.minimum.at(low, at, ids)
+        np.maximum.at(high, at, ids)
+        smaller[known], larger[known] = (low[at] < ids) | (self.flags[at] & 1 > 0), (high[at] > ids) | (self.flags[at] & 2 > 0)
+        return smaller, larger
 
 
 def open_windows(s: Shard, answers: pa.Table, window: int) -> np.ndarray:
     """Marks the starts of windows that may repeat: symbols of theirs are known, and other documents have all of them."""
     shared = Answers(answers, LOW)
     name, low, high, doc = low_symbols(s, window)
-    at, known = shared.find(name)
-    own = s.ids[doc]
-    no_source, no_use = ~known, ~known
-    no_source[known] = shared.least[at[known]] >= own[known]
-    no_use[known] = shared.other[at[known]] <= own[known]
+    place = shared.find(cut(name))
+    known = place >= 0
+    source, use = shared.neighbours(place, s.ids[doc])
     n = len(s.doc)
     first, end = np.maximum(high - window, 0), low + 1
-    closed = _marked(first[no_source], end[no_source], n) & _marked(first[no_use], end[no_use], n)
+    closed = _marked(first[~source], end[~source], n) & _marked(first[~use], end[~use], n)
     inside = np.zeros(n, bool)
     inside[s.places(window)] = True
     return inside & _marked(first[known], end[known], n) & ~closed
@@ -259,11 +337,26 @@ def open_windows(s: Shard, answers: pa.Table, window: int) -> np.ndarray:
 
 def long_repeats(s: Shard, answers: pa.Table, docs: np.ndarray, window: int) -> np.ndarray:
     """Marks the starts of windows inside high symbols that a smaller doc_id has too."""
+    shared = Answers(answers, HIGH)
+    if not len(shared.names):
+        return np.zeros(len(s.doc), bool)
     name, more, start, end = high_symbols(s, docs, window)
-    hit = Answers(answers, HIGH).smaller(name, more, s.ids[s.doc[start]])
+    hit, _ = shared.neighbours(shared.find(name, more), s.ids[s.doc[start]])
     return _marked(start[hit], end[hit] - window + 1, len(s.doc))
 
 
+def mark(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands for a document with open windows among the high symbols."""
+    return mix(ids.view(U) ^ M2), half(mix(ids.view(U) + M1))
+
+
+def marked(rows: pa.Table, answers: pa.Table) -> np.ndarray:
+    """The rows whose documents have open windows. All that others may share is in such: a document that has a window of one of
+    them, under another id, is one itself."""
+    ids = rows.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+    return Answers(answers, HIGH).find(*mark(ids)) >= 0
+
+
 def covered(s: Shard, answers: pa.Table, window: int) -> np.ndarray:
     """Words covered by windows that start in a smaller doc_id."""
     hit = long_repeats(s, answers, np.ones(len(s.ids), bool), window)
@@ -271,7 +364,7 @@ def covered(s: Shard, answers: pa.Table, window: int) -> np.ndarray:
     if len(shared.names):
         at = s.places(window)
         at = at[~hit[at]]
-        hit[at] = shared.smaller(*s.names(at, window), s.ids[s.doc[at]])
+        hit[at], _ = shared.neighbours(shared.find(*s.names(at, window)), s.ids[s.doc[at]])
     at = np.flatnonzero(hit)
     return _marked(at, at + window, len(s.doc))
 
@@ -283,41 +376,50 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
     small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_of(spark)
+    n = len(buckets)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
 
     def first(key: tuple, rows: pa.Table) -> pa.Table:
         s = Shard(rows)
         name, _, _, doc = low_symbols(s, window)
-        return report(key[0].as_py(), name, np.zeros(len(name), np.int32), s.ids[doc], buckets)
+        return report(key[0].as_py(), LOW, cut(name), np.zeros(len(name), np.int32), s.ids[doc], buckets)
 
     def second(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         s = Shard(rows)
         wide = open_windows(s, answers, window)
-        name, more, start, end = high_symbols(s, np.bincount(s.doc[wide], minlength=len(s.ids)) > 0, window)
+        docs = np.bincount(s.doc[wide], minlength=len(s.ids)) > 0
+        name, more, start, end = high_symbols(s, docs, window)
         sums = np.concatenate([[0], np.cumsum(wide)])
         keep = sums[end - window + 1] - sums[start] == end - window + 1 - start
-        return report(key[0].as_py(), name[keep], more[keep], s.ids[s.doc[start[keep]]], buckets)
+        # twice and with two numbers, so that the marks come back to their shard
+        own, second_own = mark(np.unique(s.ids[docs]))
+        two = np.repeat([0, 1], len(own))
+        whole = (np.concatenate(x) for x in ((name[keep], own, own), (more[keep], second_own, second_own), (s.ids[s.doc[start[keep]]], two)))
+        return report(key[0].as_py(), HIGH, *whole, buckets)
 
     def third(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        s = Shard(rows)
+        s = Shard(rows.filter(pa.array(marked(rows, answers))))
         wide = open_windows(s, answers, window)
-        at = np.flatnonzero(wide & ~long_repeats(s, answers, np.bincount(s.doc[wide], minlength=len(s.ids)) > 0, window))
-        return report(key[0].as_py(), *s.names(at, window), s.ids[s.doc[at]], buckets)
+        at = np.flatnonzero(wide & ~long_repeats(s, answers, np.ones(len(s.ids), bool), window))
+        return report(key[0].as_py(), PLACES, *s.names(at, window), s.ids[s.doc[at]], buckets)
 
     def last(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        s = Shard(rows)
+        some = marked(rows, answers)
+        s = Shard(rows.filter(pa.array(some)))
         gone = covered(s, answers, window)
+        place = np.cumsum(some) - 1
         out: list[list] = [[] for _ in range(6)]
-        for words, a, b in zip(s.words, s.starts, s.starts[1:], strict=False):
-            g = gone[a:b]
+        for text, known, k in zip(utf8(rows.column("text")), some.tolist(), place.tolist(), strict=True):
+            words = (text or b"").split()
+            g = gone[s.starts[k] : s.starts[k + 1]] if known else np.zeros(0, bool)
             removed = int(g.sum())
             kept = b" ".join([w for w, x in zip(words, g.tolist(), strict=True) if not x] if removed else words)
             edges = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
             for column, value in zip(out, (len(words), removed, hashlib.sha256(kept).hexdigest(), edges[::2].tolist(), edges[1::2].tolist(), kept if with_text else None), strict=True):
                 column.append(value)
         types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        arrays = [s.id_column, *(pa.array(c, t) for c, t in zip(out, types, strict=False))]
+        arrays = [rows.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types, strict=False))]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "span_starts", "span_ends"]
         if with_text:
             arrays, names = [*arrays, pa.array(out[5], pa.binary()).cast(pa.string())], [*names, "kept"]
@@ -326,8 +428,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
     def answered(make: Callable[..., pa.Table], answers: DataFrame, schema: str) -> DataFrame:
         return base.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(make, schema)
 
-    low = merged(base.groupBy("shard").applyInArrow(first, REPORT), LOW, buckets)
-    high = merged(answered(second, low, REPORT), HIGH, buckets)
-    places = merged(answered(third, low.unionByName(high), REPORT), PLACES, buckets)
+    low = merged(base.groupBy("shard").applyInArrow(first, REPORT[LOW]), LOW, n)
+    high = merged(answered(second, low, REPORT[HIGH]), HIGH, n)
+    places = merged(answered(third, low.unionByName(high), REPORT[PLACES]), PLACES, n)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, span_starts array<long>, span_ends array<long>" + (", kept string" if with_text else "")
     return answered(last, high.unionByName(places), schema)
