@@ -223,7 +223,5 @@ def deduplicated(docs: DataFrame, shingle: int = 5, radius: int = WIDE) -> DataF
     kept = near_duplicates(docs, shingle, radius, checked=True).select(F.col("kept").alias("rid")).distinct()
     # under names of their own, so that no column of the input can clash
     named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own"), jaccard.row_id(docs).alias("rid"))
-    both = named.join(kept, "rid", "left_semi")
-    again = both.groupBy("rid").agg(F.count("*").alias("n")).filter("n > 1")
-    once = both.join(again, "rid", "left_anti").select("own")
-    return once.unionByName(both.join(again, "rid", "left_semi").groupBy("rid").agg(F.min("own").alias("own")).select("own")).select("own.*")
+    # rows that agree in id and text: those of the other columns do not matter, the least stays
+    return named.join(kept, "rid", "left_semi").groupBy("rid").agg(F.min("own").alias("own")).select("own.*")
