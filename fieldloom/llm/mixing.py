@@ -147,8 +147,8 @@ def _cut(queued: DataFrame, budget: int, repeats: int) -> dict | None:
 
 
 def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 42) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, taken and `entries`, an
-    array of (pass, words, virtual_start, virtual_finish) of the passes in which the mix takes it."""
+    """One row for each document: doc_id, source, size, source_size, target, taken, `entries`, an
+    array of (pass, words, virtual_start, virtual_finish) of the passes in which the mix takes it, and `key`, the shuffle's."""
     queued = _queued(docs, weights, share, repeats, seed)
     total = queued.agg(F.sum("size")).first()[0] or 0
     cut = _cut(queued, math.floor(min(share, repeats) * total), repeats) if total else None
@@ -176,7 +176,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     x = x.withColumn("entries", F.filter(F.array(*(entry(k) for k in range(repeats))), lambda e: e["words"] > 0))
     sum_of = F.aggregate("entries", F.lit(0).cast("long"), lambda s, e: s + e["words"])
-    return x.select("doc_id", "source", "size", "source_size", "target", sum_of.alias("taken"), "entries")
+    return x.select("doc_id", "source", "size", "source_size", "target", sum_of.alias("taken"), "entries", "key")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -187,6 +187,17 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return out.orderBy("virtual_finish", "source", "doc_id", "pass")
 
 
+def mixed_texts(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
+    """The documents that the mix takes, with their texts: doc_id, source, size, source_size, target, taken, passes, text. A document of
+    which only one pass is taken, and not all of it, has the words taken, joined by single spaces."""
+    plan = schedule(docs, seed=seed, **options).filter("taken > 0")
+    # rows that agree in id and text share a key, and need their text once
+    own = docs.select(shuffle_key(F.col("doc_id"), F.col("text"), seed).alias("key"), "text").dropDuplicates(["key"])
+    cut = (F.size("entries") == 1) & (F.col("taken") < F.col("size"))
+    x = plan.join(own, "key")
+    return x.select("doc_id", "source", "size", "source_size", "target", "taken", F.size("entries").alias("passes"), F.when(cut, first_words(F.col("text"), F.col("taken"))).otherwise(F.col("text")).alias("text"))
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text of a cut entry: its first n words, joined by single spaces."""
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), 1, n.cast("int")), " ")

@@ -83,6 +83,21 @@ def test_entries_come_in_virtual_time_and_end_at_the_budget(docs):
     assert sum(r["words"] for r in mixed) == 3 * total // 2
 
 
+def test_texts_are_those_taken(docs, odd_docs, no_docs):
+    for df in (docs, odd_docs):
+        texts = {(r["doc_id"], len((r["text"] or "").split())): r["text"] for r in df.collect()}
+        plan = sorted((repr(r["doc_id"]), r["taken"]) for r in mixing.schedule(df).filter("taken > 0").collect())
+        rows = mixing.mixed_texts(df).collect()
+        assert sorted((repr(r["doc_id"]), r["taken"]) for r in rows) == plan
+        for r in rows:
+            whole = texts.get((r["doc_id"], r["size"]))
+            if r["passes"] > 1 or r["taken"] == r["size"]:
+                assert whole is None or r["text"] == whole
+            else:
+                assert len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) == r["taken"] < r["size"]
+    assert mixing.mixed_texts(no_docs).count() == 0
+
+
 def test_odd_rows_and_empty_table(odd_docs, no_docs):
     rows = mixing.schedule(odd_docs).collect()
     assert len(rows) == len(TEXTS) and {r["size"] for r in rows if r["doc_id"] in (3, 4, 5)} == {0}
