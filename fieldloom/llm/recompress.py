@@ -7,14 +7,14 @@ rounds merge the names of all shards and answer with those that documents share:
 
  1. Low symbols, of the third round. With every one goes the range of words that determined it; those whose range fits in a
     window are reported (a window that holds none reports its first word), with the smallest and largest doc_id that has
-    them. A window all of whose symbols other documents have is open; no other can repeat.
- 2. High symbols, of all later rounds up to whole documents, that stand for a window or more and lie in open windows. One that
-    a smaller doc_id has too is a long repeat: its windows are covered.
- 3. Open windows that no high symbol covers, by name: those at the ends of repeats, and all of the smallest doc_id
+    them. A window all of whose symbols other documents have is open; no other can repeat. High symbols, of all later rounds up
+    to whole documents, are reported if they stand for a window or more. One that a smaller doc_id has too is a long
+    repeat: its windows are covered.
+ 2. Open windows that no high symbol covers, by name: those at the ends of repeats, and all of the smallest doc_id
     that has them, which is never covered. The answer is the smallest doc_id of each.
- 4. Words of windows that start in a smaller doc_id go.
+ 3. Words of windows that start in a smaller doc_id go.
 
-Steps 1 and 2 only spare windows that cannot repeat or are known to, so every repeat of a window is found, in texts of any
+Step 1 only spares windows that cannot repeat or are known to, so every repeat of a window is found, in texts of any
 length. Names have 64 bits, of high symbols and windows 96. A name is reported once a shard, however often it occurs there, and no
 pair of documents is ever formed: a passage in a third of all documents costs a row for each shard. Shards are
 groups of rows, by a hash of doc_id and text, of about SHARD_BYTES of text; texts are shuffled once and that exchange is
@@ -215,9 +215,7 @@ def _marked(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(ends, n), minlength=n + 1)[: n + 1])[:n] > 0
 
 
-#: Names travel as two integers: of low symbols 32 and 16 bits, of others 64 and 32.
-REPORT = {LOW: "bucket int, shard int, names array<int>, more array<short>, lows array<long>, highs array<long>", HIGH: "bucket int, shard int, names array<long>, more array<int>, lows array<long>, highs array<long>"}
-REPORT[PLACES] = REPORT[HIGH]
+REPORT = "bucket int, shard int, kind int, high array<int>, low array<int>, more array<int>, lows array<long>, highs array<long>"
 
 
 def cut(name: np.ndarray) -> np.ndarray:
@@ -249,33 +247,27 @@ def report(shard: int, kind: int, name: np.ndarray, more: np.ndarray, ids: np.nd
     cuts = np.searchsorted(bucket, np.arange(len(buckets) + 1))
     used = np.flatnonzero(np.diff(cuts))
     offsets = pa.array(np.append(cuts[used], len(name)), pa.int32())
-    if kind == LOW:
-        names = ((name >> U(16)).astype(np.uint32).view(np.int32), (name & U(0xFFFF)).astype(np.uint16).view(np.int16))
-    else:
-        names = (name.view(np.int64), more)
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (*names, low, high)]
-    return pa.table([pa.array(buckets[used], pa.int32()), pa.array(np.full(len(used), shard), pa.int32()), *lists], names=[c.split()[0] for c in REPORT[kind].split(", ")])
-
-
-def merged(reports: DataFrame, kind: int, n: int) -> DataFrame:
-    """shard, kind, high, low, more, flags: for each shard the names that it has reported and that several documents have, as up to
-    three integers. A flag's first bit says that another shard has a smaller doc_id, its second bit that one has a larger."""
-    x = reports.repartition(n, "bucket").select("bucket", "shard", F.inline(F.arrays_zip("names", "more", "lows", "highs")))
+    # names travel as integers of 32 bits; a low symbol has 48 in all
+    shift = U(16 if kind == LOW else 32)
+    upper, lower = ((name >> shift) & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32), (name & ((U(1) << shift) - U(1))).astype(np.uint32).view(np.int32)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (upper, lower, more, low, high)]
+    same = [pa.array(np.full(len(used), k), pa.int32()) for k in (shard, kind)]
+    return pa.table([pa.array(buckets[used], pa.int32()), *same, *lists], names=[c.split()[0] for c in REPORT.split(", ")])
+
+
+def merged(reports: DataFrame, n: int) -> DataFrame:
+    """shard, kind, high, low, more, flags: for each shard the names that it has reported and that several documents have, as three
+    integers. A flag's first bit says that another shard has a smaller doc_id, its second bit that one has a larger."""
+    x = reports.select("bucket", "shard", "kind", F.inline(F.arrays_zip("high", "low", "more", "lows", "highs")))
     # the names come first, because the sort looks at its first column before all others
-    every = W.partitionBy("names", "more", "bucket")
+    every = W.partitionBy("high", "low", "more", "kind", "bucket")
     x = x.withColumn("least", F.min("lows").over(every)).withColumn("most", F.max("highs").over(every))
     # of high symbols and windows, only those that some document of the shard has after another: others lose nothing there
-    x = x.filter(F.col("least") < F.col("most" if kind == LOW else "highs"))
+    x = x.filter(F.col("least") < F.when(F.col("kind") == LOW, F.col("most")).otherwise(F.col("highs")))
     flag = ((F.col("least") < F.col("lows")).cast("int") + (F.col("most") > F.col("highs")).cast("int") * 2).cast("tinyint")
-    if kind == LOW:
-        parts = (F.col("names"), F.lit(0), F.col("more"))
-    else:
-        parts = (F.shiftright("names", 32), F.shiftright(F.shiftleft("names", 32), 32), F.col("more"))
-    kinds = (("high", "int"), ("low", "int"), ("more", "int"))
-    row = F.struct(*(p.cast(t).alias(a) for p, (a, t) in zip(parts, kinds, strict=True)), flag.alias("flags"))
-    x = x.groupBy("shard", "bucket").agg(F.collect_list(row).alias("x"))
-    empty = F.array().cast("array<int>")
-    return x.select("shard", F.lit(kind).alias("kind"), F.col("x.high").alias("high"), (empty if kind == LOW else F.col("x.low")).alias("low"), F.col("x.more").cast("array<int>").alias("more"), F.col("x.flags").alias("flags"))
+    # `kind` comes out as an aggregate, so that no filter on it reaches below the exchange, which all readers share
+    x = x.groupBy("shard", "kind", "bucket").agg(F.collect_list(F.struct("high", "low", "more", flag.alias("flags"))).alias("x"), F.max("kind").alias("of"))
+    return x.select("shard", F.col("of").alias("kind"), *(F.col(f"x.{c}").alias(c) for c in ("high", "low", "more", "flags")))
 
 
 class Answers:
@@ -288,9 +280,8 @@ class Answers:
             chunks = rows.column(c).chunks
             return pa.concat_arrays(chunks).flatten().to_numpy(zero_copy_only=False) if chunks else np.zeros(0, dtype)
 
-        high, more, flags = flat("high", np.int32), flat("more", np.int32), flat("flags", np.int8)
-        low = more.astype(np.uint16) if kind == LOW else flat("low", np.int32).view(np.uint32)
-        names = (high.view(np.uint32).astype(U) << U(16 if kind == LOW else 32)) | low.astype(U)
+        high, low, more, flags = flat("high", np.int32), flat("low", np.int32), flat("more", np.int32), flat("flags", np.int8)
+        names = (high.view(np.uint32).astype(U) << U(16 if kind == LOW else 32)) | low.view(np.uint32).astype(U)
         order = np.argsort(names, kind="stable")
         self.names, self.more, self.flags = names[order], more[order], flags[order]
 
@@ -346,7 +337,7 @@ def long_repeats(s: Shard, answers: pa.Table, docs: np.ndarray, window: int) ->
 
 
 def mark(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What stands for a document with open windows among the high symbols."""
+    """What stands for a document with open windows among the names of windows."""
     return mix(ids.view(U) ^ M2), half(mix(ids.view(U) + M1))
 
 
@@ -354,7 +345,7 @@ def marked(rows: pa.Table, answers: pa.Table) -> np.ndarray:
     """The rows whose documents have open windows. All that others may share is in such: a document that has a window of one of
     them, under another id, is one itself."""
     ids = rows.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-    return Answers(answers, HIGH).find(*mark(ids)) >= 0
+    return Answers(answers, PLACES).find(*mark(ids)) >= 0
 
 
 def covered(s: Shard, answers: pa.Table, window: int) -> np.ndarray:
@@ -383,26 +374,20 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
     def first(key: tuple, rows: pa.Table) -> pa.Table:
         s = Shard(rows)
         name, _, _, doc = low_symbols(s, window)
-        return report(key[0].as_py(), LOW, cut(name), np.zeros(len(name), np.int32), s.ids[doc], buckets)
+        low = report(key[0].as_py(), LOW, cut(name), np.zeros(len(name), np.int32), s.ids[doc], buckets)
+        name, more, start, _ = high_symbols(s, np.ones(len(s.ids), bool), window)
+        return pa.concat_tables([low, report(key[0].as_py(), HIGH, name, more, s.ids[s.doc[start]], buckets)])
 
     def second(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         s = Shard(rows)
         wide = open_windows(s, answers, window)
         docs = np.bincount(s.doc[wide], minlength=len(s.ids)) > 0
-        name, more, start, end = high_symbols(s, docs, window)
-        sums = np.concatenate([[0], np.cumsum(wide)])
-        keep = sums[end - window + 1] - sums[start] == end - window + 1 - start
+        at = np.flatnonzero(wide & ~long_repeats(s, answers, docs, window))
         # twice and with two numbers, so that the marks come back to their shard
         own, second_own = mark(np.unique(s.ids[docs]))
-        two = np.repeat([0, 1], len(own))
-        whole = (np.concatenate(x) for x in ((name[keep], own, own), (more[keep], second_own, second_own), (s.ids[s.doc[start[keep]]], two)))
-        return report(key[0].as_py(), HIGH, *whole, buckets)
-
-    def third(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        s = Shard(rows.filter(pa.array(marked(rows, answers))))
-        wide = open_windows(s, answers, window)
-        at = np.flatnonzero(wide & ~long_repeats(s, answers, np.ones(len(s.ids), bool), window))
-        return report(key[0].as_py(), PLACES, *s.names(at, window), s.ids[s.doc[at]], buckets)
+        name, more = s.names(at, window)
+        whole = (np.concatenate(x) for x in ((name, own, own), (more, second_own, second_own), (s.ids[s.doc[at]], np.repeat([0, 1], len(own)))))
+        return report(key[0].as_py(), PLACES, *whole, buckets)
 
     def last(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         some = marked(rows, answers)
@@ -428,8 +413,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
     def answered(make: Callable[..., pa.Table], answers: DataFrame, schema: str) -> DataFrame:
         return base.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(make, schema)
 
-    low = merged(base.groupBy("shard").applyInArrow(first, REPORT[LOW]), LOW, n)
-    high = merged(answered(second, low, REPORT[HIGH]), HIGH, n)
-    places = merged(answered(third, low.unionByName(high), REPORT[PLACES]), PLACES, n)
+    symbols = base.groupBy("shard").applyInArrow(first, REPORT).repartition(n, "bucket")
+    known = merged(symbols, n)
+    places = merged(answered(second, known, REPORT).repartition(n, "bucket"), n)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, span_starts array<long>, span_ends array<long>" + (", kept string" if with_text else "")
-    return answered(last, high.unionByName(places), schema)
+    return answered(last, known.filter(F.col("kind") == HIGH).unionByName(places), schema)

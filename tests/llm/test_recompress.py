@@ -90,7 +90,7 @@ def test_results_come_through_the_symbols(spark, docs, monkeypatch):
     empty = pa.table({"kind": pa.array([], pa.int32()), **{k: pa.array([], t) for k, t in kinds.items()}})
     assert not recompress.open_windows(small, empty, 13).any()
     name = np.unique(recompress.cut(recompress.low_symbols(small)[0]))
-    lists = {"low": [], "high": (name >> np.uint64(16)).astype(np.uint32).view(np.int32).tolist(), "more": (name & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16).tolist(), "flags": [0] * len(name)}
+    lists = {"more": [0] * len(name), "high": (name >> np.uint64(16)).astype(np.uint32).view(np.int32).tolist(), "low": (name & np.uint64(0xFFFF)).astype(np.int32).tolist(), "flags": [0] * len(name)}
     table = pa.table({"kind": pa.array([recompress.LOW], pa.int32()), **{k: pa.array([lists[k]], t) for k, t in kinds.items()}})
     assert recompress.open_windows(small, table, 13).any()
     monkeypatch.setattr(recompress, "low_symbols", lambda *_: none)
@@ -103,7 +103,7 @@ def test_reports_grow_with_the_shards():
     for n in (10, 1000):
         for kind in (recompress.LOW, recompress.HIGH):
             x = recompress.report(3, kind, rng.integers(0, 1 << 47, n).astype(np.uint64) << np.uint64(0 if kind == recompress.LOW else 16), np.zeros(n, np.int32), np.arange(n), np.arange(16))
-            assert x.num_rows <= 16 and sum(map(len, x.column("names").to_pylist())) == n
+            assert x.num_rows <= 16 and sum(map(len, x.column("high").to_pylist())) == n
             assert recompress.report(3, kind, np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.arange(16)).num_rows == 0
 
 
