@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontam, licenses, mixing, pii, quality, recompress, simhash, tokencount, transport, warczip
+from fieldloom.llm import decontam, htmltext, licenses, manifest, mixing, pii, quality, recompress, simhash, tokencount, transport, warczip, whitening
 from fieldloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,6 +62,18 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -151,9 +163,48 @@ FROM hit JOIN tn ON hit.template = tn.template WHERE k >= 0.8 * n
 """
 
 
+def op12_sql(levels: int = 40) -> str:
+    """Levels one after another, up to 2^levels leaves of a group; the checksum bit by bit."""
+    fields = [f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', {c}), '-')" for c in ("doc_id", "source", "lang", "N_CHARS", "text")]
+    leaf = f"sha256(concat({', '.join(fields)}))"
+    above, folds = [], []
+    for tree, below in (("n", "leaf"), ("u", "subroots")):
+        above.append(f"{tree}0 AS (SELECT g, k, d, c FROM {below})")
+        for i in range(1, levels + 1):
+            above.append(
+                f"{tree}{i} AS MATERIALIZED (SELECT g, k // 2 AS k, sha256(string_agg(d, '' ORDER BY k)) AS d, count(*) OVER (PARTITION BY g) AS c FROM {tree}{i - 1} WHERE c > 1 GROUP BY g, k // 2)"
+            )
+        if tree == "n":
+            tops = " UNION ALL ".join(f"SELECT g AS lang, d FROM n{i} WHERE c = 1" for i in range(levels + 1))
+            above.append(f"subroots AS MATERIALIZED (SELECT 0 AS g, row_number() OVER (ORDER BY lang ASC NULLS FIRST) - 1 AS k, d, count(*) OVER () AS c, lang FROM ({tops}))")
+    above.append("root AS (" + " UNION ALL ".join(f"SELECT d FROM u{i} WHERE c = 1" for i in range(levels + 1)) + ")")
+    folds.append("f0 AS (SELECT r, g, k, k AS j, '' AS proof, fold FROM leaf)")
+    for tree in ("n", "u"):
+        last = f"f{len(folds) - 1}"
+        if tree == "u":
+            folds.append(f"f{len(folds)} AS (SELECT r, 0 AS g, s.k AS k, s.k AS j, proof, fold FROM {last} f JOIN subroots s ON f.g IS NOT DISTINCT FROM s.lang)")
+        for i in range(levels):
+            last = f"f{len(folds) - 1}"
+            folds.append(
+                f"f{len(folds)} AS (SELECT r, f.g, f.k, j // 2 AS j, concat(proof, s.d) AS proof, CASE WHEN m.c IS NULL OR m.c = 1 THEN fold WHEN s.d IS NULL THEN sha256(fold) WHEN j % 2 = 1 THEN sha256(concat(s.d, fold)) "
+                f"ELSE sha256(concat(fold, s.d)) END AS fold FROM {last} f LEFT JOIN {tree}{i} m ON m.g IS NOT DISTINCT FROM f.g AND m.k = j LEFT JOIN {tree}{i} s ON s.g IS NOT DISTINCT FROM f.g AND s.k = xor(j, 1) AND s.c > 1)"
+            )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, *, {leaf.replace("N_CHARS", "n_chars")} AS d FROM documents),
+bits AS (SELECT *, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+         lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS crc FROM d),
+leaf AS MATERIALIZED (SELECT r, doc_id, lang AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id ASC NULLS FIRST, d) - 1 AS k, d, count(*) OVER (PARTITION BY lang) AS c,
+         CASE WHEN xor(crc, 4294967295) % 7 = 0 AND n_chars IS NOT NULL THEN {leaf.replace("N_CHARS", "(CAST(n_chars AS HUGEINT) + 1)")} ELSE d END AS fold FROM bits),
+{", ".join(above)}, {", ".join(folds)}
+SELECT doc_id, leaf.d AS leaf, s.d AS subroot, root.d AS root, sha256(proof) AS proof_sha256, f.fold AS folded_root, f.fold = root.d AS verified
+FROM leaf JOIN f{len(folds) - 1} f ON f.r = leaf.r JOIN subroots s ON s.lang IS NOT DISTINCT FROM leaf.g, root
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_license_scan, op4_quality_classifier, op5_benchmark_decontamination, op6_personal_data, op7_token_counts, op8_substring_dedup, op9_transport_stream, op10_warc_archives)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources, op3_license_scan, op4_quality_classifier, op5_benchmark_decontamination, op6_personal_data, op7_token_counts, op8_substring_dedup, op9_transport_stream, op10_warc_archives, op11_html_extraction, op12_merkle_manifest,
+                                       op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op3_license_scan": op3_sql(), "op5_benchmark_decontamination": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc_archives": OP10_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op3_license_scan": op3_sql(), "op5_benchmark_decontamination": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc_archives": OP10_SQL, "op12_merkle_manifest": op12_sql()}
