@@ -199,7 +199,7 @@ def _scaled(x: DataFrame) -> DataFrame:
 @query()
 def multiseed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 216 exploratory runs."""
-    return som.train_runs(som.runs(spark).repartition(32), _scaled(catalog.fields(spark, sf_dir))).select("run_id", "t", "node")
+    return som.train_runs(som.runs(spark), _scaled(catalog.fields(spark, sf_dir))).select("run_id", "t", "node")
 
 
 @query()
