@@ -130,11 +130,11 @@ def tree(nodes: DataFrame) -> Tree:
 
 # ---------------------------------------------------------------- descent
 
-_STEP = "g string, m long, seg long, digest binary, path array<binary>, payload {payload}"
+_STEP = "g string, m long, top binary, seg long, digest binary, path array<binary>, payload {payload}"
 
 
 def _descended(frontier: DataFrame, records: DataFrame, wanted: DataFrame, payload: str) -> DataFrame:
-    """One digit down: of each frontier row (g, m, seg, digest, path, height) the wanted children, (digit, payload), with the children not
+    """One digit down: of each frontier row (g, m, top, seg, digest, path, height) the wanted children, (digit, payload), with the children not
     selected added to their paths. A step of a path is a byte, 0 for no sibling, 1 for one on the left, 2 on the right, and the digest."""
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,24 +153,24 @@ def _descended(frontier: DataFrame, records: DataFrame, wanted: DataFrame, paylo
                     paths.append(path)
                 n = len(digits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column("g")[i].as_py()] * n, pa.string()), pa.array([batch.column("m")[i].as_py()] * n, pa.int64()), pa.array([seg * WIDTH + d for d in digits], pa.int64()),
+                    [*(pa.repeat(batch.column(k)[i], n) for k in ("g", "m", "top")), pa.array([seg * WIDTH + d for d in digits], pa.int64()),
                      pa.array([levels[0][d] for d in digits], pa.binary()), pa.array(paths, pa.list_(pa.binary())), held.field("payload")],
-                    names=["g", "m", "seg", "digest", "path", "payload"],
+                    names=["g", "m", "top", "seg", "digest", "path", "payload"],
                 )
 
     joined = frontier.join(wanted, ["g", "seg"]).join(records, ["digest", "height"])
-    return joined.select("g", "m", "seg", "digest", "path", "height", "children", "wanted").mapInArrow(down, _STEP.format(payload=payload))
+    return joined.select("g", "m", "top", "seg", "path", "height", "children", "wanted").mapInArrow(down, _STEP.format(payload=payload))
 
 
 def descent(trees: Tree, start: DataFrame, requests: DataFrame) -> DataFrame:
-    """Paths of requests (g, rank, payload), rank by rank once, from the tops in start (g, m, digest, path) down: rows (g, m, seg = rank, digest, path, payload),
-    the path from the top to the leaf."""
+    """Paths of requests (g, rank, payload), rank by rank once, from the tops in start (g, m, digest, path) down: rows (g, m, top, seg = rank, digest, path,
+    payload), the path from the top to the leaf. Each row carries its group's top, so nothing is joined by group in the end."""
     payload = requests.schema["payload"].dataType.simpleString()
     frontier = None
     for level in range(len(trees.levels) - 1, -1, -1):
         # Groups whose top segment is of this level join the descent here.
-        here = start.filter((_nodes(F.col("m"), level + 1) == 1) & ((_nodes(F.col("m"), level) > 1) | F.lit(level == 0))).select("g", "m", F.lit(0).cast("long").alias("seg"), "digest", "path")
-        frontier = here if frontier is None else frontier.select("g", "m", "seg", "digest", "path").unionByName(here)
+        here = start.filter((_nodes(F.col("m"), level + 1) == 1) & ((_nodes(F.col("m"), level) > 1) | F.lit(level == 0))).select("g", "m", F.col("digest").alias("top"), F.lit(0).cast("long").alias("seg"), "digest", "path")
+        frontier = here if frontier is None else frontier.select("g", "m", "top", "seg", "digest", "path").unionByName(here)
         frontier = frontier.withColumn("height", _height(F.col("m"), level))
         if level:
             asked = requests.select("g", F.shiftright("rank", BITS * level).alias("rank"), F.lit(None).cast("int").alias("payload")).distinct()
@@ -201,8 +201,7 @@ class Manifest:
         to_subroots = descent(self.upper, top, subroots.select(F.col("tree").alias("g"), "rank", F.struct("lang", "leaves").alias("payload")))
         start = materialised(to_subroots.select(F.col("payload.lang").alias("g"), F.col("payload.leaves").alias("m"), "digest", "path"))
         found = descent(self.trees, start, asked)
-        tops = start.select("g", F.col("digest").alias("subroot"))
-        return found.join(tops, "g").select("g", F.col("seg").alias("rank"), F.col("digest").alias("leaf"), "subroot", F.reverse("path").alias("path"), "payload")
+        return found.select("g", F.col("seg").alias("rank"), F.col("digest").alias("leaf"), F.col("top").alias("subroot"), F.reverse("path").alias("path"), "payload")
 
 
 def manifest(leaves: DataFrame) -> Manifest:
