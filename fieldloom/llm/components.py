@@ -13,33 +13,39 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import materialised
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+#: Edges of a part: small graphs take few tasks, whatever the session's default.
+PART_EDGES = 250_000
+
+
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(parts, "u")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").repartition(parts, "u").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).repartition(parts, "u")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).repartition(parts, "u").distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) -> (node, component): for each node that has an edge, the smallest node it can reach.
 
     Loops and null ends are ignored, repeated edges count once; no edges give no rows."""
+    spark = edges.sparkSession
     edges = materialised(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + edges.count() // PART_EDGES)
     state = None
     for _ in range(rounds):
-        edges = materialised(_small_star(_large_star(edges)))
+        edges = materialised(_small_star(_large_star(edges, parts), parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    leaves = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    roots = leaves.select(F.col("component").alias("node"), "component").distinct()
+    leaves = edges.repartition(parts, "u").groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    roots = leaves.select(F.col("component").alias("node"), "component").repartition(parts, "node").distinct()
     return leaves.unionByName(roots)

@@ -7,9 +7,12 @@ label, and then members of different labels are compared inside the bucket. A pa
 bytes (at J = 0.8 that is four deviations off: 2 of 10^5 pairs) goes no further; a pair becomes a link only if its
 sets, hashed anew from the texts, have J >= THRESHOLD.
 
-In the second step sketches meet first, and sets are sent only to the buckets in which their sketches have found somebody.
-Buckets of more than BLOCK members are cut into blocks, and each pair of blocks meets in a group of its own, so no task holds more
-than two blocks of sets, whatever the bucket.
+In the second step buckets of up to BLOCK members compare them with each other: sketches meet first, and sets are sent only to the
+buckets in which their sketches have found somebody. Members of larger buckets are *crowded*: all of these, from all buckets, meet by the rarest of
+their shared shingles instead (prefix filter). A set of n shingles, ordered by how many crowded sets hold them, shares one of its first n - 0.89 n + 1
+with one of the first n - 0.8 n + 1 of every set at least as large that it is similar to, so only these are joined. What a crowd has in common comes last in
+that order: documents around one passage whose other words keep them below the threshold never meet, however many they are. Shingles of one
+label only order before all others and are never sent.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from fieldloom.llm.common import columns, materialised, small_batches, utf8
 from fieldloom.llm.components import connected_components
 
 THRESHOLD, BANDS, ROWS = 0.8, 32, 4
-ALIKE, BLOCK = 84, 2048
+ALIKE, BLOCK = 84, 64
+#: Rows of an id each that are sent to all tasks at most.
+BROADCAST_ROWS = 200_000
 _RANDOM = np.random.default_rng(44)
 _FLIPS, _FACTORS = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
 _FACTORS |= np.uint64(1)
@@ -38,10 +43,12 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def row_id(docs: DataFrame) -> Column:
-    """128 bits that name a row's doc_id and text: rows that agree in it agree in both."""
+    """192 bits that name a row: 128 of its doc_id and text, so that rows that agree in these agree in both, and 64 of its other columns, of any type."""
     own = docs["doc_id"].cast("string")
     named = F.coalesce(F.concat(F.length(own).cast("string"), F.lit(":"), own), F.lit("-"))
-    return F.unhex(F.md5(F.concat(named, F.coalesce(F.concat(F.lit("="), docs["text"]), F.lit("-")))))
+    rest = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    other = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long")
+    return F.unhex(F.concat(F.md5(F.concat(named, F.coalesce(F.concat(F.lit("="), docs["text"]), F.lit("-")))), F.lpad(F.hex(other), 16, "0")))
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -80,7 +87,7 @@ def prints(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, rids, pa.array(node), *packed], ["doc_id", "rid", "node", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", row_id(docs).alias("rid"), "text")
+    rows = docs.select(docs["doc_id"], row_id(docs).alias("rid"), docs["text"])
     return materialised(rows.mapInArrow(make, f"doc_id {kind}, rid binary, node long, bands binary, sketch binary"))
 
 
@@ -105,35 +112,30 @@ def stars(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (keys, u, nodes)], ["key", "u", "v"])
 
 
-def met(key: int, labels: np.ndarray, blocks: np.ndarray, bands: np.ndarray, sketches: np.ndarray, k: int) -> np.ndarray:
-    """Of one group of a bucket (a block, or two that only meet each other), the later rows that row k should be compared with:
-    other label, sketch alike, and no earlier band in common."""
-    other = labels[k + 1 :] != labels[k]
-    if blocks[0] != blocks[-1] or (blocks != blocks[0]).any():
-        other &= blocks[k + 1 :] != blocks[k]
-    other = np.flatnonzero(other) + k + 1
+def met(key: int, labels: np.ndarray, bands: np.ndarray, sketches: np.ndarray, k: int) -> np.ndarray:
+    """The later rows of a bucket that row k should be compared with: other label, sketch alike, and no earlier band in common."""
+    other = np.flatnonzero(labels[k + 1 :] != labels[k]) + k + 1
     other = other[(sketches[other] == sketches[k]).sum(axis=1) >= ALIKE]
     band = int(np.flatnonzero(bands[k] == key)[0])
     return other[~(bands[other, :band] == bands[k, :band]).any(axis=1)] if band and len(other) else other
 
 
-def across(key: int, nodes: np.ndarray, labels: np.ndarray, blocks: np.ndarray, bands: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Links of one group between different labels: a spanning forest, never all pairs. A pair that shares several buckets is
+def across(key: int, nodes: np.ndarray, labels: np.ndarray, bands: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links of one bucket between different labels: a spanning forest, never all pairs. A pair that shares several buckets is
     compared in that of its first common band."""
     labels = labels.copy()
     for k in range(len(nodes) - 1):
-        for j in met(key, labels, blocks, bands, sketches, k):
+        for j in met(key, labels, bands, sketches, k):
             if labels[j] != labels[k] and similarity(sets[k], sets[j]) >= THRESHOLD:
                 labels[labels == labels[j]] = labels[k]
                 yield int(nodes[k]), int(nodes[j])
 
 
-def groups(batches: Batches, names: list[str]) -> Iterator[tuple[tuple, list[list]]]:
-    """Rows sorted by (key, one, two) -> those three and the columns `names` of each group. What runs on at a batch's end is
-    carried over."""
+def groups(batches: Batches, names: list[str]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows sorted by key -> the columns `names` of each bucket. What runs on at a batch's end is carried over."""
     at, held = None, []
-    for *own, found in ((*(x.to_pylist() for x in c[:3]), list(zip(*(x.to_pylist() for x in c[3:]), strict=True))) for c in columns(batches, "key", "one", "two", *names)):
-        for now, row in zip(zip(*own, strict=True), found, strict=True):
+    for keys, *found in columns(batches, "key", *names):
+        for now, row in zip(keys.to_pylist(), zip(*(x.to_pylist() for x in found), strict=True), strict=True):
             if now != at:
                 if held:
                     yield at, list(zip(*held, strict=True))
@@ -148,27 +150,68 @@ def _matrix(values: tuple, kind: type) -> np.ndarray:
 
 
 def wanted(batches: Batches) -> Batches:
-    """Groups' rows without sets -> (key, one, two, node) of the rows that have somebody to be compared with."""
-    for (key, one, two), (nodes, labels, blocks, bands, sketches) in groups(batches, ["node", "label", "block", "bands", "sketch"]):
-        labels, blocks, bands, sketches = np.array(labels), np.array(blocks), _matrix(bands, np.int64), _matrix(sketches, np.uint8)
+    """Buckets' rows without sets -> (key, node) of the rows that have somebody to be compared with."""
+    for key, (nodes, labels, bands, sketches) in groups(batches, ["node", "label", "bands", "sketch"]):
+        labels, bands, sketches = np.array(labels), _matrix(bands, np.int64), _matrix(sketches, np.uint8)
         hit = np.zeros(len(nodes), bool)
         for k in range(len(nodes) - 1):
-            if len(found := met(key, labels, blocks, bands, sketches, k)):
+            if len(found := met(key, labels, bands, sketches, k)):
                 hit[k] = hit[found] = True
         own = np.array(nodes)[hit]
         if len(own):
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(own)), pa.array([one] * len(own), pa.int32()), pa.array([two] * len(own), pa.int32()), pa.array(own)], ["key", "one", "two", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(own)), pa.array(own)], ["key", "node"])
 
 
 def links_across(batches: Batches) -> Batches:
-    """Groups' rows with sets -> (u, v) of `across`."""
-    for (key, _, _), (nodes, labels, blocks, bands, sketches, sets) in groups(batches, ["node", "label", "block", "bands", "sketch", "set"]):
+    """Buckets' rows with sets -> (u, v) of `across`."""
+    for key, (nodes, labels, bands, sketches, sets) in groups(batches, ["node", "label", "bands", "sketch", "set"]):
         whole = [np.frombuffer(x, np.uint64) for x in sets]
-        found = list(across(key, np.array(nodes), np.array(labels), np.array(blocks), _matrix(bands, np.int64), _matrix(sketches, np.uint8), whole))
+        found = list(across(key, np.array(nodes), np.array(labels), _matrix(bands, np.int64), _matrix(sketches, np.uint8), whole))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 
 
+def prefix_lengths(size: int) -> tuple[int, int]:
+    """Of a set's shingles in any fixed order: how many have to be looked up in smaller sets, and how many have to be found by larger ones. Overlaps
+    are whole numbers, so both are exact; the tolerance keeps rounding from making them too short."""
+    look, found = (size - int(np.ceil(share * size - 1e-9)) + 1 for share in (THRESHOLD, 2 * THRESHOLD / (1 + THRESHOLD)))
+    return min(look, size), min(found, size)
+
+
+def exploded(batches: Batches) -> Batches:
+    for nodes, labels, sets in columns(batches, "node", "label", "set"):
+        for node, label, held in zip(nodes, labels, sets, strict=True):
+            tokens = np.frombuffer(held.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), *(pa.repeat(x, len(tokens)) for x in (node, label))], ["token", "node", "label"])
+
+
+def prefixes(batches: Batches) -> Batches:
+    """(node, label, size, shared: array of (sets, token)) -> (token, node, label, size, found): the shingles by which the set is looked up
+    or, if found, found. Those that no other label has come first, so they use up the prefix and are not sent."""
+    for nodes, labels, sizes, shared in columns(batches, "node", "label", "size", "shared"):
+        for node, label, size, held in zip(nodes, labels, sizes.to_pylist(), shared.to_pylist(), strict=True):
+            order = sorted((h["sets"], h["token"]) for h in held)
+            look, found = (n - (size - len(order)) for n in prefix_lengths(size))
+            if look > 0:
+                sent = [t for _, t in order[:look]]
+                own = [pa.repeat(x, len(sent)) for x in (node, label)]
+                yield pa.RecordBatch.from_arrays([pa.array(sent, pa.int64()), *own, pa.array([size] * len(sent), pa.int32()), pa.array([k < found for k in range(len(sent))])],
+                                                 ["token", "node", "label", "size", "found"])
+
+
+def crowded_pairs(crowded: DataFrame) -> DataFrame:
+    """(u, v) of different labels that may have J >= THRESHOLD, of sets (node, label, set): every such pair, and hardly another."""
+    tokens = crowded.mapInArrow(exploded, "token long, node long, label long")
+    common = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token", "sets")
+    held = tokens.join(common, "token").groupBy("node").agg(F.collect_list(F.struct("sets", "token")).alias("shared"))
+    sized = crowded.select("node", "label", (F.octet_length("set") / 8).cast("int").alias("size"))
+    rows = materialised(held.join(sized, "node").mapInArrow(prefixes, "token long, node long, label long, size int, found boolean"))
+    look = rows.select("token", F.col("node").alias("u"), F.col("label").alias("own"), F.col("size").alias("most"))
+    found = rows.filter("found").select("token", F.col("node").alias("v"), "label", "size")
+    pairs = look.join(found, "token").filter((F.col("own") != F.col("label")) & (F.col("most") >= F.col("size")) & (F.col("size") >= THRESHOLD * F.col("most") - 1e-9))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Exact Jaccard similarity of two sorted sets; two empty ones are equal."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -207,25 +250,29 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
     def sets_of(asked: DataFrame) -> DataFrame:
         asked = materialised(nodes.select("node", "rid").join(asked, "node"))
-        texts = docs.select(row_id(docs).alias("rid"), "text").join(asked, "rid").dropDuplicates(["node"])
+        if asked.count() <= BROADCAST_ROWS:
+            asked = F.broadcast(asked)
+        texts = docs.select(row_id(docs).alias("rid"), docs["text"]).join(asked, "rid").dropDuplicates(["node"])
         return materialised(texts.select("node", "text").mapInArrow(hashed, "node long, set binary"))
 
     ends = lambda df: df.select(F.col("u").alias("node")).unionByName(df.select(F.col("v").alias("node"))).distinct()
-    pairs = materialised(both_ends(shared.select("u", "v").distinct(), nodes, "sketch").mapInArrow(alike, "u long, v long"))
-    first = materialised(both_ends(pairs, sets_of(ends(pairs)), "set").mapInArrow(confirm, "u long, v long"))
+    alike_pairs = lambda df: materialised(both_ends(df, nodes, "sketch").mapInArrow(alike, "u long, v long"))
+    confirmed = lambda df, sets: materialised(both_ends(df, sets, "set").mapInArrow(confirm, "u long, v long"))
+    pairs = alike_pairs(shared.select("u", "v").distinct())
+    first = confirmed(pairs, sets_of(ends(pairs)))
     labels = connected_components(first).select("node", F.col("component").alias("label"))
     # a bucket's smallest member has been compared with all others
     members = shared.select("key", F.col("v").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     members = materialised(members)
     mixed = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a < b")
-    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("two"), "node", "label", "block")
-    rows = materialised(rows)
-    order = ["key", "one", "two"]
-    known = rows.join(nodes.select("node", "bands", "sketch"), "node").repartition(n, *order).sortWithinPartitions(*order)
-    asked = materialised(known.mapInArrow(wanted, "key long, one int, two int, node long"))
-    rest = rows.join(asked, [*order, "node"]).join(nodes.select("node", "bands", "sketch"), "node").join(sets_of(asked.select("node").distinct()), "node")
-    rest = rest.select(*order, "node", "label", "block", "bands", "sketch", "set").repartition(n, *order).sortWithinPartitions(*order)
-    return first.unionByName(rest.mapInArrow(links_across, "u long, v long"))
+    rows = materialised(members.join(mixed.select("key", "n"), "key"))
+    small = rows.filter(F.col("n") <= BLOCK).select("key", "node", "label")
+    known = small.join(nodes.select("node", "bands", "sketch"), "node").repartition(n, "key").sortWithinPartitions("key")
+    asked = materialised(known.mapInArrow(wanted, "key long, node long"))
+    crowded = materialised(rows.filter(F.col("n") > BLOCK).select("node", "label").distinct())
+    sets = sets_of(asked.select("node").unionByName(crowded.select("node")).distinct())
+    rest = small.join(asked, ["key", "node"]).join(nodes.select("node", "bands", "sketch"), "node").join(sets, "node")
+    rest = rest.select("key", "node", "label", "bands", "sketch", "set").repartition(n, "key").sortWithinPartitions("key")
+    in_small = rest.mapInArrow(links_across, "u long, v long")
+    in_crowd = confirmed(alike_pairs(crowded_pairs(crowded.join(sets, "node"))), sets)
+    return first.unionByName(in_small).unionByName(in_crowd)

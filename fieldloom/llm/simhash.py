@@ -223,5 +223,6 @@ def deduplicated(docs: DataFrame, shingle: int = 5, radius: int = WIDE) -> DataF
     kept = near_duplicates(docs, shingle, radius, checked=True).select(F.col("kept").alias("rid")).distinct()
     # under names of their own, so that no column of the input can clash
     named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own"), jaccard.row_id(docs).alias("rid"))
-    # rows that agree in id and text: those of the other columns do not matter, the least stays
-    return named.join(kept, "rid", "left_semi").groupBy("rid").agg(F.min("own").alias("own")).select("own.*")
+    # Rows that agree in the row id agree in all columns, so any of them may stay; the join has sorted them already.
+    first = F.row_number().over(W.partitionBy("rid").orderBy("rid"))
+    return named.join(kept, "rid", "left_semi").withColumn("place", first).filter("place = 1").select("own.*")

@@ -53,20 +53,20 @@ def test_batches_do_not_matter():
     sets = [np.unique(rng.integers(0, 24, 30).astype(np.uint64)) for _ in range(60)]
     bands = rng.integers(0, 4, (60, jaccard.BANDS)) + 10 * np.arange(jaccard.BANDS)
     sketches = np.zeros((60, 128), np.uint8)
-    rows = sorted((int(key), 0, 0, node, node, 0, bands[node].tobytes(), sketches[node].tobytes(), sets[node].tobytes()) for node in range(60) for key in bands[node])
-    kinds = {"key": pa.int64(), "one": pa.int32(), "two": pa.int32(), "node": pa.int64(), "label": pa.int64(), "block": pa.int32(), "bands": pa.binary(), "sketch": pa.binary(), "set": pa.binary()}
+    rows = sorted((int(key), node, node, bands[node].tobytes(), sketches[node].tobytes(), sets[node].tobytes()) for node in range(60) for key in bands[node])
+    kinds = {"key": pa.int64(), "node": pa.int64(), "label": pa.int64(), "bands": pa.binary(), "sketch": pa.binary(), "set": pa.binary()}
     table = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.values())], list(kinds))
 
     def found(make, size):
         return sorted(tuple(r.values()) for b in make(table.slice(at, size) for at in range(0, len(rows), size)) for r in b.to_pylist())
 
     stars = found(jaccard.stars, 9999)
-    least = {k: min(r[3] for r in rows if r[0] == k) for k in {r[0] for r in rows}}
-    assert stars == found(jaccard.stars, 7) == sorted((r[0], least[r[0]], r[3]) for r in rows if r[3] != least[r[0]])
+    least = {k: min(r[1] for r in rows if r[0] == k) for k in {r[0] for r in rows}}
+    assert stars == found(jaccard.stars, 7) == sorted((r[0], least[r[0]], r[1]) for r in rows if r[1] != least[r[0]])
     asked = found(jaccard.wanted, 9999)
-    assert asked == found(jaccard.wanted, 7) and set(asked) <= {r[:4] for r in rows}
+    assert asked == found(jaccard.wanted, 7) and set(asked) <= {r[:2] for r in rows}
     links = found(jaccard.links_across, 9999)
-    assert {x for pair in links for x in pair} <= {r[3] for r in asked}
+    assert {x for pair in links for x in pair} <= {r[1] for r in asked}
     assert links == found(jaccard.links_across, 7)
     near = lambda a, b: jaccard.similarity(sets[a], sets[b]) >= jaccard.THRESHOLD
     assert links and all(near(a, b) for a, b in links)
@@ -95,3 +95,52 @@ def test_rows_without_or_with_repeated_ids_are_rows_of_their_own(spark):
     assert all(r[2] == r[3] for r in kept)
     kept = [r[:3] for r in kept]
     assert sorted((t or "", i or 0) for i, t, _ in kept) == sorted([("", 7), *((t, 0) for t in texts[:6]), (texts[6], 7), (texts[7], 3), *((t, 7) for t in texts[8:])])
+
+
+def test_crowds_below_the_threshold_do_not_meet(spark):
+    """Twice the documents around one passage, J about 0.73, give no pair more; true pairs among them are found."""
+    rng = random.Random(7)
+    passage, found = words(rng, 340), {}
+    for n in (60, 120):
+        texts = [" ".join([*passage, *words(rng, 60)]) for _ in range(n)]
+        near = [" ".join([*t.split()[:-3], *words(rng, 3)]) for t in texts[:5]]
+        rows = [(k, k, jaccard.shingle_set(t.encode(), 5).tobytes()) for k, t in enumerate([*texts, *near])]
+        pairs = {tuple(r) for r in jaccard.crowded_pairs(spark.createDataFrame(rows, "node long, label long, set binary")).collect()}
+        assert {(k, n + k) for k in range(5)} <= pairs
+        found[n] = len(pairs)
+    assert found[120] < 3 * found[60] and found[120] < 30
+
+
+def test_prefixes_meet_every_similar_pair(spark):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60, n)) for n in rng.integers(1, 60, 300)]
+    sets += [np.setdiff1d(s, rng.choice(s, len(s) // 10)) for s in sets[:150] if len(s) > 3]
+    rows = [(k, k % 97, s.astype(np.uint64).tobytes()) for k, s in enumerate(sets)]
+    pairs = {tuple(r) for r in jaccard.crowded_pairs(spark.createDataFrame(rows, "node long, label long, set binary")).collect()}
+    true = {(a, b) for b in range(len(sets)) for a in range(b) if a % 97 != b % 97 and jaccard.similarity(sets[a], sets[b]) >= 0.8}
+    assert len(true) > 100 and true <= pairs
+
+
+def test_recall_over_planted_pairs(spark, capsys):
+    """Thousands of pairs at J from 0.8 to 0.95 among texts that share passages."""
+    rng = random.Random(9)
+    passages = [words(rng, 150) for _ in range(20)]
+    texts = []
+    for k in range(2000):
+        one = [*passages[k % 20], *words(rng, 100)]
+        at, cut = rng.randrange(150, 200), rng.randrange(3, 26)
+        texts += [" ".join(one), " ".join([*one[:at], *words(rng, cut), *one[at + cut :]])]
+    planted = [(2 * k, 2 * k + 1) for k in range(2000) if alike(texts[2 * k], texts[2 * k + 1]) >= 0.8]
+    component = components_of(spark, texts)
+    caught = sum(component[a] == component[b] for a, b in planted)
+    with capsys.disabled():
+        print(f" recall {caught} of {len(planted)} planted pairs")
+    assert len(planted) > 1500 and caught >= 0.999 * len(planted)
+    assert sum(component[k] == k for k in component) == len(texts) - caught
+
+
+def test_columns_of_any_type(spark):
+    rows = [(1, "a b c d e f", {"x": 1}, [1]), (1, "a b c d e f", {"x": 2}, [1]), (1, "a b c d e f", {"x": 2}, [1]), (2, "z", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, rid array<int>")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicated(df).collect()]
+    assert sorted(kept) == [(1, "a b c d e f"), (2, "z")]
