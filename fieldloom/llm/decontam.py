@@ -1,12 +1,12 @@
 """Benchmark decontamination: an FM-index for each training shard, searched for all test phrases.
 
-A shard is a bounded run of documents inside a task; every word of it is in the index, under a number of its own. A
-document of more than a shard's words is cut into pieces that overlap by a phrase. Phrases are searched backwards through
-wavelet ranks, occurrences are located through sampled suffix positions, and their word spans are merged.
+A shard is a bounded run of words inside a task: documents, or pieces of long ones that overlap by a phrase, up to SHARD_WORDS words. Every word of
+it is in its index, under a number of its own. Phrases are searched backwards through wavelet ranks, occurrences are located
+through sampled suffix positions, and their word spans are merged.
 
-Phrases come in blocks of at most BLOCK_WORDS words and BLOCK_BYTES bytes (but for the item that runs across). A block is
-broadcast; more benchmarks mean more blocks, each searched in a pass of its own over the documents, whose findings are
-merged row by row. No pass shuffles anything.
+Phrases come in blocks of at most BLOCK_WORDS words and BLOCK_BYTES bytes (but for the item that runs across), which tasks write to files in the shared
+folder; the driver knows their names only. A shard's index is built once and searched for one block after another, so a task holds one index
+and one block, whatever the sizes of documents and benchmark. Texts are read once and not shuffled.
 
 Defined results: null or empty texts have no words, no hits and are not contaminated; a benchmark item without
 words has no phrase; an item shorter than a window is one phrase, whole; items are told apart by
@@ -16,6 +16,7 @@ nothing; repeated documents stay rows of their own; other columns are ignored by
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,10 +24,12 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import small_batches, utf8
+from fieldloom.llm.common import fresh_path, small_batches, utf8
 from fieldloom.llm.fmindex import FMIndex
 
 WINDOW, SHARD_WORDS, BLOCK_WORDS, BLOCK_BYTES = 13, 1_000_000, 2_000_000, 64 << 20
@@ -59,23 +62,67 @@ class Phrases:
                 self.items.append({})
             self.items[k][item] = None
 
-    def by_length(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, phrase numbers, phrases as a matrix)."""
-        found: dict[int, list] = {}
-        for phrase, k in self.seen.items():
-            found.setdefault(len(phrase), []).append((k, phrase))
-        return [(n, np.array([k for k, _ in x]), np.array([p for _, p in x], np.int32)) for n, x in sorted(found.items())]
-
-
-def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Phrases]:
-    block = Phrases()
-    for row in benchmark.select("item_id", F.encode("text", "utf-8").alias("text")).toLocalIterator():
-        block.add("null" if row["item_id"] is None else str(row["item_id"]), bytes(row["text"]) if row["text"] is not None else None, window)
-        if block.n_words >= block_words or block.n_bytes >= BLOCK_BYTES:
-            yield block
-            block = Phrases()
-    if block.seen:
-        yield block
+    def write(self, path: str) -> None:
+        """Three Arrow streams in one file: words, phrases, items."""
+        place = np.array([p for p in self.seen.values()], np.int64)
+        tables = (
+            pa.table({"word": pa.array(self.words, pa.binary())}),
+            pa.table({"k": place, "phrase": pa.array(list(self.seen), pa.list_(pa.int32()))}),
+            pa.table({"items": pa.array([list(i) for i in self.items], pa.list_(pa.string()))}),
+        )
+        system, name = file_system(path)
+        with system.open_output_stream(name) as out:
+            for t in tables:
+                with pa.ipc.new_stream(out, t.schema) as stream:
+                    stream.write_table(t)
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+@functools.lru_cache(maxsize=1)
+def read_block(path: str) -> tuple[dict[bytes, int], list[tuple[int, np.ndarray, np.ndarray]], list[list[str]]]:
+    """A block's words, its phrases by length (length, numbers, words as a matrix) and their items. The last block read is kept."""
+    system, name = file_system(path)
+    with system.open_input_stream(name) as source:
+        words, phrases, items = (pa.ipc.open_stream(source).read_all() for _ in range(3))
+    k, phrase = phrases.column("k").to_numpy(), phrases.column("phrase").combine_chunks()
+    sizes = phrase.value_lengths().to_numpy()
+    flat, starts = phrase.values.to_numpy(), phrase.offsets.to_numpy()[:-1]
+    by_length = [(int(n), k[sizes == n], flat[starts[sizes == n][:, None] + np.arange(n)]) for n in np.unique(sizes)]
+    return {w: i for i, w in enumerate(words.column("word").to_pylist())}, by_length, items.column("items").to_pylist()
+
+
+def write_blocks(benchmark: DataFrame, window: int, block_words: int) -> list[str]:
+    """Blocks of phrases as files that all executors see; their names."""
+    folder = fresh_path(benchmark.sparkSession, "phrases")
+    system, name = file_system(folder)
+    system.create_dir(name, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part, block, made = context.partitionId() if context else 0, Phrases(), []
+
+        def put() -> None:
+            made.append(f"{folder}/{part}-{len(made)}.arrow")
+            block.write(made[-1])
+
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), utf8(batch.column("text")), strict=True):
+                block.add("null" if item is None else item, text, window)
+                if block.n_words >= block_words or block.n_bytes >= BLOCK_BYTES:
+                    put()
+                    block = Phrases()
+        if block.seen:
+            put()
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["path"])
+
+    # Files of a small benchmark are read as one part, so that it is one block.
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.coalesce(1) if size <= BLOCK_BYTES else rows
+    return sorted(r["path"] for r in rows.mapInArrow(write, "path string").collect())
 
 
 def index_of(pieces: list[list[bytes]]) -> tuple[FMIndex, dict[bytes, int]]:
@@ -87,39 +134,42 @@ def index_of(pieces: list[list[bytes]]) -> tuple[FMIndex, dict[bytes, int]]:
     return FMIndex(text), symbols
 
 
-def search_shard(word_lists: list[list[bytes]], words: dict[bytes, int], phrases: list[tuple[int, np.ndarray, np.ndarray]], shard_words: int = SHARD_WORDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each document of a shard: phrase starts, phrase ends (word numbers) and phrase numbers."""
-    none = (np.zeros(0, np.int64),) * 3
-    if not phrases or not any(word_lists):
-        return [none] * len(word_lists)
-    longest = phrases[-1][0]
-    step = max(1, shard_words - longest + 1)
-    cut = [(k, at) for k, w in enumerate(word_lists) for at in range(0, max(1, len(w) - longest + 1), step)]
-    owner, offset = np.array(cut, np.int64).T
-    pieces = [word_lists[k][at : at + step + longest - 1] for k, at in cut]
+def shards_of(word_lists: list[list[bytes]], window: int, shard_words: int) -> Iterator[list[tuple[int, int, list[bytes]]]]:
+    """Shards of pieces (document, first word, words) of at most shard_words words together, or one piece of a window."""
+    step = max(1, shard_words - window + 1)
+    held: list[tuple[int, int, list[bytes]]] = []
+    total = 0
+    for k, words in enumerate(word_lists):
+        for at in range(0, max(1, len(words) - window + 1), step) if words else ():
+            piece = words[at : at + step + window - 1]
+            if held and total + len(piece) > shard_words:
+                yield held
+                held, total = [], 0
+            held.append((k, at, piece))
+            total += len(piece)
+    if held:
+        yield held
+
+
+def search_shard(shard: list[tuple[int, int, list[bytes]]], paths: list[str]) -> Iterator[tuple[int, int, int, list[str]]]:
+    """(document, first word, end, items) of each occurrence of a phrase; the index is built once for all blocks."""
+    pieces = [p for _, _, p in shard]
+    owner, offset = (np.array([x[k] for x in shard], np.int64) for k in (0, 1))
     index, symbols = index_of(pieces)
     starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces])])
-    unknown = index.symbols
-    place = np.fromiter((symbols[w] if w in symbols else unknown for w in words), np.int64, len(words))
-    at, ends, numbers = [], [], []
-    for n, ks, matrix in phrases:
-        alive, low, high = index.search(place[matrix])
-        if len(alive):
-            found = high - low
-            rows = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found) + np.repeat(low, found)
-            at.append(index.locate(rows))
-            ends.append(at[-1] + n)
-            numbers.append(np.repeat(ks[alive], found))
-    if not at:
-        return [none] * len(word_lists)
-    at, ends, numbers = map(np.concatenate, (at, ends, numbers))
-    piece = np.searchsorted(starts, at, side="right") - 1
-    shift = offset[piece] - starts[piece]
-    doc, at, ends = owner[piece], at + shift, ends + shift
-    order = np.lexsort((at, doc))
-    doc, at, ends, numbers = doc[order], at[order], ends[order], numbers[order]
-    cuts = np.searchsorted(doc, np.arange(len(word_lists) + 1))
-    return [(at[a:b], ends[a:b], numbers[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    for path in paths:
+        words, phrases, items = read_block(path)
+        place = np.fromiter((symbols[w] if w in symbols else index.symbols for w in words), np.int64, len(words))
+        for n, numbers, matrix in phrases:
+            alive, low, high = index.search(place[matrix])
+            if len(alive):
+                found = high - low
+                rows = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found) + np.repeat(low, found)
+                at = index.locate(rows)
+                piece = np.searchsorted(starts, at, side="right") - 1
+                at = at + offset[piece] - starts[piece]
+                for doc, first, k in zip(owner[piece].tolist(), at.tolist(), np.repeat(numbers[alive], found).tolist(), strict=True):
+                    yield doc, first, first + n, items[k]
 
 
 def merged(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
@@ -138,55 +188,48 @@ def merged(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns `keep`), n_words, merged removal spans in words (span_starts, span_ends) and
     item_ids, sorted, of each row."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     ints, strings = pa.list_(pa.int64()), pa.list_(pa.string())
+    paths = write_blocks(benchmark, window, block_words)
     # under names of their own, so that no column of the input can clash
-    found = docs.select(F.struct(*(docs[c] for c in keep)).alias("own"), F.col("text").alias("text"))
-    blocks = blocks_of(benchmark, window, block_words)
-    block, first = next(blocks, Phrases()), True
-    while block is not None:
-        following = next(blocks, None)
-        sent = spark.sparkContext.broadcast((block.words, block.by_length(), [list(i) for i in block.items]))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent, last=following is None, first=first) -> Iterator[pa.RecordBatch]:
-            known, phrases, items = sent.value
-            held: list[pa.RecordBatch] = []
-            words: list[list[bytes]] = []
-            total = 0
-            names = ["own", *([] if last else ["text"]), "n_words", "span_starts", "span_ends", "item_ids"]
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                hits, at = search_shard(words, known, phrases, shard_words), 0
-                for batch in held:
-                    before = [batch.column(batch.schema.get_field_index(c)).to_pylist() if not first else [[]] * batch.num_rows for c in ("span_starts", "span_ends", "item_ids")]
-                    out = []
-                    for k in range(batch.num_rows):
-                        starts, ends, numbers = hits[at + k]
-                        s, e = merged([*before[0][k], *starts.tolist()], [*before[1][k], *ends.tolist()])
-                        out.append((len(words[at + k]), s, e, sorted({*before[2][k], *(i for n in set(numbers.tolist()) for i in items[n])})))
-                    at += batch.num_rows
-                    arrays = [batch.column(batch.schema.get_field_index(c)) for c in names[: 1 if last else 2]]
-                    arrays += [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), ints, ints, strings))]
-                    yield pa.RecordBatch.from_arrays(arrays, names)
-
-            for batch in batches:
-                if batch.num_rows:
-                    held.append(batch)
-                    new = [words_of(t) for t in utf8(batch.column(batch.schema.get_field_index("text")))]
-                    words += new
-                    total += sum(map(len, new)) + len(new)
-                    if total >= shard_words:
-                        yield from flush()
-                        held, words, total = [], [], 0
-            if held:
-                yield from flush()
-
-        own = found.schema["own"].dataType.simpleString()
-        found = found.mapInArrow(search, f"own {own}, {'' if following is None else 'text string, '}n_words long, span_starts array<long>, span_ends array<long>, item_ids array<string>")
-        block, first = following, False
-    return found
+    rows = docs.select(F.struct(*(docs[c] for c in keep)).alias("own"), docs["text"].alias("text"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        words: list[list[bytes]] = []
+        total = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            starts: list[list[int]] = [[] for _ in words]
+            ends: list[list[int]] = [[] for _ in words]
+            items: list[set[str]] = [set() for _ in words]
+            for shard in shards_of(words, window, shard_words) if paths else ():
+                for doc, first, end, found in search_shard(shard, paths):
+                    starts[doc].append(first)
+                    ends[doc].append(end)
+                    items[doc].update(found)
+            spans, at = [merged(s, e) for s, e in zip(starts, ends, strict=True)], 0
+            for batch in held:
+                now = slice(at, at + batch.num_rows)
+                at += batch.num_rows
+                arrays = [batch.column("own"), pa.array([len(w) for w in words[now]], pa.int64()), *(pa.array([s[k] for s in spans[now]], ints) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([sorted(i) for i in items[now]], strings)], ["own", "n_words", "span_starts", "span_ends", "item_ids"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch.select(["own"]))
+                new = [words_of(t) for t in utf8(batch.column("text"))]
+                words += new
+                total += sum(map(len, new)) + len(new)
+                if total >= shard_words:
+                    yield from flush()
+                    held, words, total = [], [], 0
+        if held:
+            yield from flush()
+
+    own = rows.schema["own"].dataType.simpleString()
+    return rows.mapInArrow(search, f"own {own}, n_words long, span_starts array<long>, span_ends array<long>, item_ids array<string>")
 
 
 def is_contaminated(share: int):

@@ -107,3 +107,37 @@ def test_spans_are_merged():
 
 def test_against_sql(same_rows):
     same_rows(queries.op5_benchmark_decontamination, queries.OP5_SQL)
+
+
+def test_indexes_are_bounded_and_built_once(spark, tmp_path, monkeypatch):
+    """No index is larger than a shard, however long a text is, and each shard has one index for all blocks."""
+    rng = np.random.default_rng(3)
+    lists = [[b"w%d" % k for k in rng.integers(0, 500, n)] for n in (20_000, 3, 0, 700, 999, 1000, 1001, 5)]
+    built = []
+    plain = decontam.index_of
+    monkeypatch.setattr(decontam, "index_of", lambda pieces: built.append(sum(map(len, pieces))) or plain(pieces))
+    blocks = []
+    for k in range(3):
+        block = decontam.Phrases()
+        for item, w in enumerate(lists):
+            if at := max(0, len(w) - 13 - k):
+                block.add(f"{k}-{item}", b" ".join(w[at : at + 13]), 13)
+        blocks.append(str(tmp_path / f"{k}.arrow"))
+        block.write(blocks[-1])
+    shards = list(decontam.shards_of(lists, 13, 1000))
+    found = {x[3][0] for shard in shards for x in decontam.search_shard(shard, blocks)}
+    assert found == {f"{k}-{item}" for k in range(3) for item, w in enumerate(lists) if len(w) > 13 + k}
+    assert len(built) == len(shards) and max(built) <= 1000
+    # every window of a text lies whole in one of its pieces
+    for k, w in enumerate(lists):
+        inside = {at + i for shard in shards for d, at, piece in shard if d == k for i in range(len(piece) - 12)}
+        assert inside == set(range(len(w) - 12))
+
+
+def test_blocks_are_written_by_tasks(spark):
+    benchmark = spark.createDataFrame([(k, f"a{k} b c d e f g h i j k l m n o") for k in range(40)], "item_id long, text string")
+    paths = decontam.write_blocks(benchmark, 13, 60)
+    assert len(paths) == 10
+    phrases = [len(k) for p in paths for _, k, _ in decontam.read_block(p)[1]]
+    assert sum(phrases) == 40 + 2 * 10
+    assert decontam.write_blocks(benchmark.limit(0), 13, 60) == []
