@@ -10,7 +10,7 @@ sets, hashed anew from the texts, have J >= THRESHOLD.
 In the second step buckets of up to BLOCK members compare them with each other: sketches meet first, and sets are sent only to the
 buckets in which their sketches have found somebody. Members of larger buckets are *crowded*: all of these, from all buckets, meet by the rarest of
 their shared shingles instead (prefix filter). A set of n shingles, ordered by how many crowded sets hold them, shares one of its first n - 0.89 n + 1
-with one of the first n - 0.8 n + 1 of every set at least as large that it is similar to, so only these are joined. What a crowd has in common comes last in
+with one of the first n - 0.8 n + 1 of every set at least as large that it is similar to, so only these meet, sketches first. What a crowd has in common comes last in
 that order: documents around one passage whose other words keep them below the threshold never meet, however many they are. Shingles of one
 label only order before all others and are never sent.
 """
@@ -30,6 +30,8 @@ from fieldloom.llm.components import connected_components
 
 THRESHOLD, BANDS, ROWS = 0.8, 32, 4
 ALIKE, BLOCK = 84, 64
+#: Sets of one token that meet in one group.
+CROWD = 4096
 #: Rows of an id each that are sent to all tasks at most.
 BROADCAST_ROWS = 200_000
 _RANDOM = np.random.default_rng(44)
@@ -186,30 +188,60 @@ def exploded(batches: Batches) -> Batches:
 
 
 def prefixes(batches: Batches) -> Batches:
-    """(node, label, size, shared: array of (sets, token)) -> (token, node, label, size, found): the shingles by which the set is looked up
-    or, if found, found. Those that no other label has come first, so they use up the prefix and are not sent."""
-    for nodes, labels, sizes, shared in columns(batches, "node", "label", "size", "shared"):
-        for node, label, size, held in zip(nodes, labels, sizes.to_pylist(), shared.to_pylist(), strict=True):
+    """(node, label, size, sketch, shared: array of (sets, token)) -> rows of the groups (token, one, two) in which the set looks for others, or may be found.
+    Shingles that no other label has come first, so they use up the prefix and are not sent. Up to CROWD sets of a token are one
+    group; of more, each part of those to be found meets each part of those that look in a group of its own."""
+    for nodes, labels, sizes, sketches, shared in columns(batches, "node", "label", "size", "sketch", "shared"):
+        for node, label, size, sketch, held in zip(nodes, labels, sizes.to_pylist(), sketches, shared.to_pylist(), strict=True):
             order = sorted((h["sets"], h["token"]) for h in held)
             look, found = (n - (size - len(order)) for n in prefix_lengths(size))
-            if look > 0:
-                sent = [t for _, t in order[:look]]
-                own = [pa.repeat(x, len(sent)) for x in (node, label)]
-                yield pa.RecordBatch.from_arrays([pa.array(sent, pa.int64()), *own, pa.array([size] * len(sent), pa.int32()), pa.array([k < found for k in range(len(sent))])],
-                                                 ["token", "node", "label", "size", "found"])
+            rows = []
+            for k, (sets, token) in enumerate(order[: max(0, look)]):
+                parts = -(-sets // CROWD)
+                own = node.as_py() % parts
+                if parts == 1:
+                    rows.append((token, 0, 0, True, k < found))
+                else:
+                    rows += [(token, p, own, True, False) for p in range(parts)]
+                    rows += [(token, own, p, False, True) for p in range(parts)] if k < found else []
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+                arrays = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                same = [pa.repeat(x, len(rows)) for x in (node, label, pa.scalar(size, pa.int32()), sketch)]
+                yield pa.RecordBatch.from_arrays([*arrays, *same], ["token", "one", "two", "look", "found", "node", "label", "size", "sketch"])
+
+
+def meetings(batches: Batches) -> Batches:
+    """Rows sorted by (token, one, two) -> (u, v) of different labels and alike sketches, one looking and one found."""
+    names = ["one", "two", "look", "found", "node", "label", "size", "sketch"]
+    for _, held in groups(batches, names):
+        one, two, look, found, node, label, size = (np.array(x) for x in held[:7])
+        sketch = _matrix(held[7], np.uint8)
+        # Groups of one token follow each other; only equal parts meet.
+        for part in np.unique(one.astype(np.int64) << 32 | two):
+            own = (one.astype(np.int64) << 32 | two) == part
+            a, b = np.flatnonzero(own & look), np.flatnonzero(own & found)
+            if len(a) and len(b):
+                for k in a:
+                    hit = b[(label[b] != label[k]) & (size[b] <= size[k]) & (size[b] >= THRESHOLD * size[k] - 1e-9)]
+                    hit = hit[(sketch[hit] == sketch[k]).sum(axis=1) >= ALIKE]
+                    if len(hit):
+                        u, v = np.minimum(node[hit], node[k]), np.maximum(node[hit], node[k])
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def crowded_pairs(crowded: DataFrame) -> DataFrame:
-    """(u, v) of different labels that may have J >= THRESHOLD, of sets (node, label, set): every such pair, and hardly another."""
+    """(u, v) of different labels and alike sketches that may have J >= THRESHOLD, of sets (node, label, sketch, set): every pair that has, and
+    hardly another. Pairs are compared inside their groups; only those that are alike leave the task."""
+    n = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = crowded.mapInArrow(exploded, "token long, node long, label long")
     common = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token", "sets")
-    held = tokens.join(common, "token").groupBy("node").agg(F.collect_list(F.struct("sets", "token")).alias("shared"))
-    sized = crowded.select("node", "label", (F.octet_length("set") / 8).cast("int").alias("size"))
-    rows = materialised(held.join(sized, "node").mapInArrow(prefixes, "token long, node long, label long, size int, found boolean"))
-    look = rows.select("token", F.col("node").alias("u"), F.col("label").alias("own"), F.col("size").alias("most"))
-    found = rows.filter("found").select("token", F.col("node").alias("v"), "label", "size")
-    pairs = look.join(found, "token").filter((F.col("own") != F.col("label")) & (F.col("most") >= F.col("size")) & (F.col("size") >= THRESHOLD * F.col("most") - 1e-9))
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    held = tokens.select("token", "node").join(common, "token").groupBy("node").agg(F.collect_list(F.struct("sets", "token")).alias("shared"))
+    sized = crowded.select("node", "label", (F.octet_length("set") / 8).cast("int").alias("size"), "sketch")
+    rows = held.join(sized, "node").mapInArrow(prefixes, "token long, one int, two int, look boolean, found boolean, node long, label long, size int, sketch binary")
+    # Both parts of the key deal the groups out; a group's rows are together after the sort.
+    met = rows.withColumn("key", F.col("token")).repartition(n, "key", "one", "two").sortWithinPartitions("key", "one", "two")
+    return met.mapInArrow(meetings, "u long, v long").distinct()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -256,9 +288,8 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
         return materialised(texts.select("node", "text").mapInArrow(hashed, "node long, set binary"))
 
     ends = lambda df: df.select(F.col("u").alias("node")).unionByName(df.select(F.col("v").alias("node"))).distinct()
-    alike_pairs = lambda df: materialised(both_ends(df, nodes, "sketch").mapInArrow(alike, "u long, v long"))
     confirmed = lambda df, sets: materialised(both_ends(df, sets, "set").mapInArrow(confirm, "u long, v long"))
-    pairs = alike_pairs(shared.select("u", "v").distinct())
+    pairs = materialised(both_ends(shared.select("u", "v").distinct(), nodes, "sketch").mapInArrow(alike, "u long, v long"))
     first = confirmed(pairs, sets_of(ends(pairs)))
     labels = connected_components(first).select("node", F.col("component").alias("label"))
     # a bucket's smallest member has been compared with all others
@@ -274,5 +305,6 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     rest = small.join(asked, ["key", "node"]).join(nodes.select("node", "bands", "sketch"), "node").join(sets, "node")
     rest = rest.select("key", "node", "label", "bands", "sketch", "set").repartition(n, "key").sortWithinPartitions("key")
     in_small = rest.mapInArrow(links_across, "u long, v long")
-    in_crowd = confirmed(alike_pairs(crowded_pairs(crowded.join(sets, "node"))), sets)
+    whole = crowded.join(nodes.select("node", "sketch"), "node").join(sets, "node")
+    in_crowd = confirmed(materialised(crowded_pairs(whole)), sets)
     return first.unionByName(in_small).unionByName(in_crowd)

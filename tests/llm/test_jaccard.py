@@ -97,6 +97,12 @@ def test_rows_without_or_with_repeated_ids_are_rows_of_their_own(spark):
     assert sorted((t or "", i or 0) for i, t, _ in kept) == sorted([("", 7), *((t, 0) for t in texts[:6]), (texts[6], 7), (texts[7], 3), *((t, 7) for t in texts[8:])])
 
 
+def crowded_pairs(spark, sets, labels, sketch=None):
+    low = lambda s: (jaccard.minima(s) & np.uint64(255)).astype(np.uint8).tobytes()
+    rows = [(k, label, sketch or low(s), s.tobytes()) for k, (s, label) in enumerate(zip(sets, labels, strict=True))]
+    return {tuple(r) for r in jaccard.crowded_pairs(spark.createDataFrame(rows, "node long, label long, sketch binary, set binary")).collect()}
+
+
 def test_crowds_below_the_threshold_do_not_meet(spark):
     """Twice the documents around one passage, J about 0.73, give no pair more; true pairs among them are found."""
     rng = random.Random(7)
@@ -104,19 +110,20 @@ def test_crowds_below_the_threshold_do_not_meet(spark):
     for n in (60, 120):
         texts = [" ".join([*passage, *words(rng, 60)]) for _ in range(n)]
         near = [" ".join([*t.split()[:-3], *words(rng, 3)]) for t in texts[:5]]
-        rows = [(k, k, jaccard.shingle_set(t.encode(), 5).tobytes()) for k, t in enumerate([*texts, *near])]
-        pairs = {tuple(r) for r in jaccard.crowded_pairs(spark.createDataFrame(rows, "node long, label long, set binary")).collect()}
+        sets = [jaccard.shingle_set(t.encode(), 5) for t in [*texts, *near]]
+        pairs = crowded_pairs(spark, sets, range(len(sets)))
         assert {(k, n + k) for k in range(5)} <= pairs
         found[n] = len(pairs)
     assert found[120] < 3 * found[60] and found[120] < 30
 
 
-def test_prefixes_meet_every_similar_pair(spark):
+@pytest.mark.parametrize("crowd", [4096, 7])
+def test_prefixes_meet_every_similar_pair(spark, monkeypatch, crowd):
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, n)) for n in rng.integers(1, 60, 300)]
     sets += [np.setdiff1d(s, rng.choice(s, len(s) // 10)) for s in sets[:150] if len(s) > 3]
-    rows = [(k, k % 97, s.astype(np.uint64).tobytes()) for k, s in enumerate(sets)]
-    pairs = {tuple(r) for r in jaccard.crowded_pairs(spark.createDataFrame(rows, "node long, label long, set binary")).collect()}
+    pairs = crowded_pairs(spark, [s.astype(np.uint64) for s in sets], [k % 97 for k in range(len(sets))], sketch=b"same" * 32)
     true = {(a, b) for b in range(len(sets)) for a in range(b) if a % 97 != b % 97 and jaccard.similarity(sets[a], sets[b]) >= 0.8}
     assert len(true) > 100 and true <= pairs
 
