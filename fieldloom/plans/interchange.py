@@ -10,7 +10,7 @@ from fieldloom.operators import bmu, nodes
 from fieldloom.plans import catalog
 from fieldloom.plans.catalog import BMU_SQL, CUBE_SQL, FIELDS_SQL
 from fieldloom.plans.registry import query
-from fieldloom.sources import files, netcdf, sinks, synthetic
+from fieldloom.sources import files, gridded, netcdf, sinks, synthetic
 
 
 def _runs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,36 +122,42 @@ def pattern_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + CUBE_SQL + " SELECT t, year, month, CAST(pixel_id // 5 AS INTEGER) AS iy, CAST(pixel_id % 5 AS INTEGER) AS ix, round(value, 6) AS value FROM cube WHERE pixel_id % 4 <> 0")
 def netcdf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cube as a NetCDF file with other dimension names and order and a bounds variable, scanned with gaps as nulls."""
+    """The cube as a NetCDF file with other dimension names and order and a bounds variable, written and scanned slab by slab, with gaps as nulls."""
+    import numpy as np
+
+    path = _cube_file(spark, sf_dir, "scan", ("iy", "ix", "t"), {"time_bnds": netcdf.Variable(("two",), np.zeros(2))})
+    found = files.read_cube(spark, path).filter("value is not null")
+    return found.select(F.col("t").cast("int").alias("t"), "year", "month", "iy", "ix", F.round("value", 6).alias("value"))
+
+
+def _cube_file(spark: SparkSession, sf_dir: str, name: str, order: tuple[str, str, str] = ("t", "iy", "ix"), more: dict | None = None) -> str:
+    """The cube of the given tables as a NetCDF file, with every fourth pixel missing, written by tasks."""
     import numpy as np
 
     x = catalog.cube(spark, sf_dir).filter("pixel_id % 4 <> 0")
-    rows = x.select("t", "pixel_id", "value").collect()
-    n = max(r["t"] for r in rows) + 1
-    values = np.full((5, 5, n), np.nan)
-    for r in rows:
-        values[r["pixel_id"] // 5, r["pixel_id"] % 5, r["t"]] = r["value"]
+    cells = x.select("t", F.floor(F.col("pixel_id") / 5).cast("int").alias("iy"), (F.col("pixel_id") % 5).alias("ix"), "value")
+    n = (cells.agg(F.max("t")).first()[0] or 0) + 1
     v = netcdf.Variable
-    file = netcdf.File(
-        {"lat": 5, "lon": 5, "valid_time": n, "two": 2},
-        {
-            "valid_time": v(("valid_time",), np.arange(n, dtype=float), {"units": "months since 1995-01-01"}),
-            "lat": v(("lat",), np.arange(5.0)), "lon": v(("lon",), np.arange(5.0)), "time_bnds": v(("valid_time", "two"), np.zeros((n, 2))),
-            "total": v(("lat", "lon", "valid_time"), values),
-        },
-    )
-    path = sinks.scratch(spark, "scan")
-    sinks.write_bytes(f"{path}/scan.nc", netcdf.write(file))
-    found = files.read_cube(spark, f"{path}/scan.nc").filter("value is not null")
-    return found.select(F.col("t").cast("int").alias("t"), "year", "month", "iy", "ix", F.round("value", 6).alias("value"))
+    axes = {
+        "t": ("valid_time", v(("valid_time",), np.arange(n, dtype=float), {"units": "months since 1995-01-01"})),
+        "iy": ("lat", v(("lat",), np.arange(5.0))), "ix": ("lon", v(("lon",), np.arange(5.0))),
+    }
+    path = f"{sinks.scratch(spark, name)}/{name}.nc"
+    gridded.write_cube(cells, path, {**dict(axes[k] for k in order), **(more or {})}, "total", order)
+    return path
 
 
-@query("SELECT CAST(s * 6 + k AS BIGINT) AS t, CAST(1981 + s + (k > 2)::INT AS INTEGER) AS year, CAST([10, 11, 12, 1, 2, 3][k + 1] AS INTEGER) AS month FROM range(44) AS a(s), range(6) AS b(k)")
+@query("WITH " + CUBE_SQL + " SELECT CAST(t AS BIGINT) AS t, CAST(1995 + t // 12 AS INTEGER) AS year, CAST(1 + t % 12 AS INTEGER) AS month FROM range((SELECT max(t) + 1 FROM cube WHERE pixel_id % 4 <> 0)) AS r(t)")
 def time_axis_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The time axis alone: 44 seasons of six months from October 1981."""
-    path = sinks.scratch(spark, "axis")
-    sinks.write_bytes(f"{path}/cube.nc", synthetic.as_netcdf())
-    return files.read_times(spark, f"{path}/cube.nc").select("t", "year", "month")
+    """The time axis of the cube's file alone: its values are not read."""
+    return files.read_times(spark, _cube_file(spark, sf_dir, "axis")).select("t", "year", "month")
+
+
+@query("WITH " + CUBE_SQL + " SELECT CAST(t AS BIGINT) AS t, month, CAST(pixel_id // 5 AS INTEGER) AS iy, CAST(pixel_id % 5 AS INTEGER) AS ix, round(value, 6) AS value FROM cube WHERE pixel_id % 4 <> 0 AND month IN (10, 11, 12, 1, 2, 3)")
+def season_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warm season of the cube's file: slabs of other months are left out when the scan is planned."""
+    found = files.read_cube(spark, _cube_file(spark, sf_dir, "season"), months="10,11,12,1,2,3").filter("value is not null")
+    return found.select("t", "month", "iy", "ix", F.round("value", 6).alias("value"))
 
 
 _GAPPY = "g AS (SELECT vec_id AS t, CASE WHEN vec_id % 7 = 0 THEN -1 ELSE label END AS node FROM embeddings)"

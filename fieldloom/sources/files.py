@@ -12,25 +12,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.sources import netcdf
+from fieldloom.sources import gridded
+from fieldloom.sources.gridded import AUXILIARY, DIMENSIONS, detect_variable, resolve  # noqa: F401  (names of this module, too)
 
 ENSO_SCHEMA = "season_year int, label_year int, oni double, phase string"
 BMU_SCHEMA = "fecha timestamp_ntz, nodo_i int, nodo_j int, nodo int"
-#: Coordinates and bounds, which are never the variable of a cube.
-AUXILIARY = frozenset("time_bnds latitude_bnds longitude_bnds lat_bnds lon_bnds crs spatial_ref time latitude longitude lat lon".split())
-DIMENSIONS = {"time": ("time", "valid_time", "t"), "latitude": ("latitude", "lat", "y"), "longitude": ("longitude", "lon", "x")}
-
-
-def detect_variable(names: list[str], policy: str = "strict") -> str:
-    """The one variable that is not auxiliary; policy "first" takes the first instead of insisting on one."""
-    found = [n for n in names if n not in AUXILIARY]
-    if not found or policy == "strict" and len(found) > 1:
-        raise ValueError(f"expected one variable, found {found or 'none'}")
-    return found[0]
-
-
-def resolve(names: list[str], wanted: str) -> str | None:
-    return next((a for a in DIMENSIONS[wanted] if a in names), None)
 
 
 class _PlainArrays(pickle.Unpickler):
@@ -98,54 +84,14 @@ def read_bmus(spark: SparkSession, path: str, columns: int | None = None) -> Dat
     return x.select("path", F.col("i").alias("t"), i.cast("int").alias("node_i"), j.cast("int").alias("node_j"))
 
 
-def read_cube(spark: SparkSession, path: str, variable: str | None = None, policy: str = "strict") -> DataFrame:
-    """t, time, year, month, iy, ix, lat, lon, value of NetCDF classic files; NaN and fill values become null."""
-
-    def parse(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for b in batches:
-            for content in b["content"]:
-                f = netcdf.read(bytes(content))
-                name = variable or detect_variable([n for n in f.variables if n not in f.dimensions], policy)
-                axes = [resolve(list(f.variables), d) for d in DIMENSIONS]
-                if name not in f.variables or None in axes:
-                    raise ValueError(f"needs {name} over time, latitude and longitude; has {list(f.variables)}")
-                data = f.variables[name]
-                if (order := [data.dimensions.index(a) for a in axes]) != [0, 1, 2]:
-                    data.values = data.values.transpose(order)
-                times = netcdf.dates(f.variables[axes[0]])
-                lat, lon = (f.variables[a].values.astype(float) for a in axes[1:])
-                ny, nx = len(lat), len(lon)
-                for t, when in enumerate(times):
-                    values = data.values[t].astype(float).ravel()
-                    fill = data.attributes.get("_FillValue")
-                    values[values == fill] = np.nan
-                    yield pd.DataFrame({"t": t, "time": when, "year": when.year, "month": when.month, "iy": np.repeat(np.arange(ny), nx), "ix": np.tile(np.arange(nx), ny), "lat": np.repeat(lat, nx), "lon": np.tile(lon, ny), "value": values})
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    schema = "t long, time timestamp_ntz, year int, month int, iy int, ix int, lat double, lon double, value double"
-    x = files.mapInPandas(parse, schema)
-    return x.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+def read_cube(spark: SparkSession, path: str, variable: str | None = None, policy: str = "strict", months: str | None = None) -> DataFrame:
+    """t, time, year, month, iy, ix, lat, lon, value of NetCDF classic files, read slab by slab; NaN and fill values become null."""
+    return gridded.scan(spark, path, variable=variable, policy=policy, months=months)
 
 
 def read_times(spark: SparkSession, path: str) -> DataFrame:
-    """t, time, year, month: the time axis of NetCDF classic files, without their values."""
-
-    def parse(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for b in batches:
-            for content in b["content"]:
-                f = netcdf.read(bytes(content))
-                axis = resolve(list(f.variables), "time")
-                if axis is None:
-                    raise ValueError(f"no time axis among {list(f.variables)}")
-                times = netcdf.dates(f.variables[axis])
-                yield pd.DataFrame({"t": range(len(times)), "time": times, "year": [w.year for w in times], "month": [w.month for w in times]})
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(parse, "t long, time timestamp_ntz, year int, month int")
+    """t, time, year, month: the time axis of NetCDF classic files; nothing but header and axis is read."""
+    return gridded.scan(spark, path, "t long, time timestamp_ntz, year int, month int")
 
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:

@@ -31,12 +31,14 @@ class File:
 
 class _Reader:
     def __init__(self, data: bytes):
-        if data[:3] != b"CDF" or data[3] not in (1, 2, 5):
+        if data[:3] != b"CDF" or len(data) < 4 or data[3] not in (1, 2, 5):
             raise ValueError("not a NetCDF classic file")
         self.data, self.at, self.version = data, 4, data[3]
 
     def number(self, size: int = 4) -> int:
         self.at += size
+        if self.at > len(self.data):
+            raise EOFError
         return int.from_bytes(self.data[self.at - size : self.at], "big")
 
     def count(self) -> int:
@@ -45,6 +47,8 @@ class _Reader:
     def padded(self, n: int) -> bytes:
         out = self.data[self.at : self.at + n]
         self.at += -(-n // 4) * 4
+        if len(out) < n:
+            raise EOFError
         return out
 
     def name(self) -> str:
@@ -61,7 +65,44 @@ class _Reader:
         return out
 
 
-def read(data: bytes) -> File:
+@dataclass
+class Placed:
+    """A variable as the header has it: where its values begin, and how far apart records are."""
+
+    dimensions: tuple[str, ...]
+    dtype: np.dtype
+    begin: int
+    is_record: bool
+    attributes: dict
+
+
+@dataclass
+class Head:
+    dimensions: dict[str, int]
+    variables: dict[str, Placed]
+    attributes: dict
+    stride: int
+
+    def shape(self, name: str) -> tuple[int, ...]:
+        return tuple(self.dimensions[d] for d in self.variables[name].dimensions)
+
+    def slab(self, read, name: str, k: int) -> np.ndarray:
+        """The values at place k of the first dimension; read(offset, size) gives bytes."""
+        v, shape = self.variables[name], self.shape(name)[1:]
+        size = int(np.prod(shape, dtype=np.int64)) * v.dtype.itemsize
+        return np.frombuffer(read(v.begin + k * (self.stride if v.is_record else size), size), v.dtype).reshape(shape)
+
+    def values(self, read, name: str) -> np.ndarray:
+        v, shape = self.variables[name], self.shape(name)
+        if v.is_record:
+            values = np.stack([self.slab(read, name, k) for k in range(shape[0])]) if shape[0] else np.zeros(shape, v.dtype)
+        else:
+            values = np.frombuffer(read(v.begin, int(np.prod(shape, dtype=np.int64)) * v.dtype.itemsize), v.dtype).reshape(shape)
+        return values if v.dtype.kind == "S" else values.astype(v.dtype.newbyteorder("="))
+
+
+def head(data: bytes) -> Head:
+    """The header, from the file's first bytes; EOFError if it goes on."""
     r = _Reader(data)
     records = r.count()
     dims: list[tuple[str, int]] = []
@@ -70,31 +111,29 @@ def read(data: bytes) -> File:
         dims.append((r.name(), r.count()))
     attributes = r.attributes()
     kind, n = r.number(), r.count()
-    heads = []
+    variables, items = {}, []
     for _ in range(n if kind == VARIABLE else 0):
         name, rank = r.name(), r.count()
         ids = [r.count() for _ in range(rank)]
-        own, code = r.attributes(), r.number()
+        own, dtype = r.attributes(), np.dtype(TYPES[r.number()])
         r.count()
-        heads.append((name, ids, own, code, r.number(4 if r.version == 1 else 8)))
-    shape = lambda ids: [dims[i][1] for i in ids]
-    is_record = lambda ids: bool(ids) and dims[ids[0]][1] == 0
-    item = {h[0]: int(np.prod(shape(h[1])[1:], dtype=np.int64)) * np.dtype(TYPES[h[3]]).itemsize for h in heads if is_record(h[1])}
-    stride = sum(-(-v // 4) * 4 for v in item.values()) if len(item) > 1 else sum(item.values())
-    variables = {}
-    for name, ids, own, code, at in heads:
-        dtype = np.dtype(TYPES[code])
-        if is_record(ids):
-            rest = shape(ids)[1:]
-            values = np.stack([np.frombuffer(data, dtype, item[name] // dtype.itemsize, at + k * stride) for k in range(records)]).reshape(records, *rest) if records else np.zeros((0, *rest), dtype)
-        else:
-            values = np.frombuffer(data, dtype, int(np.prod(shape(ids), dtype=np.int64)), at).reshape(shape(ids))
-        variables[name] = Variable(tuple(dims[i][0] for i in ids), values.astype(dtype.newbyteorder("=")) if code != 2 else values, own)
-    return File({k: v or records for k, v in dims}, variables, attributes)
+        is_record = bool(ids) and dims[ids[0]][1] == 0
+        variables[name] = Placed(tuple(dims[i][0] for i in ids), dtype, r.number(4 if r.version == 1 else 8), is_record, own)
+        if is_record:
+            items.append(int(np.prod([dims[i][1] for i in ids[1:]], dtype=np.int64)) * dtype.itemsize)
+    stride = sum(-(-v // 4) * 4 for v in items) if len(items) > 1 else sum(items)
+    return Head({k: v or records for k, v in dims}, variables, attributes, stride)
 
 
-def write(f: File) -> bytes:
-    """A CDF-2 file without a record dimension."""
+def read(data: bytes) -> File:
+    found = head(data)
+    at = lambda begin, size: data[begin : begin + size]
+    return File(found.dimensions, {k: Variable(v.dimensions, found.values(at, k), v.attributes) for k, v in found.variables.items()}, found.attributes)
+
+
+def head_bytes(dimensions: dict[str, int], variables: dict[str, Variable], larger: dict[str, tuple] | None = None, own: dict | None = None) -> tuple[bytes, int]:
+    """A CDF-2 header without a record dimension with the values of `variables`, and the offset at which those of `larger` begin: variables (dimensions, shape,
+    type, attributes) that are written apart."""
     number = lambda x: struct.pack(">I", x)
 
     def text(s: str) -> bytes:
@@ -111,21 +150,31 @@ def write(f: File) -> bytes:
             out += text(k) + number(code) + number(size) + raw + bytes(-len(raw) % 4)
         return out
 
-    names = list(f.dimensions)
-    body = [v.values.astype(v.values.dtype.newbyteorder(">")).tobytes() for v in f.variables.values()]
+    names = list(dimensions)
+    body = [v.values.astype(v.values.dtype.newbyteorder(">")).tobytes() for v in variables.values()]
     body = [b + bytes(-len(b) % 4) for b in body]
-    head = b"CDF\x02" + number(0) + number(DIMENSION) + number(len(names)) + b"".join(text(n) + number(f.dimensions[n]) for n in names) + attributes(f.attributes)
+    entries = [(k, v.dimensions, v.attributes, v.values.dtype, len(raw)) for (k, v), raw in zip(variables.items(), body, strict=True)]
+    for k, (own_dimensions, shape, dtype, own_attributes) in (larger or {}).items():
+        size = int(np.prod(shape, dtype=np.int64)) * np.dtype(dtype).itemsize
+        entries.append((k, own_dimensions, own_attributes, np.dtype(dtype), -(-size // 4) * 4))
+    top = b"CDF\x02" + number(0) + number(DIMENSION) + number(len(names)) + b"".join(text(n) + number(dimensions[n]) for n in names) + attributes(own or {})
 
     def table(start: int) -> bytes:
-        out = number(VARIABLE) + number(len(f.variables))
-        for (name, v), raw in zip(f.variables.items(), body, strict=True):
-            code = CODES[v.values.dtype.str[1:]]
-            out += text(name) + number(len(v.dimensions)) + b"".join(number(names.index(d)) for d in v.dimensions) + attributes(v.attributes) + number(code) + number(len(raw)) + struct.pack(">Q", start)
-            start += len(raw)
+        out = number(VARIABLE) + number(len(entries))
+        for name, used, said, dtype, size in entries:
+            code = CODES[dtype.str[1:]]
+            # sizes that the field cannot hold are said to be as large as it can
+            out += text(name) + number(len(used)) + b"".join(number(names.index(d)) for d in used) + attributes(said) + number(code) + number(min(size, 2**32 - 1)) + struct.pack(">Q", start)
+            start += size
         return out
 
-    start = len(head) + len(table(0))
-    return head + table(start) + b"".join(body)
+    start = len(top) + len(table(0))
+    return top + table(start) + b"".join(body), start + sum(map(len, body))
+
+
+def write(f: File) -> bytes:
+    """A CDF-2 file without a record dimension."""
+    return head_bytes(f.dimensions, f.variables, own=f.attributes)[0]
 
 
 def dates(v: Variable) -> list[datetime]:
