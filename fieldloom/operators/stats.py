@@ -1,111 +1,95 @@
-"""Hypothesis tests. Statistics are aggregates; p-values come from distributions that Spark's own class path offers."""
+"""Hypothesis tests as frames: statistics are aggregates, p-values are column expressions. With `by`, every test is done for each group of
+those columns at once (a pixel, a run); without, for the whole table."""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.functions.distributions import chi2_tail, correlation_tail, f_tail
+from fieldloom.sources.sinks import scratch
 
-def _distribution(spark: SparkSession, name: str, *parameters: float):
-    return getattr(spark._jvm.org.apache.commons.math3.distribution, name)(*map(float, parameters))
+By = tuple[str, ...]
 
 
-def upper_f(spark: SparkSession, f: float, df1: float, df2: float) -> float:
-    return 1.0 - _distribution(spark, "FDistribution", df1, df2).cumulativeProbability(float(f))
-
-
-def upper_chi2(spark: SparkSession, x: float, df: float) -> float:
-    return 1.0 - _distribution(spark, "ChiSquaredDistribution", df).cumulativeProbability(float(x))
-
-
-def two_sided_t(spark: SparkSession, r: float, n: int) -> float:
-    """p of a correlation r of n pairs."""
-    if n < 3:
-        return math.nan
-    if abs(r) >= 1:
-        return 0.0
-    t = abs(r) * math.sqrt((n - 2) / (1 - r * r))
-    return 2 * (1.0 - _distribution(spark, "TDistribution", n - 2).cumulativeProbability(t))
-
-
-def _between_within(x: DataFrame) -> DataFrame:
-    """x: g, v -> f, df1, df2."""
-    by = x.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("*")).alias("w"))
-    total = by.agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"), F.count("*").alias("k"), F.sum("w").alias("within"))
-    y = by.join(F.broadcast(total))
-    y = y.agg(F.sum(F.col("n") * (F.col("m") - F.col("grand")) * (F.col("m") - F.col("grand"))).alias("between"), F.first("within").alias("within"), F.first("k").alias("k"), F.first("total").alias("total"))
+def _between_within(x: DataFrame, by: By = ()) -> DataFrame:
+    """x: by, g, v -> by, statistic, df1, df2, p."""
+    each = x.groupBy(*by, "g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("*")).alias("w"))
+    # a row for each group of the test, few for each window
+    over = W.partitionBy(*(by or [F.lit(0)]))
+    grand = F.sum(F.col("n") * F.col("m")).over(over) / F.sum("n").over(over)
+    y = each.withColumn("off", F.col("m") - grand).groupBy(*by)
+    y = y.agg(F.sum(F.col("n") * F.col("off") * F.col("off")).alias("between"), F.sum("w").alias("within"), F.count("*").alias("k"), F.sum("n").alias("total"))
     f = F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("total") - F.col("k")))
-    return y.filter("k > 1 and total > k").select(f.alias("statistic"), (F.col("k") - 1).alias("df1"), (F.col("total") - F.col("k")).alias("df2"))
+    y = y.filter("k > 1 and total > k").select(*by, f.alias("statistic"), (F.col("k") - 1).alias("df1"), (F.col("total") - F.col("k")).alias("df2"))
+    return y.withColumn("p", f_tail(F.col("statistic"), F.col("df1"), F.col("df2")))
 
 
-def _named(df: DataFrame, group: str, value: str) -> DataFrame:
-    return df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("g is not null and v is not null")
+def _named(df: DataFrame, group: str, value: str, by: By = ()) -> DataFrame:
+    return df.select(*by, F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("g is not null and v is not null")
 
 
-def anova(df: DataFrame, group: str, value: str) -> DataFrame:
-    return _between_within(_named(df, group, value))
+def anova(df: DataFrame, group: str, value: str, by: By = ()) -> DataFrame:
+    return _between_within(_named(df, group, value, by), by)
 
 
-def levene(df: DataFrame, group: str, value: str) -> DataFrame:
+def levene(df: DataFrame, group: str, value: str, by: By = ()) -> DataFrame:
     """With the median as centre (Brown-Forsythe)."""
-    x = _named(df, group, value)
-    centre = x.groupBy("g").agg(F.median("v").alias("c"))
-    return _between_within(x.join(centre, "g").select("g", F.abs(F.col("v") - F.col("c")).alias("v")))
-
-
-#: Ranges of values that are ranked apart.
-RANGES = 256
-
-
-def bounds_of(counts: DataFrame, value: str) -> list[float]:
-    """Values that cut the distinct ones into about RANGES equal parts: fixed numbers, so that whatever runs again cuts alike."""
-    cuts = counts.select(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0]
-    return sorted(set(cuts or []))
-
-
-def average_ranks(values: DataFrame, value: str = "v") -> DataFrame:
-    """Adds `rank` with ties at their mean, and `ties`. Counts of distinct values are aggregated first; a running sum goes over the
-    totals of RANGES ranges, and over the distinct values inside each."""
-    counts = values.groupBy(value).agg(F.count("*").alias("ties"))
-    bounds = bounds_of(counts, value)
-    # a value's range is the number of bounds at or below it
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col(value)))
-    parts = counts.withColumn("part", part)
-    totals = parts.groupBy("part").agg(F.sum("ties").alias("n"))
-    ahead = totals.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    inside = W.partitionBy("part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranked = parts.withColumn("below", F.coalesce(F.sum("ties").over(inside), F.lit(0))).join(ahead, "part")
-    ranked = ranked.select(F.col(value), "ties", (F.col("ahead") + F.col("below") + (F.col("ties") + 1) / 2.0).alias("rank"))
-    return values.join(ranked, value)
-
-
-def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Tie-corrected H and its degrees of freedom."""
-    x = average_ranks(_named(df, group, value))
-    by = x.groupBy("g").agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.sum((F.col("ties") * F.col("ties") - 1).cast("double")).alias("tie"))
-    n = F.sum("n")
-    y = by.agg(n.alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("tie").alias("tie"), F.count("*").alias("k"))
+    x = _named(df, group, value, by)
+    centre = x.groupBy(*by, "g").agg(F.median("v").alias("c"))
+    return _between_within(x.join(centre, [*by, "g"]).select(*by, "g", F.abs(F.col("v") - F.col("c")).alias("v")), by)
+
+
+def average_ranks(values: DataFrame, value: str = "v", by: By = ()) -> DataFrame:
+    """Adds `rank` with ties at their mean, and `ties`. Counts of distinct values come first. Over the whole table these are range-sorted once
+    and written with the number of their range; a running sum goes over the ranges' totals and over the distinct values inside each. With
+    `by`, a running sum goes over the distinct values of each group."""
+    counts = values.groupBy(*by, value).agg(F.count("*").alias("ties"))
+    if by:
+        parts, ahead = counts, F.lit(0)
+        inside = W.partitionBy(*by)
+    else:
+        path = scratch(values.sparkSession, "ranks")
+        counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()).write.parquet(path)
+        parts = values.sparkSession.read.parquet(path)
+        totals = parts.groupBy("part").agg(F.sum("ties").alias("n"))
+        earlier = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+        parts = parts.join(F.broadcast(totals.select("part", F.coalesce(earlier, F.lit(0)).alias("ahead"))), "part")  # a row for each range
+        ahead, inside = F.col("ahead"), W.partitionBy("part")
+    below = F.coalesce(F.sum("ties").over(inside.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = parts.select(*by, value, "ties", (ahead + below + (F.col("ties") + 1) / 2.0).alias("rank"))
+    return values.join(ranked, [*by, value])
+
+
+def kruskal(df: DataFrame, group: str, value: str, by: By = ()) -> DataFrame:
+    """Tie-corrected H, its degrees of freedom and p."""
+    x = average_ranks(_named(df, group, value, by), by=by)
+    each = x.groupBy(*by, "g").agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.sum((F.col("ties") * F.col("ties") - 1).cast("double")).alias("tie"))
+    y = each.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("tie").alias("tie"), F.count("*").alias("k"))
     h = 12.0 / (F.col("n") * (F.col("n") + 1)) * F.col("s") - 3 * (F.col("n") + 1)
-    correction = 1 - F.col("tie") / (F.col("n").cast("double") * (F.col("n") * F.col("n") - 1))
-    return y.select(F.try_divide(h, F.nullif(correction, F.lit(0.0))).alias("statistic"), (F.col("k") - 1).alias("df"))
+    correction = 1 - F.try_divide(F.col("tie"), F.col("n").cast("double") * (F.col("n") * F.col("n") - 1))
+    y = y.select(*by, F.try_divide(h, F.nullif(correction, F.lit(0.0))).alias("statistic"), (F.col("k") - 1).alias("df"))
+    return y.withColumn("p", F.when(F.col("df") > 0, chi2_tail(F.col("statistic"), F.col("df"))))
 
 
-def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    """r and n; null where a column is constant."""
-    d = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
+def pearson(df: DataFrame, x: str, y: str, by: By = ()) -> DataFrame:
+    """r, n and p; null where a column is constant."""
+    d = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
     spread = F.sqrt(F.var_pop("x") * F.var_pop("y"))
-    return d.agg(F.try_divide(F.covar_pop("x", "y"), F.nullif(spread, F.lit(0.0))).alias("r"), F.count("*").alias("n"))
+    found = d.groupBy(*by).agg(F.try_divide(F.covar_pop("x", "y"), F.nullif(spread, F.lit(0.0))).alias("r"), F.count("*").alias("n"))
+    return found.withColumn("p", correlation_tail(F.col("r"), F.col("n")))
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    d = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
-    d = average_ranks(d, "x").withColumnRenamed("rank", "rx").drop("ties")
-    d = average_ranks(d, "y").withColumnRenamed("rank", "ry").drop("ties")
-    return pearson(d, "rx", "ry")
+def spearman(df: DataFrame, x: str, y: str, by: By = ()) -> DataFrame:
+    d = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
+    d = average_ranks(d, "x", by).withColumnRenamed("rank", "rx").drop("ties")
+    d = average_ranks(d, "y", by).withColumnRenamed("rank", "ry").drop("ties")
+    return pearson(d, "rx", "ry", by)
 
 
 # Royston's polynomials (AS R94), constant term first.
@@ -161,25 +145,34 @@ def shapiro(values: list[float]) -> tuple[float, float]:
     return w, 1 - NormalDist().cdf(z)
 
 
+def shapiro_p(values: Column) -> Column:
+    """p of the arrays of a column; null below 3 values and above MAX_SHAPIRO, for which the approximation is not made."""
+    @F.pandas_udf("double")
+    def p(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda v: None if v is None or not 3 <= len(v) <= MAX_SHAPIRO else shapiro([float(x) for x in v])[1]).astype("Float64")
+
+    return p(values)
+
+
 def phase_tests(seasons: DataFrame, order: tuple[str, ...] = ("El Niño", "Neutral", "La Niña")) -> DataFrame:
     """seasons: season_year, mean_index, oni, phase -> one row of all tests; a test without enough values is null."""
-    spark = seasons.sparkSession
     d = seasons.filter(F.col("phase").isin(*order))
     names = ("el_nino", "neutral", "la_nina")
-    out: dict[str, float | int | None] = {}
-    limits = {r["phase"]: r["n"] for r in d.groupBy("phase").agg(F.count("*").alias("n")).collect()}
-    for phase, name in zip(order, names, strict=True):
-        out[f"n_{name}"] = limits.get(phase, 0)
-    for phase, name in zip(order, names, strict=True):
-        ok = 3 <= limits.get(phase, 0) <= MAX_SHAPIRO
-        out[f"shapiro_p_{name}"] = shapiro([r[0] for r in d.filter(F.col("phase") == phase).select("mean_index").collect()])[1] if ok else None
-    first = lambda df: (df.collect() or [None])[0]
-    a, lv, k = first(anova(d, "phase", "mean_index")), first(levene(d, "phase", "mean_index")), first(kruskal(d, "phase", "mean_index"))
-    p, s = first(pearson(seasons, "oni", "mean_index")), first(spearman(seasons, "oni", "mean_index"))
-    value = lambda r, c="statistic": None if r is None else r[c]
-    out["levene_p"] = upper_f(spark, lv["statistic"], lv["df1"], lv["df2"]) if value(lv) is not None else None
-    out["anova_F"], out["anova_p"] = value(a), upper_f(spark, a["statistic"], a["df1"], a["df2"]) if value(a) is not None else None
-    out["kruskal_H"], out["kruskal_p"] = value(k), upper_chi2(spark, k["statistic"], k["df"]) if value(k) is not None and k["df"] > 0 else None
-    out["pearson_r"], out["pearson_p"] = value(p, "r"), two_sided_t(spark, p["r"], p["n"]) if value(p, "r") is not None else None
-    out["spearman_rho"], out["spearman_p"] = value(s, "r"), two_sided_t(spark, s["r"], s["n"]) if value(s, "r") is not None else None
-    return spark.range(1).select(*(F.lit(v).cast("int" if c.startswith("n_") else "double").alias(c) for c, v in out.items()))
+    # No group of more than MAX_SHAPIRO values is gathered; only such groups are tested.
+    sizes = d.groupBy("phase").agg(F.count("*").alias("n"))
+    tested = d.join(F.broadcast(sizes.filter(F.col("n") <= MAX_SHAPIRO)), "phase").groupBy("phase").agg(F.collect_list("mean_index").alias("values"))  # at most len(order) rows
+    found = sizes.join(tested.select("phase", shapiro_p(F.col("values")).alias("p")), "phase", "left")
+    label = F.element_at(F.create_map(*(F.lit(x) for pair in zip(order, names, strict=True) for x in pair)), F.col("phase"))
+    tests = (
+        (levene(d, "phase", "mean_index"), {"levene_p": "p"}), (anova(d, "phase", "mean_index"), {"anova_F": "statistic", "anova_p": "p"}),
+        (kruskal(d, "phase", "mean_index"), {"kruskal_H": "statistic", "kruskal_p": "p"}), (pearson(seasons, "oni", "mean_index"), {"pearson_r": "r", "pearson_p": "p"}),
+        (spearman(seasons, "oni", "mean_index"), {"spearman_rho": "r", "spearman_p": "p"}),
+    )
+    # Every test gives a few named numbers; one aggregate lays them out as a row.
+    named = lambda frame, columns: frame.select(F.explode(F.array(*(F.struct(n.alias("name"), F.col(c).cast("double").alias("value")) for n, c in columns))).alias("x")).select("x.*")
+    numbers = named(found, [(F.concat(F.lit("n_"), label), "n"), (F.concat(F.lit("shapiro_p_"), label), "p")])
+    for frame, columns in tests:
+        numbers = numbers.unionByName(named(frame, [(F.lit(n), c) for n, c in columns.items()]))
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    singles = [f"shapiro_p_{n}" for n in names] + [n for _, columns in tests for n in columns]
+    return numbers.agg(*(F.coalesce(of(f"n_{n}"), F.lit(0.0)).cast("int").alias(f"n_{n}") for n in names), *(of(n).alias(n) for n in singles))

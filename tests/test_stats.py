@@ -1,0 +1,86 @@
+"""p-values against the distributions of Apache Commons Math, grouped tests against the same tests one by one."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldloom.functions import distributions
+from fieldloom.operators import stats
+
+
+def of(spark, name, *parameters):
+    return getattr(spark._jvm.org.apache.commons.math3.distribution, name)(*map(float, parameters))
+
+
+def test_tails_against_a_library(spark):
+    f = [(x, a, b) for x in (1e-3, 0.3, 1.0, 2.5, 9.0, 80.0) for a, b in ((1, 1), (2, 41), (3, 7), (40, 3), (24, 14_975), (2, 250_000))]
+    found = spark.createDataFrame([(float(x), float(a), float(b)) for x, a, b in f], "x double, a double, b double").select("x", "a", "b", distributions.f_tail(F.col("x"), F.col("a"), F.col("b")).alias("p"))
+    for r in found.collect():
+        # the library's complement through the mirrored distribution keeps its digits
+        assert r["p"] == pytest.approx(of(spark, "FDistribution", r["b"], r["a"]).cumulativeProbability(1 / r["x"]), rel=1e-7, abs=1e-12)
+    chi = [(x, k) for x in (1e-3, 0.5, 2.0, 11.0, 60.0, 2000.0) for k in (1, 2, 5, 24, 1900)]
+    found = spark.createDataFrame([(float(x), float(k)) for x, k in chi], "x double, k double").select("x", "k", distributions.chi2_tail(F.col("x"), F.col("k")).alias("p"))
+    for r in found.collect():
+        assert r["p"] == pytest.approx(1 - of(spark, "ChiSquaredDistribution", r["k"]).cumulativeProbability(r["x"]), abs=1e-9)
+    pairs = [(r, n) for r in (-0.99, -0.4, 0.0, 0.1, 0.7, 0.9999) for n in (3, 4, 44, 1000)]
+    found = spark.createDataFrame([(float(r), n) for r, n in pairs], "r double, n long").select("r", "n", distributions.correlation_tail(F.col("r"), F.col("n")).alias("p"))
+    for row in found.collect():
+        t = abs(row["r"]) * ((row["n"] - 2) / (1 - row["r"] ** 2)) ** 0.5
+        assert row["p"] == pytest.approx(2 * of(spark, "TDistribution", row["n"] - 2).cumulativeProbability(-t), rel=1e-7, abs=1e-12)
+
+
+def test_tails_at_their_ends(spark):
+    x = spark.createDataFrame([(0.0,), (float("inf"),), (None,), (float("nan"),)], "x double")
+    two = F.lit(2.0)
+    rows = x.select(distributions.f_tail(F.col("x"), two, two).alias("f"), distributions.chi2_tail(F.col("x"), two).alias("c")).collect()
+    assert [tuple(r) for r in rows] == [(1.0, 1.0), (0.0, 0.0), (None, None), (None, None)]
+    ends = spark.createDataFrame([(1.0, 10), (-1.0, 10), (0.5, 2), (None, 10)], "r double, n long").select(distributions.correlation_tail(F.col("r"), F.col("n")).alias("p"))
+    assert [r["p"] for r in ends.collect()] == [0.0, 0.0, None, None]
+
+
+def test_known_p_values(spark):
+    """Published examples: plant weights by treatment (F = 4.846, p = 0.01591; Levene 1.1192, 0.3412; Kruskal 7.9882, 0.01842)."""
+    groups = {
+        "ctrl": (4.17, 5.58, 5.18, 6.11, 4.50, 4.61, 5.17, 4.53, 5.33, 5.14), "trt1": (4.81, 4.17, 4.41, 3.59, 5.87, 3.83, 6.03, 4.89, 4.32, 4.69),
+        "trt2": (6.31, 5.12, 5.54, 5.50, 5.37, 5.29, 4.92, 6.15, 5.80, 5.26),
+    }
+    d = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double")
+    a, lv, k = (test(d, "g", "v").first() for test in (stats.anova, stats.levene, stats.kruskal))
+    assert (a["statistic"], a["p"]) == (pytest.approx(4.846, abs=1e-3), pytest.approx(0.01591, abs=1e-5))
+    assert (lv["statistic"], lv["p"]) == (pytest.approx(1.1192, abs=1e-4), pytest.approx(0.3412, abs=1e-4))
+    assert (k["statistic"], k["p"]) == (pytest.approx(7.9882, abs=1e-4), pytest.approx(0.01842, abs=1e-5))
+
+
+def test_groups_of_tests_are_tests_of_groups(spark):
+    rng = np.random.default_rng(1)
+    rows = [(pixel, "abc"[k % 3], float(np.round(rng.normal(pixel * (k % 3), 2), 1)), float(rng.integers(0, 5))) for pixel in range(6) for k in range(30)]
+    d = spark.createDataFrame(rows, "pixel int, g string, v double, w double")
+    for test, arguments in ((stats.anova, ("g", "v")), (stats.levene, ("g", "v")), (stats.kruskal, ("g", "v")), (stats.pearson, ("v", "w")), (stats.spearman, ("v", "w"))):
+        by = {r["pixel"]: r for r in test(d, *arguments, by=("pixel",)).collect()}
+        assert len(by) == 6
+        for pixel in (0, 4):
+            one = test(d.filter(F.col("pixel") == pixel), *arguments).first().asDict()
+            assert {k: by[pixel][k] for k in one} == pytest.approx(one)
+
+
+@pytest.mark.parametrize("parts", ["1", "16"])
+def test_ranks_whatever_the_number_of_ranges(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        values = [float(v) for v in np.random.default_rng(2).integers(0, 50, 400)]
+        found = sorted((r["v"], r["rank"], r["ties"]) for r in stats.average_ranks(spark.createDataFrame([(v,) for v in values], "v double")).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == sorted((v, sum(x < v for x in values) + (values.count(v) + 1) / 2, values.count(v)) for v in values)
+
+
+def test_summary_of_few_and_no_seasons(spark):
+    schema = "season_year int, mean_index double, oni double, phase string"
+    none = stats.phase_tests(spark.createDataFrame([], schema)).collect()
+    assert len(none) == 1 and none[0]["n_neutral"] == 0 and none[0]["anova_p"] is None and len(none[0]) == 15
+    rows = [(y, float(y % 4), float(y % 3), ("El Niño", "La Niña")[y % 2]) for y in range(8)]
+    row = stats.phase_tests(spark.createDataFrame(rows, schema)).first()
+    assert (row["n_el_nino"], row["n_neutral"], row["n_la_nina"]) == (4, 0, 4) and row["shapiro_p_neutral"] is None and 0 <= row["shapiro_p_el_nino"] <= 1 and 0 <= row["spearman_p"] <= 1
