@@ -12,7 +12,8 @@ buckets in which their sketches have found somebody. Members of larger buckets a
 their shared shingles instead (prefix filter). A set of n shingles, ordered by how many crowded sets hold them, shares one of its first n - 0.89 n + 1
 with one of the first n - 0.8 n + 1 of every set at least as large that it is similar to, so only these meet, sketches first. What a crowd has in common comes last in
 that order: documents around one passage whose other words keep them below the threshold never meet, however many they are. Shingles of one
-label only order before all others and are never sent.
+label only order before all others and are never sent. Sets go to those groups alone in which they have somebody to be compared with; pairs never
+leave a task, only the spanning forest of its links does.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ THRESHOLD, BANDS, ROWS = 0.8, 32, 4
 ALIKE, BLOCK = 84, 64
 #: Sets of one token that meet in one group.
 CROWD = 4096
+#: Shingles whose sets are compared in one go, and first tokens of a prefix that its rows carry.
+PART, EARLIER = 1_000_000, 16
 #: Rows of an id each that are sent to all tasks at most.
 BROADCAST_ROWS = 200_000
 _RANDOM = np.random.default_rng(44)
@@ -133,16 +136,18 @@ def across(key: int, nodes: np.ndarray, labels: np.ndarray, bands: np.ndarray, s
                 yield int(nodes[k]), int(nodes[j])
 
 
-def groups(batches: Batches, names: list[str]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows sorted by key -> the columns `names` of each bucket. What runs on at a batch's end is carried over."""
+def groups(batches: Batches, names: list[str], keys: int = 0) -> Iterator[tuple[int | tuple, list[tuple]]]:
+    """Rows sorted by `key`, or by the first `keys` of `names` -> the other columns of each group. What runs on at a batch's end is carried over."""
     at, held = None, []
-    for keys, *found in columns(batches, "key", *names):
-        for now, row in zip(keys.to_pylist(), zip(*(x.to_pylist() for x in found), strict=True), strict=True):
+    for found in columns(batches, *(names if keys else ["key", *names])):
+        rows = list(zip(*(x.to_pylist() for x in found), strict=True))
+        for row in rows:
+            now, rest = (row[:keys], row[keys:]) if keys else (row[0], row[1:])
             if now != at:
                 if held:
                     yield at, list(zip(*held, strict=True))
                 at, held = now, []
-            held.append(row)
+            held.append(rest)
     if held:
         yield at, list(zip(*held, strict=True))
 
@@ -190,7 +195,8 @@ def exploded(batches: Batches) -> Batches:
 def prefixes(batches: Batches) -> Batches:
     """(node, label, size, sketch, shared: array of (sets, token)) -> rows of the groups (token, one, two) in which the set looks for others, or may be found.
     Shingles that no other label has come first, so they use up the prefix and are not sent. Up to CROWD sets of a token are one
-    group; of more, each part of those to be found meets each part of those that look in a group of its own."""
+    group; of more, each part of those to be found meets each part of those that look in a group of its own. `place` is the token's in the
+    prefix, `first` the EARLIER first tokens there."""
     for nodes, labels, sizes, sketches, shared in columns(batches, "node", "label", "size", "sketch", "shared"):
         for node, label, size, sketch, held in zip(nodes, labels, sizes.to_pylist(), sketches, shared.to_pylist(), strict=True):
             order = sorted((h["sets"], h["token"]) for h in held)
@@ -200,48 +206,104 @@ def prefixes(batches: Batches) -> Batches:
                 parts = -(-sets // CROWD)
                 own = node.as_py() % parts
                 if parts == 1:
-                    rows.append((token, 0, 0, True, k < found))
+                    rows.append((token, 0, 0, True, k < found, k))
                 else:
-                    rows += [(token, p, own, True, False) for p in range(parts)]
-                    rows += [(token, own, p, False, True) for p in range(parts)] if k < found else []
+                    rows += [(token, p, own, True, False, k) for p in range(parts)]
+                    rows += [(token, own, p, False, True, k) for p in range(parts)] if k < found else []
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32())
                 arrays = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-                same = [pa.repeat(x, len(rows)) for x in (node, label, pa.scalar(size, pa.int32()), sketch)]
-                yield pa.RecordBatch.from_arrays([*arrays, *same], ["token", "one", "two", "look", "found", "node", "label", "size", "sketch"])
+                first = np.zeros(EARLIER, np.int64)
+                first[: len(order)] = [token for _, token in order[:EARLIER]]
+                same = [pa.repeat(x, len(rows)) for x in (node, label, pa.scalar(size, pa.int32()), sketch, pa.scalar(first.tobytes()))]
+                names = ["token", "one", "two", "look", "found", "place", "node", "label", "size", "sketch", "first"]
+                yield pa.RecordBatch.from_arrays([*arrays, *same], names)
+
+
+MEMBER = "look boolean, found boolean, place int, node long, label long, size int, sketch binary, first binary"
+MEMBER_KINDS = (pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+
+class Members:
+    """Sets that meet in one group."""
+
+    def __init__(self, rows: dict[str, tuple]) -> None:
+        self.look, self.found, self.place, self.node, self.label, self.size = (np.array(rows[k]) for k in ("look", "found", "place", "node", "label", "size"))
+        self.sketch, self.first = _matrix(rows["sketch"], np.uint8), _matrix(rows["first"], np.int64)
+        self.known = np.arange(EARLIER) < np.minimum(self.place, EARLIER)[:, None]
+
+    def partners(self, k: int, labels: np.ndarray) -> np.ndarray:
+        """Those that k, which looks, should be compared with: of other labels and similar size, sketches alike, and no earlier token in common,
+        since there they have met already."""
+        hit = np.flatnonzero(self.found & (labels != labels[k]) & (self.size <= self.size[k]) & (self.size >= THRESHOLD * self.size[k] - 1e-9))
+        hit = hit[(self.sketch[hit] == self.sketch[k]).sum(axis=1) >= ALIKE]
+        return hit[~(np.isin(self.first[hit], self.first[k][self.known[k]]) & self.known[hit]).any(axis=1)]
 
 
 def meetings(batches: Batches) -> Batches:
-    """Rows sorted by (token, one, two) -> (u, v) of different labels and alike sketches, one looking and one found."""
-    names = ["one", "two", "look", "found", "node", "label", "size", "sketch"]
-    for _, held in groups(batches, names):
-        one, two, look, found, node, label, size = (np.array(x) for x in held[:7])
-        sketch = _matrix(held[7], np.uint8)
-        # Groups of one token follow each other; only equal parts meet.
-        for part in np.unique(one.astype(np.int64) << 32 | two):
-            own = (one.astype(np.int64) << 32 | two) == part
-            a, b = np.flatnonzero(own & look), np.flatnonzero(own & found)
-            if len(a) and len(b):
-                for k in a:
-                    hit = b[(label[b] != label[k]) & (size[b] <= size[k]) & (size[b] >= THRESHOLD * size[k] - 1e-9)]
-                    hit = hit[(sketch[hit] == sketch[k]).sum(axis=1) >= ALIKE]
-                    if len(hit):
-                        u, v = np.minimum(node[hit], node[k]), np.maximum(node[hit], node[k])
-                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-
-def crowded_pairs(crowded: DataFrame) -> DataFrame:
-    """(u, v) of different labels and alike sketches that may have J >= THRESHOLD, of sets (node, label, sketch, set): every pair that has, and
-    hardly another. Pairs are compared inside their groups; only those that are alike leave the task."""
-    n = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = crowded.mapInArrow(exploded, "token long, node long, label long")
+    """Rows sorted by (key, token, one, two) -> the rows of those who have somebody to be compared with there, in parts (`part`) of up to PART shingles:
+    pairs never leave a task."""
+    names = ["token", "one", "two", *(x.split()[0] for x in MEMBER.split(", "))]
+    for (token, one, two), rows in groups(batches, names, 3):
+        members, part = Members(dict(zip(names[3:], rows, strict=True))), 0
+
+        def sent(own: np.ndarray, part: int) -> pa.RecordBatch:
+            at = np.flatnonzero(own)
+            key = xxhash.xxh64_intdigest(np.array([token, one, two, part], np.int64).tobytes(), 46)
+            kept = [pa.array([x[k] for k in at], kind) for x, kind in zip(rows, MEMBER_KINDS, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.uint64).view(np.int64)), *kept], ["key", *names[3:]])
+
+        own, held = np.zeros(len(members.node), bool), 0
+        for k in np.flatnonzero(members.look):
+            hit = members.partners(k, members.label)
+            for some in np.split(hit, np.flatnonzero(np.diff(np.cumsum(members.size[hit]) // PART)) + 1) if len(hit) else ():
+                more = np.append(some, k)
+                more = more[~own[more]]
+                if own.any() and held + members.size[more].sum() > PART:
+                    yield sent(own, part)
+                    own, held, part = np.zeros(len(own), bool), 0, part + 1
+                    more = np.append(some, k)
+                own[more] = True
+                held += int(members.size[more].sum())
+        if own.any():
+            yield sent(own, part)
+
+
+def links_met(batches: Batches) -> Batches:
+    """Rows sorted by key, with sets -> (u, v), a spanning forest of each part's links, never all pairs."""
+    names = [*(x.split()[0] for x in MEMBER.split(", ")), "set"]
+    for _, rows in groups(batches, names):
+        members, sets = Members(dict(zip(names, rows, strict=True))), [np.frombuffer(x, np.uint64) for x in rows[-1]]
+        labels, found = members.label.copy(), []
+        for k in np.flatnonzero(members.look):
+            for j in members.partners(k, labels):
+                if labels[j] != labels[k] and similarity(sets[k], sets[j]) >= THRESHOLD:
+                    labels[labels == labels[j]] = labels[k]
+                    found.append((int(members.node[k]), int(members.node[j])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
+
+
+def crowd_groups(whole: DataFrame) -> DataFrame:
+    """(node, label, sketch, set) -> (key, members' columns): the sets that have somebody of another label and alike sketch to be compared with, by the
+    groups in which they are. Every pair with J >= THRESHOLD shares a key, and hardly another pair."""
+    n = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = whole.mapInArrow(exploded, "token long, node long, label long")
     common = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token", "sets")
     held = tokens.select("token", "node").join(common, "token").groupBy("node").agg(F.collect_list(F.struct("sets", "token")).alias("shared"))
-    sized = crowded.select("node", "label", (F.octet_length("set") / 8).cast("int").alias("size"), "sketch")
-    rows = held.join(sized, "node").mapInArrow(prefixes, "token long, one int, two int, look boolean, found boolean, node long, label long, size int, sketch binary")
-    # Both parts of the key deal the groups out; a group's rows are together after the sort.
-    met = rows.withColumn("key", F.col("token")).repartition(n, "key", "one", "two").sortWithinPartitions("key", "one", "two")
-    return met.mapInArrow(meetings, "u long, v long").distinct()
+    sized = whole.select("node", "label", (F.octet_length("set") / 8).cast("int").alias("size"), "sketch")
+    rows = held.join(sized, "node").mapInArrow(prefixes, f"token long, one int, two int, {MEMBER}")
+    # All three deal the groups out; a group's rows are together after the sort.
+    met = rows.repartition(n, "token", "one", "two").sortWithinPartitions("token", "one", "two")
+    return materialised(met.mapInArrow(meetings, f"key long, {MEMBER}"))
+
+
+def links_in_crowd(whole: DataFrame) -> DataFrame:
+    """(u, v) of different labels with J >= THRESHOLD among (node, label, sketch, set), enough of them to connect all that such links connect.
+    Sets meet by token, sketches first; then the sets themselves go to the groups in which they have somebody to be compared with."""
+    n = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = crowd_groups(whole).join(whole.select("node", "set"), "node").repartition(n, "key").sortWithinPartitions("key")
+    return known.mapInArrow(links_met, "u long, v long")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -305,6 +367,5 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     rest = small.join(asked, ["key", "node"]).join(nodes.select("node", "bands", "sketch"), "node").join(sets, "node")
     rest = rest.select("key", "node", "label", "bands", "sketch", "set").repartition(n, "key").sortWithinPartitions("key")
     in_small = rest.mapInArrow(links_across, "u long, v long")
-    whole = crowded.join(nodes.select("node", "sketch"), "node").join(sets, "node")
-    in_crowd = confirmed(materialised(crowded_pairs(whole)), sets)
+    in_crowd = links_in_crowd(materialised(crowded.join(nodes.select("node", "sketch"), "node").join(sets, "node")))
     return first.unionByName(in_small).unionByName(in_crowd)

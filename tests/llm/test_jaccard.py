@@ -97,35 +97,58 @@ def test_rows_without_or_with_repeated_ids_are_rows_of_their_own(spark):
     assert sorted((t or "", i or 0) for i, t, _ in kept) == sorted([("", 7), *((t, 0) for t in texts[:6]), (texts[6], 7), (texts[7], 3), *((t, 7) for t in texts[8:])])
 
 
-def crowded_pairs(spark, sets, labels, sketch=None):
+def crowd(spark, sets, labels, sketch=None):
     low = lambda s: (jaccard.minima(s) & np.uint64(255)).astype(np.uint8).tobytes()
     rows = [(k, label, sketch or low(s), s.tobytes()) for k, (s, label) in enumerate(zip(sets, labels, strict=True))]
-    return {tuple(r) for r in jaccard.crowded_pairs(spark.createDataFrame(rows, "node long, label long, sketch binary, set binary")).collect()}
+    return spark.createDataFrame(rows, "node long, label long, sketch binary, set binary")
 
 
 def test_crowds_below_the_threshold_do_not_meet(spark):
-    """Twice the documents around one passage, J about 0.73, give no pair more; true pairs among them are found."""
+    """Twice the documents around one passage, J about 0.73, give no comparison more; true pairs among them are found."""
     rng = random.Random(7)
     passage, found = words(rng, 340), {}
     for n in (60, 120):
         texts = [" ".join([*passage, *words(rng, 60)]) for _ in range(n)]
         near = [" ".join([*t.split()[:-3], *words(rng, 3)]) for t in texts[:5]]
-        sets = [jaccard.shingle_set(t.encode(), 5) for t in [*texts, *near]]
-        pairs = crowded_pairs(spark, sets, range(len(sets)))
-        assert {(k, n + k) for k in range(5)} <= pairs
-        found[n] = len(pairs)
-    assert found[120] < 3 * found[60] and found[120] < 30
-
-
-@pytest.mark.parametrize("crowd", [4096, 7])
-def test_prefixes_meet_every_similar_pair(spark, monkeypatch, crowd):
-    monkeypatch.setattr(jaccard, "CROWD", crowd)
+        whole = crowd(spark, [jaccard.shingle_set(t.encode(), 5) for t in [*texts, *near]], range(n + 5))
+        assert {tuple(sorted(r)) for r in jaccard.links_in_crowd(whole).collect()} == {(k, n + k) for k in range(5)}
+        found[n] = jaccard.crowd_groups(whole).count()
+    assert found[120] < 3 * found[60] and found[120] < 60
+
+
+def test_a_crowd_of_near_copies_sends_sets_not_pairs(spark):
+    """Copies of one text, some of its words replaced in each: rows are bounded by the sets' prefixes, however many pairs are alike."""
+    rng = random.Random(10)
+    base = words(rng, 60)
+    texts = [" ".join([*base[:at], *words(rng, 4), *base[at + 4 :]]) for at in (rng.randrange(56) for _ in range(300))]
+    sets = [jaccard.shingle_set(t.encode(), 5) for t in texts]
+    whole = crowd(spark, sets, range(300))
+    links = [tuple(r) for r in jaccard.links_in_crowd(whole).collect()]
+    near = [(a, b, jaccard.similarity(sets[a], sets[b])) for b in range(300) for a in range(b)]
+    true = [(a, b) for a, b, j in near if j >= 0.8]
+    assert slow_components(links, range(300)) == slow_components(true, range(300)) and {tuple(sorted(x)) for x in links} <= set(true)
+    rows, alike_pairs = jaccard.crowd_groups(whole).count(), sum(j >= 0.7 for _, _, j in near)
+    assert rows <= sum(jaccard.prefix_lengths(len(s))[0] for s in sets) and len(links) < 20 * 300
+    assert rows < alike_pairs
+
+
+@pytest.mark.parametrize(("crowd_size", "part"), [(4096, 1_000_000), (7, 1_000_000), (4096, 150)])
+def test_prefixes_meet_every_similar_pair(spark, monkeypatch, crowd_size, part):
+    monkeypatch.setattr(jaccard, "CROWD", crowd_size)
+    monkeypatch.setattr(jaccard, "PART", part)
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, n)) for n in rng.integers(1, 60, 300)]
     sets += [np.setdiff1d(s, rng.choice(s, len(s) // 10)) for s in sets[:150] if len(s) > 3]
-    pairs = crowded_pairs(spark, [s.astype(np.uint64) for s in sets], [k % 97 for k in range(len(sets))], sketch=b"same" * 32)
+    labels = [k % 97 for k in range(len(sets))]
+    whole = crowd(spark, [s.astype(np.uint64) for s in sets], labels, sketch=b"same" * 32)
     true = {(a, b) for b in range(len(sets)) for a in range(b) if a % 97 != b % 97 and jaccard.similarity(sets[a], sets[b]) >= 0.8}
-    assert len(true) > 100 and true <= pairs
+    keys = {}
+    for r in jaccard.crowd_groups(whole).collect():
+        keys.setdefault(r["node"], set()).add(r["key"])
+    assert len(true) > 100 and all(keys[a] & keys[b] for a, b in true)
+    links = {tuple(sorted(r)) for r in jaccard.links_in_crowd(whole).collect()}
+    same = [(k, k + 97) for k in range(len(sets) - 97)]
+    assert links <= true and slow_components([*same, *links], range(len(sets))) == slow_components([*same, *true], range(len(sets)))
 
 
 def test_recall_over_planted_pairs(spark, capsys):
