@@ -35,6 +35,8 @@ ALIKE, BLOCK = 84, 64
 CROWD = 4096
 #: Shingles whose sets are compared in one go, and first tokens of a prefix that its rows carry.
 PART, EARLIER = 1_000_000, 16
+#: Shingles whose counts are sent to all tasks at most.
+COUNTED = 2_000_000
 #: Rows of an id each that are sent to all tasks at most.
 BROADCAST_ROWS = 200_000
 _RANDOM = np.random.default_rng(44)
@@ -284,15 +286,38 @@ def links_met(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 
 
+def counted(whole: DataFrame) -> DataFrame:
+    """(node, label, size, sketch, shared) of (node, label, sketch, set): the set's shingles that several labels have, with the number of sets that have
+    them. Counts of up to COUNTED shingles (32 MB) are sent to all tasks; more are joined to the shingles."""
+    tokens = whole.mapInArrow(exploded, "token long, node long, label long")
+    common = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token", "sets")
+    common = materialised(common)
+    if common.count() > COUNTED:
+        held = tokens.select("token", "node").join(common, "token").groupBy("node").agg(F.collect_list(F.struct("sets", "token")).alias("shared"))
+        return held.join(whole.select("node", "label", (F.octet_length("set") / 8).cast("int").alias("size"), "sketch"), "node")
+    found = common.toArrow()
+    order = np.argsort(found["token"].to_numpy())
+    sent = whole.sparkSession.sparkContext.broadcast([found[c].to_numpy()[order] for c in ("token", "sets")])
+
+    def look(batches: Batches) -> Batches:
+        keys, numbers = sent.value
+        for nodes, labels, sketches, sets in columns(batches, "node", "label", "sketch", "set"):
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in sets]
+            places = [np.searchsorted(keys, x) for x in own]
+            places = [at[keys[at] == x[known]] for x, at, known in ((x, at[at < len(keys)], at < len(keys)) for x, at in zip(own, places, strict=True))]
+            at = np.concatenate(places)
+            shared = pa.StructArray.from_arrays([pa.array(numbers[at]), pa.array(keys[at])], ["sets", "token"])
+            shared = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, places)]), pa.int32()), shared)
+            yield pa.RecordBatch.from_arrays([nodes, labels, pa.array([len(x) for x in own], pa.int32()), sketches, shared], ["node", "label", "size", "sketch", "shared"])
+
+    return whole.mapInArrow(look, "node long, label long, size int, sketch binary, shared array<struct<sets:long,token:long>>")
+
+
 def crowd_groups(whole: DataFrame) -> DataFrame:
     """(node, label, sketch, set) -> (key, members' columns): the sets that have somebody of another label and alike sketch to be compared with, by the
     groups in which they are. Every pair with J >= THRESHOLD shares a key, and hardly another pair."""
     n = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = whole.mapInArrow(exploded, "token long, node long, label long")
-    common = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token", "sets")
-    held = tokens.select("token", "node").join(common, "token").groupBy("node").agg(F.collect_list(F.struct("sets", "token")).alias("shared"))
-    sized = whole.select("node", "label", (F.octet_length("set") / 8).cast("int").alias("size"), "sketch")
-    rows = held.join(sized, "node").mapInArrow(prefixes, f"token long, one int, two int, {MEMBER}")
+    rows = counted(whole).mapInArrow(prefixes, f"token long, one int, two int, {MEMBER}")
     # All three deal the groups out; a group's rows are together after the sort.
     met = rows.repartition(n, "token", "one", "two").sortWithinPartitions("token", "one", "two")
     return materialised(met.mapInArrow(meetings, f"key long, {MEMBER}"))

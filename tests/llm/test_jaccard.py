@@ -132,9 +132,10 @@ def test_a_crowd_of_near_copies_sends_sets_not_pairs(spark):
     assert rows < alike_pairs
 
 
-@pytest.mark.parametrize(("crowd_size", "part"), [(4096, 1_000_000), (7, 1_000_000), (4096, 150)])
-def test_prefixes_meet_every_similar_pair(spark, monkeypatch, crowd_size, part):
+@pytest.mark.parametrize(("crowd_size", "part", "counts"), [(4096, 1_000_000, 10**6), (7, 1_000_000, 10**6), (4096, 150, 0)])
+def test_prefixes_meet_every_similar_pair(spark, monkeypatch, crowd_size, part, counts):
     monkeypatch.setattr(jaccard, "CROWD", crowd_size)
+    monkeypatch.setattr(jaccard, "COUNTED", counts)
     monkeypatch.setattr(jaccard, "PART", part)
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, n)) for n in rng.integers(1, 60, 300)]
