@@ -1,7 +1,7 @@
 """Validity of many runs over the same fields, in one job: fields are compared once, whatever the number of runs.
 
-fields: t, vec. assignments: run_id, t, node (-1 is unassigned and left out). runs: run_id, size (nodes along a side of the map)
-and any columns that describe a run.
+fields: t, vec. assignments: run_id, t, node (-1 is unassigned and left out). runs: run_id, size (nodes along a side of the map, or
+n_nodes, their number) and any columns that describe a run.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def indices_of_runs(fields: DataFrame, assignments: DataFrame, runs: DataFrame,
     shares = sizes.join(silhouettes.select("run", "total"), "run").withColumn("p", F.col("n") / F.col("total"))
     occupied = shares.groupBy("run").agg(F.max("p").alias("max_node_share"), F.sum(-F.col("p") * F.ln("p")).alias("entropy"))
     every = runs.join(places, "run_id").join(silhouettes, "run", "left").join(by_run, "run", "left").join(bouldin, "run", "left").join(occupied, "run", "left")
-    nodes = F.col("size") * F.col("size")
+    nodes = F.col("n_nodes") if "n_nodes" in runs.columns else F.col("size") * F.col("size")
     k = F.coalesce("k", F.lit(0))
     fine = (k > 1) & (k < F.col("total"))
     hara = F.when(F.col("w") == 0, F.lit(1.0)).otherwise((F.col("scatter") - F.col("w")) * (F.col("total") - k) / F.nullif(F.col("w") * (k - 1), F.lit(0.0)))
@@ -75,7 +75,7 @@ def indices_of_runs(fields: DataFrame, assignments: DataFrame, runs: DataFrame,
     bad = dict(zip(INDICES, (0.0, 0.0, float("inf"), 0.0), strict=True))
     few = lambda name: F.when(k < 2, F.lit(bad[name])) if degenerate == "scores" else F.lit(None).cast("double")
     return every.select(
-        *runs.columns, nodes.cast("int").alias("n_nodes_total"), (nodes - k).cast("int").alias("n_nodes_empty"), "max_node_share",
+        *(c for c in runs.columns if c != "n_nodes"), nodes.cast("int").alias("n_nodes_total"), (nodes - k).cast("int").alias("n_nodes_empty"), "max_node_share",
         (F.col("entropy") / F.nullif(F.ln(nodes), F.lit(0.0))).alias("occupancy_entropy"), k.cast("int").alias("n_clusters_occupied"),
         *(F.when(fine, v).otherwise(few(name)).alias(name) for name, v in values.items()), F.when(k < 2, NOTE).otherwise("").alias("note"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,24 +57,36 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     return _between_within(x.join(centre, "g").select("g", F.abs(F.col("v") - F.col("c")).alias("v")))
 
 
-#: Ranges of values that are ranked apart.
-RANGES = 256
+#: Distinct values that one task ranks, about, and the number of ranges at most.
+IN_RANGE, RANGES, FAN = 50_000, 4_096, 64
 
 
 def bounds_of(counts: DataFrame, value: str) -> list[float]:
-    """Values that cut the distinct ones into about RANGES equal parts: fixed numbers, so that whatever runs again cuts alike."""
-    cuts = counts.select(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0]
-    return sorted(set(cuts or []))
+    """Values that cut the distinct ones into equal parts, as many as IN_RANGE asks for: fixed numbers, so that whatever runs again cuts alike."""
+    n, cuts = counts.select(F.count(value), F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], RANGES * 10)).first()
+    parts = min(RANGES, -(-n // IN_RANGE))
+    return sorted({cuts[RANGES * k // parts - 1] for k in range(1, parts)})
+
+
+def place_among(value: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds are at or below the value: a tree of comparisons down to FAN groups, and a count inside the group."""
+
+    def below(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        if len(bounds) > FAN and high - low < max(2, len(bounds) // FAN):
+            return F.lit(low) + F.size(F.filter(F.array(*map(F.lit, bounds[low:high])), lambda b: b <= value))
+        middle = (low + high) // 2
+        return F.when(value < bounds[middle], below(low, middle)).otherwise(below(middle + 1, high))
+
+    return below(0, len(bounds))
 
 
 def average_ranks(values: DataFrame, value: str = "v") -> DataFrame:
     """Adds `rank` with ties at their mean, and `ties`. Counts of distinct values are aggregated first; a running sum goes over the
-    totals of RANGES ranges, and over the distinct values inside each."""
+    totals of their ranges, and over the distinct values inside each."""
     counts = values.groupBy(value).agg(F.count("*").alias("ties"))
-    bounds = bounds_of(counts, value)
-    # a value's range is the number of bounds at or below it
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col(value)))
-    parts = counts.withColumn("part", part)
+    parts = counts.withColumn("part", place_among(F.col(value), bounds_of(counts, value)))
     totals = parts.groupBy("part").agg(F.sum("ties").alias("n"))
     ahead = totals.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     inside = W.partitionBy("part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)

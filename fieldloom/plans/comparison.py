@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import runs, validity
+from fieldloom.operators import ledger, runs, som, validity
 from fieldloom.plans import catalog
 from fieldloom.plans.registry import query
+from fieldloom.sources import saved, sinks
 
 #: run_id, side of the map, training metric, nodes of a vector.
 _RUNS = (("label_4x4", 4, "ssim", "label"), ("mod5_3x3", 3, "ssim", "vec_id % 5"), ("one_3x3", 3, "euclidean", "0"), ("sum_6x6", 6, "euclidean", "(label + vec_id) % 20"))
@@ -70,6 +71,39 @@ def run_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(*(F.round(c, 6).alias(c) if c in _VALUES else c for c in _RECORD))
 
 
+@query(_with(_PAIRS, _INDICES) + f" SELECT run_id, metric AS training_metric, {_rounded(_RECORD[1:])} FROM r")
+def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs saved in folders and evaluated under a ledger: the second call finds one run of the first and computes the other three."""
+    fields, assignments, own = _inputs(spark, sf_dir)
+    path = sinks.scratch(spark, "saved")
+    size = F.col("size").cast("int")
+    x = assignments.join(own, "run_id").withColumn("run_id", F.concat("run_id", F.lit("/BMUs")))
+    x = x.select("run_id", "t", F.floor(F.col("node") / size).cast("int").alias("node_i"), (F.col("node") % size).alias("node_j"))
+    first = F.col("run_id") == f"{_RUNS[0][0]}/BMUs"
+    for part, described in ((x.filter(first), _RUNS[:1]), (x.filter(~first), _RUNS[1:])):
+        sinks.write_npy(part, f"{path}/runs")
+        for run, n, metric, _ in described:
+            sinks.write_config({"grid_size": [n, n], "bmu_metric": metric}, f"{path}/runs/{run}")
+        found = ledger.evaluate(fields, saved.in_folders(spark, f"{path}/runs"), f"{path}/ledger", "final")
+    found = found.withColumn("run_id", F.substring_index("run_id", "/", -1))
+    return found.select("training_metric", *(F.round(c, 6).alias(c) if c in _VALUES else c for c in _RECORD))
+
+
+@query()
+def trained_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: a map of each of the 18 configurations is trained, saved under a name that tells map and seed, found, and evaluated."""
+    fields = catalog.fields(spark, sf_dir).select("t", "vec")
+    root = sinks.scratch(spark, "trained")
+    own = som.runs(spark, seeds=(1,))
+    folder = F.concat_ws("_", "search", "start")
+    name = F.concat(folder, F.lit("/bmu_"), F.concat_ws("x", "size", "size"), F.lit("_oct_mar_seed"), F.col("seed").cast("string"))
+    x = som.train_runs(own, fields).select(name.alias("run_id"), "t", F.floor(F.col("node") / F.col("size")).cast("int").alias("node_i"), (F.col("node") % F.col("size")).alias("node_j"))
+    sinks.write_npy(x, f"{root}/runs")
+    told = {f"{search}_{start}": (search, start) for search in som.SEARCHES for start in som.STARTS}
+    found = ledger.evaluate(fields, saved.by_name(spark, f"{root}/runs", told), f"{root}/ledger", "exploratory")
+    return found.select("training_metric", "initialization", "grid", "seed", "phase", *_RECORD[1:])
+
+
 @query(_with(_PAIRS, _INDICES) + f" SELECT {_rounded(_RECORD[1:])} FROM r WHERE run_id = 'label_4x4'")
 def validity_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All indices of one partition."""

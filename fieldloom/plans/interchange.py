@@ -10,7 +10,7 @@ from fieldloom.operators import bmu, nodes
 from fieldloom.plans import catalog
 from fieldloom.plans.catalog import BMU_SQL, CUBE_SQL, FIELDS_SQL
 from fieldloom.plans.registry import query
-from fieldloom.sources import files, gridded, netcdf, sinks, synthetic
+from fieldloom.sources import files, gridded, netcdf, saved, sinks, synthetic
 
 
 def _runs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,29 +28,38 @@ def run_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.name_parts(files.read_bmus(spark, path), "path").select("grid", "seed", "t", "node_i", "node_j")
 
 
-@query("SELECT 'bmu_4x4_oct_mar_seed' || CAST(k AS VARCHAR) AS run_id FROM range(3) AS r(k)")
+def _label_runs(spark: SparkSession, sf_dir: str, path: str) -> list[int]:
+    """A run's folder for each label, with the assignments of its fields and, for labels that 3 does not divide, a configuration with the map's
+    size under either of its keys. The labels, as many as nodes at most, come back."""
+    x = catalog.fields(spark, sf_dir).select(F.concat(F.lit("run"), F.col("node").cast("string"), F.lit("/BMUs")).alias("run_id"), "t", "node", "node_i", "node_j")
+    sinks.write_npy(x, path)
+    labels = sorted(r[0] for r in x.select("node").distinct().limit(catalog.MAP_ROWS * catalog.MAP_COLUMNS).collect())
+    for k in labels:
+        if k % 3:
+            sinks.write_config({"grid" if k % 2 else "grid_size": [4, 4 + k % 2], "seed": k} | ({"bmu_metric": "ssim"} if k > 4 else {}), f"{path}/run{k}")
+    return labels
+
+
+@query("SELECT 'run' || CAST(label AS VARCHAR) AS run_id, count(*) AS n FROM embeddings WHERE label % 3 > 0 GROUP BY label")
 def complete_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folders that hold all the files of a run; a folder that does not exist is skipped."""
+    """Folders that hold all the files of a run, with the length of its array; a folder that does not exist is skipped."""
     path = sinks.scratch(spark, "folders")
-    names = [r[0] for r in _runs_of(spark, sf_dir).select("run_id").distinct().collect()]
-    for k, name in enumerate(sorted(names)):
-        sinks.write_npy(_runs_of(spark, sf_dir).filter(F.col("run_id") == name).withColumn("run_id", F.lit("BMUs")), f"{path}/{name}")
-        if k < 3:
-            sinks.write_config(spark, {"grid_size": [4, 4], "seed": k}, f"{path}/{name}/config")
-    sinks.write_config(spark, {"grid_size": [4, 4]}, f"{path}/unfinished/config")
+    _label_runs(spark, sf_dir, path)
     found = files.present_folders(spark, [path, f"{path}-none"])
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(found).select(F.regexp_replace("path", r"/config/part-[^/]*$", "/config.json").alias("path"))
-    done = files.complete_directories(listed, ("BMUs.npy", "config.json"))
-    return done.select(F.substring_index("directory", "/", -1).alias("run_id"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(found).select("path")
+    done = files.complete_directories(listed, ("BMUs.npy", "config.json")).withColumn("path", F.concat("directory", F.lit("/BMUs.npy")))
+    return files.read_bmus(spark, path).join(done, "path").groupBy(F.substring_index("directory", "/", -1).alias("run_id")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS seed, CAST(4 AS INTEGER) AS rows, CAST(4 + k % 2 AS INTEGER) AS columns, CASE WHEN k > 0 THEN 'ssim' END AS bmu_metric FROM range(4) AS r(k)")
+@query("SELECT CAST(label AS INTEGER) AS seed, CAST(4 AS INTEGER) AS rows, CAST(4 + label % 2 AS INTEGER) AS columns, CASE WHEN label > 4 THEN 'ssim' END AS bmu_metric, count(*) AS n FROM embeddings WHERE label % 3 > 0 GROUP BY label")
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run configurations as files, the map's size under either of its keys."""
+    """Runs with their configurations, the map's size under either of its keys, and how many fields they assign."""
     path = sinks.scratch(spark, "configs")
-    for k in range(4):
-        sinks.write_config(spark, {"grid" if k % 2 else "grid_size": [4, 4 + k % 2], "seed": k} | ({"bmu_metric": "ssim"} if k else {}), f"{path}/run{k}")
-    return files.read_configs(spark, f"{path}/*").select("seed", F.get("grid_size", F.lit(0)).alias("rows"), F.get("grid_size", F.lit(1)).alias("columns"), "bmu_metric")
+    _label_runs(spark, sf_dir, path)
+    listed = saved.in_folders(spark, path)
+    # no names of runs go through the driver: all arrays are read, and joined with those of complete runs
+    n = files.npy_rows(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", saved.ARRAY).load(path).select(F.col("_metadata.file_path").alias("path"), "content"))
+    return listed.join(n.groupBy("path").agg(F.count("*").alias("n")), "path").select("seed", "rows", "columns", F.col("training_metric").alias("bmu_metric"), "n")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"({y}, CAST({o} AS DOUBLE), '{p}')" for y, o, p in catalog.PHASES) + ") AS p(season_year, oni, phase)")
@@ -92,10 +101,9 @@ def score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cached_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cube written once under its input's fingerprint and served from there; another input has another file."""
     path = sinks.scratch(spark, "cache")
-    x = catalog.cube(spark, sf_dir)
-    sinks.cached(x.limit(1), path, "other")
-    sinks.cached(x, path, "own")
-    again = sinks.cached(x.limit(0), path, "own")
+    sinks.cached(catalog.cube(spark, sf_dir).limit(1), path)
+    sinks.cached(catalog.cube(spark, sf_dir), path)
+    again = sinks.cached(catalog.cube(spark, sf_dir), path)
     return again.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 

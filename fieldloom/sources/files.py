@@ -59,6 +59,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_npy(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
     """path, i, row: each array's first axis as rows of doubles (a flat array gives rows of one)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return npy_rows(files.select("path", "content"))
+
+
+def npy_rows(files: DataFrame) -> DataFrame:
+    """The rows of read_npy from files (path, content)."""
 
     def parse(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -69,8 +75,7 @@ def read_npy(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
                 a = a.reshape(len(a), -1).astype(float)
                 yield pd.DataFrame({"path": p, "i": np.arange(len(a)), "row": list(a)})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(parse, "path string, i long, row array<double>")
+    return files.mapInPandas(parse, "path string, i long, row array<double>")
 
 
 def read_bmus(spark: SparkSession, path: str, columns: int | None = None) -> DataFrame:
@@ -94,10 +99,13 @@ def read_times(spark: SparkSession, path: str) -> DataFrame:
     return gridded.scan(spark, path, "t long, time timestamp_ntz, year int, month int")
 
 
-def read_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Run configurations; the map's size under either of its keys."""
-    x = spark.read.option("multiLine", True).schema("grid_size array<int>, grid array<int>, initialization string, bmu_metric string, epochs int, seed int, learning_rate double").json(path)
-    return x.withColumn("grid_size", F.coalesce("grid_size", "grid")).drop("grid")
+def read_configs(spark: SparkSession, path: str | list[str], folder: str | None = None) -> DataFrame:
+    """Run configurations, of all folders below the path as well; the map's size under either of its keys. folder: a column for the
+    path of the folder that holds the file."""
+    schema = "grid_size array<int>, grid array<int>, initialization string, bmu_metric string, epochs int, seed int, learning_rate double"
+    x = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").schema(schema).json(path)
+    own = [F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias(folder)] if folder else []
+    return x.select(*own, F.coalesce("grid_size", "grid").alias("grid_size"), "initialization", "bmu_metric", "epochs", "seed", "learning_rate")
 
 
 def read_enso(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ def write_runs(bmu: DataFrame, path: str, keys: tuple[str, ...] = ("run_id",)) -
 
 def write_npy(bmu: DataFrame, path: str) -> None:
     """A file of pairs (node_i, node_j) in the order of t for each run, named after it: bmu has run_id, t, node_i, node_j. `path` is a
-    folder that all executors share."""
+    folder that all executors share; a run_id may name folders below it ("run/BMUs")."""
 
     def save(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -29,9 +31,7 @@ def write_npy(bmu: DataFrame, path: str) -> None:
             for run, pairs in zip(b["run_id"], b["pairs"], strict=True):
                 a, out = np.array([(p["node_i"], p["node_j"]) for p in pairs], np.int64).reshape(-1, 2), io.BytesIO()
                 np.save(out, a)
-                system, place = fs.FileSystem.from_uri(path)
-                with system.open_output_stream(f"{place.rstrip('/')}/{run}.npy") as f:
-                    f.write(out.getvalue())
+                write_bytes(f"{path.rstrip('/')}/{run}.npy", out.getvalue())
                 yield pd.DataFrame({"run_id": [run], "n": [len(a)]})
 
     system, place = fs.FileSystem.from_uri(path)
@@ -67,8 +67,9 @@ def write_months_by_node(bmu: DataFrame, path: str) -> None:
     x.repartition("node_i", "node_j").sortWithinPartitions("node_i", "node_j", "year", "month").write.mode("overwrite").partitionBy("node_i", "node_j").csv(path, header=True)
 
 
-def write_config(spark: SparkSession, config: dict, path: str) -> None:
-    spark.range(1).select(F.lit(json.dumps(config)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_config(config: dict, folder: str) -> None:
+    """A run's configuration as one file, `config.json` in the run's folder."""
+    write_bytes(f"{folder.rstrip('/')}/config.json", json.dumps(config, indent=2).encode())
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -83,11 +84,38 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cached(df: DataFrame, path: str, fingerprint: str) -> DataFrame:
-    """Rows written once under a path that names their input's fingerprint, so that a changed input is never served
+#: Leaves of a plan whose rows the plan's text does not tell.
+UNTOLD = ("LocalRelation", "LogicalRDD", "ExternalRDD", "LogicalQueryStage", "InMemoryRelation")
+
+
+def fingerprint(df: DataFrame) -> str:
+    """What a frame is computed from: its plan, its schema, and path, length and time of every file that it reads. Files are listed, not
+    read. Python functions count by their names. Rows that come from no file, or from memory besides files, are an error."""
+    spark = df.sparkSession
+    paths = df.inputFiles()
+    with_fields = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(with_fields)
+    spark.conf.set(with_fields, "100000")  # or long lists would be cut in the text
+    try:
+        plan = df._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.set(with_fields, before)
+    if not paths or any(name in plan for name in UNTOLD):
+        raise ValueError("the plan does not tell all of its input; name the fingerprint")
+    # numbers of columns and of lambda variables go up with every frame of a session; their order of appearance does not
+    seen: dict[str, int] = {}
+    plan = re.sub(r"(?:_\d+)?#(\d+)", lambda m: f"#{seen.setdefault(m[1], len(seen))}", plan)
+    files = spark.read.format("binaryFile").load(paths)
+    told = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
+    n, total = files.agg(F.count("*"), F.sum(told)).first()
+    return hashlib.sha256(f"{n} {total}\n{df.schema.json()}\n{plan}".encode()).hexdigest()
+
+
+def cached(df: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    """Rows written once under a path that names their input's fingerprint (or `name`), so that a changed input is never served
     from an old file."""
     spark = df.sparkSession
-    place = f"{path.rstrip('/')}/{fingerprint}"
+    place = f"{path.rstrip('/')}/{name or fingerprint(df)}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
     if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         df.write.mode("overwrite").parquet(place)

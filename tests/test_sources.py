@@ -80,7 +80,8 @@ def test_variable_detection():
 def test_directories_configs_and_missing(spark, tmp_path):
     df = spark.createDataFrame([("/r/a/config.json",), ("/r/a/BMUs.npy",), ("/r/b/config.json",)], "path string")
     assert [r["directory"] for r in files.complete_directories(df, ("config.json", "BMUs.npy")).collect()] == ["/r/a"]
-    sinks.write_config(spark, {"grid": [3, 3], "seed": 5}, str(tmp_path / "c"))
+    sinks.write_config({"grid": [3, 3], "seed": 5}, str(tmp_path / "c"))
+    assert [f.name for f in (tmp_path / "c").iterdir()] == ["config.json"]
     assert files.read_configs(spark, str(tmp_path / "c")).first()["grid_size"] == [3, 3]
 
 
