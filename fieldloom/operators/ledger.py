@@ -37,14 +37,14 @@ def evaluate(fields: DataFrame, listed: DataFrame, ledger: str, phase: str, of_f
     fingerprint, where it cannot be told from their files."""
     spark = fields.sparkSession
     of_fields = of_fields or sinks.fingerprint(fields)
-    listed = listed.withColumn("of_fields", F.lit(of_fields))
+    listed = sinks.written(listed.withColumn("of_fields", F.lit(of_fields)), "listing")
     new = listed.join(read(spark, ledger).select(*KEYS), KEYS, "left_anti")
     # names of new runs only, not their arrays; they bound the groups
     todo = [r["path"] for r in new.select("path").orderBy("path").collect()]
     if todo:
         times = fields.select("t").distinct().select("t", (F.row_number().over(W.orderBy("t")) - 1).alias("place"))  # one row a month
-        placed = fields.join(times, "t").select(F.col("place").cast("long").alias("t"), "vec")
-        n = times.count()
+        placed = sinks.written(fields.join(times, "t").select(F.col("place").cast("long").alias("t"), "vec"), "fields")
+        n = placed.count()
     for at in range(0, len(todo), group):
         paths = todo[at : at + group]
         own = listed.filter(F.col("path").isin(paths))
@@ -54,7 +54,7 @@ def evaluate(fields: DataFrame, listed: DataFrame, ledger: str, phase: str, of_f
 
 def _append(spark: SparkSession, fields: DataFrame, n: int, own: DataFrame, paths: list[str], ledger: str, phase: str) -> None:
     nodes = F.col("rows") * F.col("columns")
-    found = saved.assignments(spark, own, paths)
+    found = sinks.written(saved.assignments(spark, own, paths), "assignments")
     lengths = found.groupBy("run_id").agg(F.count("*").alias("length"))
     state = own.join(lengths, "run_id", "left").withColumn("length", F.coalesce("length", F.lit(0)))
     why = F.when(nodes.isNull(), "The size of the map is not told.").when(F.col("length") != n, F.concat(F.col("length").cast("string"), F.lit(f" assignments for {n} fields.")))
@@ -64,4 +64,4 @@ def _append(spark: SparkSession, fields: DataFrame, n: int, own: DataFrame, path
     given = {"n_nodes_total": F.col("n_nodes"), "note": F.col("why")}
     typed = dict(c.split() for c in INDEX_COLUMNS)
     bad = state.filter("why is not null").select(*COLUMNS[:8], *(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in typed.items()))
-    good.select(*COLUMNS).unionByName(bad).coalesce(1).write.mode("append").parquet(ledger)
+    good.select(*COLUMNS).unionByName(bad).repartition(1).write.mode("append").parquet(ledger)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.blocks import pairwise_ssim_by_run, sums_by_run
 from fieldloom.operators.validity import NOTE
+from fieldloom.sources import sinks
 
 INDICES = ("silhouette_euclidean", "silhouette_correlation", "davies_bouldin", "calinski_harabasz")
 #: Runs whose nodes travel with each field.
@@ -39,7 +40,7 @@ def indices_of_runs(fields: DataFrame, assignments: DataFrame, runs: DataFrame,
     (degenerate="null") or 0, infinity and 0 (degenerate="scores"); with as many nodes as fields they are null.
     """
     vectors, places = labelled(fields, assignments)
-    sums = sums_by_run(vectors)
+    sums = sinks.written(sums_by_run(vectors), "sums")  # four aggregates below read them; the fields are compared once
     own = vectors.select("t", F.posexplode("node").alias("run", "node")).filter("node >= 0")
     sizes = own.groupBy("run", "node").agg(F.count("*").alias("n"))
     x = sums.join(own, ["t", "run"]).join(sizes.select("run", F.col("node").alias("other"), F.col("n").alias("size")), ["run", "other"])

@@ -57,13 +57,14 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     return _between_within(x.join(centre, "g").select("g", F.abs(F.col("v") - F.col("c")).alias("v")))
 
 
-#: Distinct values that one task ranks, about, and the number of ranges at most.
-IN_RANGE, RANGES, FAN = 50_000, 4_096, 64
+#: Rows whose distinct values one task ranks, about, and the number of ranges at most.
+IN_RANGE, RANGES, FAN = 50_000, 1_024, 64
 
 
-def bounds_of(counts: DataFrame, value: str) -> list[float]:
-    """Values that cut the distinct ones into equal parts, as many as IN_RANGE asks for: fixed numbers, so that whatever runs again cuts alike."""
-    n, cuts = counts.select(F.count(value), F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], RANGES * 10)).first()
+def bounds_of(values: DataFrame, value: str) -> list[float]:
+    """Values that cut the rows into about equal parts, as many as IN_RANGE asks for, in one pass without a shuffle: fixed numbers, so that
+    whatever runs again cuts alike. A part has no more distinct values than rows, and equal rows are never parted."""
+    n, cuts = values.select(F.count(value), F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], RANGES * 10)).first()
     parts = min(RANGES, -(-n // IN_RANGE))
     return sorted({cuts[RANGES * k // parts - 1] for k in range(1, parts)})
 
@@ -82,17 +83,21 @@ def place_among(value: Column, bounds: list[float]) -> Column:
     return below(0, len(bounds))
 
 
-def average_ranks(values: DataFrame, value: str = "v") -> DataFrame:
-    """Adds `rank` with ties at their mean, and `ties`. Counts of distinct values are aggregated first; a running sum goes over the
-    totals of their ranges, and over the distinct values inside each."""
+def rank_table(values: DataFrame, value: str = "v") -> DataFrame:
+    """Distinct values with `rank`, ties at their mean, and `ties`. Counts of distinct values are aggregated first; a running sum goes over
+    the totals of their ranges, and over the distinct values inside each."""
     counts = values.groupBy(value).agg(F.count("*").alias("ties"))
-    parts = counts.withColumn("part", place_among(F.col(value), bounds_of(counts, value)))
+    parts = counts.withColumn("part", place_among(F.col(value), bounds_of(values, value)))
     totals = parts.groupBy("part").agg(F.sum("ties").alias("n"))
     ahead = totals.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     inside = W.partitionBy("part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     ranked = parts.withColumn("below", F.coalesce(F.sum("ties").over(inside), F.lit(0))).join(ahead, "part")
-    ranked = ranked.select(F.col(value), "ties", (F.col("ahead") + F.col("below") + (F.col("ties") + 1) / 2.0).alias("rank"))
-    return values.join(ranked, value)
+    return ranked.select(F.col(value), "ties", (F.col("ahead") + F.col("below") + (F.col("ties") + 1) / 2.0).alias("rank"))
+
+
+def average_ranks(values: DataFrame, value: str = "v") -> DataFrame:
+    """Adds `rank` with ties at their mean, and `ties`."""
+    return values.join(rank_table(values, value), value)
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -115,9 +120,8 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     d = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
-    d = average_ranks(d, "x").withColumnRenamed("rank", "rx").drop("ties")
-    d = average_ranks(d, "y").withColumnRenamed("rank", "ry").drop("ties")
-    return pearson(d, "rx", "ry")
+    rx, ry = (rank_table(d, c).select(c, F.col("rank").alias(f"r{c}")) for c in "xy")
+    return pearson(d.join(rx, "x").join(ry, "y"), "rx", "ry")
 
 
 # Royston's polynomials (AS R94), constant term first.

@@ -84,6 +84,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to a new shared folder and read from there: what is used several times is computed once."""
+    place = scratch(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 #: Leaves of a plan whose rows the plan's text does not tell.
 UNTOLD = ("LocalRelation", "LogicalRDD", "ExternalRDD", "LogicalQueryStage", "InMemoryRelation")
 
