@@ -12,14 +12,15 @@ rounds merge the names of all shards and answer with those that documents share:
     repeat: its windows are covered.
  2. Open windows that no high symbol covers, by name: those at the ends of repeats, and all of the smallest doc_id
     that has them, which is never covered. The answer is the smallest doc_id of each.
- 3. Words of windows that start in a smaller doc_id go.
+ 3. Words of windows that start in a smaller doc_id go. Where open windows and long repeats are, a shard has told itself in
+    step 2, so symbols are not made once more and only documents that have any are read as words.
 
 Step 1 only spares windows that cannot repeat or are known to, so every repeat of a window is found, in texts of any
 length. Names have 64 bits, of high symbols and windows 96. A name is reported once a shard, however often it occurs there, and no
 pair of documents is ever formed: a passage in a third of all documents costs a row for each shard. Shards are
 groups of rows, by a hash of doc_id and text, of about SHARD_BYTES of text; texts are shuffled once and that exchange is
-reused by all steps. Reports travel as arrays, one row for each shard and shuffle partition; inside its partition a
-name meets its like through a window function, which spills, so no group is ever held by Python.
+reused by all steps. Reports travel as arrays, one row for each shard and bucket; a bucket is what names of about BUCKET_BYTES of
+text come to, and inside it a name meets its like in one sort.
 
 Defined results: null and empty texts have no words; texts shorter than a window keep all; rows that share a
 doc_id are one document (they do not remove from each other); a null doc_id counts as the largest; an empty table
@@ -34,16 +35,16 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import small_batches, utf8
 
-WINDOW, ROUNDS, SHARD_BYTES = 13, 3, 6 << 20
+WINDOW, ROUNDS, SHARD_BYTES, BUCKET_BYTES = 13, 3, 6 << 20, 32 << 20
 #: Rounds end when documents are one symbol each, or after so many without a change (a side is a coin).
 STALL = 12
-LOW, HIGH, PLACES = 1, 2, 3
+LOW, HIGH, PLACES, OWN = 1, 2, 3, 4
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
 # Odd multipliers of the mixing functions.
@@ -51,9 +52,11 @@ M1, M2, M3 = U(0xD6E8FEB86659FD93), U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> U(32))
     for _ in range(2):
-        x = (x ^ (x >> U(32))) * M1
-    return x ^ (x >> U(32))
+        x *= M1
+        x ^= x >> U(32)
+    return x
 
 
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -61,26 +64,27 @@ BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 CHUNK = 1 << 20
 
 
-def powers(x: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(1, n), x, U)
-    out[0] = 1
-    return np.cumprod(out)
+#: By number of bytes: what is kept of eight.
+KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words of a buffer start, and two hashes of each: polynomials of its bytes, mixed."""
-    x = np.frombuffer(raw, np.uint8)
-    blank = BLANK[x]
-    edge = np.diff(blank.astype(np.int8), prepend=1, append=1)
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return starts, np.zeros(0, U), np.zeros(0, U)
-    size = ends - starts
-    letters = x[~blank].astype(U) + U(1)
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    at = (np.arange(len(letters)) - np.repeat(first, size)).astype(np.uint32)
-    h1, h2 = (np.add.reduceat(letters * powers(m, int(size.max()))[at], first) for m in (M2, M3))
-    return starts, mix(h1), mix(h2 ^ M1)
+    """Where the words of a buffer start, and two hashes of each: up to 16 bytes are mixed as two numbers, longer words are hashed one by one."""
+    blank = np.ones(len(raw) + 2, bool)
+    blank[1:-1] = BLANK[np.frombuffer(raw, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(raw) + 9, "<u8", raw + bytes(16), strides=(1,))
+    letters = eight[starts] & KEPT[np.minimum(size, 8)]
+    one, two = mix(letters + size.astype(U) * M2), mix((letters ^ M1) * M3 + size.astype(U))
+    k = np.flatnonzero(size > 8)
+    letters = eight[starts[k] + 8] & KEPT[np.minimum(size[k] - 8, 8)]
+    one[k], two[k] = mix(one[k] * M3 + letters), mix(two[k] * M2 + letters)
+    k = np.flatnonzero(size > 16)
+    if len(k):
+        whole = (xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts[k].tolist(), (starts[k] + size[k]).tolist(), strict=True))
+        one[k], two[k] = np.frombuffer(b"".join(whole), U).reshape(-1, 2).T
+    return starts, one, two
 
 
 class Shard:
@@ -104,7 +108,7 @@ class Shard:
             at = end
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.h1, self.h2 = np.concatenate(one), np.concatenate(two)
-        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
 
     def places(self, window: int) -> np.ndarray:
         """Starts of all windows inside documents."""
@@ -113,12 +117,28 @@ class Shard:
 
     def names(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Two names of the windows that start there."""
+        if 4 * len(at) > len(self.doc):
+            return mix(rolling(self.h1, M2, window)[at]), half(mix(rolling(self.h2, M3, window)[at]))
         a, b = np.zeros(len(at), U), np.zeros(len(at), U)
         for k in range(window):
             a, b = a * M2 + self.h1[at + k], b * M3 + self.h2[at + k]
         return mix(a), half(mix(b))
 
 
+def rolling(h: np.ndarray, m: np.uint64, window: int) -> np.ndarray:
+    """The polynomial of every `window` numbers in a row, by doubling: that of a + b numbers is the first's times m ** b and the second's."""
+    part, width, power = h, 1, np.full(1, m)
+    whole, size, scale = None, 0, np.ones(1, U)
+    while True:
+        if window & 1:
+            whole = part if whole is None else part[: len(whole) - width] * scale + whole[width:]
+            size, scale = size + width, scale * power
+        window >>= 1
+        if not window:
+            return whole
+        part, width, power = part[:-width] * power + part[width:], 2 * width, power * power
+
+
 def half(x: np.ndarray) -> np.ndarray:
     """32 of 64 bits, signed."""
     return (x >> U(32)).astype(np.uint32).view(np.int32)
@@ -126,13 +146,29 @@ def half(x: np.ndarray) -> np.ndarray:
 
 class Symbols:
     """A shard's documents as symbols: name, the words [start, end) it stands for, its document, and the words [low, high) that
-    determined it (as long as `ranges` are kept)."""
+    determined it (as long as `ranges` are kept). `long` are the symbols of a window or more that `made` has met."""
 
     def __init__(self, s: Shard, docs: np.ndarray | None = None, ranges: bool = True):
-        at = np.arange(len(s.doc)) if docs is None else np.flatnonzero(docs[s.doc])
+        at = np.arange(len(s.doc), dtype=np.int32) if docs is None else np.flatnonzero(docs[s.doc]).astype(np.int32)
         self.words, self.round, self.ranges = s.h1, 0, ranges
         self.name, self.start, self.end, self.doc = mix(s.h1[at]), at, at + 1, s.doc[at]
         self.low, self.high = self.start, self.end
+        self.long: list[tuple[np.ndarray, ...]] = []
+
+    def made(self, window: int) -> bool:
+        """One more round; whether it has made any symbol."""
+        new = self.next()
+        k = np.flatnonzero(new & (self.end - self.start >= window))
+        self.long.append((self.name[k], self.start[k], self.end[k], self.doc[k]))
+        return bool(new.any())
+
+    def only(self, docs: np.ndarray) -> None:
+        """Leaves the symbols of the marked documents, without ranges: names do not depend on other documents."""
+        self.ranges = False
+        if not docs.all():
+            k = docs[self.doc]
+            self.name, self.start, self.end, self.doc = (x[k] for x in (self.name, self.start, self.end, self.doc))
+            self.long = [tuple(x[docs[found[3]]] for x in found) for found in self.long]
 
     def next(self) -> np.ndarray:
         """One more round; which symbols it has made.
@@ -148,9 +184,10 @@ class Symbols:
         same = doc[1:] == doc[:-1]
         first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | ~same]))
         last = np.append(first[1:], len(name)) - 1
-        length = (last - first + 1).astype(U)
-        made = length > 1
-        name = np.where(made, mix(name[first] + mix(length * M2 + salt)), name[first])
+        made = last > first
+        k = np.flatnonzero(made)
+        name = name[first]
+        name[k] = mix(name[k] + mix((last[k] - first[k] + 1).astype(U) * M2 + salt))
         if self.ranges:
             low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
         start, end, doc = start[first], end[last], doc[first]
@@ -162,7 +199,8 @@ class Symbols:
             k = np.flatnonzero(inside & (words[start[:-1]] == words[start[1:]]))
             wide_high[k] = np.maximum(wide_high[k], high[k + 1])
             low, high = wide_low, wide_high
-        right = mix(name + salt) >> U(63) == 1
+        salted = mix(name + salt)
+        right = salted >> U(63) == 1
         after, before = np.append(inside, False), np.concatenate([[False], inside])
         head = ~right & np.append(right[1:], False) & after
         tail = np.concatenate([[False], head[:-1]])
@@ -176,18 +214,18 @@ class Symbols:
             new_high[k] = high[k + 1]
             self.low, self.high = new_low[~tail], new_high[~tail]
         new_name, new_end = name.copy(), end.copy()
-        new_name[k] = mix(name[k] * M3 + mix(name[k + 1] + salt))
+        new_name[k] = mix(name[k] * M3 + salted[k + 1])
         new_end[k] = end[k + 1]
         self.name, self.start, self.end, self.doc = new_name[~tail], start[~tail], new_end[~tail], doc[~tail]
         return (made | head)[~tail]
 
 
-def low_symbols(s: Shard, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def low_symbols(s: Shard, window: int = WINDOW, rounds: int = ROUNDS, x: Symbols | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Names, ranges [low, high) and documents of the symbols whose range fits in a window of their document; a window that
-    holds none has its first word, with all of the window as its range."""
-    x = Symbols(s)
+    holds none has its first word, with all of the window as its range. `x`, the words at first, is left at that round."""
+    x = x or Symbols(s)
     for _ in range(rounds):
-        x.next()
+        x.made(window)
     fits = (x.high - x.low <= window) & (x.low >= s.starts[x.doc]) & (x.high <= s.starts[x.doc + 1])
     name, low, high, doc = x.name[fits], x.low[fits], x.high[fits], x.doc[fits]
     place = s.places(window)
@@ -195,18 +233,17 @@ def low_symbols(s: Shard, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[n
     return tuple(np.concatenate(p) for p in ((name, mix(s.h1[bare] + M1)), (low, bare), (high, bare + window), (doc, s.doc[bare])))
 
 
-def high_symbols(s: Shard, docs: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names, second names and words [start, end) of all symbols of a window or more, of the documents marked in `docs`."""
-    x = Symbols(s, docs, ranges=False)
-    n, stalled, found = len(np.unique(x.doc)), 0, []
+def high_symbols(s: Shard, docs: np.ndarray, window: int = WINDOW, x: Symbols | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names, second names and words [start, end) of all symbols of a window or more, of the documents marked in `docs`. Goes on from `x`."""
+    if x is None:
+        x = Symbols(s, docs, ranges=False)
+    x.only(docs)
+    n, stalled = len(np.unique(x.doc)), 0
     while len(x.name) > n and stalled < STALL:
-        made = x.next()
-        stalled = 0 if made.any() else stalled + 1
-        k = np.flatnonzero(made & (x.end - x.start >= window))
-        found.append((x.name[k], x.start[k], x.end[k]))
-    if not found:
+        stalled = 0 if x.made(window) else stalled + 1
+    if not x.long:
         return np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    name, start, end = map(np.concatenate, zip(*found, strict=True))
+    name, start, end, _ = map(np.concatenate, zip(*x.long, strict=True))
     return name, half(mix(s.h2[start] + M1 * s.h2[end - 1] + M2 * (end - start).astype(U))), start, end
 
 
@@ -223,9 +260,8 @@ def cut(name: np.ndarray) -> np.ndarray:
     return name >> U(16)
 
 
-def buckets_of(spark: SparkSession) -> np.ndarray:
-    """A number for each shuffle partition that Spark's hash deals there, so that every partition has one bucket."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def buckets_of(spark: SparkSession, n: int) -> np.ndarray:
+    """A number for each of n partitions that Spark's hash deals there, so that every partition has one bucket."""
     place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
     found = spark.range(n * (20 + n.bit_length())).groupBy(place.alias("place")).agg(F.min("id").alias("id")).collect()
     return np.array([r["id"] for r in sorted(found, key=lambda r: r["place"])], np.int32)
@@ -233,7 +269,7 @@ def buckets_of(spark: SparkSession) -> np.ndarray:
 
 def report(shard: int, kind: int, name: np.ndarray, more: np.ndarray, ids: np.ndarray, buckets: np.ndarray) -> pa.Table:
     """Distinct names of a shard with their smallest and largest doc_id, dealt to buckets by name. (Of two names alike in the first
-    integer only, rows may be written apart; they meet again in `merged`.)"""
+    integer only, rows may be written apart; they meet again in `merge`.)"""
     order = np.argsort(name)
     name, more, ids = name[order], more[order], ids[order]
     first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (more[1:] != more[:-1])])) if len(name) else np.zeros(0, np.int64)
@@ -255,19 +291,56 @@ def report(shard: int, kind: int, name: np.ndarray, more: np.ndarray, ids: np.nd
     return pa.table([pa.array(buckets[used], pa.int32()), *same, *lists], names=[c.split()[0] for c in REPORT.split(", ")])
 
 
+def own_report(shard: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: np.ndarray) -> pa.Table:
+    """What a shard tells itself: (row, first word, number) of runs of windows, one row in all."""
+    columns = [np.concatenate([p[k] for p in parts]) for k in range(3)]
+    fixed = [pa.array([x], pa.int32()) for x in (buckets[shard % len(buckets)], shard, OWN)]
+    lists = [pa.array([x], pa.list_(kind)) for x, kind in zip((*columns, columns[0], columns[0]), (pa.int32(),) * 3 + (pa.int64(),) * 2, strict=True)]
+    return pa.table([*fixed, *lists], names=[c.split()[0] for c in REPORT.split(", ")])
+
+
+ANSWER = "shard int, kind int, high array<int>, low array<int>, more array<int>, flags array<tinyint>"
+
+
+def merge(reports: pa.Table) -> pa.Table:
+    """One bucket's reports -> for each shard the names that it has reported and that several documents have, as three integers. A flag's first
+    bit says that another shard has a smaller doc_id, its second bit that one has a larger. What a shard tells itself passes."""
+    names = [c.split()[0] for c in ANSWER.split(", ")]
+    types = (pa.int32(),) * 3 + (pa.int8(),)
+    out = []
+    for kind in pc.unique(reports.column("kind")).to_pylist():
+        rows = reports.filter(pc.equal(reports.column("kind"), kind)).combine_chunks()
+        high, low, more, lows, highs = (pa.concat_arrays(rows.column(c).chunks).flatten().to_numpy() for c in ("high", "low", "more", "lows", "highs"))
+        row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("high")).to_numpy())
+        flags = np.zeros(len(high), np.int8)
+        if kind != OWN and len(high):
+            name = high.view(np.uint32).astype(U) << U(32) | low.view(np.uint32).astype(U)
+            order = np.argsort(name)
+            same = name[order][1:] == name[order][:-1]
+            if (same & (more[order][1:] != more[order][:-1])).any():
+                order = np.lexsort((more, name))
+                same = (name[order][1:] == name[order][:-1]) & (more[order][1:] == more[order][:-1])
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            number = np.diff(np.append(first, len(order)))
+            lows, highs = lows[order], highs[order]
+            least, most = np.repeat(np.minimum.reduceat(lows, first), number), np.repeat(np.maximum.reduceat(highs, first), number)
+            # of high symbols and windows, only those that some document of the shard has after another: others lose nothing there
+            k = np.flatnonzero(least < (most if kind == LOW else highs))
+            flags = ((least < lows) + 2 * (most > highs)).astype(np.int8)[k]
+            k, own = order[k], np.argsort(row[order[k]], kind="stable")
+            row, flags, k = row[k][own], flags[own], k[own]
+            high, low, more = high[k], low[k], more[k]
+        cuts = np.searchsorted(row, np.arange(rows.num_rows + 1))
+        used = np.flatnonzero(np.diff(cuts))
+        offsets = pa.array(np.append(cuts[used], len(row)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in zip((high, low, more, flags), types, strict=True)]
+        out.append(pa.table([rows.column("shard").take(pa.array(used)), pa.array(np.full(len(used), kind), pa.int32()), *lists], names=names))
+    return pa.concat_tables(out)
+
+
 def merged(reports: DataFrame, n: int) -> DataFrame:
-    """shard, kind, high, low, more, flags: for each shard the names that it has reported and that several documents have, as three
-    integers. A flag's first bit says that another shard has a smaller doc_id, its second bit that one has a larger."""
-    x = reports.select("bucket", "shard", "kind", F.inline(F.arrays_zip("high", "low", "more", "lows", "highs")))
-    # the names come first, because the sort looks at its first column before all others
-    every = W.partitionBy("high", "low", "more", "kind", "bucket")
-    x = x.withColumn("least", F.min("lows").over(every)).withColumn("most", F.max("highs").over(every))
-    # of high symbols and windows, only those that some document of the shard has after another: others lose nothing there
-    x = x.filter(F.col("least") < F.when(F.col("kind") == LOW, F.col("most")).otherwise(F.col("highs")))
-    flag = ((F.col("least") < F.col("lows")).cast("int") + (F.col("most") > F.col("highs")).cast("int") * 2).cast("tinyint")
-    # `kind` comes out as an aggregate, so that no filter on it reaches below the exchange, which all readers share
-    x = x.groupBy("shard", "kind", "bucket").agg(F.collect_list(F.struct("high", "low", "more", flag.alias("flags"))).alias("x"), F.max("kind").alias("of"))
-    return x.select("shard", F.col("of").alias("kind"), *(F.col(f"x.{c}").alias(c) for c in ("high", "low", "more", "flags")))
+    """The answers to reports, for each shard and bucket."""
+    return reports.repartition(n, "bucket").groupBy("bucket").applyInArrow(merge, ANSWER)
 
 
 class Answers:
@@ -311,10 +384,10 @@ class Answers:
         return smaller, larger
 
 
-def open_windows(s: Shard, answers: pa.Table, window: int) -> np.ndarray:
+def open_windows(s: Shard, answers: pa.Table, window: int, x: Symbols | None = None) -> np.ndarray:
     """Marks the starts of windows that may repeat: symbols of theirs are known, and other documents have all of them."""
     shared = Answers(answers, LOW)
-    name, low, high, doc = low_symbols(s, window)
+    name, low, high, doc = low_symbols(s, window, ROUNDS, x)
     place = shared.find(cut(name))
     known = place >= 0
     source, use = shared.neighbours(place, s.ids[doc])
@@ -326,38 +399,45 @@ def open_windows(s: Shard, answers: pa.Table, window: int) -> np.ndarray:
     return inside & _marked(first[known], end[known], n) & ~closed
 
 
-def long_repeats(s: Shard, answers: pa.Table, docs: np.ndarray, window: int) -> np.ndarray:
+def long_repeats(s: Shard, answers: pa.Table, docs: np.ndarray, window: int, x: Symbols | None = None) -> np.ndarray:
     """Marks the starts of windows inside high symbols that a smaller doc_id has too."""
     shared = Answers(answers, HIGH)
     if not len(shared.names):
         return np.zeros(len(s.doc), bool)
-    name, more, start, end = high_symbols(s, docs, window)
+    name, more, start, end = high_symbols(s, docs, window, x)
     hit, _ = shared.neighbours(shared.find(name, more), s.ids[s.doc[start]])
     return _marked(start[hit], end[hit] - window + 1, len(s.doc))
 
 
-def mark(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What stands for a document with open windows among the names of windows."""
-    return mix(ids.view(U) ^ M2), half(mix(ids.view(U) + M1))
+def in_order(rows: pa.Table) -> pa.Table:
+    """A shard's rows in the same order whenever they are read; rows that agree in both columns are alike."""
+    return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
 
+def runs(s: Shard, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first word in it and length of each run of marks inside a document."""
+    at = np.flatnonzero(marks)
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (s.doc[at[1:]] != s.doc[at[:-1]])])) if len(at) else at
+    doc = s.doc[at[new]]
+    return doc, at[new] - s.starts[doc], np.diff(np.append(new, len(at)))
 
-def marked(rows: pa.Table, answers: pa.Table) -> np.ndarray:
-    """The rows whose documents have open windows. All that others may share is in such: a document that has a window of one of
-    them, under another id, is one itself."""
-    ids = rows.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-    return Answers(answers, PLACES).find(*mark(ids)) >= 0
 
+def told(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs that the shard has told itself, by document: open windows have a negative length."""
+    own = Answers(answers, OWN)
+    return (own.names >> U(32)).astype(np.int64), (own.names & U(0xFFFFFFFF)).astype(np.int64), own.more.astype(np.int64)
 
-def covered(s: Shard, answers: pa.Table, window: int) -> np.ndarray:
-    """Words covered by windows that start in a smaller doc_id."""
-    hit = long_repeats(s, answers, np.ones(len(s.ids), bool), window)
+
+def covered(s: Shard, answers: pa.Table, start: np.ndarray, number: np.ndarray, window: int) -> np.ndarray:
+    """Words covered by windows that start in a smaller doc_id: those of the runs that are long repeats, and open windows that are known to be."""
+    n = len(s.doc)
+    hit = _marked(start[number > 0], (start + number)[number > 0], n)
     shared = Answers(answers, PLACES)
     if len(shared.names):
-        at = s.places(window)
-        at = at[~hit[at]]
+        at = np.flatnonzero(_marked(start[number < 0], (start - number)[number < 0], n))
         hit[at], _ = shared.neighbours(shared.find(*s.names(at, window)), s.ids[s.doc[at]])
     at = np.flatnonzero(hit)
-    return _marked(at, at + window, len(s.doc))
+    return _marked(at, at + window, n)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
@@ -367,33 +447,39 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
     small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
-    buckets = buckets_of(spark)
-    n = len(buckets)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_BYTES))
+    buckets = buckets_of(spark, n)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
 
     def first(key: tuple, rows: pa.Table) -> pa.Table:
         s = Shard(rows)
-        name, _, _, doc = low_symbols(s, window)
+        x = Symbols(s)
+        name, _, _, doc = low_symbols(s, window, ROUNDS, x)
         low = report(key[0].as_py(), LOW, cut(name), np.zeros(len(name), np.int32), s.ids[doc], buckets)
-        name, more, start, _ = high_symbols(s, np.ones(len(s.ids), bool), window)
+        name, more, start, _ = high_symbols(s, np.ones(len(s.ids), bool), window, x)
         return pa.concat_tables([low, report(key[0].as_py(), HIGH, name, more, s.ids[s.doc[start]], buckets)])
 
     def second(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        s = Shard(rows)
-        wide = open_windows(s, answers, window)
+        s = Shard(in_order(rows))
+        x = Symbols(s)
+        wide = open_windows(s, answers, window, x)
         docs = np.bincount(s.doc[wide], minlength=len(s.ids)) > 0
-        at = np.flatnonzero(wide & ~long_repeats(s, answers, docs, window))
-        # twice and with two numbers, so that the marks come back to their shard
-        own, second_own = mark(np.unique(s.ids[docs]))
+        long = long_repeats(s, answers, docs, window, x)
+        wide &= ~long
+        at = np.flatnonzero(wide)
         name, more = s.names(at, window)
-        whole = (np.concatenate(x) for x in ((name, own, own), (more, second_own, second_own), (s.ids[s.doc[at]], np.repeat([0, 1], len(own)))))
-        return report(key[0].as_py(), PLACES, *whole, buckets)
+        doc, start, number = runs(s, wide)
+        own = own_report(key[0].as_py(), [runs(s, long), (doc, start, -number)], buckets)
+        return pa.concat_tables([own, report(key[0].as_py(), PLACES, name, more, s.ids[s.doc[at]], buckets)])
 
     def last(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        some = marked(rows, answers)
-        s = Shard(rows.filter(pa.array(some)))
-        gone = covered(s, answers, window)
+        rows = in_order(rows)
+        doc, start, number = told(answers)
+        some = np.zeros(rows.num_rows, bool)
+        some[doc] = True
         place = np.cumsum(some) - 1
+        s = Shard(rows.filter(pa.array(some)))
+        gone = covered(s, answers, start + s.starts[place[doc]], number, window)
         out: list[list] = [[] for _ in range(6)]
         for text, known, k in zip(utf8(rows.column("text")), some.tolist(), place.tolist(), strict=True):
             words = (text or b"").split()
@@ -413,8 +499,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
     def answered(make: Callable[..., pa.Table], answers: DataFrame, schema: str) -> DataFrame:
         return base.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(make, schema)
 
-    symbols = base.groupBy("shard").applyInArrow(first, REPORT).repartition(n, "bucket")
-    known = merged(symbols, n)
-    places = merged(answered(second, known, REPORT).repartition(n, "bucket"), n)
+    symbols = base.groupBy("shard").applyInArrow(first, REPORT)
+    places = merged(answered(second, merged(symbols, n), REPORT), n)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, span_starts array<long>, span_ends array<long>" + (", kept string" if with_text else "")
-    return answered(last, known.filter(F.col("kind") == HIGH).unionByName(places), schema)
+    return answered(last, places, schema)

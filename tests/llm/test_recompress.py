@@ -125,3 +125,48 @@ def test_repeated_and_missing_ids_are_dealt_to_all_shards(spark):
 
 def test_against_sql(same_rows):
     same_rows(queries.op8_substring_dedup, queries.OP8_SQL)
+
+
+def test_symbols_are_made_once(monkeypatch):
+    """High symbols go on from the low ones, and the last step makes none."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"v{k}" for k in rng.integers(0, 9, n)) for n in (200, 90, 400)] + ["loop " * 60]
+    s = recompress.Shard(pa.table({"doc_id": pa.array(range(4)), "text": pa.array(texts)}))
+    for docs in (np.ones(4, bool), np.array([True, False, True, True])):
+        x = recompress.Symbols(s)
+        low, high = recompress.low_symbols(s, 13, 3, x), recompress.high_symbols(s, docs, 13, x)
+        assert all((a == b).all() for a, b in zip(low, recompress.low_symbols(s), strict=True))
+        assert sorted(zip(*(a.tolist() for a in high))) == sorted(zip(*(a.tolist() for a in recompress.high_symbols(s, docs))))
+    monkeypatch.setattr(recompress, "Symbols", None)
+    start, number = s.starts[[3, 0]] + [10, 5], np.array([30, -4])
+    table = pa.table({"kind": pa.array([], pa.int32()), **{k: pa.array([], pa.list_(t)) for k, t in (("high", pa.int32()), ("low", pa.int32()), ("more", pa.int32()), ("flags", pa.int8()))}})
+    assert np.flatnonzero(recompress.covered(s, table, start, number, 13)).tolist() == list(range(s.starts[3] + 10, s.starts[3] + 52))
+
+
+def test_names_meet_in_their_bucket():
+    rng = np.random.default_rng(7)
+    reports, held = [], []
+    for shard in range(6):
+        for kind in (recompress.LOW, recompress.HIGH, recompress.PLACES):
+            name = rng.integers(0, 40, 30).astype(np.uint64) << np.uint64(0 if kind == recompress.LOW else 31)
+            more, ids = rng.integers(0, 1 if kind == recompress.LOW else 2, 30).astype(np.int32), rng.integers(0, 50, 30)
+            reports.append(recompress.report(shard, kind, name, more, ids, np.array([5], np.int32)))
+            held += [(shard, kind, int(n) >> (16 if kind == 1 else 32), int(n) & (0xFFFF if kind == 1 else 0xFFFFFFFF), int(m), int(i)) for n, m, i in zip(name, more, ids)]
+    want = set()
+    for shard, kind, high, low, more, _ in held:
+        of = lambda known: [r[5] for r in held if r[1:5] == (kind, high, low, more) and known(r[0])]
+        own, every = of(lambda x: x == shard), of(lambda x: True)
+        if min(every) < (max(every) if kind == recompress.LOW else max(own)):
+            want.add((shard, kind, high, low, more))
+    out = recompress.merge(pa.concat_tables(reports))
+    found = [(r["shard"], r["kind"], h, x & 0xFFFFFFFF, m) for r in out.to_pylist() for h, x, m in zip(r["high"], r["low"], r["more"])]
+    assert set(found) == want and len(want) > 100
+
+
+def test_names_of_few_and_of_many_windows_agree():
+    rng = np.random.default_rng(8)
+    s = recompress.Shard(pa.table({"doc_id": pa.array([1]), "text": pa.array([" ".join(f"w{k}" for k in rng.integers(0, 99, 300))])}))
+    for window in (1, 2, 3, 8, 13):
+        at = s.places(window)
+        many, few = s.names(at, window), s.names(at[:9], window)
+        assert len(at) == 301 - window and all((a[:9] == b).all() for a, b in zip(many, few, strict=True))
