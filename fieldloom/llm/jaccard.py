@@ -1,5 +1,6 @@
-"""Near-duplicates by exact Jaccard similarity of word-shingle sets: MinHash bands propose pairs, the sets decide.
+"""Near-duplicates by exact Jaccard similarity of word-shingle sets: SimHash balls and MinHash bands propose pairs, the sets decide.
 
+Pairs of the balls come from fieldloom.llm.simhash; no ball of feasible size holds J = 0.8, so bands propose what balls miss.
 Every distinct set has 128 minima in 32 bands of 4: a pair at J = 0.8 shares a band but for 1 of 10^7 (0.7: 0.0002, 0.9: none).
 With its bands' keys a set keeps a byte of each minimum, its sketch. Pairs are compared in two steps, so that a group of
 many near copies gives few: in each bucket all members are compared with its smallest one; what these links connect is one
@@ -82,20 +83,23 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
 
 
 def prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row id, the number of the shingle set (`node`), its bands' keys and its sketch, materialised."""
+    """doc_id, row id, the number of the shingle set (`node`), its SimHash fingerprint, its bands' keys and its sketch, materialised."""
+    from fieldloom.llm.simhash import fingerprint
+
     small_batches(docs.sparkSession)
 
     def make(batches: Batches) -> Batches:
         for ids, rids, texts in columns(batches, "doc_id", "rid", "text"):
             sets = [shingle_set(t, shingle) for t in utf8(texts)]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 45) for s in sets], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
             least = np.stack([minima(s) for s in sets])
             packed = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (band_keys(least), (least & np.uint64(255)).astype(np.uint8))]
-            yield pa.RecordBatch.from_arrays([ids, rids, pa.array(node), *packed], ["doc_id", "rid", "node", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids, rids, pa.array(node), pa.array(fp), *packed], ["doc_id", "rid", "node", "fp", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"], row_id(docs).alias("rid"), docs["text"])
-    return materialised(rows.mapInArrow(make, f"doc_id {kind}, rid binary, node long, bands binary, sketch binary"))
+    return materialised(rows.mapInArrow(make, f"doc_id {kind}, rid binary, node long, fp long, bands binary, sketch binary"))
 
 
 def emit(batches: Batches) -> Batches:
@@ -356,9 +360,9 @@ def both_ends(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return one.join(values.select(F.col("node").alias("u"), F.col(name).alias("a")), "u").select("u", "v", "a", "b")
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, proposed: DataFrame, shingle: int) -> DataFrame:
     """(u, v) of distinct sets with J >= THRESHOLD, enough of them to connect all that such links connect.
-    `nodes` has node, rid (a row that has the set), bands and sketch."""
+    `nodes` has node, rid (a row that has the set), bands and sketch; pairs (u, v) that are `proposed` are compared together with those of the bands."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     balls = nodes.select("node", "bands").mapInArrow(emit, "key long, node long")
     shared = materialised(balls.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(stars, "key long, u long, v long"))
@@ -376,7 +380,8 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
     ends = lambda df: df.select(F.col("u").alias("node")).unionByName(df.select(F.col("v").alias("node"))).distinct()
     confirmed = lambda df, sets: materialised(both_ends(df, sets, "set").mapInArrow(confirm, "u long, v long"))
-    pairs = materialised(both_ends(shared.select("u", "v").distinct(), nodes, "sketch").mapInArrow(alike, "u long, v long"))
+    proposed = proposed.unionByName(shared.select("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = materialised(both_ends(proposed, nodes, "sketch").mapInArrow(alike, "u long, v long"))
     first = confirmed(pairs, sets_of(ends(pairs)))
     labels = connected_components(first).select("node", F.col("component").alias("label"))
     # a bucket's smallest member has been compared with all others

@@ -11,8 +11,8 @@ A collision group holds distinct fingerprints only, a bounded number by construc
 From each group a spanning forest of true links leaves the task, never all pairs, and components are found on
 distinct fingerprints: copies of a text, however many, are one node.
 
-`deduplicated` links by exact Jaccard similarity instead (fieldloom.llm.jaccard): no ball of feasible size covers 0.8. Balls of
-WIDE bits with a second fingerprint that agrees within CHECK bits (`variants` and `links` of checked rows) are no longer used there.
+`deduplicated` hashes balls of WIDE bits too, around fingerprints of shingle sets, and takes a pair from them as a link if its sketches are alike and its exact Jaccard
+similarity is high enough. No ball of feasible size covers 0.8, so MinHash bands (fieldloom.llm.jaccard) propose the pairs that balls miss. A second fingerprint (`variants` and `links` of checked rows) is not used there.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; texts with fewer words
 than a shingle hash their whole word sequence; ties (exactly half) leave a bit unset; repeated rows stay rows of
@@ -185,24 +185,38 @@ def links(radius: int = RADIUS, checked: bool = False) -> Callable[[Batches], Ba
     return read
 
 
+def ball_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v) of distinct fingerprints (`fp`) within the radius, enough of them to connect all that such links connect."""
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # distinct fingerprints are few bytes, so they would meet in few tasks, and each becomes many variants
+    spread = prints.select("fp").repartition(n, "fp")
+    balls = spread.mapInArrow(variants(radius), "key long, fp long")
+    return balls.repartition(n, "key").sortWithinPartitions("key").mapInArrow(links(radius), "u long, v long")
+
+
+def ball_pairs(nodes: DataFrame, radius: int = WIDE) -> DataFrame:
+    """(u, v) of nodes to be checked: each node with the smallest one of its fingerprint, and those of each fingerprint with those of the smallest
+    one that it is linked to. So there are no more pairs than nodes, however dense a ball is."""
+    heads = materialised(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    least = ball_links(heads, radius).groupBy(F.greatest("u", "v").alias("fp")).agg(F.min(F.least("u", "v")).alias("near"))
+    far = least.join(heads, "fp").select(F.col("head").alias("v"), F.col("near").alias("fp")).join(heads, "fp").select(F.col("head").alias("u"), "v")
+    same = nodes.select("node", "fp").join(heads, "fp").filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    return materialised(far.unionByName(same))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, checked: bool = False) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links reach. `checked`: links are those of
-    fieldloom.llm.jaccard, whatever the radius, and instead of fp there are the shingle set's node and the row id."""
+    """doc_id, fp and component_id, the smallest doc_id that links reach. `checked`: pairs of shingle sets from balls of the radius and those
+    from bands are links if fieldloom.llm.jaccard confirms them; instead of fp there are the shingle set's node and the row id."""
     if checked:
         prints = jaccard.prints(docs, shingle)
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
-        nodes = materialised(prints.groupBy("node").agg(least, F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
-        edges = jaccard.links(docs, nodes.select("node", "least.rid", "bands", "sketch"), shingle)
+        nodes = materialised(prints.groupBy("node").agg(least, *(F.any_value(c).alias(c) for c in ("fp", "bands", "sketch"))))
+        edges = jaccard.links(docs, nodes.select("node", "least.rid", "bands", "sketch"), ball_pairs(nodes, radius), shingle)
         found = _named(prints, nodes, edges)
         return found.select("doc_id", "node", "rid", F.col("component_id.doc_id").alias("component_id"), F.col("component_id.rid").alias("kept"))
     prints = fingerprints(docs, shingle)
     nodes = prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # distinct fingerprints are few bytes, so they would meet in few tasks, and each becomes many variants
-    spread = nodes.select("fp").repartition(n, "fp")
-    balls = spread.mapInArrow(variants(radius), "key long, fp long")
-    edges = balls.repartition(n, "key").sortWithinPartitions("key").mapInArrow(links(radius), "u long, v long")
-    return _named(prints, nodes, edges).select("doc_id", "fp", "component_id")
+    return _named(prints, nodes, ball_links(nodes, radius)).select("doc_id", "fp", "component_id")
 
 
 def _named(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

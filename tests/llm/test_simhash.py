@@ -132,3 +132,36 @@ def test_deduplication_keeps_one_row_of_each_group(odd_docs, no_docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8, 9, 10] and ids.count(None) == 1
     assert simhash.near_duplicates(no_docs).count() == 0 == simhash.deduplicated(no_docs).count()
+
+
+def test_balls_propose_pairs_beside_the_bands(spark, monkeypatch):
+    """Without any band, sets with fingerprints in one ball are linked if their similarity is at least 0.8, and no others are."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = []
+    for _ in range(40):
+        words = [word() for _ in range(400)]
+        texts += [words, [*words[:200], "changed", *words[201:]], [*words, word()]]
+    passage = [word() for _ in range(3)]
+    texts += [[*passage, word(), word()] for _ in range(60)]  # one shingle each, so no two alike
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+
+    def components(radius=simhash.WIDE):
+        return {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 5, radius, checked=True).collect()}
+
+    whole = components()
+    assert whole == {k: k - k % 3 if k < 120 else k for k in range(180)}
+
+    def no_band(batches):
+        yield from ()
+
+    monkeypatch.setattr(simhash.jaccard, "emit", no_band)
+    found = components()
+    assert all(whole[found[k]] == whole[k] for k in found)
+    assert sum(found[k] == whole[k] != k for k in found) > 60
+    prints = simhash.jaccard.prints(df, 5).select("node", "fp")
+    assert 0 < simhash.ball_pairs(prints).count() < prints.count()
+    # whatever the balls propose, the sets decide
+    sets = simhash.jaccard.prints(df.filter("doc_id >= 120"), 5).selectExpr("node", "0L as fp").toArrow()
+    monkeypatch.setattr(simhash, "ball_pairs", lambda nodes, _: spark.createDataFrame([(sets["node"][0].as_py(), x) for x in sets["node"].to_pylist()[1:]], "u long, v long"))
+    assert components() == {k: k for k in range(180)}
