@@ -49,3 +49,15 @@ def test_vectors_of_several_lengths_are_an_error(spark):
     uneven = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "t long, vec array<double>").repartition(2)
     with pytest.raises(Exception, match="several lengths|list_size|reshape"):
         blocks.distances(uneven)
+
+
+def test_far_from_zero_copies_are_at_no_distance(spark):
+    """Squares of large values left up to 7e-5 where there is nothing."""
+    x = 300 + np.random.default_rng(3).normal(size=(300, 64))
+    x[200:] = x[:100]
+    found = blocks.distances(table(spark, x), ("d_euclid",))
+    assert found.columns == ["i", "j", "d_euclid"] and "Exchange" not in plan(found)
+    rows = found.toArrow()
+    i, j = rows["i"].to_numpy() // 10, rows["j"].to_numpy() // 10
+    assert len(rows) == 300 * 299 // 2
+    assert np.abs(rows["d_euclid"].to_numpy() - np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1))).max() < 5e-7
