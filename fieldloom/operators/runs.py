@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.blocks import pairwise_ssim_by_run, sums_by_run
+from fieldloom.operators.blocks import pairwise_ssim_by_run, scores_by_run
 from fieldloom.operators.validity import NOTE
 from fieldloom.sources import sinks
 
@@ -40,22 +40,12 @@ def indices_of_runs(fields: DataFrame, assignments: DataFrame, runs: DataFrame,
     (degenerate="null") or 0, infinity and 0 (degenerate="scores"); with as many nodes as fields they are null.
     """
     vectors, places = labelled(fields, assignments)
-    sums = sinks.written(sums_by_run(vectors), "sums")  # four aggregates below read them; the fields are compared once
+    rows = sinks.written(scores_by_run(vectors), "scores")  # several aggregates below read them; the fields are compared once
     own = vectors.select("t", F.posexplode("node").alias("run", "node")).filter("node >= 0")
     sizes = own.groupBy("run", "node").agg(F.count("*").alias("n"))
-    x = sums.join(own, ["t", "run"]).join(sizes.select("run", F.col("node").alias("other"), F.col("n").alias("size")), ["run", "other"])
-    inside = F.col("node") == F.col("other")
-
-    def mean(c: str) -> Column:
-        return F.when(inside, F.try_divide(F.col(c), F.nullif(F.col("size") - 1, F.lit(0)))).otherwise(F.col(c) / F.col("size"))
-
-    def score(c: str) -> Column:
-        a, b = F.max(F.when(inside, mean(c))), F.min(F.when(~inside, mean(c)))
-        return F.when(a.isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
-
-    by_field = x.groupBy("run", "t").agg(score("e").alias("se"), score("c").alias("sc"), F.max(F.when(inside, F.col("e2") / F.col("size"))).alias("to_own"), F.max("node").alias("node"), F.sum("e2").alias("e2"))
+    by_field = rows.filter("other is null").select("run", "node", "se", "sc", "to_own", F.col("s").alias("e2"))
     silhouettes = by_field.groupBy("run").agg(F.avg("se").alias("se"), F.avg("sc").alias("sc"), F.count("*").alias("total"), (F.sum("e2") / (2 * F.count("*"))).alias("scatter"))
-    pairs = x.groupBy("run", "node", "other").agg(F.sum("e2").alias("e2"), F.count("*").alias("n"), F.max("size").alias("size"))
+    pairs = rows.filter("other is not null").groupBy("run", "node", "other").agg(F.sum("s").alias("e2"), F.sum("n").alias("n"))
     within = pairs.filter("node = other").select("run", "node", "n", (F.col("e2") / (2 * F.col("n"))).alias("w"))
     root = lambda v: F.sqrt(F.greatest(v, F.lit(0.0)))
     spread = by_field.join(within, ["run", "node"]).groupBy("run", "node").agg(F.avg(root(F.col("to_own") - F.col("w") / F.col("n"))).alias("s"), F.max("w").alias("w"), F.max("n").alias("n"))

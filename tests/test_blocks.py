@@ -61,3 +61,42 @@ def test_far_from_zero_copies_are_at_no_distance(spark):
     i, j = rows["i"].to_numpy() // 10, rows["j"].to_numpy() // 10
     assert len(rows) == 300 * 299 // 2
     assert np.abs(rows["d_euclid"].to_numpy() - np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1))).max() < 5e-7
+
+
+def means_by_node(d, nodes, own):
+    """Silhouettes by their definition."""
+    out = np.zeros(len(nodes))
+    for k, n in enumerate(nodes):
+        alone = (nodes == n).sum() == 1
+        near = [d[k][nodes == m].mean() for m in own if m != n]
+        if not alone and near:
+            a, b = d[k][nodes == n].sum() / ((nodes == n).sum() - 1), min(near)
+            out[k] = (b - a) / max(a, b)
+    return out
+
+
+@pytest.mark.parametrize("cells", [5, 300])  # squared distances from sums of vectors, and one by one
+def test_scores_leave_a_task_complete(spark, cells):
+    rng = np.random.default_rng(4)
+    x = rng.normal(2.0, 1.0, (530, cells))
+    nodes = np.stack([rng.integers(-1, 4, 530), np.zeros(530, int), np.where(np.arange(530) == 7, 900, rng.integers(0, 3, 530))])
+    by_t = {10 * k: [int(n) for n in nodes[:, k]] for k in range(530)}
+    own = spark.createDataFrame(list(by_t.items()), "t long, node array<int>")
+    found = blocks.scores_by_run(table(spark, x).join(own, "t"))
+    assert "Exchange" not in plan(found)
+    rows = found.toPandas()
+    fields = rows[rows["other"].isna()]
+    assert len(fields) == (nodes >= 0).sum()  # a row for each node and pair of blocks before
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for run in range(3):
+        there = np.flatnonzero(nodes[run] >= 0)
+        own_nodes, kinds = nodes[run][there], np.unique(nodes[run][there])
+        f = fields[fields["run"] == run].sort_values("t")
+        near, c = d[np.ix_(there, there)], 1 - np.corrcoef(x[there])
+        assert (f["t"] == 10 * there).all() and (f["node"] == own_nodes).all()
+        assert np.allclose(f["se"], means_by_node(near, own_nodes, kinds)) and np.allclose(f["sc"], means_by_node(c, own_nodes, kinds))
+        assert np.allclose(f["s"], (near**2).sum(axis=1)) and np.allclose(f["to_own"], [(near[k][own_nodes == n] ** 2).mean() for k, n in enumerate(own_nodes)])
+        pairs = rows[~rows["other"].isna() & (rows["run"] == run)].groupby(["node", "other"])[["s", "n"]].sum()
+        assert len(pairs) == len(kinds) ** 2
+        for (a, b), r in pairs.iterrows():
+            assert r["n"] == (own_nodes == a).sum() and np.isclose(r["s"], (near[np.ix_(own_nodes == a, own_nodes == b)] ** 2).sum())
