@@ -7,7 +7,8 @@ import os
 import numpy as np
 import pytest
 
-from fieldloom.operators import blocks
+from fieldloom.operators import blocks, ledger, runs, som, validity
+from fieldloom.sources import saved, sinks
 
 
 def table(spark, x, parts=5):
@@ -100,3 +101,25 @@ def test_scores_leave_a_task_complete(spark, cells):
         assert len(pairs) == len(kinds) ** 2
         for (a, b), r in pairs.iterrows():
             assert r["n"] == (own_nodes == a).sum() and np.isclose(r["s"], (near[np.ix_(own_nodes == a, own_nodes == b)] ** 2).sum())
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    store = spark._jsc.sc().statusStore()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(found.apply(k).shuffleWriteBytes() for k in range(found.size()))
+
+
+def test_trained_runs_shuffle_in_proportion_to_their_fields(spark, tmp_path):
+    x = np.random.default_rng(10).normal(size=(1500, 8))
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "t long, vec array<double>").write.parquet(str(tmp_path / "x"))
+    fields = spark.read.parquet(str(tmp_path / "x"))
+    own = som.runs(spark, searches=("euclidean", "ssim"), starts=("pca",), seeds=(1,))
+    named = som.train_runs(own, fields, 200).selectExpr("concat(search, '_', start, '/bmu_', size, 'x', size, '_seed', seed) AS run_id", "t", "CAST(floor(node / size) AS INT) AS node_i", "node % size AS node_j")
+    sinks.write_npy(named, str(tmp_path / "runs"))
+    before = shuffled(spark)
+    listed = saved.by_name(spark, str(tmp_path / "runs"), {f"{s}_pca": (s, "pca") for s in ("euclidean", "ssim")})
+    found = ledger.evaluate(fields, listed, str(tmp_path / "book"), "exploratory").collect()
+    assert len(found) == 6 and all(r["n_clusters_occupied"] + r["n_nodes_empty"] == r["n_nodes_total"] for r in found)
+    assert shuffled(spark) - before < 10 * x.nbytes
