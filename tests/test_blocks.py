@@ -136,3 +136,15 @@ def test_runs_shuffle_in_proportion_to_their_fields(spark, tmp_path):
     row = validity.summary(runs.indices_of_runs(fields, assignments, own)).first()
     assert (row["n_runs"], row["nodes_occupied"], row["nodes_empty"]) == (1, 30.0, 6.0)
     assert shuffled(spark) - before < 4 * x.nbytes
+
+
+def test_saved_runs_shuffle_in_proportion_to_their_fields(spark, tmp_path):
+    x = np.random.default_rng(9).normal(size=(4000, 8))
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "t long, vec array<double>").write.parquet(str(tmp_path / "x"))
+    os.makedirs(tmp_path / "runs" / "a")
+    np.save(tmp_path / "runs" / "a" / "BMUs.npy", np.arange(4000) % 30)
+    sinks.write_config({"grid_size": [6, 6]}, str(tmp_path / "runs" / "a"))
+    before = shuffled(spark)
+    row = ledger.evaluate(spark.read.parquet(str(tmp_path / "x")), saved.in_folders(spark, str(tmp_path / "runs")), str(tmp_path / "book"), "final").first()
+    assert (row["n_clusters_occupied"], row["n_nodes_empty"], row["note"]) == (30, 6, "")
+    assert shuffled(spark) - before < 6 * x.nbytes
