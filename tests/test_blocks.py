@@ -148,3 +148,15 @@ def test_saved_runs_shuffle_in_proportion_to_their_fields(spark, tmp_path):
     row = ledger.evaluate(spark.read.parquet(str(tmp_path / "x")), saved.in_folders(spark, str(tmp_path / "runs")), str(tmp_path / "book"), "final").first()
     assert (row["n_clusters_occupied"], row["n_nodes_empty"], row["note"]) == (30, 6, "")
     assert shuffled(spark) - before < 6 * x.nbytes
+
+
+def test_sums_of_distances_are_complete(spark):
+    rng = np.random.default_rng(6)
+    x, nodes = rng.normal(size=(600, 7)), rng.integers(-1, 5, 600)
+    own = spark.createDataFrame([(10 * k, int(n)) for k, n in enumerate(nodes)], "t long, node int")
+    for metric, d in (("euclidean", np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))), ("correlation", 1 - np.corrcoef(x))):
+        found = blocks.distance_sums(table(spark, x).join(own, "t"), metric)
+        assert "Exchange" not in plan(found)  # parts of sums from every pair of blocks before
+        sums = {(r["t"], r["other"]): r["total"] for r in found.collect()}
+        assert len(sums) == 600 * 6
+        assert np.allclose([sums[10 * k, n] for k in range(600) for n in range(-1, 5)], [d[k][nodes == n].sum() for k in range(600) for n in range(-1, 5)])
