@@ -160,3 +160,12 @@ def test_sums_of_distances_are_complete(spark):
         sums = {(r["t"], r["other"]): r["total"] for r in found.collect()}
         assert len(sums) == 600 * 6
         assert np.allclose([sums[10 * k, n] for k in range(600) for n in range(-1, 5)], [d[k][nodes == n].sum() for k in range(600) for n in range(-1, 5)])
+
+
+def test_indices_shuffle_in_proportion_to_their_fields(spark, tmp_path):
+    x = np.random.default_rng(11).normal(size=(6000, 8))
+    spark.createDataFrame([(k, k % 10, v.tolist()) for k, v in enumerate(x)], "t long, node int, vec array<double>").write.parquet(str(tmp_path / "x"))
+    before = shuffled(spark)
+    row = validity.indices(spark.read.parquet(str(tmp_path / "x")), 16).first()
+    assert (row["n_clusters_occupied"], row["n_nodes_empty"]) == (10, 6)
+    assert shuffled(spark) - before < 10 * x.nbytes
