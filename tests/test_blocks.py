@@ -169,3 +169,21 @@ def test_indices_shuffle_in_proportion_to_their_fields(spark, tmp_path):
     row = validity.indices(spark.read.parquet(str(tmp_path / "x")), 16).first()
     assert (row["n_clusters_occupied"], row["n_nodes_empty"]) == (10, 6)
     assert shuffled(spark) - before < 10 * x.nbytes
+
+
+def test_similarities_by_run_without_a_shuffle_of_vectors(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(1.0, 1.0, (600, 9))
+    x[50] = 4.0
+    nodes = np.stack([rng.integers(-1, 3, 600), np.arange(600)])
+    own = spark.createDataFrame([(10 * k, [int(n) for n in nodes[:, k]]) for k in range(600)], "t long, node array<int>")
+    found = blocks.pairwise_ssim_by_run(table(spark, x).join(own, "t"))
+    assert "CoGroup" not in plan(found)  # blocks met by a shuffle of vectors before
+    rows = {(r["run"], r["node"]): r for r in found.collect()}
+    assert all(rows[1, k]["n_pairs"] == 0 for k in range(600))
+    s = blocks.ssim_matrix(x, x)
+    for n in range(3):
+        k = np.flatnonzero(nodes[0] == n)
+        part = s[np.ix_(k, k)][np.triu_indices(len(k), 1)]
+        assert rows[0, n]["n_pairs"] == (~np.isnan(part)).sum() and np.isclose(rows[0, n]["ssim_sum"], np.nansum(part))
+    assert len(rows) == 603
