@@ -187,3 +187,14 @@ def test_similarities_by_run_without_a_shuffle_of_vectors(spark):
         part = s[np.ix_(k, k)][np.triu_indices(len(k), 1)]
         assert rows[0, n]["n_pairs"] == (~np.isnan(part)).sum() and np.isclose(rows[0, n]["ssim_sum"], np.nansum(part))
     assert len(rows) == 603
+
+
+def test_coherence_by_size_shuffles_in_proportion(spark, tmp_path):
+    x = np.random.default_rng(12).normal(1.0, 1.0, (12000, 8))
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "t long, vec array<double>").write.parquet(str(tmp_path / "x"))
+    fields = spark.read.parquet(str(tmp_path / "x"))
+    assignments = fields.selectExpr("'a' AS run_id", "t", "CAST(t % 5 AS INT) AS node")
+    before = shuffled(spark)
+    row = runs.coherence_by_size(runs.coherence_of_runs(fields, assignments), spark.createDataFrame([("a", 3)], "run_id string, size int")).first()
+    assert (row["size"], row["n_runs"]) == (3, 1) and row["mean_ssim"] is not None
+    assert shuffled(spark) - before < 4 * x.nbytes
